@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup
+from tessera.llm import decontaminate, exact_dedup, html_text, language_id, pii, piece_codec, token_count, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_pii": pii.op4_pii,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op6_token_count": token_count.op6_token_count,
+        "op7_sentencepiece": piece_codec.op7_sentencepiece,
+        "op8_language_id": language_id.op8_language_id,
+        "op9_html_text": html_text.op9_html_text,
     }
 
 
