@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_text, language_id, pii, piece_codec, token_count, url_filter
+from tessera.llm import decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, token_count, url_filter
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op7_sentencepiece": piece_codec.op7_sentencepiece,
         "op8_language_id": language_id.op8_language_id,
         "op9_html_text": html_text.op9_html_text,
+        "op10_minhash": near_dup.op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_decontaminate": decontaminate.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_minhash": near_dup.SQL}
