@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, token_count, url_filter
+from tessera.llm import decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, substring_dedup, token_count, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_pii": pii.op4_pii,
         "op5_url_filter": url_filter.op5_url_filter,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_minhash": near_dup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op2_substring_dedup": substring_dedup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_minhash": near_dup.SQL}
