@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import ASCII_SPACE, table
+from tessera.llm.shared import ASCII_SPACE, stored, table
 
 SALTS = 16
 
@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; rows repeated whole stay once."""
     keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    keep = stored(keep, "kept")
     marked = docs.withColumn("__digest_of", F.sha2(normalised(F.col(text_col)), 256))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest_of") == F.col("__digest"))
     return marked.join(keep, same, "left_semi").dropDuplicates([id_col, "__digest_of"]).select(*docs.columns)

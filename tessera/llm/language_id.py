@@ -181,6 +181,20 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return found
 
 
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, share of the probability, bits a byte) of each text."""
+    texts = ["" if x is None else x for x in texts]
+    if not model.langs or not texts:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    raw = [x.encode("utf-8") for x in texts]
+    letters = np.array([_LETTER.search(x) is not None for x in texts])
+    bits = model.code_lengths(raw)
+    low = bits.min(1)
+    share = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
+    langs = [model.langs[b] if ok else UNKNOWN for b, ok in zip(bits.argmin(1), letters, strict=True)]
+    return langs, np.where(letters, np.round(share, 6), 0.0), low / np.maximum([len(x) for x in raw], 1)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, model: Model | None = None) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score, bits_per_byte``.
 
@@ -193,20 +207,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and the 256 bytes
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in found:
-            texts = ["" if x is None else x for x in batch.column(2).to_pylist()]
-            raw = [x.encode("utf-8") for x in texts]
-            letters = np.array([_LETTER.search(x) is not None for x in texts], bool) & bool(m.langs)
-            preds, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            if m.langs and texts:
-                bits = m.code_lengths(raw)
-                best = bits.argmin(1)
-                low = bits.min(1)
-                share = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
-                scores = np.where(letters, np.round(share, 6), 0.0)
-                rates = low / np.maximum([len(x) for x in raw], 1)
-                preds = [m.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+            preds, scores, rates = predict(shared.value, batch.column(2).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
@@ -214,5 +216,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return own.mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The documents that are in some language, with all their columns; ``und`` ones go. No shuffle."""
+    model = fit(labelled_sample(docs, id_col, text_col, lang_col, sample_docs))
+    at = docs.columns.index(text_col)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            preds, _, _ = predict(shared.value, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN for x in preds], pa.bool_()))
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))

@@ -341,6 +341,7 @@ def _repeats(sets: DataFrame) -> bool:
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, with all its columns."""
     keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"))
+    keep = stored(keep, "kept")
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm import decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, substring_dedup, token_count, url_filter
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_html_text": html_text.op9_html_text,
         "op10_minhash": near_dup.op10_minhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
