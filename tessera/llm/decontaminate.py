@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import ascii_lower, sized, stored, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased: ASCII letters, digits and all beyond ASCII.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WINDOW = 10
 #: Lists intersected per window, from the rarest term on.
 LISTS = 2
@@ -22,12 +23,13 @@ BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words as written; ``ascii_lower`` is left to where few are left to compare."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(distinct windows: wid, gram, n; windows of items: wid, item_id)."""
-    own = items.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    own = items.select(F.col(item_col).cast("string").alias("item_id"), words(ascii_lower(F.col(text_col))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     each = own.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s") + 1, window).alias("gram"))
     each = each.withColumn("wid", F.xxhash64("gram"))
@@ -35,8 +37,20 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, item_col: str = "i
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, w (all words), pos, term."""
-    return docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    """doc_id, w (all words), pos, word (as written)."""
+    return docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "word"))
+
+
+def keyed(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("key", F.lower("term"))
+
+
+def matched(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """Tokens joined to ``terms`` on the word with A-Z lower-cased. ``lower`` is fast, but
+    lower-cases beyond ASCII; so it makes the join's key and the few such words are compared again."""
+    word = F.col("word")
+    same = (F.length(word) == F.octet_length(word)) | (ascii_lower(word) == F.col("term"))
+    return found.withColumn("key", F.lower(word)).join(terms, "key").where(same)
 
 
 def rarest_terms(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, lists: int = LISTS) -> DataFrame:
@@ -45,8 +59,8 @@ def rarest_terms(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str,
     A window with a term that the corpus lacks is left out. Frequencies are of the whole corpus.
     """
     spread = grams.select("wid", F.posexplode("gram").alias("offset", "term"), "n")
-    terms = sized(spread.select("term").distinct(), BROADCAST_ROWS)
-    counted = tokens(docs, id_col, text_col).select("term").join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    terms = sized(keyed(spread.select("term").distinct()), BROADCAST_ROWS)
+    counted = matched(tokens(docs, id_col, text_col).select("word"), terms).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
     placed = spread.join(counted, "term")
     by = Window.partitionBy("wid")
     return (
@@ -59,10 +73,10 @@ def rarest_terms(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str,
 
 def postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
     """The index: term, doc_id, pos, and for the rarest term of a window the words around it."""
-    terms = sized(anchors.groupBy("term").agg(F.min("k").alias("k")), BROADCAST_ROWS)
+    terms = sized(keyed(anchors.groupBy("term").agg(F.min("k").alias("k"))), BROADCAST_ROWS)
     first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     near = F.when(F.col("k") == 0, F.slice("w", first + 1, F.col("pos") - first + window))
-    return tokens(docs, id_col, text_col).join(terms, "term").select("term", "doc_id", "pos", near.alias("near"), (F.col("pos") - first).alias("at"))
+    return matched(tokens(docs, id_col, text_col), terms).select("term", "doc_id", "pos", near.alias("near"), (F.col("pos") - first).alias("at"))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +100,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     exact = (
         met.join(around, ["doc_id", "pos", "term"])
         .join(texts, ["wid", "n"])
-        .where((offset >= 0) & (F.slice("near", offset + 1, F.col("n")) == F.col("gram")))
+        .where((offset >= 0) & (F.transform(F.slice("near", offset + 1, F.col("n")), ascii_lower) == F.col("gram")))
         .select("doc_id", "wid", "start", "n", F.lit(True).alias("exact"))
         .distinct()
     )
