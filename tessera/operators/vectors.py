@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +73,6 @@ def hashing_embedder(dim: int = EMBED_DIM) -> Callable[[str], list[float]]:
 
 def embedding_column(embedder: Callable[[str], list[float]] | None = None, dim: int = EMBED_DIM):
     """A column function text -> array<float>, in Arrow batches; each distinct text of a batch once."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         own = embedder or hashing_embedder(dim)

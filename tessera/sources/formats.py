@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,8 +127,6 @@ def read_path(dentries: DataFrame, contents: DataFrame, path: str) -> DataFrame:
 def extracted_text(binaries: DataFrame, extractors: dict) -> DataFrame:
     """path, content of documents (path, content binary) by pluggable extractors, mime type to
     function of bytes; files of other types have a null content."""
-    import pandas as pd
-
     kinds = text.mime_type(F.col("content"))
 
     @F.pandas_udf("string")
