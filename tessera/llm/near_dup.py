@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import stored, table
 
 WORDS, PERCENT = 5, 80
-TREES, COORDINATES, LEAF, DEPTH = 10, 64, 64, 8
+TREES, COORDINATES, LEAF = 10, 64, 64
+#: Further coordinates that a node too large branches on, level by level.
+STEPS = (1, 2, 4)
 #: Equal minwise tokens, of 64, from which two sets become candidates: 0.8 less 4.5 deviations.
 CANDIDATE = 37
 #: As near to a large node's hub as this, a document needs no further branching in that tree.
 NEAR_HUB = 45
 #: Documents of a component compared exhaustively in one task, and hubs that each block is given at once.
-BLOCK, HUBS = 64, 64
+BLOCK, HUBS = 64, 256
+# Joins that move texts or tokens carry a merge hint, so that plans are alike at every size.
 #: Word hashes held by a task.
 TABLE_WORDS = 500_000
 
@@ -144,8 +147,17 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
 
+def _stars(ids: list[int], linked: _Union) -> list[tuple[int, int]]:
+    """(least id, id) of the members of each class: as connected as the links, and soon done with."""
+    roots = [linked.root(k) for k in range(len(ids))]
+    least: dict[int, int] = {}
+    for k, r in enumerate(roots):
+        least[r] = min(least.get(r, ids[k]), ids[k])
+    return [(least[r], ids[k]) for k, r in enumerate(roots) if least[r] != ids[k]]
+
+
 def _leaves(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, doc_id, tokens, sorted by node: a spanning forest of each node's candidate links."""
+    """node, doc_id, tokens, sorted by node: what each node's candidate links connect."""
     pairs: list[tuple[int, int]] = []
     for group in _groups(found, 1):
         ids = group.column("doc_id").to_pylist()
@@ -153,8 +165,8 @@ def _leaves(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = _Union(len(ids))
         for k in range(1, len(ids)):
             for j in np.flatnonzero((tokens[:k] == tokens[k]).sum(1) >= CANDIDATE):
-                if near.join(int(j), k) and ids[j] != ids[k]:
-                    pairs.append((ids[j], ids[k]))
+                near.join(int(j), k)
+        pairs += _stars(ids, near)
         if len(pairs) >= 10_000:
             yield _edges(pairs)
             pairs = []
@@ -162,73 +174,73 @@ def _leaves(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hub_links(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tokens, hub, hub_tokens -> doc_id, hub, equal tokens."""
+    """node, doc_id, tokens, hub, hub_tokens, and the number of equal tokens."""
     for batch in found:
         own, hub = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, COORDINATES) for k in (2, 4))
-        equal = (own == hub).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(equal, pa.int32())], names=["node", "doc_id", "hub", "equal"])
+        columns = [batch.column(k) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array((own == hub).sum(1), pa.int32())], names=["node", "doc_id", "tokens", "hub", "equal"])
 
 
-def candidates(sets: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Candidate links u, v between ``sets`` (doc_id, tokens), enough to connect what met in some tree."""
-    token = lambda k: F.substring(F.col("tokens"), 4 * k + 1, 4)
-    first = F.explode(F.array(*[F.xxhash64(F.lit(t), token(t)) for t in range(trees)]))
-    placed = sets.select("doc_id", first.alias("node"))
+def candidates(sets: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """Candidate links u, v between ``sets`` (doc_id, tokens), enough to connect what met in some tree.
+
+    Tokens join the nodes once, at the first level; deeper levels carry those of large nodes along.
+    """
+    token = lambda at: F.substring(F.col("tokens"), (4 * at + 1).cast("int"), F.lit(4))
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(trees)]))
+    placed = sets.select("doc_id", roots.alias("node"))
     links = []
-    for level in range(depth):
-        placed = stored(placed, f"placed{level}")
+    for level, step in enumerate((*STEPS, 0)):
         counted = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
-        shared = stored(placed.join(counted, "node").select("node", "doc_id", "n", "hub"), f"nodes{level}")
-        small = shared.where(F.col("n") <= leaf).select("node", "doc_id").join(sets, "doc_id").select("node", "doc_id", "tokens")
+        shared = placed.join(counted.hint("merge"), "node")
+        shared = stored(shared.join(sets.hint("merge"), "doc_id") if level == 0 else shared, f"nodes{level}").select("node", "doc_id", "n", "hub", "tokens")
+        small = shared.where(F.col("n") <= leaf).select("node", "doc_id", "tokens")
         links.append(stored(small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, "u long, v long"), f"leaves{level}"))
-        large = shared.where(F.col("n") > leaf).select("node", "doc_id", "hub")
+        large = shared.where(F.col("n") > leaf)
         if large.isEmpty():
             break
-        hubs = sets.select(F.col("doc_id").alias("hub"), F.col("tokens").alias("hub_tokens"))
-        met = large.join(sets, "doc_id").join(hubs, "hub").select("node", "doc_id", "tokens", "hub", "hub_tokens")
-        met = stored(met.mapInArrow(_hub_links, "node long, doc_id long, hub long, equal int"), f"hubs{level}")
-        links.append(met.where((F.col("equal") >= CANDIDATE) & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-        rest = met.where(F.col("equal") < NEAR_HUB).select("node", "doc_id", "hub")
-        if level == depth - 1:  # indivisible: one candidate component, for the exact stage to part
-            links.append(rest.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-            break
-        chosen = trees + F.pmod(F.xxhash64("node", F.lit(level)), F.lit(COORDINATES - trees))
-        step = F.substring(F.col("tokens"), (4 * chosen + 1).cast("int"), F.lit(4))
-        placed = rest.join(sets, "doc_id").select("doc_id", F.xxhash64("node", step).alias("node"))
+        hubs = large.where("doc_id = hub").select("node", F.col("tokens").alias("hub_tokens"))
+        met = large.join(hubs, "node").select("node", "doc_id", "tokens", "hub", "hub_tokens")
+        met = stored(met.mapInArrow(_hub_links, "node long, doc_id long, tokens binary, hub long, equal int"), f"hubs{level}")
+        # what nothing is left to split is one candidate component, for the exact stage to part
+        near = F.col("equal") >= (CANDIDATE if step else 0)
+        links.append(met.where(near & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
+        first = trees + F.pmod(F.xxhash64("node", F.lit(level)), F.lit(COORDINATES - trees - sum(STEPS)))
+        path = F.xxhash64("node", *[token(first + k) for k in range(step)])
+        placed = met.where(F.col("equal") < NEAR_HUB).select("doc_id", path.alias("node"), "tokens")
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
-    return out.distinct()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) of every node of ``edges`` (u, v).
 
-    Alternating large-star and small-star steps, each written to the shared folder; a star's
-    centre is only aggregated over and joined with, so its degree may be of any size.
+    Alternating large-star and small-star steps until only stars are left, each round written to
+    the shared folder. A node's neighbours are only aggregated over and joined with, so its
+    degree may be of any size.
     """
-    low, high = F.least("u", "v"), F.greatest("u", "v")
-    edges = stored(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct(), "edges")
-    before = None
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-star")
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.where("u <> v").distinct(), "small-star")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        edges = stored(small.where("u <> v").distinct(), "stars")
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).union(edges.select(F.col("v").alias("node"), F.lit(1000).alias("below")))
+        # a star forest: each node hangs under one other, or others under it
+        held = ends.groupBy("node").agg(F.min("below").alias("least"), F.max("below").alias("most"), F.count_if(F.col("below") == 1).alias("ups"))
+        if held.where("ups > 1 or least <> most").isEmpty():
             break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
 def _confirmed(words: int, percent: int) -> Callable:
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """group, block, doc_id, hub, text, sorted by the first two: confirmed links of each block,
-        those that connect documents the block has not connected yet, hubs against all."""
+        """group, block, doc_id, hub, text, sorted by the first two: what the links between each
+        block's documents connect. Pairs already connected are not compared."""
         of = Shingler(words)
         pairs: list[tuple[int, int]] = []
         for group in _groups(found, 2):
@@ -244,8 +256,7 @@ def _confirmed(words: int, percent: int) -> Callable:
                     common = a + b - len(np.union1d(sets[j], sets[k]))
                     if 100 * common >= percent * (a + b - common):
                         linked.join(j, k)
-                        if ids[j] != ids[k]:
-                            pairs.append((ids[j], ids[k]))
+            pairs += _stars(ids, linked)
             if len(pairs) >= 10_000:
                 yield _edges(pairs)
                 pairs = []
@@ -255,8 +266,8 @@ def _confirmed(words: int, percent: int) -> Callable:
 
 
 def confirmed(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links u, v: within each candidate group (doc_id, group), as many as connect all
-    documents that links on full sets connect. ``docs`` has doc_id, text.
+    """Pairs u, v that connect, within each candidate group (doc_id, group), what links on full sets
+    connect. ``docs`` has doc_id, text.
 
     A group of up to ``BLOCK`` is one block. A larger one is dealt out to blocks, and each block
     also gets the group's hubs. In the next round the documents outside a group's largest linked
@@ -266,7 +277,7 @@ def confirmed(docs: DataFrame, grouped: DataFrame, words: int, percent: int) ->
     sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = grouped.join(sizes, "group").select("doc_id", "group", blocks.alias("blocks"), F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), blocks)).alias("block"))
-    texts = stored(docs.join(dealt, "doc_id").select("group", "block", "blocks", "doc_id", "text"), "near-texts")
+    texts = stored(docs.join(dealt.hint("merge"), "doc_id").select("group", "block", "blocks", "doc_id", "text"), "near-texts")
     members = texts.select("group", "block", "doc_id", F.lit(False).alias("hub"), "text")
 
     def compared(rows: DataFrame, name: str) -> DataFrame:
@@ -312,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no shingles and are linked with nothing. Equal sets, so exact
     copies too, are one document to the join. Links are those with 100 * intersection >=
     ``percent`` * union; ``component_id`` is the smallest id reachable over them. Rows that repeat
-    an id are one document with the links of all, and each returns. Rows with a null id are
+    an id each return; if their texts differ, each follows the class of its own set. Rows with a null id are
     linked with nothing. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -320,29 +331,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["n_shingles", "set_a", "set_b"]
     usable = sets.where("n_shingles > 0 and doc_id is not null")
     reps = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")), "reps")
-    firsts = usable.join(reps.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi").select("doc_id", "tokens")
+    firsts = usable.join(reps.select(F.col("rep").alias("doc_id"), *key).hint("merge"), ["doc_id", *key], "left_semi").select("doc_id", "tokens")
     firsts = stored(firsts, "firsts")
     grouped = stored(components(candidates(firsts)).select(F.col("node").alias("doc_id"), F.col("root").alias("group")), "groups")
     links = confirmed(own, grouped, words, percent)
-    # rows that repeat an id but not its set join their sets' classes through the id
-    same = usable.join(reps, key).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")) if _repeats(usable) else None
-    roots = components(links if same is None else links.union(same)).select(F.col("node").alias("rep"), F.col("root"))
+    roots = components(links).select(F.col("node").alias("rep"), F.col("root"))
     classes = reps.join(roots, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component"))
     out = sets.select("doc_id", *key).join(classes, key, "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _repeats(sets: DataFrame) -> bool:
-    """Whether some id stands with two different sets."""
-    return not sets.groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b")).where("a <> b").isEmpty()
-
-
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, with all its columns."""
     keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"))
     keep = stored(keep, "kept")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    return docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
