@@ -87,9 +87,9 @@ def fs_glob(r):
     return formats.read_glob(r("paths").select("path", "content"), "/src1?/*/**5.txt")
 
 
-@query("path_read", "SELECT CAST(n AS BIGINT) AS _line_number, line, path AS _path FROM (" + _lines("paths") + ") WHERE path = '/src0/fr/0.txt'", "paths")
+@query("path_read", "SELECT CAST(n AS BIGINT) AS _line_number, line, path AS _path FROM (" + _lines("paths") + ") WHERE path IN (SELECT path FROM paths WHERE doc_id = 0)", "paths")
 def path_read(r):
-    return formats.read_path(r("dentries"), r("contents"), "/src0/fr/0.txt")
+    return formats.read_path(r("dentries"), r("contents"), _path(r, 0))
 
 
 @query("storage_stats", "SELECT count(*) FILTER (WHERE NOT is_dir) AS total_files, count(*) FILTER (WHERE is_dir) AS total_directories, CAST(sum(m.size_bytes) AS BIGINT) AS total_bytes FROM dentries d LEFT JOIN files_meta m ON d.file_id = m.file_id", "dentries", "files_meta")
@@ -148,9 +148,13 @@ def append_merge(r):
     return mutations.append_merge(p.select("path", "content"), p.where("doc_id % 3 < 2").selectExpr("path", "CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'more' ELSE '' END AS content"))
 
 
-@query("cow_refcount", "SELECT file_id, CAST(count(*) AS INT) AS ref_count FROM (SELECT file_id, path FROM dentries WHERE file_id IS NOT NULL AND path <> '/src1/en/1.txt' UNION ALL SELECT file_id, '/src1/en/1.txt' FROM dentries WHERE path = '/src0/fr/0.txt') GROUP BY file_id", "dentries")
+def _path(r, doc_id):
+    return r("paths").where(F.col("doc_id") == doc_id).select("path").first()[0]
+
+
+@query("cow_refcount", "SELECT file_id, CAST(count(*) AS INT) AS ref_count FROM (SELECT file_id FROM paths WHERE doc_id <> 1 UNION ALL SELECT file_id FROM paths WHERE doc_id = 0) GROUP BY file_id", "paths")
 def cow_refcount(r):
-    return mutations.ref_counts(mutations.copy_file(r("dentries"), "/src0/fr/0.txt", "/src1/en/1.txt"))
+    return mutations.ref_counts(mutations.copy_file(r("dentries"), _path(r, 0), _path(r, 1)))
 
 
 @query("rename_subtree", "SELECT path AS old_path, '/moved/x' || substring(path, 6) AS path, CASE WHEN path = '/src3' THEN '/moved' ELSE regexp_extract('/moved/x' || substring(path, 6), '^(.*)/[^/]*$', 1) END AS parent_path, CASE WHEN path = '/src3' THEN 'x' ELSE name END AS name, is_dir FROM dentries WHERE path = '/src3' OR path LIKE '/src3/%'", "dentries")
