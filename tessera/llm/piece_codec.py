@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +50,11 @@ class Codec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.by_word = by_word
-        self.words: dict[str, tuple[str, str, int]] = {}
-        self.starting = frozenset(k for k in range(self.model.get_piece_size()) if self.model.id_to_piece(k).startswith(MARK))
+        self.words: dict[str, tuple[str, int]] = {}
+        self.changed: dict[str, str] = {}  # words that decode to something else
+        size = range(self.model.get_piece_size())
+        self.starting = np.array([self.model.id_to_piece(k).startswith(MARK) for k in size])
+        self.special = np.array([self.model.is_byte(k) or self.model.is_unknown(k) or self.model.is_control(k) for k in size], np.int64)
 
     def _whole(self, text: str) -> tuple[str, str, int]:
         ids = self.model.encode(text)
@@ -59,21 +63,31 @@ class Codec:
     def _learn(self, new: set[str]) -> None:
         """Puts marked words into the table, each given without its first marker, for the model
         puts one of its own before a text and drops its space when it decodes. Words with one
-        marker are encoded as one text: an id whose piece begins with a marker starts a word."""
+        marker are encoded as one text: an id whose piece begins with a marker starts a word.
+        Pieces of the plain kind decode to themselves; words with others are decoded."""
         one = [x for x in new if len(x) > 1 and x[1] != MARK]
         ids = self.model.encode(" ".join([x[1:] for x in one])) if one else []
-        plain = self.model.decode(ids).split(" ")
-        starts = [k for k, i in enumerate(ids) if i in self.starting]
-        if len(starts) == len(plain) == len(one):
-            starts.append(len(ids))
-            for word, text, k, end in zip(one, plain, starts, starts[1:], strict=False):
-                self.words[word] = (",".join(map(str, ids[k:end])), " " + text, end - k)
+        found = np.array(ids, np.int64)
+        starts = np.flatnonzero(self.starting[found])
+        check = []
+        if len(starts) == len(one):
+            odd = np.add.reduceat(self.special[found], starts) if one else []
+            texts = list(map(str, ids))
+            cuts = [*starts.tolist(), len(ids)]
+            for k, word in enumerate(one):
+                self.words[word] = (",".join(texts[cuts[k] : cuts[k + 1]]), cuts[k + 1] - cuts[k])
+            check = [(one[k], ids[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(odd)]
             new = new.difference(one)
-        rest = list(new)
-        found = self.model.encode([x[1:] for x in rest], num_threads=1)
-        found = [ids or [self.model.piece_to_id(MARK)] for ids in found]  # a marker alone at the end of a text
-        for word, ids, text in zip(rest, found, self.model.decode(found), strict=True):
-            self.words[word] = (",".join(map(str, ids)), " " + text, len(ids))
+        if rest := list(new):
+            each = self.model.encode([x[1:] for x in rest], num_threads=1)
+            each = [x or [self.model.piece_to_id(MARK)] for x in each]  # a marker alone at the end of a text
+            check += zip(rest, each, strict=True)
+            for word, x in zip(rest, each, strict=True):
+                self.words[word] = (",".join(map(str, x)), len(x))
+        if check:
+            for (word, _), text in zip(check, self.model.decode([x for _, x in check], num_threads=1), strict=True):
+                if " " + text != word.replace(MARK, " "):
+                    self.changed[word] = " " + text
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """(ids joined by commas, decoded text, number of ids) of each text."""
@@ -82,16 +96,21 @@ class Codec:
         split = [_WORD.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         if len(self.words) > TABLE_WORDS:
             self.words.clear()
-        known = self.words
+            self.changed.clear()
+        known, changed = self.words, self.changed
         if new := set().union(*split).difference(known):
             self._learn(new)
         out = []
-        for words in split:
+        for words, text in zip(split, texts, strict=True):
             rows = [known[x] for x in words]
-            out.append((",".join([r[0] for r in rows]), "".join([r[1] for r in rows])[1:], sum([r[2] for r in rows])))
+            decoded = text.replace(MARK, " ")
+            if changed and not changed.keys().isdisjoint(words):
+                decoded = "".join([changed.get(x) or x.replace(MARK, " ") for x in words])[1:]
+            out.append((",".join([r[0] for r in rows]), decoded, sum([r[1] for r in rows])))
         for x in new:
             if len(x) > WORD_CHARS:
                 del known[x]
+                changed.pop(x, None)
         return out
 
 
