@@ -210,7 +210,8 @@ def topic_counts(r):
 
 
 def _candidates(r):
-    return r("memories").select("id", F.row_number().over(Window.orderBy(F.desc("id"))).alias("rank")).where("rank <= 300")
+    best = r("memories").select("id").orderBy(F.desc("id")).limit(300)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("id"))))
 
 
 @query("memory_recheck", f"SELECT m.id, c.rank FROM (SELECT id, row_number() OVER (ORDER BY id DESC) AS rank FROM memories QUALIFY rank <= 300) c JOIN memories m ON m.id = c.id WHERE {_SCOPE} AND {_LIVE}", "memories")
