@@ -43,10 +43,10 @@ sql("win_qualify", "SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_su
 # sort, limit, sets, subqueries
 sql("sort_limit", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders ORDER BY o_custkey DESC NULLS LAST, o_orderpriority LIMIT 50 OFFSET 10")
 sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
-sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+sql("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 sql("intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 9000")
 sql("intersect_all", "SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT l_suppkey FROM lineitem")
-sql("except_distinct", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+sql("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 sql("except_all", "SELECT l_suppkey AS k FROM lineitem EXCEPT ALL SELECT o_custkey FROM orders")
 sql("cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE t > 2000000) SELECT c_name, round(t, 2) AS total FROM top JOIN customer ON c_custkey = o_custkey")
 sql("scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) AND p_size < (SELECT max(p_size) FROM part) - 10")
