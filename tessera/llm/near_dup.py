@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored, table
+from tessera.llm.shared import slices, stored, table
 
 WORDS, PERCENT = 5, 80
 TREES, COORDINATES, LEAF = 10, 64, 64
@@ -33,8 +33,10 @@ NEAR_HUB = 45
 #: Documents of a component compared exhaustively in one task, and hubs that each block is given at once.
 BLOCK, HUBS = 64, 256
 # Joins that move texts or tokens carry a merge hint, so that plans are alike at every size.
+#: Columns of a membership matrix held at once.
+COLUMNS = 1 << 13
 #: Word hashes held by a task.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 250_000
 
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xBF58476D1CE4E5B9 * k) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(COORDINATES)], np.uint64)
 _ADD = np.array([(0x94D049BB133111EB * (k + 7)) & 0xFFFFFFFFFFFFFFFF for k in range(COORDINATES)], np.uint64)
@@ -89,7 +91,7 @@ def sketch(shingles: np.ndarray) -> bytes:
 def _sketched(words: int) -> Callable:
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
-        for batch in found:
+        for batch in (x for whole in found for x in slices(whole, 1)):
             sizes, ones, twos, tokens = [], [], [], []
             for text in batch.column(1).to_pylist():
                 x = of(text)
@@ -224,8 +226,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # stored, so that the join shuffles both sides and a centre's many rows can be split
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stored(small.where("u <> v").distinct(), "stars")
@@ -237,25 +240,41 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs j < k of a block whose sets are linked, by exact counts: products of membership
+    matrices over the shingles that several sets share, some columns at a time."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    shingles, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    keep = times[at] > 1
+    place = np.cumsum(times > 1) - 1
+    owner, column = owner[keep], place[at[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.int64)
+    for start in range(0, int((times > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        inside = np.zeros((n, COLUMNS), np.float32)
+        inside[owner[lo:hi], column[lo:hi] - start] = 1
+        common += (inside @ inside.T).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - common
+    return np.nonzero(np.triu((common > 0) & (100 * common >= percent * union), 1))
+
+
 def _confirmed(words: int, percent: int) -> Callable:
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """group, block, doc_id, hub, text, sorted by the first two: what the links between each
-        block's documents connect. Pairs already connected are not compared."""
+        block's documents connect."""
         of = Shingler(words)
         pairs: list[tuple[int, int]] = []
         for group in _groups(found, 2):
             rows = sorted(zip(group.column("hub").to_pylist(), group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True), key=lambda r: (not r[0], r[1]))
             ids = [r[1] for r in rows]
-            sets = [of(r[2]) for r in rows]
             linked = _Union(len(ids))
-            for k in range(1, len(ids)):
-                for j in range(k):
-                    a, b = len(sets[j]), len(sets[k])
-                    if 100 * min(a, b) < percent * max(a, b) or linked.root(j) == linked.root(k):
-                        continue
-                    common = a + b - len(np.union1d(sets[j], sets[k]))
-                    if 100 * common >= percent * (a + b - common):
-                        linked.join(j, k)
+            for j, k in zip(*_links([of(r[2]) for r in rows], percent), strict=True):
+                linked.join(int(j), int(k))
             pairs += _stars(ids, linked)
             if len(pairs) >= 10_000:
                 yield _edges(pairs)
@@ -281,7 +300,9 @@ def confirmed(docs: DataFrame, grouped: DataFrame, words: int, percent: int) ->
     members = texts.select("group", "block", "doc_id", F.lit(False).alias("hub"), "text")
 
     def compared(rows: DataFrame, name: str) -> DataFrame:
-        return stored(rows.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_confirmed(words, percent), "u long, v long"), name)
+        # by number: blocks are small but take time, so they are not to be merged into few tasks
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return stored(rows.repartition(tasks, "group", "block").sortWithinPartitions("group", "block").mapInArrow(_confirmed(words, percent), "u long, v long"), name)
 
     large = texts.where("blocks > 1")
     if large.isEmpty():
