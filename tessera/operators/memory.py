@@ -72,6 +72,12 @@ def dedup(ranked: DataFrame, limit: int) -> DataFrame:
     return out.withColumn("rank", F.col("__first")).drop("__best", "__first").orderBy("rank", "id").limit(limit)
 
 
+def inherited_topic(nearest: DataFrame, least: float = 0.75) -> DataFrame:
+    """new_id, topic: each new memory's nearest neighbour's topic (new_id, id, score, topic), where near enough."""
+    best = nearest.groupBy("new_id").agg(F.max_by(F.struct("topic", "score"), F.struct("score", F.negate("id"))).alias("b"))
+    return best.select("new_id", F.when(F.col("b.score") >= least, F.col("b.topic")).alias("topic"))
+
+
 def save(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows to insert: trimmed, valid, new to their scope, one for each content."""
     new = incoming.withColumn("content", F.trim("content"))

@@ -234,6 +234,12 @@ def memory_save_dedup(r):
     return memory.save(m.where("id % 2 = 0"), m.drop("content_hash")).select("scope_type", "scope_id", "content_hash", "id")
 
 
+@query("memory_topic", "SELECT new_id, CASE WHEN score >= 0.75 THEN topic END AS topic FROM (SELECT id // 100 AS new_id, topic, (id % 7) / 7.0 AS score, row_number() OVER (PARTITION BY id // 100 ORDER BY (id % 7) / 7.0 DESC, id) AS rn FROM memories) WHERE rn = 1", "memories")
+def memory_topic(r):
+    near = r("memories").selectExpr("id div 100 AS new_id", "id", "(id % 7) / 7.0D AS score", "topic")
+    return memory.inherited_topic(near)
+
+
 @query("memory_origin", "SELECT id, CASE WHEN scope_type IN ('workspace', 'dept') OR given = '' THEN NULL WHEN given IS NOT NULL THEN given WHEN kind = 'preference' THEN NULL ELSE 'w9' END AS origin FROM (SELECT *, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'w5' END AS given FROM memories)", "memories")
 def memory_origin(r):
     given = F.expr("CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'w5' END")
