@@ -148,7 +148,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """The documents in which no benchmark window occurs, with all their columns."""
     found, _ = occurrences(docs.select(id_col, text_col), items, id_col, text_col, window)
     hit = stored(found.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(hit, F.col(id_col) == F.col("__id"), "left_anti").select(*docs.columns)
+    return docs.join(hit.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

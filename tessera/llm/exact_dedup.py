@@ -53,7 +53,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keep = stored(keep, "kept")
     marked = docs.withColumn("__digest_of", F.sha2(normalised(F.col(text_col)), 256))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest_of") == F.col("__digest"))
-    return marked.join(keep, same, "left_semi").dropDuplicates([id_col, "__digest_of"]).select(*docs.columns)
+    return marked.join(keep.hint("merge"), same, "left_semi").dropDuplicates([id_col, "__digest_of"]).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.shared import table
+from tessera.llm.shared import mapped, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
@@ -212,7 +212,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: ``page_id, url, text, n_chars``. Null, empty and textless pages have an
     empty text. Repeated rows each return; other columns are ignored."""
     own = pages.selectExpr(f"cast(`{id_col}` as long) AS page_id", f"`{url_col}` AS url", f"`{html_col}` AS html")
-    return own.mapInArrow(_batches, "page_id long, url string, text string, n_chars long")
+    return mapped(own, _batches, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

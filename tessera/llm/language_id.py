@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import table
+from tessera.llm.shared import mapped, table
 
 ORDER = 3
 UNKNOWN = "und"
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col)) == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return own.mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return mapped(own, batches, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -227,7 +227,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield batch.filter(pa.array([x != UNKNOWN for x in preds], pa.bool_()))
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(batches, docs.schema)
+    return mapped(docs, batches, docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

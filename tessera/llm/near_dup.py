@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices, stored, table
+from tessera.llm.shared import mapped, slices, stored, table
 
 WORDS, PERCENT = 5, 80
 TREES, COORDINATES, LEAF = 10, 64, 64
@@ -197,13 +197,13 @@ def candidates(sets: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFra
         shared = placed.join(counted.hint("merge"), "node")
         shared = stored(shared.join(sets.hint("merge"), "doc_id") if level == 0 else shared, f"nodes{level}").select("node", "doc_id", "n", "hub", "tokens")
         small = shared.where(F.col("n") <= leaf).select("node", "doc_id", "tokens")
-        links.append(stored(small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, "u long, v long"), f"leaves{level}"))
+        links.append(stored(mapped(small.repartition("node").sortWithinPartitions("node"), _leaves, "u long, v long"), f"leaves{level}"))
         large = shared.where(F.col("n") > leaf)
         if large.isEmpty():
             break
         hubs = large.where("doc_id = hub").select("node", F.col("tokens").alias("hub_tokens"))
         met = large.join(hubs, "node").select("node", "doc_id", "tokens", "hub", "hub_tokens")
-        met = stored(met.mapInArrow(_hub_links, "node long, doc_id long, tokens binary, hub long, equal int"), f"hubs{level}")
+        met = stored(mapped(met, _hub_links, "node long, doc_id long, tokens binary, hub long, equal int"), f"hubs{level}")
         # what nothing is left to split is one candidate component, for the exact stage to part
         near = F.col("equal") >= (CANDIDATE if step else 0)
         links.append(met.where(near & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
@@ -297,22 +297,23 @@ def confirmed(docs: DataFrame, grouped: DataFrame, words: int, percent: int) ->
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = grouped.join(sizes, "group").select("doc_id", "group", blocks.alias("blocks"), F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), blocks)).alias("block"))
     texts = stored(docs.join(dealt.hint("merge"), "doc_id").select("group", "block", "blocks", "doc_id", "text"), "near-texts")
-    members = texts.select("group", "block", "doc_id", F.lit(False).alias("hub"), "text")
 
     def compared(rows: DataFrame, name: str) -> DataFrame:
         # by number: blocks are small but take time, so they are not to be merged into few tasks
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return stored(rows.repartition(tasks, "group", "block").sortWithinPartitions("group", "block").mapInArrow(_confirmed(words, percent), "u long, v long"), name)
+        return stored(mapped(rows.repartition(tasks, "group", "block").sortWithinPartitions("group", "block"), _confirmed(words, percent), "u long, v long"), name)
 
+    member = ["group", "block", "doc_id", F.lit(False).alias("hub"), "text"]
+    small = compared(texts.where("blocks = 1").select(*member), "links")
     large = texts.where("blocks > 1")
     if large.isEmpty():
-        return compared(members, "links")
+        return small
     # hubs of the first round: the documents whose ids are least under eight bit masks
     masks = [(0x9E3779B97F4A7C15 * k) & 0x7FFFFFFFFFFFFFFF for k in range(8)]
     chosen = large.groupBy("group").agg(*[F.min(F.col("doc_id").bitwiseXOR(F.lit(m))).alias(f"h{k}") for k, m in enumerate(masks)])
     hubs = chosen.select("group", F.explode(F.array(*[F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)])).alias("doc_id")).distinct()
     hubs = stored(hubs, "hubs")
-    been, links, rows = hubs, None, members
+    been, links, rows = hubs, None, large.select(*member)
     while True:
         given = large.join(hubs, ["group", "doc_id"]).select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id", F.lit(True).alias("hub"), "text")
         own = rows.join(hubs.select("group", "doc_id"), ["group", "doc_id"], "left_anti").select("group", "block", "doc_id", "hub", "text")
@@ -332,9 +333,9 @@ def confirmed(docs: DataFrame, grouped: DataFrame, words: int, percent: int) ->
         hubs = hubs.join(least, ["group", "part"]).select("group", "doc_id")
         hubs = stored(hubs, "hubs")
         if hubs.isEmpty():
-            return links
+            return small.union(links)
         been = been.union(hubs)
-        rows = large.join(hubs.select("group").distinct(), "group", "left_semi").select("group", "block", "doc_id", F.lit(False).alias("hub"), "text")
+        rows = large.join(hubs.select("group").distinct(), "group", "left_semi").select(*member)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -348,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(own.mapInArrow(_sketched(words), "doc_id long, n_shingles long, set_a long, set_b long, tokens binary"), "sets")
+    sets = stored(mapped(own, _sketched(words), "doc_id long, n_shingles long, set_a long, set_b long, tokens binary"), "sets")
     key = ["n_shingles", "set_a", "set_b"]
     usable = sets.where("n_shingles > 0 and doc_id is not null")
     reps = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")), "reps")

@@ -17,16 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.shared import table
+from tessera.llm.shared import mapped, slices, table
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words held by a task's table; once over this it starts anew, so that memory stays bounded.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 200_000
 #: A longer word is encoded apart and not held.
 WORD_CHARS = 256
-#: Characters of texts that are looked up together.
-PORTION_CHARS = 1 << 20
+#: Bytes of texts that are looked up together.
+PORTION_BYTES = 1 << 20
 
 
 def splits(model_file: str) -> bool:
@@ -114,18 +114,6 @@ class Codec:
         return out
 
 
-def portions(texts: list[str], chars: int = PORTION_CHARS) -> Iterator[list[str]]:
-    """``texts`` in lists of about ``chars`` characters."""
-    held, size = [], 0
-    for x in texts:
-        held.append(x)
-        size += len(x)
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    yield held
-
-
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``; with ``texts`` also
     ``ids`` (array of ints) and ``decoded``.
@@ -140,17 +128,16 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         codec = Codec(model_file, by_word)
         digest = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
         for batch in found:
-            rows = []
-            for texts in portions([x or "" for x in batch.column(1).to_pylist()]):
-                rows += codec.encode(texts)
-            columns = [batch.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array([digest(r[0]) for r in rows], pa.string()), pa.array([digest(r[1]) for r in rows], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if texts:
-                columns += [pa.array([[int(i) for i in r[0].split(",") if i] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(batches, schema)
+            for part in slices(batch, 1, PORTION_BYTES):
+                rows = codec.encode([x or "" for x in part.column(1).to_pylist()])
+                columns = [part.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array([digest(r[0]) for r in rows], pa.string()), pa.array([digest(r[1]) for r in rows], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if texts:
+                    columns += [pa.array([[int(i) for i in r[0].split(",") if i] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return mapped(docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text"), batches, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.shared import table
+from tessera.llm.shared import mapped, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login_url", "handle", "account")
@@ -128,7 +128,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows each return; other columns are ignored.
     """
     out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(_batches, out)
+    return mapped(docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text"), _batches, out)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,18 @@ def release(*found: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch, unless the session sets its own: texts of any length, bounded memory.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def mapped(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` over batches bounded by bytes, not only by rows."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``size`` bytes of a text column, so that no more is Python
     objects at once; at least one, and one row where a text is longer."""

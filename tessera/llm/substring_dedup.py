@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import release, stored, table
+from tessera.llm.shared import mapped, release, stored, table
 
 LENGTH, GRAM, RUN = 400, 200, 16
 #: Bytes named at once, and the length from which one text is named in parts.
@@ -208,7 +208,7 @@ def repeated_windows(own: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     ``own`` has doc_id, tkey and text; the first two together name a document.
     """
-    filed = stored(own.mapInArrow(_filed(length, gram), "doc_id long, tkey int, p int, s int, e int, bucket long, name long"), "filed")
+    filed = stored(mapped(own, _filed(length, gram), "doc_id long, tkey int, p int, s int, e int, bucket long, name long"), "filed")
     shared = stored(filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared-buckets")
     rows = stored(filed.join(shared, "bucket", "left_semi"), "shared-rows")
     release(filed)
@@ -216,9 +216,10 @@ def repeated_windows(own: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = counted.where("n > 1").select("doc_id", "tkey", "s", "e")
 
     lists = rest.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("bucket", "p", "s", "e")).alias("rows"))
+    lists = lists.hint("merge")  # alike at every size
     texts = own.join(lists, own["doc_id"].eqNullSafe(lists["doc_id"]) & (own["tkey"] == lists["tkey"])).select(own["doc_id"], own["tkey"], "text", "rows")
     # a row that is repeated whole is refined twice and meets itself: its windows do occur twice
-    parts = texts.mapInArrow(_refined(length), "doc_id long, tkey int, s int, bucket long, high int, name long, windows array<long>")
+    parts = mapped(texts, _refined(length), "doc_id long, tkey int, s int, bucket long, high int, name long, windows array<long>")
     parts = stored(parts, "parts")
     counted, rest = _open(parts, "parts")
     blocks = counted.where("n > 1").select("doc_id", "tkey", "s", (F.col("s") + F.size("windows") - 1).alias("e"))
@@ -264,8 +265,9 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     spans = repeated_windows(own, length, gram).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     spans = stored(spans, "spans")
+    spans = spans.hint("merge")
     joined = own.join(spans, own["doc_id"].eqNullSafe(spans["doc_id"]) & (own["tkey"] == spans["tkey"]), "left").select(own["doc_id"], "text", "spans")
-    return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(joined, _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +277,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
 b AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
-w AS (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 800)) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS s FROM b WHERE n >= 400)),
+w AS (SELECT doc_id, s, hash(substr(x, 2 * s + 1, 800)) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS s FROM b WHERE n >= 400)),
 r AS (SELECT doc_id, s FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
 o AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM r),
 i AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM o),

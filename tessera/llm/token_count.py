@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.shared import table
+from tessera.llm.shared import mapped, table
 
 LIMIT = 512
 #: Bytes of text handed to the tokenizer at once, and the length from which one text is split.
@@ -86,7 +86,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     own = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text")
-    return own.mapInArrow(batches, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(own, batches, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
