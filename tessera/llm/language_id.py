@@ -195,6 +195,12 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return langs, np.where(letters, np.round(share, 6), 0.0), low / np.maximum([len(x) for x in raw], 1)
 
 
+def shipped(spark: SparkSession, model: Model):
+    """A broadcast of the model's fields, plain values that a worker without this package can read;
+    bounded by ``MAX_CONTEXTS`` and the 256 bytes."""
+    return spark.sparkContext.broadcast((model.langs, model.classes, model.symbol, model.node, model.bits))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, model: Model | None = None) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score, bits_per_byte``.
 
@@ -204,11 +210,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out and not learned from. Repeated rows each return; other columns are ignored.
     """
     model = model or fit(labelled_sample(docs, id_col, text_col, lang_col, sample_docs))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and the 256 bytes
+    shared = shipped(docs.sparkSession, model)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            preds, scores, rates = predict(shared.value, batch.column(2).to_pylist())
+            preds, scores, rates = predict(Model(*shared.value), batch.column(2).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
@@ -223,10 +229,10 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            preds, _, _ = predict(shared.value, batch.column(at).to_pylist())
+            preds, _, _ = predict(Model(*shared.value), batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN for x in preds], pa.bool_()))
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     return mapped(docs, batches, docs.schema)
 
 
