@@ -193,7 +193,9 @@ def candidates(sets: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFra
     placed = sets.select("doc_id", roots.alias("node"))
     links = []
     for level, step in enumerate((*STEPS, 0)):
+        # stored, so that the join shuffles both sides and a hot node's rows can be split
         counted = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
+        counted = stored(counted, f"counted{level}")
         shared = placed.join(counted.hint("merge"), "node")
         shared = stored(shared.join(sets.hint("merge"), "doc_id") if level == 0 else shared, f"nodes{level}").select("node", "doc_id", "n", "hub", "tokens")
         small = shared.where(F.col("n") <= leaf).select("node", "doc_id", "tokens")
