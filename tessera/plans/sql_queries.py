@@ -37,7 +37,7 @@ def tvf_search(r):
 
 @query("sql_file_functions", "SELECT p.path, true AS there, strlen(content) AS size, left(content, 5) AS head, parent_path AS parent, name FROM paths p WHERE doc_id % 9 = 0 UNION ALL SELECT p.path || 'x', false, NULL, NULL, parent_path, name || 'x' FROM paths p WHERE doc_id % 9 = 0", "paths")
 def sql_file_functions(r):
-    engine = _engine(r, [], "paths", "dentries", "files_meta", "contents", "files")
+    engine = _engine(r, list(sql_functions.SCALARS), "paths", "dentries", "files_meta", "contents", "files")
     return engine.sql(
         "SELECT path, file_exists(path) AS there, file_size(path) AS size, left(file_read(path), 5) AS head, path_parent(path) AS parent, path_name(path) AS name "
         "FROM (SELECT path FROM paths WHERE doc_id % 9 = 0 UNION ALL SELECT path || 'x' FROM paths WHERE doc_id % 9 = 0) a"
