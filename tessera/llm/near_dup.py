@@ -1,10 +1,11 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 Every document is a set of word shingles with ``COORDINATES`` minwise tokens. In each of
-``TREES`` independent trees a document goes down the path its tokens choose: a node holds the
+``TREES`` independent trees a document goes down the paths its tokens choose: a node holds the
 documents with equal tokens at the coordinates chosen so far. A node of up to ``LEAF`` documents
-is compared exhaustively on the tokens; a larger one branches on another coordinate. Two sets at
-similarity 0.8 meet in at least one of ten trees with probability 1 - 0.2 ** 10.
+is compared exhaustively on the tokens; a larger one branches on ``BRANCHES`` other coordinates at
+once. Two sets at similarity 0.8 stay together below a node with probability q = 1 - (1 - 0.8 q) ** 2
+or more, which is 0.9375 at any depth, so they miss each other in ten trees with 0.25 ** 10 or less.
 
 What meets only makes candidate components. Within each, links are confirmed on full shingle
 sets, in blocks of bounded size, until no unlinked pair is left to compare; so the trees decide
@@ -24,12 +25,12 @@ from tessera.llm.shared import mapped, slices, stored, table
 
 WORDS, PERCENT = 5, 80
 TREES, COORDINATES, LEAF = 10, 64, 64
-#: Further coordinates that a node too large branches on, level by level.
-STEPS = (1, 2, 4)
+#: Coordinates that a node too large branches on, each for itself, and levels of such branching.
+BRANCHES, LEVELS = 2, 4
 #: Equal minwise tokens, of 64, from which two sets become candidates: 0.8 less 4.5 deviations.
 CANDIDATE = 37
-#: As near to a large node's hub as this, a document needs no further branching in that tree.
-NEAR_HUB = 45
+#: Unlinked documents as near to a large node's hub as this are hard to part from the linked ones.
+STRADDLE = 27
 #: Documents of a component compared exhaustively in one task, and hubs that each block is given at once.
 BLOCK, HUBS = 64, 256
 # Joins that move texts or tokens carry a merge hint, so that plans are alike at every size.
@@ -192,7 +193,7 @@ def candidates(sets: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFra
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(trees)]))
     placed = sets.select("doc_id", roots.alias("node"))
     links = []
-    for level, step in enumerate((*STEPS, 0)):
+    for level in range(LEVELS + 1):
         # stored, so that the join shuffles both sides and a hot node's rows can be split
         counted = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
         counted = stored(counted, f"counted{level}")
@@ -206,12 +207,23 @@ def candidates(sets: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFra
         hubs = large.where("doc_id = hub").select("node", F.col("tokens").alias("hub_tokens"))
         met = large.join(hubs, "node").select("node", "doc_id", "tokens", "hub", "hub_tokens")
         met = stored(mapped(met, _hub_links, "node long, doc_id long, tokens binary, hub long, equal int"), f"hubs{level}")
-        # what nothing is left to split is one candidate component, for the exact stage to part
-        near = F.col("equal") >= (CANDIDATE if step else 0)
-        links.append(met.where(near & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-        first = trees + F.pmod(F.xxhash64("node", F.lit(level)), F.lit(COORDINATES - trees - sum(STEPS)))
-        path = F.xxhash64("node", *[token(first + k) for k in range(step)])
-        placed = met.where(F.col("equal") < NEAR_HUB).select("doc_id", path.alias("node"), "tokens")
+        near = F.col("equal") >= CANDIDATE
+        # the nearest of those not linked, and whether the node is to stay whole: where most are linked
+        # and others nearly are, or nothing is left to split, it is one candidate component, for the exact stage to part
+        nearest = F.coalesce(F.max(F.when(~near, F.col("equal"))), F.lit(-1))
+        parted = met.groupBy("node").agg(nearest.alias("nearest"), ((2 * F.count_if(near) >= F.count(F.lit(1))) & (nearest >= STRADDLE)).alias("whole"))
+        parted = stored(parted.withColumn("whole", F.col("whole") | F.lit(level == LEVELS)), f"parted{level}")
+        # candidates differ in at most COORDINATES - CANDIDATE tokens: a document nearer to the hub
+        # than that from all that is not linked has no candidate among it, and is done in this node
+        open_ = F.col("whole") | (F.col("equal") - F.col("nearest") <= COORDINATES - CANDIDATE)
+        rest = met.join(parted.hint("merge"), "node").where(open_).select("node", "doc_id", "hub", "whole", F.when(~F.col("whole"), F.col("tokens")).alias("tokens"))
+        rest = stored(rest, f"rest{level}")
+        for some in (met.where(near), rest.where("whole")):
+            links.append(some.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
+        others = COORDINATES - trees
+        first, apart = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(others)), F.lit(others // BRANCHES)
+        at = [trees + F.pmod(first + k * apart, F.lit(others)) for k in range(BRANCHES)]
+        placed = rest.where("not whole").select("doc_id", F.explode(F.array(*[F.xxhash64("node", c, token(c)) for c in at])).alias("node"), "tokens")
     out = links[0]
     for more in links[1:]:
         out = out.union(more)

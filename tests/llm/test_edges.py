@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -161,6 +162,35 @@ def test_near_copies_of_any_number(spark, n):
     assert got == {k: (find(k), len(sets[k])) for k in range(len(texts))}
 
 
+def test_near_pairs_of_a_templated_corpus(spark):
+    """Ten of sixty passages each, so that all that a near pair shares is in over a thousand other documents; against brute force."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(60)]
+    drawn = []
+    for _ in range(5000):
+        used = rng.sample(range(60), 11)
+        drawn += [used[:10], used[:9] + used[10:]]
+    texts = [" ".join(passages[k] for k in used) for used in drawn]
+    holds = np.zeros((len(drawn), 60), np.float32)
+    for k, used in enumerate(drawn):
+        holds[k, used] = 1
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in words]
+    links = []
+    for k in range(len(sets)):  # eight of ten passages make a similarity of 0.8 out of reach
+        for j in np.flatnonzero(holds[:k] @ holds[k] >= 8):
+            if 100 * len(sets[j] & sets[k]) >= 80 * len(sets[j] | sets[k]):
+                links.append((int(j), k))
+    linked = near_dup._Union(len(sets))
+    for j, k in links:
+        linked.join(j, k)
+    assert len(links) >= 5000
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, words=4).collect()}
+    missed = [k for k in got if got[k] != linked.root(k)]
+    assert not missed, (len(missed), len(links))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 4999), (4999, 5000), (7, 7)]
     got = {r.node: r.root for r in near_dup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
