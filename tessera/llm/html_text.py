@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.shared import mapped, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head script style noscript template iframe textarea title svg math nav aside footer form button select option menu dialog object audio video canvas".split())
-#: Words in class, id or role that mark what is not article.
+DROPPED = frozenset("head script style noscript template iframe textarea title annotation annotation-xml desc metadata nav aside footer button select option menu dialog object audio video canvas".split())
+#: Whole tokens of class, id or role that mark what is not article, unless it holds the article.
 BOILERPLATE = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing "
@@ -37,15 +37,14 @@ FENCE = frozenset("table ul ol dl div article section main body td th".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "dropped", "link_chars", "link_tags", "parent", "summed", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "dropped", "link_chars", "link_tags", "marked", "parent", "summed", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False):
+        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped or marked, marked and not dropped
         self.children: list[Node | str] = []
 
 
@@ -54,9 +53,16 @@ def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(attrs):
+    return bool(_HIDDEN.search(attrs))
+
+
+def marked(tag: str, attrs: str) -> bool:
+    """Whether an element is dropped unless it holds the article."""
+    if tag == "form":
         return True
-    return any(w in BOILERPLATE for m in _NAMED.finditer(attrs) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    return any(w in BOILERPLATE for m in _NAMED.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split())
 
 
 def parse(page: str) -> Node:
@@ -99,7 +105,7 @@ def parse(page: str) -> Node:
                 here = node.parent
         if tag == "body":
             here = top
-        node = Node(tag, here, boilerplate(tag, m[3], articles > 0))
+        node = Node(tag, here, boilerplate(tag, m[3], articles > 0), marked(tag, m[3]))
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -122,6 +128,44 @@ def _walk(top: Node) -> list[Node]:
     return out
 
 
+def _text_chars(nodes: list[Node]) -> dict[int, int]:
+    """Characters outside links below each of ``nodes`` (parents first), by identity."""
+    out: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        out[id(node)] = 0 if node.tag == "a" else own + sum(out.get(id(c), 0) for c in node.children if isinstance(c, Node))
+    return out
+
+
+def restore(top: Node) -> Node:
+    """Keeps marked nodes that contain an article or main element or most of the page's text, unless
+    such an element elsewhere has text already."""
+    every, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        todo += [c for c in reversed(node.children) if isinstance(c, Node) and (not c.dropped or c.marked)]
+    if not any(n.marked for n in every):
+        return top
+    chars = _text_chars(every)
+    holds: set[int] = set()
+    for node in reversed(every):
+        if node.tag in ("article", "main") or any(id(c) in holds for c in node.children if isinstance(c, Node)):
+            holds.add(id(node))
+    wanted = [n for n in every if n.marked and chars[id(n)] and (id(n) in holds or 2 * chars[id(n)] > chars[id(top)])]
+    for node in wanted:
+        above, up = set(), node
+        while up.parent:
+            up = up.parent
+            above.add(id(up))
+        kept = _walk(top)
+        left = _text_chars(kept)
+        # within an article, only one more article tells such a part from its comments
+        if all(id(n) in above and (n.tag == "main" or id(node) in holds) for n in kept if n.tag in ("article", "main") and left[id(n)]):
+            node.dropped = False
+    return top
+
+
 def measure(top: Node) -> list[Node]:
     """Sets each kept node's composite density and the sum of its children's."""
     nodes = _walk(top)
@@ -198,7 +242,7 @@ def text_of(roots: list[Node]) -> str:
 
 
 def main_text(page: str | None) -> str:
-    return text_of(select(parse(page))) if page else ""
+    return text_of(select(restore(parse(page)))) if page else ""
 
 
 def _batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -250,6 +250,24 @@ def test_language_of_nothing(spark):
     assert {r.lang_pred for r in language_id.identify(df).collect()} == {"und"}
 
 
+def test_html_wrappers_with_marked_names():
+    body = "<p>" + "A sentence of the article, of some length. " * 8 + "</p><p>And its end.</p>"
+    want = html_text.main_text(f"<article>{body}</article>")
+    ad = "<div class='ad'>Buy <b>now</b> and here</div>"
+    for page in (
+        f"<div class='layout has-sidebar'>{ad}<article>{body}</article></div>",
+        f"<div id='search-page'>{ad}<div>{body}</div></div>",
+        f"<div id='search'>{ad}<article>{body}</article></div>",
+        f"<form action='/x'>{ad}<article>{body}</article></form>",
+        f"<form action='/x'><div class='widget'>{body}</div>{ad}</form>",
+        f"<main><form>{body}</form>{ad}</main>",
+        f"<main><div class='search'>{body}</div><div class='related'>More</div></main>",
+        f"<article>{body}</article><div id='comments'><article>{'A long reply. ' * 90}</article></div>",
+    ):
+        assert html_text.main_text(page) == want, page
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold.</p><svg><title>t</title><text>Axis</text></svg></article>") == "Let x=2 hold. Axis".replace(". A", ".\n\nA")
+
+
 def test_html_cases():
     cases = {
         "<body><nav>menu here</nav><article><h1>T</h1><p>a <b>b</b><br>c<p>d &amp; e</article><footer>f</footer>": "T\n\na b c\n\nd & e",
