@@ -22,8 +22,8 @@ from tessera.llm.shared import mapped, table
 
 ORDER = 3
 UNKNOWN = "und"
-#: The sample: documents a language, none longer than this many characters; languages in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 400, 20_000, 200
+#: The sample: documents a language, none longer than this many characters.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Contexts of full order kept over all languages, the most frequent ones.
 MAX_CONTEXTS = 16_384
 FOLDS, HELD_OUT = 4, 2
@@ -164,16 +164,22 @@ def fit(samples: dict[str, list[bytes]], max_contexts: int = MAX_CONTEXTS) -> Mo
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> dict[str, list[bytes]]:
-    """About ``sample_docs`` training documents of each of the ``SAMPLE_LANGUAGES`` commonest languages, chosen by a hash of the id."""
+    """About ``sample_docs`` training documents of each language, chosen by a hash of the id; of a
+    language without a text of up to ``SAMPLE_CHARS`` characters, what its texts begin with."""
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)
     )
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES).collect()
+    short = F.length("text") <= SAMPLE_CHARS
+    # without letters or of no length, a short text teaches nothing
+    fit_ = short & F.col("text").rlike(r"\p{L}")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(fit_).alias("fit")).orderBy("lang").collect()
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / r["n"]))])
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / (r["fit"] or r["n"])))])
+    long_only = [r["lang"] for r in counts if not r["fit"]]
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000
-    rows = usable.where(drawn & (F.length("text") <= SAMPLE_CHARS)).select("lang", "doc_id", "text").collect()
+    taken = short | F.col("lang").isin(long_only) if long_only else short
+    rows = usable.where(drawn & taken).select("lang", "doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).collect()
     found: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         if len(found[r["lang"]]) < 2 * sample_docs:

@@ -245,6 +245,17 @@ def test_added_spans():
     assert spans == "handle:5:11,login_url:15:37,email:25:35,account:47:56"
 
 
+def test_every_label_is_learned(spark):
+    rows = [(3 * k + j, f"words of language{k} here", f"l{k:03}") for k in range(220) for j in range(3)]
+    rows += [(1000 + j, "lengthy " * 4000, "long") for j in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trained = {r.lang for r in df.where(language_id.fold(F.col("doc_id")) != language_id.HELD_OUT).select("lang").distinct().collect()}
+    assert len(trained) > 205 and "long" in trained
+    found = language_id.labelled_sample(df, "doc_id", "text", "lang", 400)
+    assert set(found) == trained and all(sum(map(len, x)) for x in found.values())
+    assert max(map(len, found["long"])) == language_id.SAMPLE_CHARS
+
+
 def test_language_of_nothing(spark):
     df = spark.createDataFrame([(1, "text", None), (2, "more", None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id.identify(df).collect()} == {"und"}
