@@ -148,7 +148,17 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """The documents in which no benchmark window occurs, with all their columns."""
     found, _ = occurrences(docs.select(id_col, text_col), items, id_col, text_col, window)
     hit = stored(found.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(hit.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti").select(*docs.columns)
+    clean = docs.join(hit.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti").select(*docs.columns)
+    # no join finds a null id: such rows are told by their texts
+    if docs.where(F.col(id_col).isNull() & F.col(text_col).isNotNull()).isEmpty():
+        return clean
+    digest = F.sha2(text_col, 256)
+    lone = docs.where(F.col(id_col).isNull())
+    texts = lone.where(F.col(text_col).isNotNull()).select(digest.alias("doc_id"), F.col(text_col).alias("text")).distinct()
+    found, _ = occurrences(texts, items, "doc_id", "text", window)
+    hit = stored(found.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    lone = lone.join(hit.hint("merge"), digest == F.col("__id"), "left_anti").select(*docs.columns)
+    return clean.where(F.col(id_col).isNotNull()).unionByName(lone)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

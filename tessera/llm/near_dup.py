@@ -379,10 +379,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, with all its columns."""
-    keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"))
-    keep = stored(keep, "kept")
-    return docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group of near-duplicates, with all its columns.
+
+    Null ids come after all others; of null ids with one text one row stays. Texts without words stay.
+    """
+    lone = F.coalesce(F.col(id_col).isNull() & F.col(text_col).rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    if docs.where(lone).isEmpty():
+        keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"))
+        keep = stored(keep, "kept")
+        return docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    most = docs.agg(F.max(F.col(id_col).cast("long"))).first()[0]
+    keys = docs.where(lone).select(F.sha2(text_col, 256).alias("__digest")).distinct()
+    keys = stored(keys.withColumn("__id", F.monotonically_increasing_id() + F.lit(0 if most is None else most + 1)), "keys")
+    named = docs.where(lone).join(keys.hint("merge"), F.sha2(text_col, 256) == F.col("__digest"))
+    known = docs.where(F.col(id_col).isNotNull())
+    own = known.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.unionByName(named.select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text")))
+    keep = stored(near_duplicates(own).where("kept").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
+    known = known.join(keep.hint("merge"), F.col(id_col) == F.col("__keep"), "left_semi").select(*docs.columns)
+    named = named.join(keep.hint("merge"), F.col("__id") == F.col("__keep"), "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    return known.unionByName(named).unionByName(docs.where(F.col(id_col).isNull() & ~lone))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,21 @@ def test_added_spans():
     assert spans == "handle:5:11,login_url:15:37,email:25:35,account:47:56"
 
 
+def test_clean_documents_without_ids(spark):
+    leak = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(None, f"so {leak} on"), (None, f"so {leak} on"), (None, "quite another text"), (None, None), (1, leak), (2, "clean")], SCHEMA)
+    items = spark.createDataFrame([(1, leak)], ITEMS)
+    got = sorted((str(r.doc_id), str(r.text)) for r in decontaminate.clean_documents(docs, items).collect())
+    assert got == [("2", "clean"), ("None", "None"), ("None", "quite another text")]
+
+
+def test_near_copies_without_ids(spark):
+    one, two = (" ".join(f"{w}{k}" for k in range(100)) for w in "ab")
+    docs = spark.createDataFrame([(7, one), (None, one + " more"), (None, two), (None, two), (None, two + " more"), (None, None), (None, " ")], SCHEMA)
+    got = [(r.doc_id, r.text) for r in near_dup.kept_documents(docs).collect()]
+    assert len(got) == 4 and {(7, one), (None, None), (None, " ")} < set(got)
+
+
 def test_every_label_is_learned(spark):
     rows = [(3 * k + j, f"words of language{k} here", f"l{k:03}") for k in range(220) for j in range(3)]
     rows += [(1000 + j, "lengthy " * 4000, "long") for j in range(8)]
