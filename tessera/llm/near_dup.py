@@ -1,15 +1,23 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-Every document is a set of word shingles with ``COORDINATES`` minwise tokens. In each of
-``TREES`` independent trees a document goes down the paths its tokens choose: a node holds the
-documents with equal tokens at the coordinates chosen so far. A node of up to ``LEAF`` documents
-is compared exhaustively on the tokens; a larger one branches on ``BRANCHES`` other coordinates at
-once. Two sets at similarity 0.8 stay together below a node with probability q = 1 - (1 - 0.8 q) ** 2
-or more, which is 0.9375 at any depth, so they miss each other in ten trees with 0.25 ** 10 or less.
-
-What meets only makes candidate components. Within each, links are confirmed on full shingle
-sets, in blocks of bounded size, until no unlinked pair is left to compare; so the trees decide
-recall and never precision, and a group of any size is split over tasks.
+Every document is a set of word shingles with ``TREES`` minwise roots and ``COORDINATES`` minwise
+tokens of a byte. In each of the independent trees a document goes down the paths its tokens
+choose: a node holds the documents with equal tokens at the coordinates chosen so far.
+
+* First each document is compared with the hub (the least row) of each of its root nodes, and
+  what the sketches let pass is confirmed on full sets. The links found make classes.
+* A node whose documents outside its largest class number ``LEAF`` or fewer is compared
+  exhaustively: those documents with all others, in chunks of bounded size, by their sketches.
+* Any other node branches, on one further coordinate or on two, as its own hash decides.
+* What the sketches let pass is confirmed on full sets, a chunk's documents at once.
+
+So rows grow with documents, not with pairs, and the trees decide recall, never precision. Two
+sets at similarity 0.8 share a root with probability 0.8. Below a large node they stay together at
+a level with 0.8 or 0.96, 0.88 in the mean, which leaves 0.625 at any depth (the solution of
+q = (0.8 q + 1 - (1 - 0.8 q) ** 2) / 2). In twelve trees they miss each other with at most
+(1 - 0.8 * 0.625) ** 12 = 0.00025, where every node is large; a sketch errs with 0.0002. A document
+with ``DONE`` or fewer large roots goes down none of them: a pair without a common small root has
+so few with 0.0001 or less.
 """
 
 from __future__ import annotations
@@ -21,27 +29,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import mapped, slices, stored, table
+from tessera.llm.shared import mapped, release, slices, stored, table
 
 WORDS, PERCENT = 5, 80
-TREES, COORDINATES, LEAF = 10, 64, 64
-#: Coordinates that a node too large branches on, each for itself, and levels of such branching.
-BRANCHES, LEVELS = 2, 4
-#: Equal minwise tokens, of 64, from which two sets become candidates: 0.8 less 4.5 deviations.
-CANDIDATE = 37
-#: Unlinked documents as near to a large node's hub as this are hard to part from the linked ones.
-STRADDLE = 27
-#: Documents of a component compared exhaustively in one task, and hubs that each block is given at once.
-BLOCK, HUBS = 64, 256
-# Joins that move texts or tokens carry a merge hint, so that plans are alike at every size.
+TREES, COORDINATES = 12, 256
+#: Documents outside a node's largest class up to which it is compared exhaustively.
+LEAF = 512
+#: Large roots up to which a document's other trees suffice.
+DONE = 3
+#: Levels of branching; what is still large below them is compared exhaustively all the same.
+LEVELS = 24
+#: Equal tokens, of 256, from which two sets become candidates: 0.8 less 3.5 deviations; and those
+#: of the first 64 without which the others are not looked at: 0.8 less 4.5 deviations.
+CANDIDATE, FIRST, GLANCE = 182, 64, 37
+#: Documents, and shingles, of a node compared in one task besides those outside its largest class.
+CHUNK, BULK = 512, 1 << 20
+#: Links contracted in one task.
+EDGES = 1 << 20
 #: Columns of a membership matrix held at once.
 COLUMNS = 1 << 13
 #: Word hashes held by a task.
 TABLE_WORDS = 250_000
 
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xBF58476D1CE4E5B9 * k) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(COORDINATES)], np.uint64)
-_ADD = np.array([(0x94D049BB133111EB * (k + 7)) & 0xFFFFFFFFFFFFFFFF for k in range(COORDINATES)], np.uint64)
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
@@ -50,6 +59,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SEEDS = _mixed(np.arange(1, 2 * (TREES + COORDINATES) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD, _ADD = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
+_ODD_32, _ADD_32 = (x[TREES:].astype(np.uint32)[:, None] for x in (_ODD, _ADD))
+
+
 class _Hashes(dict):
     """Word to 64-bit hash, filled on demand."""
 
@@ -80,27 +94,54 @@ class Shingler:
         return np.unique(mixed)
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two sums over the set, 64 bits each: equal sets have equal ones."""
+    one = shingles.sum(dtype=np.uint64)
+    two = _mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return int(one.astype(np.int64)), int(two.astype(np.int64))
+
+
 def sketch(shingles: np.ndarray) -> bytes:
-    """The minwise tokens, 4 bytes each."""
-    low = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 4096):  # bounds memory for very long texts
-        part = shingles[at : at + 4096]
-        low = np.minimum(low, ((part * _ODD[:, None] + _ADD[:, None]) >> np.uint64(32)).min(1))
-    return low.astype(np.uint32).tobytes()
+    """The minwise roots, 8 bytes each, then the minwise tokens, a byte each."""
+    roots = np.full(TREES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    low = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(shingles), 512):  # bounds memory for very long texts, and stays in cache
+        part = shingles[at : at + 512]
+        roots = np.minimum(roots, (part * _ODD[:TREES, None] + _ADD[:TREES, None]).min(1))
+        half = (part >> np.uint64(32)).astype(np.uint32)
+        low = np.minimum(low, (half * _ODD_32 + _ADD_32).min(1))
+    return roots.tobytes() + (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def _sketches(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Roots and tokens of rows of sketches."""
+    raw = np.frombuffer(b"".join(tokens), np.uint8).reshape(len(tokens), 8 * TREES + COORDINATES)
+    return np.ascontiguousarray(raw[:, : 8 * TREES]).view(np.uint64), raw[:, 8 * TREES :]
+
+
+def _passes(tokens: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets i[k] and j[k] can be linked, by their sizes and sketches."""
+    out = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
+    first = np.ascontiguousarray(tokens[:, :FIRST])
+    for rows, least in ((first, GLANCE), (tokens, CANDIDATE)):
+        left = np.flatnonzero(out)
+        for at in range(0, len(left), 4096):
+            k = left[at : at + 4096]
+            out[k] = np.count_nonzero(rows[i[k]] == rows[j[k]], axis=1) >= least
+    return out
 
 
 def _sketched(words: int) -> Callable:
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(words)
         for batch in (x for whole in found for x in slices(whole, 1)):
-            sizes, ones, twos, tokens = [], [], [], []
+            sizes, sums, tokens = [], [], []
             for text in batch.column(1).to_pylist():
                 x = of(text)
                 sizes.append(len(x))
-                ones.append(int(x.sum(dtype=np.uint64).astype(np.int64)))
-                twos.append(int(_mixed(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+                sums.append(fingerprint(x))
                 tokens.append(sketch(x) if len(x) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(tokens, pa.binary())]
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), *[pa.array([s[k] for s in sums], pa.int64()) for k in (0, 1)], pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "tokens"])
 
     return batches
@@ -130,122 +171,65 @@ def _groups(found: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
-
-
-def _stars(ids: list[int], linked: _Union) -> list[tuple[int, int]]:
-    """(least id, id) of the members of each class: as connected as the links, and soon done with."""
-    roots = [linked.root(k) for k in range(len(ids))]
-    least: dict[int, int] = {}
-    for k, r in enumerate(roots):
-        least[r] = min(least.get(r, ids[k]), ids[k])
-    return [(least[r], ids[k]) for k, r in enumerate(roots) if least[r] != ids[k]]
+def _classes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, the least node of its class) of the nodes of the links u, v that are not least."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = up[a], up[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+    below = up != np.arange(len(nodes))
+    return nodes[below], nodes[up[below]]
 
 
-def _leaves(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, doc_id, tokens, sorted by node: what each node's candidate links connect."""
-    pairs: list[tuple[int, int]] = []
-    for group in _groups(found, 1):
-        ids = group.column("doc_id").to_pylist()
-        tokens = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
-        near = _Union(len(ids))
-        for k in range(1, len(ids)):
-            for j in np.flatnonzero((tokens[:k] == tokens[k]).sum(1) >= CANDIDATE):
-                near.join(int(j), k)
-        pairs += _stars(ids, near)
-        if len(pairs) >= 10_000:
-            yield _edges(pairs)
-            pairs = []
-    yield _edges(pairs)
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _hub_links(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, doc_id, tokens, hub, hub_tokens, and the number of equal tokens."""
+def _contracted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v -> as few links that connect the same, ``EDGES`` at once."""
+    held, n = [], 0
     for batch in found:
-        own, hub = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, COORDINATES) for k in (2, 4))
-        columns = [batch.column(k) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array((own == hub).sum(1), pa.int32())], names=["node", "doc_id", "tokens", "hub", "equal"])
-
+        held.append(batch)
+        n += batch.num_rows
+        if n >= EDGES:
+            yield _edges(*_classes(*(np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1))))
+            held, n = [], 0
+    if n:
+        yield _edges(*_classes(*(np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1))))
 
-def candidates(sets: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """Candidate links u, v between ``sets`` (doc_id, tokens), enough to connect what met in some tree.
 
-    Tokens join the nodes once, at the first level; deeper levels carry those of large nodes along.
-    """
-    token = lambda at: F.substring(F.col("tokens"), (4 * at + 1).cast("int"), F.lit(4))
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(trees)]))
-    placed = sets.select("doc_id", roots.alias("node"))
-    links = []
-    for level in range(LEVELS + 1):
-        # stored, so that the join shuffles both sides and a hot node's rows can be split
-        counted = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
-        counted = stored(counted, f"counted{level}")
-        shared = placed.join(counted.hint("merge"), "node")
-        shared = stored(shared.join(sets.hint("merge"), "doc_id") if level == 0 else shared, f"nodes{level}").select("node", "doc_id", "n", "hub", "tokens")
-        small = shared.where(F.col("n") <= leaf).select("node", "doc_id", "tokens")
-        links.append(stored(mapped(small.repartition("node").sortWithinPartitions("node"), _leaves, "u long, v long"), f"leaves{level}"))
-        large = shared.where(F.col("n") > leaf)
-        if large.isEmpty():
-            break
-        hubs = large.where("doc_id = hub").select("node", F.col("tokens").alias("hub_tokens"))
-        met = large.join(hubs, "node").select("node", "doc_id", "tokens", "hub", "hub_tokens")
-        met = stored(mapped(met, _hub_links, "node long, doc_id long, tokens binary, hub long, equal int"), f"hubs{level}")
-        near = F.col("equal") >= CANDIDATE
-        # the nearest of those not linked, and whether the node is to stay whole: where most are linked
-        # and others nearly are, or nothing is left to split, it is one candidate component, for the exact stage to part
-        nearest = F.coalesce(F.max(F.when(~near, F.col("equal"))), F.lit(-1))
-        parted = met.groupBy("node").agg(nearest.alias("nearest"), ((2 * F.count_if(near) >= F.count(F.lit(1))) & (nearest >= STRADDLE)).alias("whole"))
-        parted = stored(parted.withColumn("whole", F.col("whole") | F.lit(level == LEVELS)), f"parted{level}")
-        # candidates differ in at most COORDINATES - CANDIDATE tokens: a document nearer to the hub
-        # than that from all that is not linked has no candidate among it, and is done in this node
-        open_ = F.col("whole") | (F.col("equal") - F.col("nearest") <= COORDINATES - CANDIDATE)
-        rest = met.join(parted.hint("merge"), "node").where(open_).select("node", "doc_id", "hub", "whole", F.when(~F.col("whole"), F.col("tokens")).alias("tokens"))
-        rest = stored(rest, f"rest{level}")
-        for some in (met.where(near), rest.where("whole")):
-            links.append(some.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")))
-        others = COORDINATES - trees
-        first, apart = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(others)), F.lit(others // BRANCHES)
-        at = [trees + F.pmod(first + k * apart, F.lit(others)) for k in range(BRANCHES)]
-        placed = rest.where("not whole").select("doc_id", F.explode(F.array(*[F.xxhash64("node", c, token(c)) for c in at])).alias("node"), "tokens")
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """node, root (the component's smallest node) of every node of ``edges`` (u, v).
 
-    Alternating large-star and small-star steps until only stars are left, each round written to
-    the shared folder. A node's neighbours are only aggregated over and joined with, so its
-    degree may be of any size.
+    Links are dealt to tasks of up to ``most``, each of which leaves a forest. Where that took
+    several tasks, alternating large-star and small-star steps follow until only stars are left,
+    each written to the shared folder. A node's neighbours are only aggregated over and joined
+    with, so its degree may be of any size.
     """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges", rows=F.count(F.lit(1)))
     while True:
+        tasks = -(-edges.observed["rows"] // most) or 1
+        whole = stored(mapped(edges.repartition(tasks), _contracted, "u long, v long"), "forest")
+        release(edges)
+        edges = whole
+        if tasks == 1:
+            break
         both = edges.union(edges.select("v", "u"))
         # stored, so that the join shuffles both sides and a centre's many rows can be split
         least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.where("u <> v").distinct(), "stars")
+        least_of = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least_of, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        stars = stored(small.where("u <> v").distinct(), "stars", rows=F.count(F.lit(1)))
+        release(edges, least)
+        edges = stars
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).union(edges.select(F.col("v").alias("node"), F.lit(1000).alias("below")))
         # a star forest: each node hangs under one other, or others under it
         held = ends.groupBy("node").agg(F.min("below").alias("least"), F.max("below").alias("most"), F.count_if(F.col("below") == 1).alias("ups"))
@@ -270,7 +254,7 @@ def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     common = np.zeros((n, n), np.int64)
     for start in range(0, int((times > 1).sum()), COLUMNS):
         lo, hi = np.searchsorted(column, (start, start + COLUMNS))
-        inside = np.zeros((n, COLUMNS), np.float32)
+        inside = np.zeros((n, min(COLUMNS, int((times > 1).sum()) - start)), np.float32)
         inside[owner[lo:hi], column[lo:hi] - start] = 1
         common += (inside @ inside.T).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - common
@@ -279,77 +263,156 @@ def _links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
 
 def _confirmed(words: int, percent: int) -> Callable:
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """group, block, doc_id, hub, text, sorted by the first two: what the links between each
-        block's documents connect."""
+        """key, uid, set_a, set_b, text, sorted by the first: what connects each key's documents. A
+        text that is not the set's, of a row that repeats an id, is passed over."""
         of = Shingler(words)
-        pairs: list[tuple[int, int]] = []
-        for group in _groups(found, 2):
-            rows = sorted(zip(group.column("hub").to_pylist(), group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True), key=lambda r: (not r[0], r[1]))
-            ids = [r[1] for r in rows]
-            linked = _Union(len(ids))
-            for j, k in zip(*_links([of(r[2]) for r in rows], percent), strict=True):
-                linked.join(int(j), int(k))
-            pairs += _stars(ids, linked)
-            if len(pairs) >= 10_000:
-                yield _edges(pairs)
-                pairs = []
-        yield _edges(pairs)
+        for group in _groups(found, 1):
+            ids, sets = [], []
+            for uid, a, b, text in zip(*(group.column(k).to_pylist() for k in ("uid", "set_a", "set_b")), group.column("text"), strict=True):
+                shingles = of(text.as_py())
+                if fingerprint(shingles) == (a, b):
+                    ids.append(uid)
+                    sets.append(shingles)
+            uids, first = np.unique(np.array(ids, np.int64), return_index=True)
+            i, j = _links([sets[k] for k in first], percent)
+            if len(i):
+                yield _edges(*_classes(uids[i], uids[j]))
 
     return batches
 
 
-def confirmed(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs u, v that connect, within each candidate group (doc_id, group), what links on full sets
-    connect. ``docs`` has doc_id, text.
+def _compared(percent: int) -> Callable:
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """node, chunk, level, tree, uid, class, size, minor, large, tokens, sorted by the first two ->
+        key, uid: the documents of each chunk with a candidate of another class that they have not met before."""
+        for group in _groups(found, 2):
+            level, tree, uid, cls, size, minor, large = (group.column(k).to_numpy() for k in ("level", "tree", "uid", "class", "size", "minor", "large"))
+            chunk, few = group.column("chunk")[0].as_py(), np.flatnonzero(minor)
+            many = np.arange(len(uid)) if chunk == 0 else np.flatnonzero(~minor)
+            if not len(few) or not len(many):
+                continue
+            roots, tokens = _sketches(group.column("tokens").to_pylist())
+            hit = np.zeros(len(uid), bool)
+            step = max(1, 65_536 // len(many))
+            # the earlier trees, or all of them below the roots, in which a pair may have been compared
+            earlier = TREES if level[0] else int(tree[0])
+            small = (large[:, None] >> np.arange(earlier) & 1) == 0
+            for at in range(0, len(few), step):
+                i, j = (x.ravel() for x in np.meshgrid(few[at : at + step], many, indexing="ij"))
+                open_ = (cls[i] != cls[j]) & ((i < j) | ~minor[j])
+                i, j = i[open_], j[open_]
+                good = _passes(tokens, size, i, j, percent)
+                i, j = i[good], j[good]
+                met = ((roots[i, :earlier] == roots[j, :earlier]) & small[i]).any(1)
+                i, j = i[~met], j[~met]
+                hit[i], hit[j] = True, True
+            if hit.any():
+                ids = uid[hit]
+                place = group.column("node").to_numpy()[:1].astype(np.uint64) + np.uint64(chunk) * np.uint64(0x9E3779B97F4A7C15)
+                key = _mixed(place).astype(np.int64)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids)], names=["key", "uid"])
 
-    A group of up to ``BLOCK`` is one block. A larger one is dealt out to blocks, and each block
-    also gets the group's hubs. In the next round the documents outside a group's largest linked
-    class that have not been hubs become hubs, until none are left: each pair of different
-    classes then has met.
-    """
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = grouped.join(sizes, "group").select("doc_id", "group", blocks.alias("blocks"), F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), blocks)).alias("block"))
-    texts = stored(docs.join(dealt.hint("merge"), "doc_id").select("group", "block", "blocks", "doc_id", "text"), "near-texts")
-
-    def compared(rows: DataFrame, name: str) -> DataFrame:
-        # by number: blocks are small but take time, so they are not to be merged into few tasks
-        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return stored(mapped(rows.repartition(tasks, "group", "block").sortWithinPartitions("group", "block"), _confirmed(words, percent), "u long, v long"), name)
-
-    member = ["group", "block", "doc_id", F.lit(False).alias("hub"), "text"]
-    small = compared(texts.where("blocks = 1").select(*member), "links")
-    large = texts.where("blocks > 1")
-    if large.isEmpty():
-        return small
-    # hubs of the first round: the documents whose ids are least under eight bit masks
-    masks = [(0x9E3779B97F4A7C15 * k) & 0x7FFFFFFFFFFFFFFF for k in range(8)]
-    chosen = large.groupBy("group").agg(*[F.min(F.col("doc_id").bitwiseXOR(F.lit(m))).alias(f"h{k}") for k, m in enumerate(masks)])
-    hubs = chosen.select("group", F.explode(F.array(*[F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)])).alias("doc_id")).distinct()
-    hubs = stored(hubs, "hubs")
-    been, links, rows = hubs, None, large.select(*member)
-    while True:
-        given = large.join(hubs, ["group", "doc_id"]).select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id", F.lit(True).alias("hub"), "text")
-        own = rows.join(hubs.select("group", "doc_id"), ["group", "doc_id"], "left_anti").select("group", "block", "doc_id", "hub", "text")
-        found = compared(own.unionByName(given), "links")
-        links = found if links is None else links.union(found)
-        ids = large.select("group", "doc_id")
-        roots = components(links).select(F.col("node").alias("doc_id"), "root")
-        classed = stored(ids.join(roots, "doc_id", "left").select("group", "doc_id", F.coalesce("root", "doc_id").alias("root")), "classes")
-        counted = classed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = counted.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top")).select("group", F.col("top.root").alias("root"))
-        left = classed.join(largest, ["group", "root"], "left_anti").join(been, ["group", "doc_id"], "left_anti")
-        # up to HUBS of each group a round, by the group's share of its ids; the rest follow
-        open_count = left.groupBy("group").agg(F.count(F.lit(1)).alias("left"))
-        part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("left") / HUBS))
-        hubs = stored(left.join(open_count, "group").withColumn("part", part).select("group", "doc_id", "part"), "left")
-        least = hubs.groupBy("group").agg(F.min("part").alias("part"))
-        hubs = hubs.join(least, ["group", "part"]).select("group", "doc_id")
-        hubs = stored(hubs, "hubs")
-        if hubs.isEmpty():
-            return small.union(links)
-        been = been.union(hubs)
-        rows = large.join(hubs.select("group").distinct(), "group", "left_semi").select(*member)
+    return batches
+
+
+def _spread(n, size):
+    """Chunks that a node of ``n`` documents with ``size`` shingles is dealt to."""
+    return F.greatest(F.ceil(n / CHUNK), F.ceil(size / BULK), F.lit(1))
+
+
+def _confirm(docs: DataFrame, firsts: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links u, v that connect what links on full sets connect within each key of ``members`` (key, uid).
+    ``docs`` has doc_id, text."""
+    wanted = members.join(firsts.select("uid", "doc_id", "set_a", "set_b").hint("merge"), "uid")
+    rows = docs.join(wanted.hint("merge"), "doc_id").select("key", "uid", "set_a", "set_b", "text")
+    # by number: chunks are small but take time, so they are not to be merged into few tasks
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(mapped(rows.repartition(tasks, "key").sortWithinPartitions("key"), _confirmed(words, percent), "u long, v long"), "links")
+
+
+def rooted(firsts: DataFrame) -> DataFrame:
+    """tree, node, uid, size, hub, hub_size: the root nodes that several of ``firsts`` share."""
+    root = lambda t: F.xxhash64(F.lit(t), F.substring("tokens", 8 * t + 1, 8))
+    placed = firsts.select("uid", F.col("n_shingles").alias("size"), F.posexplode(F.array(*[root(t) for t in range(TREES)])).alias("tree", "node"))
+    # stored, so that the join shuffles both sides and a hot node's rows can be split
+    counted = placed.groupBy("node").agg(F.min(F.struct("uid", "size")).alias("hub"), F.max("uid").alias("last")).where("hub.uid < last")
+    counted = stored(counted.select("node", F.col("hub.uid").alias("hub"), F.col("hub.size").alias("hub_size")), "shared")
+    nodes = stored(placed.join(counted.hint("merge"), "node").select("tree", "node", "uid", "size", "hub", "hub_size"), "roots")
+    release(counted)
+    return nodes
+
+
+def hub_links(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links between documents and the hubs of their root nodes, and among those dealt to one hub's chunk."""
+
+    def near(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            n = batch.num_rows
+            tokens = _sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist())[1] if n else np.zeros((0, COORDINATES), np.uint8)
+            sizes = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            good = pa.array(_passes(tokens, sizes, np.arange(n), np.arange(n) + n, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(3)], names=["hub", "uid", "size"])
+
+    alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    pairs = nodes.where((F.col("uid") != F.col("hub")) & alike).select("hub", "uid", "size", "hub_size").distinct()
+    hubs = firsts.select(F.col("uid").alias("hub"), F.col("tokens").alias("hub_tokens"))
+    pairs = pairs.join(firsts.select("uid", "tokens").hint("merge"), "uid").join(hubs.hint("merge"), "hub")
+    pairs = stored(mapped(pairs.select("hub", "uid", "size", "hub_size", "tokens", "hub_tokens"), near, "hub long, uid long, size long"), "hub-pairs")
+    sizes = stored(pairs.groupBy("hub").agg(_spread(F.count(F.lit(1)), F.sum("size")).alias("chunks")), "hub-sizes")
+    key = F.xxhash64("hub", F.pmod(F.xxhash64("uid"), F.col("chunks")))
+    dealt = pairs.join(sizes.hint("merge"), "hub").select(key.alias("key"), "hub", "uid")
+    members = dealt.select("key", "uid").union(dealt.select("key", "hub").distinct())
+    links = _confirm(docs, firsts, members, words, percent)
+    release(pairs, sizes)
+    return links
+
+
+def _stated(placed: DataFrame, name: str) -> DataFrame:
+    """node, chunks, top, minority of the nodes of ``placed`` (node, class, size) with several classes."""
+    by_class = placed.groupBy("node", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    # the largest class, and the least of these
+    of = by_class.groupBy("node").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", (-F.col("class")).alias("class"))).alias("top"), F.count(F.lit(1)).alias("classes"))
+    of = of.where("classes > 1").select("node", _spread(F.col("n"), F.col("size")).alias("chunks"), (-F.col("top")["class"]).alias("top"), (F.col("n") - F.col("top")["n"]).alias("minority"))
+    return stored(of, name)
+
+
+def candidates(firsts: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int, leaf: int = LEAF, done: int = DONE, levels: int = LEVELS) -> DataFrame:
+    """key, uid: chunks of documents with candidates of another class. ``classes`` has uid, class of
+    the documents that are linked so far."""
+    known = stored(nodes.join(classes.hint("merge"), "uid", "left").select("tree", "node", "uid", "size", F.coalesce("class", "uid").alias("class")), "classed")
+    of = _stated(known, "nodes0")
+    large = F.col("minority") > leaf
+    cols = ["level", "tree", "node", "uid", "class", "size", "chunks", "top", "minority", "large", "tokens"]
+    opened = known.join(of.hint("merge"), "node").withColumn("bit", F.when(large, F.expr("shiftleft(1, tree)")).otherwise(0))
+    by_uid = opened.groupBy("uid").agg(F.bit_or("bit").alias("large"))
+    opened = opened.join(by_uid, "uid").join(firsts.select("uid", "tokens").hint("merge"), "uid")
+    opened = stored(opened.withColumn("level", F.lit(0)).select(*cols), "open0", large=F.count_if(large & (F.bit_count("large") > done)))
+    held, every = [known, of], [opened]
+    below = opened.where(large & (F.bit_count("large") > done))
+    level = 0
+    while every[-1].observed["large"] and level < levels:
+        level += 1
+        at = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(COORDINATES))
+        paths = [F.xxhash64("node", c, F.substring("tokens", (c + 8 * TREES + 1).cast("int"), F.lit(1))) for c in (at, F.pmod(at + COORDINATES // 2, F.lit(COORDINATES)))]
+        both = F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(2)) == 0
+        placed = below.select("tree", "uid", "class", "size", "large", "tokens", F.explode(F.when(both, F.array(*paths)).otherwise(F.array(paths[0]))).alias("node"))
+        of = _stated(placed, f"nodes{level}")
+        opened = placed.join(of.hint("merge"), "node").withColumn("level", F.lit(level)).select(*cols)
+        every.append(stored(opened, f"open{level}", large=F.count_if(large)))
+        held.append(of)
+        below = every[-1].where(large)
+    rows = every[0].where(~large)
+    for more in every[1:]:
+        rows = rows.union(more.where(~large | (F.col("level") == levels)))
+    minor = F.col("class") != F.col("top")
+    own = F.pmod(F.xxhash64("uid"), F.col("chunks"))
+    # what is outside the largest class goes to each chunk
+    chunk = F.explode(F.when(minor, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own)))
+    rows = rows.select("node", chunk.alias("chunk"), "level", "tree", "uid", "class", "size", minor.alias("minor"), "large", "tokens")
+    tasks = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = stored(mapped(rows.repartition(tasks, "node", "chunk").sortWithinPartitions("node", "chunk"), _compared(percent), "key long, uid long"), "candidates")
+    release(*held, *every)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -365,15 +428,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(mapped(own, _sketched(words), "doc_id long, n_shingles long, set_a long, set_b long, tokens binary"), "sets")
     key = ["n_shingles", "set_a", "set_b"]
-    usable = sets.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")), "reps")
-    firsts = usable.join(reps.select(F.col("rep").alias("doc_id"), *key).hint("merge"), ["doc_id", *key], "left_semi").select("doc_id", "tokens")
-    firsts = stored(firsts, "firsts")
-    grouped = stored(components(candidates(firsts)).select(F.col("node").alias("doc_id"), F.col("root").alias("group")), "groups")
-    links = confirmed(own, grouped, words, percent)
-    roots = components(links).select(F.col("node").alias("rep"), F.col("root"))
-    classes = reps.join(roots, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component"))
-    out = sets.select("doc_id", *key).join(classes, key, "left")
+    firsts = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    firsts = stored(firsts.withColumn("uid", F.monotonically_increasing_id()), "firsts")
+    nodes = rooted(firsts)
+    links = hub_links(own, firsts, nodes, words, percent)
+    found = components(links)
+    more = candidates(firsts, nodes, found.select(F.col("node").alias("uid"), F.col("root").alias("class")), percent)
+    links = links.union(_confirm(own, firsts, more, words, percent))
+    roots = components(links).select(F.col("node").alias("uid"), "root").join(firsts.select("uid", "doc_id", *key).hint("merge"), "uid")
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component"))
+    linked = roots.join(least, "root").select("uid", "component")
+    classes = firsts.select("uid", "doc_id", *key).join(linked.hint("merge"), "uid", "left").select(*key, F.coalesce("component", "doc_id").alias("component"))
+    classes = stored(classes, "classes")  # so that the rows of a set of many copies can be split
+    release(nodes, more, firsts)
+    out = sets.select("doc_id", *key).join(classes.hint("merge"), key, "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``, the white space of every text contract here.
@@ -34,18 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, **counts: Column) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    Aggregates given by name are taken as it is written; the result has them in ``observed``.
+    """
     spark = df.sparkSession
+    seen = Observation() if counts else None
+    watched = df.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else df
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        watched.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    out.observed = seen.get if seen else {}
     return out
 
 
