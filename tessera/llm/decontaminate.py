@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import ascii_lower, sized, stored, table
+from tessera.llm.shared import ascii_lower, scratch, sized, stored, table, unused
 
 #: A word before A-Z are lower-cased: ASCII letters, digits and all beyond ASCII.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -36,9 +36,21 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, item_col: str = "i
     return each.select("wid", "gram", F.size("gram").alias("n")).distinct(), each.select("wid", "item_id").distinct()
 
 
+#: What names a document: its id, and a hash of its text, for rows without an id or that repeat one.
+KEY = ["doc_id", "tkey"]
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The columns ``KEY``, with a value in place of null ids, which no join finds."""
+    kind = dict(docs.dtypes)[id_col]
+    nothing = F.lit("" if kind == "string" else -1).cast(kind)
+    return F.coalesce(F.col(id_col), nothing).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tkey")
+
+
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, w (all words), pos, word (as written)."""
-    return docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "word"))
+    """doc_id, tkey, w (all words), pos, word (as written)."""
+    own = docs.select(*_key(docs, id_col, text_col), words(F.col(text_col)).alias("w"))
+    return own.select(*KEY, "w", F.posexplode("w").alias("pos", "word"))
 
 
 def keyed(terms: DataFrame) -> DataFrame:
@@ -72,15 +84,15 @@ def rarest_terms(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str,
 
 
 def postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """The index: term, doc_id, pos, and for the rarest term of a window the words around it."""
+    """The index: term, doc_id, tkey, pos, and for the rarest term of a window the words around it."""
     terms = sized(keyed(anchors.groupBy("term").agg(F.min("k").alias("k"))), BROADCAST_ROWS)
     first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     near = F.when(F.col("k") == 0, F.slice("w", first + 1, F.col("pos") - first + window))
-    return matched(tokens(docs, id_col, text_col), terms).select("term", "doc_id", "pos", near.alias("near"), (F.col("pos") - first).alias("at"))
+    return matched(tokens(docs, id_col, text_col), terms).select("term", *KEY, "pos", near.alias("near"), (F.col("pos") - first).alias("at"))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(matches: doc_id, wid, start, n, exact; windows of items: wid, item_id).
+    """(matches: doc_id, tkey, wid, start, n, exact; windows of items: wid, item_id).
 
     ``slop`` 0 returns exact phrases. A larger one adds proximity matches (``exact`` false): the
     window's two rarest terms stand in one document, out of place by at most ``slop`` words.
@@ -91,50 +103,52 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     index = stored(postings(docs, anchors, id_col, text_col, window), "postings")
     size = grams.select("wid", "gram", "n")
     wanted = sized(anchors.join(size.select("wid", "n"), "wid"), BROADCAST_ROWS)
-    lists = index.join(wanted, "term").select("wid", "doc_id", (F.col("pos") - F.col("offset")).alias("start"), "k", "n", "pos", "term")
-    rare, other = lists.where("k = 0"), lists.where("k = 1").select("wid", "doc_id", "start")
-    met = rare.where("n > 1").join(other, ["wid", "doc_id", "start"], "left_semi").unionByName(rare.where("n = 1"))
-    around = index.where("near is not null").select("doc_id", "pos", "term", "near", "at")
+    lists = index.join(wanted, "term").select("wid", *KEY, (F.col("pos") - F.col("offset")).alias("start"), "k", "n", "pos", "term")
+    rare, other = lists.where("k = 0"), lists.where("k = 1").select("wid", *KEY, "start")
+    met = rare.where("n > 1").join(other, ["wid", *KEY, "start"], "left_semi").unionByName(rare.where("n = 1"))
+    around = index.where("near is not null").select(*KEY, "pos", "term", "near", "at")
     texts = sized(size, BROADCAST_ROWS)
     offset = F.col("at") - (F.col("pos") - F.col("start"))
     exact = (
-        met.join(around, ["doc_id", "pos", "term"])
+        met.join(around, [*KEY, "pos", "term"])
         .join(texts, ["wid", "n"])
         .where((offset >= 0) & (F.transform(F.slice("near", offset + 1, F.col("n")), ascii_lower) == F.col("gram")))
-        .select("doc_id", "wid", "start", "n", F.lit(True).alias("exact"))
+        .select(*KEY, "wid", "start", "n", F.lit(True).alias("exact"))
         .distinct()
     )
     if not slop:
         return exact, of_items
     # starts within slop share a block of slop + 1 or lie in adjoining ones
     block = F.floor(F.col("start") / (slop + 1))
-    far = rare.where("n > 1").select("wid", "doc_id", F.col("start").alias("start"), "n", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    close = other.select("wid", "doc_id", F.col("start").alias("other_start"), block.alias("block"))
+    far = rare.where("n > 1").select("wid", *KEY, F.col("start").alias("start"), "n", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    close = other.select("wid", *KEY, F.col("start").alias("other_start"), block.alias("block"))
     within = F.abs(F.col("start") - F.col("other_start")) <= slop
-    loose = far.join(close, ["wid", "doc_id", "block"]).where(within).select("doc_id", "wid", "start", "n").distinct()
-    return exact.unionByName(loose.join(exact, ["doc_id", "wid", "start"], "left_anti").withColumn("exact", F.lit(False))), of_items
+    loose = far.join(close, ["wid", *KEY, "block"]).where(within).select(*KEY, "wid", "start", "n").distinct()
+    return exact.unionByName(loose.join(exact, [*KEY, "wid", "start"], "left_anti").withColumn("exact", F.lit(False))), of_items
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Null and empty texts have no words and no hits; items without words match nothing. Rows that
-    repeat an id are taken as one document's: each returns with its own n_words and the hits of
-    all. Null ids never match. Columns other than those named are ignored.
+    repeat an id, and rows without one, each return with the hits of their own text. Columns other
+    than those named are ignored.
     """
-    found, of_items = occurrences(docs.select(id_col, text_col), items, id_col, text_col, window)
-    found = stored(found, "matches")
-    hit = found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
-    hits = hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = found.select("doc_id", "wid").join(of_items, "wid").select("doc_id", "item_id").distinct()
-    named = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("ids"))
-    all_docs = docs.select(F.col(id_col).alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    with scratch() as hold:
+        found, of_items = occurrences(docs.select(id_col, text_col), items, id_col, text_col, window)
+        found = hold(stored(found, "matches"))
+    hit = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
+    hits = hit.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_hit"))
+    of = found.select(*KEY, "wid").join(of_items, "wid").select(*KEY, "item_id").distinct()
+    of = of.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("ids"))
+    all_docs = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    all_docs = all_docs.select("own", *_key(all_docs, "own", "text"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     return (
-        all_docs.join(hits, "doc_id", "left")
-        .join(named, "doc_id", "left")
+        all_docs.join(hits, KEY, "left")
+        .join(of, KEY, "left")
         .select(
-            "doc_id",
+            F.col("own").alias("doc_id"),
             "n_words",
             F.coalesce("n_hit", zero).alias("n_hit"),
             F.coalesce("n_items", zero).alias("n_items"),
@@ -145,20 +159,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    found, _ = occurrences(docs.select(id_col, text_col), items, id_col, text_col, window)
-    hit = stored(found.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    clean = docs.join(hit.hint("merge"), F.col(id_col) == F.col("__id"), "left_anti").select(*docs.columns)
-    # no join finds a null id: such rows are told by their texts
-    if docs.where(F.col(id_col).isNull() & F.col(text_col).isNotNull()).isEmpty():
-        return clean
-    digest = F.sha2(text_col, 256)
-    lone = docs.where(F.col(id_col).isNull())
-    texts = lone.where(F.col(text_col).isNotNull()).select(digest.alias("doc_id"), F.col(text_col).alias("text")).distinct()
-    found, _ = occurrences(texts, items, "doc_id", "text", window)
-    hit = stored(found.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    lone = lone.join(hit.hint("merge"), digest == F.col("__id"), "left_anti").select(*docs.columns)
-    return clean.where(F.col(id_col).isNotNull()).unionByName(lone)
+    """The documents in which no benchmark window occurs, with all their columns, whose names are
+    free. Rows without an id and rows that repeat one are judged by their own texts."""
+    with scratch() as hold:
+        found, _ = occurrences(docs.select(id_col, text_col), items, id_col, text_col, window)
+        names = [unused(docs, x) for x in KEY]
+        hit = hold(stored(found.select(*[F.col(k).alias(n) for k, n in zip(KEY, names, strict=True)]).distinct(), "contaminated"))
+    own = [unused(docs, f"own_{x}") for x in KEY]
+    marked = docs.withColumns(dict(zip(own, _key(docs, id_col, text_col), strict=True)))
+    same = [F.col(a) == F.col(b) for a, b in zip(own, names, strict=True)]
+    return marked.join(hit.hint("merge"), same, "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

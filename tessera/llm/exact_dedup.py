@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import ASCII_SPACE, stored, table
+from tessera.llm.shared import ASCII_SPACE, stored, table, unused
 
 SALTS = 16
 
@@ -25,7 +25,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Nulls and empty texts are one group. A null id is never preferred over another id; it stays
     only where a group has no other. Rows that repeat both id and text count in ``group_size``
-    and return as one row. Columns other than the two named are ignored.
+    and each return. Columns other than the two named are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("digest"), F.xxhash64("norm").alias("check"))
@@ -43,17 +43,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.select("doc_id", "digest", "check")
         .join(groups, ["digest", "check"])
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
-        .distinct()
     )
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; rows repeated whole stay once."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    """The documents that stay, with all their columns, whose names are free; rows repeated whole stay
+    once, and of null ids with one text one row, where no other id has it."""
+    id_, digest, own = (unused(docs, x) for x in ("__id", "__digest", "__own"))
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(digest))
     keep = stored(keep, "kept")
-    marked = docs.withColumn("__digest_of", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest_of") == F.col("__digest"))
-    return marked.join(keep.hint("merge"), same, "left_semi").dropDuplicates([id_col, "__digest_of"]).select(*docs.columns)
+    marked = docs.withColumn(own, F.sha2(normalised(F.col(text_col)), 256))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest))
+    return marked.join(keep.hint("merge"), same, "left_semi").dropDuplicates([id_col, own]).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

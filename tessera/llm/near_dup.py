@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import mapped, release, slices, stored, table
+from tessera.llm.shared import mapped, release, scratch, slices, stored, table, unused
 
 WORDS, PERCENT = 5, 80
 TREES, COORDINATES = 12, 256
@@ -426,21 +426,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(mapped(own, _sketched(words), "doc_id long, n_shingles long, set_a long, set_b long, tokens binary"), "sets")
-    key = ["n_shingles", "set_a", "set_b"]
-    firsts = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
-    firsts = stored(firsts.withColumn("uid", F.monotonically_increasing_id()), "firsts")
-    nodes = rooted(firsts)
-    links = hub_links(own, firsts, nodes, words, percent)
-    found = components(links)
-    more = candidates(firsts, nodes, found.select(F.col("node").alias("uid"), F.col("root").alias("class")), percent)
-    links = links.union(_confirm(own, firsts, more, words, percent))
-    roots = components(links).select(F.col("node").alias("uid"), "root").join(firsts.select("uid", "doc_id", *key).hint("merge"), "uid")
-    least = roots.groupBy("root").agg(F.min("doc_id").alias("component"))
-    linked = roots.join(least, "root").select("uid", "component")
-    classes = firsts.select("uid", "doc_id", *key).join(linked.hint("merge"), "uid", "left").select(*key, F.coalesce("component", "doc_id").alias("component"))
-    classes = stored(classes, "classes")  # so that the rows of a set of many copies can be split
-    release(nodes, more, firsts)
+    with scratch() as keep:
+        sets = keep(stored(mapped(own, _sketched(words), "doc_id long, n_shingles long, set_a long, set_b long, tokens binary"), "sets"))
+        key = ["n_shingles", "set_a", "set_b"]
+        firsts = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+        firsts = stored(firsts.withColumn("uid", F.monotonically_increasing_id()), "firsts")
+        nodes = rooted(firsts)
+        links = hub_links(own, firsts, nodes, words, percent)
+        found = components(links)
+        more = candidates(firsts, nodes, found.select(F.col("node").alias("uid"), F.col("root").alias("class")), percent)
+        links = links.union(_confirm(own, firsts, more, words, percent))
+        roots = components(links).select(F.col("node").alias("uid"), "root").join(firsts.select("uid", "doc_id", *key).hint("merge"), "uid")
+        least = roots.groupBy("root").agg(F.min("doc_id").alias("component"))
+        linked = roots.join(least, "root").select("uid", "component")
+        classes = firsts.select("uid", "doc_id", *key).join(linked.hint("merge"), "uid", "left").select(*key, F.coalesce("component", "doc_id").alias("component"))
+        classes = keep(stored(classes, "classes"))  # so that the rows of a set of many copies can be split
     out = sets.select("doc_id", *key).join(classes.hint("merge"), key, "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -449,23 +449,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, with all its columns.
 
-    Null ids come after all others; of null ids with one text one row stays. Texts without words stay.
+    Null ids come after all others; of null ids with one text one row stays. Texts without words
+    stay. Rows that repeat an id stay together. Columns may have any names.
     """
     lone = F.coalesce(F.col(id_col).isNull() & F.col(text_col).rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
-    if docs.where(lone).isEmpty():
-        keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"))
-        keep = stored(keep, "kept")
-        return docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
-    most = docs.agg(F.max(F.col(id_col).cast("long"))).first()[0]
-    keys = docs.where(lone).select(F.sha2(text_col, 256).alias("__digest")).distinct()
-    keys = stored(keys.withColumn("__id", F.monotonically_increasing_id() + F.lit(0 if most is None else most + 1)), "keys")
-    named = docs.where(lone).join(keys.hint("merge"), F.sha2(text_col, 256) == F.col("__digest"))
-    known = docs.where(F.col(id_col).isNotNull())
-    own = known.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = own.unionByName(named.select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text")))
-    keep = stored(near_duplicates(own).where("kept").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    known = known.join(keep.hint("merge"), F.col(id_col) == F.col("__keep"), "left_semi").select(*docs.columns)
-    named = named.join(keep.hint("merge"), F.col("__id") == F.col("__keep"), "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    id_, digest, stay = (unused(docs, x) for x in ("__id", "__digest", "__stay"))
+    with scratch() as hold:
+        if docs.where(lone).isEmpty():
+            keep = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_))
+            keep = hold(stored(keep, "kept"))
+            return docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col(id_)), "left_semi").select(*docs.columns)
+        most = docs.agg(F.max(F.col(id_col).cast("long"))).first()[0]
+        keys = docs.where(lone).select(F.sha2(text_col, 256).alias(digest)).distinct()
+        keys = hold(stored(keys.withColumn(id_, F.monotonically_increasing_id() + F.lit(0 if most is None else most + 1)), "keys"))
+        named = docs.where(lone).join(keys.hint("merge"), F.sha2(text_col, 256) == F.col(digest))
+        known = docs.where(F.col(id_col).isNotNull())
+        own = known.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        own = own.unionByName(named.select(F.col(id_).alias("doc_id"), F.col(text_col).alias("text")))
+        keep = hold(stored(near_duplicates(own).where("kept").select(F.col("doc_id").alias(stay)).distinct(), "kept"))
+    known = known.join(keep.hint("merge"), F.col(id_col) == F.col(stay), "left_semi").select(*docs.columns)
+    named = named.join(keep.hint("merge"), F.col(id_) == F.col(stay), "left_semi").dropDuplicates([id_]).select(*docs.columns)
     return known.unionByName(named).unionByName(docs.where(F.col(id_col).isNull() & ~lone))
 
 

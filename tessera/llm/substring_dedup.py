@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import mapped, release, stored, table
+from tessera.llm.shared import mapped, release, scratch, stored, table
 
 LENGTH, GRAM, RUN = 400, 200, 16
 #: Bytes named at once, and the length from which one text is named in parts.
@@ -263,8 +263,9 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
-    spans = repeated_windows(own, length, gram).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    spans = stored(spans, "spans")
+    with scratch() as hold:
+        spans = repeated_windows(own, length, gram).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        spans = hold(stored(spans, "spans"))
     spans = spans.hint("merge")
     joined = own.join(spans, own["doc_id"].eqNullSafe(spans["doc_id"]) & (own["tkey"] == spans["tkey"]), "left").select(own["doc_id"], "text", "spans")
     return mapped(joined, _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

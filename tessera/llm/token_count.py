@@ -55,6 +55,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     A ``.json`` file is read by tokenizers, a ``.model`` by sentencepiece; no begin, end or added
     tokens. Texts over ``SPLIT_CHARS`` are split where the byte-level pre-tokenizer splits too;
     this holds for byte-level files only, so other models encode them whole. Null counts as empty.
+    Repeated rows each return, null ids too; other columns are ignored.
     """
     split = not path.endswith(".model") and '"pre_tokenizer":{"type":"ByteLevel"' in open(path, encoding="utf-8").read(4000).replace(" ", "").replace("\n", "")
 
@@ -77,7 +78,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
                 for piece in pieces(text) if split else [text]:
                     held.append(piece)
                     of.append(k)
-                    total += len(piece)
+                    total += len(piece) if piece.isascii() else len(piece.encode("utf-8"))
                     if total >= BATCH_BYTES:
                         flush()
                         total = 0

@@ -57,7 +57,7 @@ NAMES = ["exact", "substring", "decontaminate", "pii", "tokens", "pieces", "lang
 def test_odd_rows(spark, odd, clashing, name):
     f = operators(spark)[name]
     rows = f(odd).collect()
-    assert len(rows) == len(ROWS) - (1 if name == "exact" else 0)  # exact returns repeats as one row
+    assert len(rows) == len(ROWS)
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, f(clashing).collect())) == sorted(map(key, rows))
 
@@ -240,12 +240,11 @@ def test_family_below_the_threshold(spark, monkeypatch, capsys):
     root[below] = least
     assert 0 < len(below) < n / 4
     frames = []
-    monkeypatch.setattr(near_dup, "stored", lambda df, name, **k: frames.append((name, out := shared.stored(df, name, **k))) or out)
-    monkeypatch.setattr(near_dup, "release", lambda *found: None)
+    monkeypatch.setattr(near_dup, "stored", lambda df, name, **k: frames.append((name, (out := shared.stored(df, name, **k)).count())) or out)
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, words=4).collect()}
     missed = sum(got[k] != root[k] for k in got)
-    copies = sum(f.count() for name, f in frames if name in ("candidates", "hub-pairs"))
+    copies = sum(rows for name, rows in frames if name in ("candidates", "hub-pairs"))
     with capsys.disabled():
         print(f"\n{len(frames)} stored frames, {copies} copies of {n} texts, {missed} of {len(below)} links missed")
     assert missed <= 0.01 * len(below)
@@ -320,6 +319,41 @@ def test_clean_documents_without_ids(spark):
     assert got == [("2", "clean"), ("None", "None"), ("None", "quite another text")]
 
 
+def test_hits_follow_each_row_of_a_repeated_id(spark):
+    leak = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"so {leak} on"), (1, "nothing here"), (None, leak), (None, "nor here")], SCHEMA)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, spark.createDataFrame([(1, leak)], ITEMS)).collect())
+    assert got == [("1", 2, 0, False), ("1", 14, 12, True), ("None", 2, 0, False), ("None", 12, 12, True)]
+    assert sorted(r.text for r in decontaminate.clean_documents(docs, spark.createDataFrame([(1, leak)], ITEMS)).collect()) == ["nor here", "nothing here"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_with_clashing_names(spark, sf, odd, stage):
+    extra = ["__id", "__digest", "__own", "__stay", "own_doc_id", "own_tkey", "tkey", "keep_id", "kept", "uid", "w", "group"]
+    wide = odd.select("*", *[F.lit("x").alias(n) for n in extra])
+    run = corpus_pipeline.STAGES[stage][1]
+    found = run(spark, wide, sf)
+    assert found.columns == wide.columns
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, found.select(*odd.columns).collect())) == sorted(map(key, run(spark, odd, sf).collect()))
+
+
+def test_pages_with_clashing_and_repeated_columns(spark):
+    rows = [(1, "http://a.com/en/1?q#f", "<p>one</p>"), (1, "http://a.com/en/1?q#f", "<p>one</p>"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wide = pages.select("*", *[F.lit("x").alias(n) for n in ("host", "path", "rule", "verdict", "probability", "__grams", "__features", "text", "n_chars")])
+    for f in (url_filter.judge_urls, html_text.extract):
+        assert sorted(map(str, f(wide).collect())) == sorted(map(str, f(pages).collect()))
+        assert f(wide).count() == 3
+
+
+def test_a_very_long_url_and_page(spark):
+    page = "<article>" + "<p>words of a long page &amp; more</p>" * 30_000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://h.com/" + "a/" * 20_000, page)], "page_id long, url string, html string")
+    assert url_filter.judge_urls(pages).first().path == "/" + "a/" * 20_000
+    assert html_text.extract(pages).first().text == "\n\n".join(["words of a long page & more"] * 30_000)
+
+
 def test_near_copies_without_ids(spark):
     one, two = (" ".join(f"{w}{k}" for k in range(100)) for w in "ab")
     docs = spark.createDataFrame([(7, one), (None, one + " more"), (None, two), (None, two), (None, two + " more"), (None, None), (None, " ")], SCHEMA)

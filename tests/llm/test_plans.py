@@ -56,9 +56,8 @@ def test_no_pairs_of_a_large_group(spark, monkeypatch):
     rows = [(k, " ".join(f"w{j}" if j != k % 90 else f"v{k}" for j in range(100))) for k in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     made = []
-    monkeypatch.setattr(near_dup, "stored", lambda df, name, **k: made.append((name, out := shared.stored(df, name, **k))) or out)
-    monkeypatch.setattr(near_dup, "release", lambda *found: None)
+    monkeypatch.setattr(near_dup, "stored", lambda df, name, **k: made.append((name, (out := shared.stored(df, name, **k)).count())) or out)
     assert near_dup.near_duplicates(docs, words=4).select("component_id").distinct().count() == 1
-    assert sum(f.count() for name, f in made if name in ("hub-pairs", "candidates")) <= 12 * n
+    assert sum(rows for name, rows in made if name in ("hub-pairs", "candidates")) <= 12 * n
     # as many writes as there are steps: none for a document or a class
     assert len(made) <= 16 + 2 * sum(name.startswith("open") for name, _ in made)
