@@ -3,7 +3,8 @@
 A page becomes a tree; every node gets its characters per tag, lowered by the share of its
 characters and tags that are links. The node whose children's densities have the largest sum
 holds the article; the least density on the path from the body to it is the threshold at which
-what stands beside that path belongs to the article too.
+what stands beside that path belongs to the article too. Article and main elements play no part
+in this; they only keep what holds them from being dropped for its marks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ BOILERPLATE = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing "
     "sidebar skip social sponsor sponsored subscribe widget toolbar complementary contentinfo search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: What a start tag closes, beyond a paragraph that any block closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("table ul ol dl div article section main body td th".split())
@@ -41,7 +43,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "dropped", "link_chars", "link_tags", "marked", "parent", "summed", "tag", "tags")
+    __slots__ = ("blocks", "children", "chars", "density", "dropped", "link_chars", "link_tags", "marked", "parent", "summed", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False):
         self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped or marked, marked and not dropped
@@ -167,7 +169,11 @@ def restore(top: Node) -> Node:
 
 
 def measure(top: Node) -> list[Node]:
-    """Sets each kept node's composite density and the sum of its children's."""
+    """Sets each kept node's composite density and the sum of its children's.
+
+    Children are blocks; the text and inline elements between them count as one child, so that
+    a paragraph's emphasis is no block of its own.
+    """
     nodes = _walk(top)
     for node in reversed(nodes):
         chars = sum(len(c.strip()) for c in node.children if isinstance(c, str))
@@ -177,42 +183,90 @@ def measure(top: Node) -> list[Node]:
         link = node.tag == "a"
         node.link_chars = node.chars if link else sum(k.link_chars for k in kids)
         node.link_tags = node.tags if link else sum(k.link_tags + (k.tag == "a") for k in kids)
-    body = top
-    whole = max(body.chars, 1)
-    for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        rest = max(c - lc, 1)
+    body, whole = top, max(top.chars, 1)
+
+    def density(c: int, t: int, lc: int, lt: int) -> float:
+        t, rest = max(t, 1), max(c - lc, 1)
         base = math.log(c / rest * lc + body.link_chars / whole * c + math.e)
         ratio = max(c / max(lc, 1) * t / max(lt, 1), 1.0)
-        node.density = c / t * math.log(ratio, base) if c and base > 1 else (c / t * math.log(ratio + 1) if c else 0.0)
-        node.summed = sum(k.density for k in node.children if isinstance(k, Node) and not k.dropped)
+        return c / t * math.log(ratio, base) if c and base > 1 else (c / t * math.log(ratio + 1) if c else 0.0)
+
+    for node in reversed(nodes):
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags)
+        kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        inline = [k for k in kids if not k.blocks]
+        node.blocks = node.tag in BLOCK or len(inline) < len(kids)
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(k.chars for k in inline)
+        between = density(own, len(inline) + sum(k.tags for k in inline), sum(k.link_chars for k in inline), sum(k.link_tags + (k.tag == "a") for k in inline))
+        node.summed = between + sum(k.density for k in kids if k.blocks)
     return nodes
 
 
-def select(top: Node) -> list[Node]:
-    """The subtrees that make up the article, in page order."""
+def select(top: Node) -> list[Node | str]:
+    """What makes up the article, in page order.
+
+    The node with the largest sum is taken whole. The least density on the path from it to the
+    body is the threshold: beside that path, at whatever depth, a block that reaches it and is
+    not mostly links belongs to the article, and so does what stands between two such blocks or,
+    as a heading, before one.
+    """
     nodes = measure(top)
-    best = max(nodes, key=lambda n: n.summed)
-    if best.summed <= 0:
-        best = top
+    best = max((n for n in nodes if n.blocks), key=lambda n: n.summed)
     path = [best]
     while path[-1].parent:
         path.append(path[-1].parent)
-    for node in path:  # an article that the page marks is taken whole
-        if node.tag in ("article", "main"):
-            return [node]
-    inner = [n for n in path if n.tag != "html"] or path
-    threshold = min(n.density for n in inner)
-    while best.parent and best.tag not in BLOCK:
-        best = best.parent
-    chosen = best
-    if chosen.parent:
-        beside = [c for c in chosen.parent.children if isinstance(c, Node) and not c.dropped]
-        return [c for c in beside if c is chosen or (c.tag in BLOCK and c.density >= threshold and c.density > 0 and c.link_chars * 2 < c.chars)]
-    return [chosen]
-
-
-def text_of(roots: list[Node]) -> str:
+    threshold = min(n.density for n in path)
+    out: list[Node | str] = [best]
+    for child, parent in zip(path, path[1:], strict=False):
+        # runs of inline content are one block
+        parts: list[list[Node | str]] = []
+        for c in parent.children:
+            if isinstance(c, Node) and c.dropped:
+                continue
+            whole = isinstance(c, Node) and (c.blocks or c is child)
+            if whole or not parts or parts[-1] == [] or (isinstance(parts[-1][-1], Node) and (parts[-1][-1].blocks or parts[-1][-1] is child)):
+                parts.append([c])
+            else:
+                parts[-1].append(c)
+        at = next(k for k, part in enumerate(parts) if part[0] is child)
+        keep = [k == at or _belongs(part, threshold) for k, part in enumerate(parts)]
+        first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
+        while first and _heading(parts[first - 1]):
+            first -= 1
+        around: list[Node | str] = []
+        for k in range(first, last + 1):
+            around += out if k == at else [_Break, *parts[k], _Break] if keep[k] or _plain(parts[k]) else []
+        out = around
+    return out
+
+
+#: Between parts, so that text beside a block does not run into it.
+_Break = "\0"
+
+
+def _size(part: list[Node | str]) -> tuple[int, int]:
+    """Characters, and those in links."""
+    chars = sum(len(c.strip()) if isinstance(c, str) else c.chars for c in part)
+    return chars, sum(c.link_chars for c in part if isinstance(c, Node))
+
+
+def _plain(part: list[Node | str]) -> bool:
+    chars, linked = _size(part)
+    return 2 * linked <= chars
+
+
+def _belongs(part: list[Node | str], threshold: float) -> bool:
+    chars, _ = _size(part)
+    density = part[0].density if isinstance(part[0], Node) and part[0].blocks else chars / max(sum(isinstance(c, Node) for c in part), 1)
+    return chars > 0 and density >= threshold and _plain(part)
+
+
+def _heading(part: list[Node | str]) -> bool:
+    chars, _ = _size(part)
+    return not chars or isinstance(part[0], Node) and part[0].tag in HEADINGS and _plain(part)
+
+
+def text_of(roots: list[Node | str]) -> str:
     """Blocks of text in page order, joined by an empty line."""
     blocks: list[str] = []
     held: list[str] = []
@@ -226,7 +280,7 @@ def text_of(roots: list[Node]) -> str:
     todo: list[Node | str | None] = list(reversed(roots))
     while todo:
         item = todo.pop()
-        if item is None:
+        if item is None or item is _Break:
             flush()
         elif isinstance(item, str):
             held.append(item)

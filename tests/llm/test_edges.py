@@ -395,6 +395,26 @@ def test_html_wrappers_with_marked_names():
     assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold.</p><svg><title>t</title><text>Axis</text></svg></article>") == "Let x=2 hold. Axis".replace(". A", ".\n\nA")
 
 
+def test_html_by_density_alone(spark, sf):
+    """The fixture's articles, marked by no element that says so; and articles of sections, with what stands between them."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        for tag in ("div", "section"):
+            page = r.html.replace("<article", f"<{tag}").replace("</article", f"</{tag}")
+            if r.html and len(want := html_text.main_text(r.html)) > 150:  # else the advert holds most of the page's text
+                assert html_text.main_text(page) == want, r.page_id
+    long = "A sentence of the article, of some length and then more. " * 4
+    menu = "<div>" + "".join(f"<a href='/{k}'>Entry {k}</a> " for k in range(9)) + "</div>"
+    section = f"<div><h2>Part</h2><p>{long}</p><p>{long}</p></div>"
+    page = f"<body>{menu}<div><h1>Title</h1>{section}<p>Short.</p>{section}{section}</div>{menu}</body>"
+    part = f"Part\n\n{long.strip()}\n\n{long.strip()}"
+    assert html_text.main_text(page) == f"Title\n\n{part}\n\nShort.\n\n{part}\n\n{part}"
+    body = f"<p>{long}</p><p>And its end.</p>"
+    want = f"{long.strip()}\n\nAnd its end."
+    for wrapped in (f"<div class='site has-sidebar'>{body}</div>", f"<div class='post comments-open'>{body}</div>", f"<div id='research-search'>{body}</div>", f"<article><div class='topic-social'>{body}</div></article>"):
+        assert html_text.main_text(f"<body>{menu}{wrapped}</body>") == want
+    assert html_text.main_text(f"<article>{body}<section class='related-work'><h2>Related work</h2><p>Others wrote.</p></section></article>") == want + "\n\nRelated work\n\nOthers wrote."
+
+
 def test_html_cases():
     cases = {
         "<body><nav>menu here</nav><article><h1>T</h1><p>a <b>b</b><br>c<p>d &amp; e</article><footer>f</footer>": "T\n\na b c\n\nd & e",
