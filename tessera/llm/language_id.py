@@ -22,10 +22,13 @@ from tessera.llm.shared import mapped, table
 
 ORDER = 3
 UNKNOWN = "und"
-#: The sample: documents a language, none longer than this many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
-#: Contexts of full order kept over all languages, the most frequent ones.
-MAX_CONTEXTS = 16_384
+#: The sample: documents a language, none longer than this many characters, and about so many
+#: characters over all languages, which share them alike; of each at least ``LEAST_DOCS`` beginnings.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL, LEAST_DOCS = 400, 20_000, 1 << 24, 16
+#: Contexts of one order kept over all languages, the most frequent ones, and bytes of the cost tables.
+MAX_CONTEXTS, MODEL_BYTES = 16_384, 128 << 20
+#: Labels that can be learned; more are an error.
+MAX_LABELS = 2_000
 FOLDS, HELD_OUT = 4, 2
 #: Bytes scored at once.
 CHUNK = 1 << 18
@@ -118,6 +121,7 @@ def fit(samples: dict[str, list[bytes]], max_contexts: int = MAX_CONTEXTS) -> Mo
         singles[lang] = ones
     # nodes: 0 the empty context, then one byte, two bytes, and the frequent contexts of full order
     totals: dict[int, np.ndarray] = {}
+    max_contexts = min(max_contexts, max(MODEL_BYTES // (4 * max(len(langs), 1) * a) // ORDER, 1))
     for order in range(1, ORDER + 1):
         found = [(k // a % a**order, c) for k, c in grams.values()]
         contexts, where = np.unique(np.concatenate([k for k, _ in found] or [np.zeros(0, np.int64)]), return_inverse=True)
@@ -165,24 +169,31 @@ def fit(samples: dict[str, list[bytes]], max_contexts: int = MAX_CONTEXTS) -> Mo
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> dict[str, list[bytes]]:
     """About ``sample_docs`` training documents of each language, chosen by a hash of the id; of a
-    language without a text of up to ``SAMPLE_CHARS`` characters, what its texts begin with."""
+    language without a text of up to ``SAMPLE_CHARS`` characters, what its texts begin with. Of many
+    languages each has fewer documents, so that the driver holds about ``SAMPLE_TOTAL`` characters."""
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)
     )
     short = F.length("text") <= SAMPLE_CHARS
     # without letters or of no length, a short text teaches nothing
     fit_ = short & F.col("text").rlike(r"\p{L}")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(fit_).alias("fit")).orderBy("lang").collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(fit_).alias("fit"), F.avg(F.when(fit_, F.length("text"))).alias("mean"))
+    counts = counts.orderBy("lang").limit(MAX_LABELS + 1).collect()
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / (r["fit"] or r["n"])))])
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages to learn")
+    quota = SAMPLE_TOTAL // len(counts)
+    wanted = {r["lang"]: max(min(sample_docs, int(quota / (r["mean"] or SAMPLE_CHARS))), LEAST_DOCS) for r in counts}
+    chars = min(SAMPLE_CHARS, max(quota // LEAST_DOCS, 1))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, wanted[r["lang"]] / (r["fit"] or r["n"])))])
     long_only = [r["lang"] for r in counts if not r["fit"]]
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000
     taken = short | F.col("lang").isin(long_only) if long_only else short
-    rows = usable.where(drawn & taken).select("lang", "doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    rows = usable.where(drawn & taken).select("lang", "doc_id", F.left("text", F.lit(chars)).alias("text")).collect()
     found: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if len(found[r["lang"]]) < 2 * sample_docs:
+        if len(found[r["lang"]]) < 2 * wanted[r["lang"]]:
             found[r["lang"]].append(r["text"].encode("utf-8"))
     return found
 
@@ -203,7 +214,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def shipped(spark: SparkSession, model: Model):
     """A broadcast of the model's fields, plain values that a worker without this package can read;
-    bounded by ``MAX_CONTEXTS`` and the 256 bytes."""
+    the cost tables, by far the largest, hold at most ``MODEL_BYTES`` whatever the number of languages."""
     return spark.sparkContext.broadcast((model.langs, model.classes, model.symbol, model.node, model.bits))
 
 

@@ -369,7 +369,26 @@ def test_every_label_is_learned(spark):
     assert len(trained) > 205 and "long" in trained
     found = language_id.labelled_sample(df, "doc_id", "text", "lang", 400)
     assert set(found) == trained and all(sum(map(len, x)) for x in found.values())
-    assert max(map(len, found["long"])) == language_id.SAMPLE_CHARS
+    assert max(map(len, found["long"])) == language_id.SAMPLE_TOTAL // len(found) // language_id.LEAST_DOCS
+
+
+def test_sample_and_model_of_many_languages(spark, monkeypatch):
+    """250 languages in bounds that are far too small for 400 documents of each: all are learned and told apart."""
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 1 << 19)
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 4 << 20)
+    rnd = random.Random(2)
+    words = {k: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzäöüéèñ") for _ in range(4)) for _ in range(6)] for k in range(250)}
+    rows = [(40 * k + j, " ".join(rnd.choice(words[k]) for _ in range(60)), f"l{k:03}") for k in range(250) for j in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.labelled_sample(df, "doc_id", "text", "lang", 400)
+    assert len(found) == 250 and all(sum(map(len, x)) for x in found.values())
+    assert sum(len(x) for texts in found.values() for x in texts) <= 4 << 19
+    assert language_id.fit(found).bits.nbytes <= 5 << 20
+    held = language_id.identify(df).where("held_out").join(df.select("doc_id", "lang"), "doc_id")
+    assert held.where("lang_pred = lang").count() >= 0.97 * held.count()
+    monkeypatch.setattr(language_id, "MAX_LABELS", 249)
+    with pytest.raises(ValueError, match="249 languages"):
+        language_id.labelled_sample(df, "doc_id", "text", "lang", 400)
 
 
 def test_language_of_nothing(spark):
