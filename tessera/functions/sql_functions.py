@@ -1,8 +1,9 @@
 """Functions of the SQL surface with SQL bodies: they stay inside Catalyst, a lookup of a path is a
 join and not a call for each row.
 
-They read the views ``files``, ``contents``, ``dentries``, ``files_meta``, ``fs_events`` and
-``chunks`` of the session they are registered in.
+They read the views ``files``, ``contents``, ``dentries``, ``files_meta``, ``fs_events``, the text
+index's ``postings`` and ``text_stats``, and ``vectors_of`` (id, vector) of the session they are
+registered in; ``search`` also calls ``embedding`` (text to vector) there.
 """
 
 from __future__ import annotations
@@ -10,9 +11,24 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tessera.errors import InvalidInput
+from tessera.functions import text
+from tessera.operators import text_index
 
 _UNDER = "(coalesce(prefix, '/') = '/' OR path = rtrim('/', prefix) OR startswith(path, concat(rtrim('/', prefix), '/')))"
 
+#: Scores (id, score) in r by the stored index, views ``postings``, ``lengths`` and ``text_stats``.
+_BM25 = (
+    f"q AS (SELECT DISTINCT term, pmod(crc32(encode(term, 'UTF-8')), {text_index.BUCKETS}) AS bucket FROM (SELECT explode(regexp_extract_all(lower(query), '{text.TOKEN.replace(chr(92), chr(92) * 2)}', 0)) AS term)), "
+    "t AS (SELECT p.id, p.term, p.tf, p.dl FROM postings p JOIN q ON p.bucket = q.bucket AND p.term = q.term), "
+    "f AS (SELECT term, count(*) AS df FROM t GROUP BY term), "
+    "r AS (SELECT t.id, sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))) AS score FROM t JOIN f ON t.term = f.term CROSS JOIN text_stats s GROUP BY t.id)"
+)
+#: The limit in lim (k); unknown modes and limits that are not positive are errors.
+_LIMIT = (
+    "lim AS (SELECT CASE WHEN coalesce(mode, 'hybrid') NOT IN ('hybrid', 'semantic', 'fulltext') THEN CAST(raise_error(concat('search: mode ', mode)) AS INT) "
+    "WHEN n <= 0 THEN CAST(raise_error('search: the limit must be positive') AS INT) ELSE least(coalesce(n, 10), 100) END AS k)"
+)
+
 SCALARS = {
     "path_parent": ("p STRING", "STRING", "CASE WHEN regexp_extract(p, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(p, '^(.*)/[^/]*$', 1) END"),
     "path_name": ("p STRING", "STRING", "substring_index(p, '/', -1)"),
@@ -42,13 +58,21 @@ TABLES = {
     "search_text": (
         "query STRING, n INT DEFAULT 10",
         "id STRING, score DOUBLE, rank INT",
-        "WITH q AS (SELECT DISTINCT term FROM (SELECT explode(regexp_extract_all(lower(query), '[\\\\p{L}\\\\p{N}]+', 0)) AS term)), "
-        "w AS (SELECT id, regexp_extract_all(lower(content), '[\\\\p{L}\\\\p{N}]+', 0) AS words FROM chunks), "
-        "s AS (SELECT count(*) AS docs, avg(size(words)) AS avgdl FROM w), "
-        "t AS (SELECT x.id, x.term, count(*) AS tf, max(x.dl) AS dl FROM (SELECT id, size(words) AS dl, explode(words) AS term FROM w) x JOIN q ON x.term = q.term GROUP BY x.id, x.term), "
-        "f AS (SELECT term, count(*) AS df FROM t GROUP BY term), "
-        "r AS (SELECT t.id, sum(ln(1 + (s.docs - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))) AS score FROM t JOIN f ON t.term = f.term CROSS JOIN s GROUP BY t.id) "
-        "SELECT id, score, rank FROM (SELECT id, score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INT) AS rank FROM r) WHERE rank <= n",
+        f"WITH {_BM25} SELECT id, score, rank FROM (SELECT id, score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INT) AS rank FROM r) WHERE rank <= n",
+    ),
+    "search": (
+        "query STRING, mode STRING DEFAULT 'hybrid', n INT DEFAULT 10",
+        "id STRING, score DOUBLE, score_type STRING",
+        f"WITH {_BM25}, {_LIMIT}, "
+        "e AS (SELECT embedding(query) AS x), "
+        "v AS (SELECT id, aggregate(zip_with(vector, x, (a, b) -> a * b), 0D, (s, t) -> s + t) / sqrt(aggregate(vector, 0D, (s, t) -> s + t * t) * aggregate(x, 0D, (s, t) -> s + t * t)) AS score "
+        "FROM (SELECT id, transform(vector, t -> CAST(t AS DOUBLE)) AS vector, transform(x, t -> CAST(t AS DOUBLE)) AS x FROM vectors_of CROSS JOIN e)), "
+        "dense AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM v WHERE score IS NOT NULL), "
+        "sparse AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM r), "
+        "one AS (SELECT id, score, 'cosine' AS score_type, 'semantic' AS kind FROM dense WHERE rank <= 100 UNION ALL SELECT id, score, 'bm25', 'fulltext' FROM sparse WHERE rank <= 100 UNION ALL "
+        "SELECT id, sum(1 / (60 + rank)), 'rrf', 'hybrid' FROM (SELECT id, rank FROM dense WHERE rank <= 100 UNION ALL SELECT id, rank FROM sparse WHERE rank <= 100) CROSS JOIN lim WHERE rank <= k GROUP BY id) "
+        "SELECT id, score, score_type FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM one WHERE kind = coalesce(mode, 'hybrid')) CROSS JOIN lim WHERE rank <= k "
+        "UNION ALL SELECT CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CAST(NULL AS STRING) FROM lim WHERE k < 0",  # none: the arguments are checked though nothing is found
     ),
 }
 

@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INLINE_BYTES = 256 * 1024
-#: Words: runs of letters and digits, lower-cased.
-TOKEN = r"[\p{L}\p{N}]+"
+#: Words, lower-cased: each Han character, else runs of letters and digits.
+TOKEN = r"\p{IsHan}|(?:[^\P{L}\p{IsHan}]|\p{N})+"
+#: The characters with the property White_Space.
+SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 CUT_MARK = "\n\n[... content truncated ...]\n\n"
 HAN, KANA_HANGUL = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]", r"[\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
+_SPACES = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), SPACE)
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
+def stripped(value: str) -> str:
+    """``trimmed`` of a literal."""
+    return re.sub(rf"\A{_SPACES}+|{_SPACES}+\Z", "", value)
+
+
+def composed(text: Column) -> Column:
+    """In normal form C."""
+
+    @F.pandas_udf("string")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
+
+    return normal(text)
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)

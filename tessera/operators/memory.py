@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput
+from tessera.functions import text
+from tessera.operators import retrieval
 
+OVERFETCH, INDEX_OVERFETCH = 3, 5
 CONTENT_CHARS, TOPIC_CHARS, SOURCE_BYTES = 4096, 128, 4096
 
 
@@ -72,6 +76,34 @@ def dedup(ranked: DataFrame, limit: int) -> DataFrame:
     return out.withColumn("rank", F.col("__first")).drop("__best", "__first").orderBy("rank", "id").limit(limit)
 
 
+def scope(actor: Actor, name: str | None) -> Column:
+    """One domain, ``team``, ``dept`` or ``mine``; or, without a name, the whole context."""
+    if name is None:
+        return in_context(actor)
+    if name not in ("team", "dept", "mine"):
+        raise InvalidInput(f"scope: {name!r}")
+    if actor.team_only and name != "team":
+        raise InvalidInput("only team memories are available")
+    if name == "dept" and actor.dept is None:
+        raise InvalidInput("no department")
+    kind, own = {"team": ("workspace", actor.workspace), "dept": ("dept", actor.dept), "mine": ("principal", actor.principal)}[name]
+    return (F.col("scope_type") == kind) & (F.col("scope_id") == own)
+
+
+def search(memories: DataFrame, actor: Actor, query: str, vector: Sequence[float] | None, now: str, scope_name: str | None = None, limit: int = 10, mode: str = "hybrid") -> DataFrame:
+    """The best live memories of a scope: id, rank, score and what ``dedup`` keeps.
+
+    The index (id, content, vector) gives candidates of the scope, ``OVERFETCH`` times ``limit``,
+    each ranker ``INDEX_OVERFETCH`` times those; the authoritative rows, in scope and live, are
+    looked up anew; equal contents collapse to the widest scope at the first one's rank.
+    """
+    allowed = scope(actor, scope_name)
+    index = memories.where(allowed).select("id", "content", "vector")
+    wanted = limit * OVERFETCH
+    hits = retrieval.ranked_hits(index, query, vector, mode, wanted, INDEX_OVERFETCH)
+    return dedup(recheck(hits, memories.drop("vector"), allowed & live(now)), limit)
+
+
 def inherited_topic(nearest: DataFrame, least: float = 0.75) -> DataFrame:
     """new_id, topic: each new memory's nearest neighbour's topic (new_id, id, score, topic), where near enough."""
     best = nearest.groupBy("new_id").agg(F.max_by(F.struct("topic", "score"), F.struct("score", F.negate("id"))).alias("b"))
@@ -80,7 +112,7 @@ def inherited_topic(nearest: DataFrame, least: float = 0.75) -> DataFrame:
 
 def save(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows to insert: trimmed, valid, new to their scope, one for each content."""
-    new = incoming.withColumn("content", F.trim("content"))
+    new = incoming.withColumn("content", text.trimmed(F.col("content")))
     new = new.where((F.length("content") > 0) & (F.length("content") <= CONTENT_CHARS) & (F.coalesce(F.length("topic"), F.lit(0)) <= TOPIC_CHARS))
     new = new.withColumn("content_hash", F.sha2("content", 256))
     key = ["scope_type", "scope_id", "content_hash"]
@@ -96,10 +128,11 @@ def origin(scope: Column, kind: Column, given: Column, workspace: str) -> Column
 
 def update(memories: DataFrame, actor: Actor, id_: int, content: str) -> DataFrame:
     """``memories`` with one row's content replaced, if the actor may; others are as they were."""
-    if not content.strip() or len(content) > CONTENT_CHARS:
+    content = text.stripped(content)
+    if not content or len(content) > CONTENT_CHARS:
         raise InvalidInput("content")
     hit = (F.col("id") == id_) & writable(actor)
-    new = F.when(hit, F.lit(content.strip())).otherwise(F.col("content"))
+    new = F.when(hit, F.lit(content)).otherwise(F.col("content"))
     return memories.withColumn("content", new).withColumn("content_hash", F.sha2("content", 256))
 
 

@@ -79,6 +79,39 @@ def delete_subtree(dentries: DataFrame, path: str) -> tuple[DataFrame, DataFrame
     return dentries.where(~inside), dentries.where(inside)
 
 
+def appended_bytes(files: DataFrame, appended: DataFrame) -> DataFrame:
+    """path, n: the bytes that ``append_merge`` adds to each file; a missing file is created with them."""
+    return appended.select("path", F.octet_length("content").cast("long").alias("n"))
+
+
+def removed_count(dentries: DataFrame, path: str) -> DataFrame:
+    """One row, n: the entries that go with ``path``. A missing path is an error."""
+    found = delete_subtree(dentries, path)[1].agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit(f"not found: {path}")).cast("long")).alias("n"))
+
+
+def made_directories(wanted: DataFrame, dentries: DataFrame) -> DataFrame:
+    """path, made of the directories asked for: true whether they were there or are made now; a file
+    of that path is an error."""
+    there = dentries.select("path", "is_dir")
+    clash = F.raise_error(F.concat(F.lit("a file has this path: "), F.col("path"))).cast("boolean")
+    return wanted.join(there, "path", "left").select("path", F.when(F.coalesce("is_dir", F.lit(True)), F.lit(True)).otherwise(clash).alias("made"))
+
+
+def coalesced_writes(changes: DataFrame, wait_ms: int = 5000) -> DataFrame:
+    """path, seq, action, content: what a client sends after waiting ``wait_ms`` from a path's last change.
+
+    ``changes`` has path, seq, ts (timestamp), action (write or delete), content. Writes of a path
+    closer than the wait are one, the last; a delete cancels the writes it follows and goes alone.
+    """
+    by = Window.partitionBy("path").orderBy("seq")
+    gap = F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.lag("ts").over(by).cast("timestamp"))
+    runs = changes.withColumn("opens", F.coalesce((gap >= wait_ms).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("opens").over(by))
+    last = runs.groupBy("path", "run").agg(F.max_by(F.struct("seq", "action", "content"), "seq").alias("last"))
+    return last.select("path", "last.seq", "last.action", F.when(F.col("last.action") == "write", F.col("last.content")).alias("content"))
+
+
 def orphaned_files(dentries: DataFrame, removed: DataFrame) -> DataFrame:
     """Files that only removed entries named."""
     return removed.where("file_id is not null").select("file_id").distinct().join(dentries.select("file_id"), "file_id", "left_anti")

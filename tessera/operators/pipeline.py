@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import paths, text
+from tessera.intermediate import stored
 
-MAX_TOKENS, CHUNK_BYTES, ROLLUP_CHARS, PROMPT_CHARS = 2048, 256 * 1024, 8000, 12_000
+MAX_TOKENS, CHUNK_BYTES, ROLLUP_CHARS, PROMPT_CHARS, LEAD = 2048, 256 * 1024, 8000, 12_000, 120
 
 
 def is_heading(line: str) -> bool:
@@ -137,18 +138,27 @@ def dir_rollup(children: DataFrame, most: int = ROLLUP_CHARS) -> DataFrame:
     return joined.select("parent_path", text.truncated_middle(F.array_join("items.line", "\n"), most).alias("text"))
 
 
-def rollup_levels(dentries: DataFrame, summaries: DataFrame, levels: int = 8) -> DataFrame:
-    """Every directory's roll-up text, deepest level first; a directory's abstract is its roll-up's lead."""
-    known = child_rows(dentries, summaries)
-    out = None
-    dirs = dentries.where("is_dir").select("path", "parent_path")
-    for _ in range(levels):
-        made = dir_rollup(known)
-        made = made if out is None else made.join(out.select("parent_path"), "parent_path", "left_anti")
-        out = made if out is None else out.unionByName(made)
-        known = dirs.join(made.select(F.col("parent_path").alias("path"), F.left("text", F.lit(120)).alias("l0_abstract")), "path")
-        if known.isEmpty():
-            return out
+def rollup_levels(dentries: DataFrame, summaries: DataFrame, most: int = ROLLUP_CHARS) -> DataFrame:
+    """parent_path, text: every directory's roll-up, deepest first, of its files and of its
+    sub-directories together, in path order. A directory's abstract is its roll-up's lead; one below
+    which no file has an abstract has no roll-up.
+
+    As many rounds as the tree is deep, each written out, so that none is computed twice.
+    """
+    depth = F.when(F.col("parent_path") == "/", 0).otherwise(paths.depth(F.col("parent_path")))
+    files = stored(child_rows(dentries, summaries).withColumn("depth", depth), "rollup-files", deepest=F.max("depth"))
+    deepest = files.observed["deepest"]
+    if deepest is None:
+        return dir_rollup(files.drop("depth"), most)
+    dirs = dentries.where("is_dir and path <> '/'").select("path", "parent_path")
+    out, below = None, None
+    for level in range(deepest, -1, -1):
+        known = files.where(F.col("depth") == level).drop("depth")
+        if below is not None:
+            lead = below.select(F.col("parent_path").alias("path"), F.left("text", F.lit(LEAD)).alias("l0_abstract"))
+            known = known.unionByName(dirs.join(lead, "path").select("parent_path", "path", "l0_abstract"))
+        below = stored(dir_rollup(known, most), f"rollup{level}")
+        out = below if out is None else out.unionByName(below)
     return out
 
 

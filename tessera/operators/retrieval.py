@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput
 from tessera.functions import paths, text
+from tessera.operators.text_index import TextIndex, bucket
 
-K1, B, RRF_K = 1.2, 0.75, 60
+RRF_K = 60
 MODES = ("hybrid", "semantic", "fulltext")
 DEFAULT_LIMIT, LIMIT = 10, 100
 TOP_LIMIT = 16_383
@@ -47,38 +48,26 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str = "
     return top(vectors.withColumn("score", cosine(F.col("vector"), query)), k, key=key).withColumn("score_type", F.lit("cosine"))
 
 
-def bm25(docs: DataFrame, query: str, key: str = "id", content: str = "content") -> DataFrame:
-    """key, score of documents with a query term. One pass counts lengths and the terms' frequencies
-    per document; only documents that match are aggregated over."""
-    terms = sorted({t.lower() for t in _query_terms(query)})
-    if not terms:
-        return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    words = docs.select(F.col(key), text.tokens(F.col(content)).alias("w"))
-    tf = words.select(key, F.size("w").alias("dl"), *_tf(terms))
-    stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    any_term = F.greatest(*[F.col(f"tf{k}") for k in range(len(terms))], F.lit(0)) > 0
-    joined = tf.where(any_term).crossJoin(F.broadcast(stats))  # one row of corpus statistics
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        f, df = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.select(key, score.alias("score"))
+def query_terms(query: str) -> list[str]:
+    return sorted({t.lower() for t in regex.findall(text.TOKEN.replace("IsHan", "Han"), query)})
 
 
-def _tf(terms: list[str]) -> list[Column]:
-    def count(t: str) -> Column:
-        return F.size(F.filter("w", lambda x: x == t))
+def bm25(docs: DataFrame | None, query: str, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """key, score of documents with a query term, by the stored ``index`` (within ``scope``, if
+    given) or, without one, by a pass over the texts that keeps the query's terms only."""
+    terms = query_terms(query)
+    if index is not None:
+        return index.scores(terms, scope).withColumnRenamed("id", key)
+    words = docs.select(F.col(key).alias("id"), F.coalesce(text.tokens(F.col(content)), F.array().cast("array<string>")).alias("w"))
+    dl = F.size("w").alias("dl")
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    held = words.select("id", dl, F.explode(F.filter("w", lambda x: x.isin(terms) if terms else F.lit(False))).alias("term"))
+    each = held.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return TextIndex(each.withColumn("bucket", bucket(F.col("term"))), words.select("id", dl), stats).scores(terms).withColumnRenamed("id", key)
 
-    return [count(t).alias(f"tf{k}") for k, t in enumerate(terms)]
 
-
-def _query_terms(query: str) -> list[str]:
-    return regex.findall(text.TOKEN, query)
-
-
-def bm25_topk(docs: DataFrame, query: str, k: int, key: str = "id", content: str = "content") -> DataFrame:
-    return top(bm25(docs, query, key, content), k, key=key).withColumn("score_type", F.lit("bm25"))
+def bm25_topk(docs: DataFrame | None, query: str, k: int, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None) -> DataFrame:
+    return top(bm25(docs, query, key, content, index, scope), k, key=key).withColumn("score_type", F.lit("bm25"))
 
 
 def ranked(best: DataFrame, key: str = "id") -> DataFrame:
@@ -96,26 +85,40 @@ def fuse(rankings: Sequence[DataFrame], limit: int, key: str = "id", k: int = RR
     return top(summed, limit, key=key).withColumn("score_type", F.lit("rrf"))
 
 
-def search(docs: DataFrame, query: str, vector: Sequence[float] | None, mode: str = "hybrid", limit: int = DEFAULT_LIMIT, overfetch: int = 1, key: str = "id", content: str = "content") -> DataFrame:
-    """Top documents by mode; docs have key, content and, but for fulltext, ``vector``.
+def search(docs: DataFrame, query: str, vector: Sequence[float] | None, mode: str = "hybrid", limit: int = DEFAULT_LIMIT, overfetch: int = 1, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """Top documents by mode; docs have key and, as the mode needs them, content and ``vector``.
 
-    Hybrid fuses the two best lists of ``limit * overfetch`` each. A semantic or hybrid search
-    without a vector is an error, not a quiet fulltext search.
+    A limit of 0 stands for ``DEFAULT_LIMIT`` and none is over ``LIMIT``. Hybrid fuses the two best
+    lists of ``limit * overfetch`` each. A semantic or hybrid search without a vector is an error,
+    not a quiet fulltext search. With a stored ``index`` no text is read; ``scope`` (id) names the
+    documents of it that count, those of ``docs``.
     """
+    return fused(docs, query, vector, mode, clamp(limit), overfetch, key, content, index, scope)
+
+
+def fused(docs: DataFrame, query: str, vector: Sequence[float] | None, mode: str, limit: int, overfetch: int = 1, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """``search`` with a limit that is taken as it is."""
     if mode not in MODES:
         raise InvalidInput(f"mode: {mode!r}")
     if mode != "fulltext" and vector is None:
         raise InvalidInput(f"{mode} search needs a vector")
     k = min(limit * max(overfetch, 1), TOP_LIMIT)
     if mode == "semantic":
-        return vector_topk(docs, vector, limit, key).select(key, "score", "score_type")
+        return vector_topk(docs.select(key, "vector"), vector, limit, key).select(key, "score", "score_type")
+    texts = None if index is not None else docs.select(key, content)
     if mode == "fulltext":
-        return bm25_topk(docs, query, limit, key, content)
+        return bm25_topk(texts, query, limit, key, content, index, scope)
     dense = ranked(vector_topk(docs.select(key, "vector"), vector, k, key), key)
-    sparse = ranked(bm25_topk(docs.select(key, content), query, k, key, content), key)
+    sparse = ranked(bm25_topk(texts, query, k, key, content, index, scope), key)
     return fuse([dense, sparse], limit, key)
 
 
+def ranked_hits(docs: DataFrame, query: str, vector: Sequence[float] | None, mode: str, limit: int, overfetch: int) -> DataFrame:
+    """id, score, rank of the best ``limit``."""
+    hits = fused(docs, query, vector, mode, limit, overfetch)
+    return hits.join(ranked(hits), "id").select("id", "score", "rank")
+
+
 def in_scope(docs: DataFrame, dentries: DataFrame, prefix: str | None) -> DataFrame:
     """Documents (file_id) that some path below ``prefix`` names: a semi-join before ranking, however
     many they are. The root and none are no scope."""

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput, QuotaExceeded
+from tessera.functions import text as text_of
 from tessera.functions.records import checked_projection, compile_filter
 from tessera.operators import retrieval
+from tessera.operators.text_index import TextIndex
 
 TOP_K, OVERFETCH, IDS = 100, 5, 500
 EMBED_DIM = 64
+CACHED_BYTES = 4096
 
 
 def scoped(vectors: DataFrame, dataset: str | None, spec: dict | None) -> DataFrame:
@@ -26,15 +29,19 @@ def scoped(vectors: DataFrame, dataset: str | None, spec: dict | None) -> DataFr
     return out if condition is None else out.where(condition)
 
 
-def search(vectors: DataFrame, query: str, vector: Sequence[float] | None, dataset: str | None = None, mode: str = "hybrid", top_k: int = 10, min_score: float | None = None, spec: dict | None = None, output_fields: Sequence[str] | None = ()) -> DataFrame:
-    """Top rows of both rankers over the same filtered rows; rankers over-fetch five times top_k."""
+def search(vectors: DataFrame, query: str, vector: Sequence[float] | None, dataset: str | None = None, mode: str = "hybrid", top_k: int = 10, min_score: float | None = None, spec: dict | None = None, output_fields: Sequence[str] | None = (), index: TextIndex | None = None) -> DataFrame:
+    """Top rows of both rankers over the same filtered rows; rankers over-fetch five times top_k.
+
+    With an ``index`` of the texts by pk, ``vectors`` needs no text; ids are ranked and output
+    fields joined last."""
     if top_k == 0:
         raise InvalidInput("top_k is 0")
     if top_k > TOP_K:
         raise QuotaExceeded(f"top_k over {TOP_K}")
     fields = checked_projection(output_fields)
     rows = scoped(vectors, dataset, spec)
-    hits = retrieval.search(rows.withColumn("id", F.col("pk")), query, vector, mode, top_k, OVERFETCH, content="text")
+    own = rows.withColumn("id", F.col("pk"))
+    hits = retrieval.fused(own, query, vector, mode, top_k, OVERFETCH, content="text", index=index, scope=None if index is None else own.select("id"))
     hits = retrieval.with_min_score(hits, min_score, mode)
     return hits.join(rows.select(F.col("pk").alias("id"), *[f for f in fields if f in rows.columns]), "id")
 
@@ -83,7 +90,9 @@ def embedding_column(embedder: Callable[[str], list[float]] | None = None, dim:
 
 
 def embed_dictionary(texts: DataFrame, known: DataFrame, model: str) -> DataFrame:
-    """cache_key, text of distinct trimmed texts that the dictionary (cache_key) lacks."""
-    trimmed = texts.select(F.trim("text").alias("text")).where("text <> '' and octet_length(text) <= 4096").distinct()
+    """cache_key, text of distinct texts, trimmed and composed, that the dictionary (cache_key) lacks;
+    texts over ``CACHED_BYTES`` as given are not kept in it."""
+    short = texts.where(F.octet_length("text") <= CACHED_BYTES).select(text_of.composed(text_of.trimmed(F.col("text"))).alias("text"))
+    trimmed = short.where("text <> ''").distinct()
     keyed = trimmed.select(F.sha2(F.concat(F.lit(model + ":"), F.col("text")), 256).alias("cache_key"), "text")
     return keyed.join(known.select("cache_key"), "cache_key", "left_anti")

@@ -142,6 +142,36 @@ def write_merge(r):
     return mutations.write_merge(current, p.where("doc_id % 2 = 0").selectExpr("path", "CASE WHEN doc_id % 3 = 0 THEN content ELSE content || '!' END AS content"))
 
 
+@query("append_bytes", "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END AS n FROM paths WHERE doc_id % 3 < 2", "paths")
+def append_bytes(r):
+    p = r("paths")
+    return mutations.appended_bytes(p.select("path", "content"), p.where("doc_id % 3 < 2").selectExpr("path", "CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'more' ELSE '' END AS content"))
+
+
+@query("remove_count", "SELECT count(*) AS n FROM dentries WHERE path = '/src1' OR path LIKE '/src1/%'", "dentries")
+def remove_count(r):
+    return mutations.removed_count(r("dentries"), "/src1")
+
+
+@query("mkdir_made", "SELECT path, true AS made FROM dentries WHERE is_dir UNION ALL SELECT path || '-new', true FROM dentries WHERE is_dir", "dentries")
+def mkdir_made(r):
+    dirs = r("dentries").where("is_dir").select("path")
+    return mutations.made_directories(dirs.union(dirs.selectExpr("path || '-new'")), r("dentries"))
+
+
+@query(
+    "write_coalesced",
+    "WITH c AS (SELECT '/u' || user_id AS path, event_id AS seq, ts, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'write' END AS action, event_type AS content FROM events), "
+    "g AS (SELECT *, CASE WHEN b IS NULL OR ts - b >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS o FROM (SELECT *, lag(ts) OVER (PARTITION BY path ORDER BY seq) AS b FROM c)), "
+    "n AS (SELECT *, sum(o) OVER (PARTITION BY path ORDER BY seq) AS run FROM g), "
+    "l AS (SELECT *, row_number() OVER (PARTITION BY path, run ORDER BY seq DESC) AS k FROM n) "
+    "SELECT path, seq, action, CASE WHEN action = 'write' THEN content END AS content FROM l WHERE k = 1",
+)
+def write_coalesced(r):
+    changes = r("events").selectExpr("'/u' || user_id AS path", "event_id AS seq", "ts", "CASE WHEN event_type = 'error' THEN 'delete' ELSE 'write' END AS action", "event_type AS content")
+    return mutations.coalesced_writes(changes, 6 * 3600 * 1000)
+
+
 @query("append_merge", "SELECT path, sha256(c) AS checksum, CAST(strlen(c) AS BIGINT) AS size_bytes, CAST(length(c) - length(replace(c, chr(10), '')) + CASE WHEN c = '' OR right(c, 1) = chr(10) THEN 0 ELSE 1 END AS INT) AS line_count, changed FROM (SELECT path, content || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'more' ELSE '' END AS c, doc_id % 3 = 0 AS changed FROM paths)", "paths")
 def append_merge(r):
     p = r("paths")

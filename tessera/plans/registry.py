@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.intermediate import file_system, shared_dir
+from tessera.operators.text_index import TextIndex, build, is_built, opened
 from tessera.session import Engine
 from tessera.sources import fixtures
 
@@ -23,6 +26,19 @@ class Source:
     def __call__(self, name: str) -> DataFrame:
         return fixtures.relation(self.spark, self.sf_dir, name)
 
+    def text_index(self, name: str, docs: DataFrame, *tables: str, keep: tuple[str, ...] = ()) -> TextIndex:
+        """The stored index of ``docs`` (id, content and what to ``keep``), which come of ``tables``:
+        built where there is none of these files as they now are."""
+        marks = []
+        for t in tables:
+            system, path = file_system(self.spark, f"{self.sf_dir}/{t}.parquet")
+            found = system.getFileStatus(path)
+            files = [found] if found.isFile() else list(system.listStatus(path))
+            marks += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files]
+        tag = hashlib.sha256("\n".join([name, *sorted(marks)]).encode()).hexdigest()[:24]
+        folder = f"{shared_dir(self.spark)}/tessera/index-{name}-{tag}"
+        return opened(self.spark, folder) if is_built(self.spark, folder) else build(docs, folder, keep=keep)
+
 
 def query(name: str, oracle: str | None = None, *names: str):
     """Registers a function of a ``Source``; ``oracle`` is DuckDB's SQL over the relations ``names``."""

@@ -1,6 +1,5 @@
 """Queries over ranking, vectors, memories and answers."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import answer, collections, memory, retrieval, vectors
@@ -42,9 +41,17 @@ def _rrf(dense: str, sparse: str, k: int, overfetch: int = 1, key: str = "id") -
 _DOCS = "SELECT d.doc_id AS id, d.text AS content, e.embedding AS vector FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
 
 
-def _docs(r):
-    d, e = r("documents"), r("embeddings")
-    return d.join(e, d["doc_id"] == e["vec_id"], "left").select(d["doc_id"].alias("id"), F.col("text").alias("content"), F.col("embedding").alias("vector"))
+def chunk_index(r):
+    return r.text_index("chunks", r("chunks"), "documents", keep=("file_id",))
+
+
+def doc_index(r):
+    return r.text_index("documents", r("documents").selectExpr("doc_id AS id", "text AS content"), "documents")
+
+
+def _vectors(r):
+    own = r("embeddings").selectExpr("vec_id AS id", "embedding AS vector")
+    return own.join(r("documents").selectExpr("doc_id AS id"), "id", "left_semi")
 
 
 def _out(df, *extra):
@@ -58,7 +65,13 @@ def vector_topk(r):
 
 @query("bm25_topk", f"WITH {_bm25('chunks')} SELECT id, round(score, 6) AS score FROM q ORDER BY round(score, 9) DESC, id LIMIT 25", "chunks")
 def bm25_topk(r):
-    return _out(retrieval.bm25_topk(r("chunks"), WORDS, 25))
+    return _out(retrieval.bm25_topk(None, WORDS, 25, index=chunk_index(r)))
+
+
+@query("bm25_unindexed", f"WITH {_bm25('summaries_', 'id')} SELECT id, round(score, 6) AS score FROM q ORDER BY round(score, 9) DESC, id LIMIT 25".replace("WITH ", "WITH summaries_ AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content FROM documents), ", 1))
+def bm25_unindexed(r):
+    """Without a stored index: one pass over the texts."""
+    return _out(retrieval.bm25_topk(r("documents").selectExpr("CAST(doc_id AS STRING) AS id", "text AS content"), WORDS, 25))
 
 
 _HYBRID = f"WITH docs AS ({_DOCS}), {_bm25('docs')}, v AS (SELECT id, {_COS} AS score FROM docs WHERE vector IS NOT NULL)"
@@ -66,18 +79,35 @@ _HYBRID = f"WITH docs AS ({_DOCS}), {_bm25('docs')}, v AS (SELECT id, {_COS} AS
 
 @query("search_hybrid", f"{_HYBRID} SELECT id, round(score, 6) AS score, 'rrf' AS score_type FROM {_rrf('v', 'q', 10)}")
 def search_hybrid(r):
-    return _out(retrieval.search(_docs(r), WORDS, VECTOR), "score_type")
+    return _out(retrieval.search(_vectors(r), WORDS, VECTOR, index=doc_index(r)), "score_type")
+
+
+def _mode(name, mode, oracle):
+    @query(name, f"{_HYBRID} SELECT id, round(score, 6) AS score, '{'cosine' if mode == 'semantic' else 'bm25'}' AS score_type FROM {oracle} ORDER BY round(score, 9) DESC, id LIMIT 10")
+    def run(r):
+        return _out(retrieval.search(_vectors(r), WORDS, VECTOR, mode, limit=0, index=doc_index(r)), "score_type")
+
+
+# a limit of 0 is the default of ten; one over a hundred is a hundred
+_mode("search_semantic", "semantic", "v")
+_mode("search_fulltext", "fulltext", "q")
+
+
+@query("search_clamped", f"{_HYBRID} SELECT id, round(score, 6) AS score FROM v ORDER BY round(score, 9) DESC, id LIMIT 100")
+def search_clamped(r):
+    return _out(retrieval.search(_vectors(r), WORDS, VECTOR, "semantic", limit=5000))
 
 
 @query("hybrid_rrf", f"{_HYBRID} SELECT h.id, round(score, 6) AS score, p.path FROM {_rrf('v', 'q', 10, 5)} h JOIN paths p ON p.doc_id = h.id", "paths")
 def hybrid_rrf(r):
-    hits = retrieval.search(_docs(r), WORDS, VECTOR, limit=10, overfetch=5)
+    hits = retrieval.search(_vectors(r), WORDS, VECTOR, limit=10, overfetch=5, index=doc_index(r))
     return hits.join(r("paths").select(F.col("doc_id").alias("id"), "path"), "id").select("id", F.round("score", 6).alias("score"), "path")
 
 
 @query("search_scoped", f"WITH s AS (SELECT * FROM chunks WHERE file_id IN (SELECT file_id FROM dentries WHERE path LIKE '/src1/%')), {_bm25('s')} SELECT id, round(score, 6) AS score FROM q ORDER BY round(score, 9) DESC, id LIMIT 10", "chunks", "dentries")
 def search_scoped(r):
-    return _out(retrieval.bm25_topk(retrieval.in_scope(r("chunks"), r("dentries"), "src1/"), WORDS, 10))
+    index = chunk_index(r)
+    return _out(retrieval.bm25_topk(None, WORDS, 10, index=index, scope=retrieval.in_scope(index.lengths, r("dentries"), "src1/")))
 
 
 @query("alias_resolve", "SELECT file_id, (SELECT min(path) FROM dentries d WHERE d.file_id = m.file_id) AS path FROM files_meta m WHERE ref_count > 1 UNION ALL SELECT id, path FROM dentries WHERE is_dir", "files_meta", "dentries")
@@ -131,15 +161,16 @@ def tag_filter(r):
 _TEXTED = "SELECT v.*, coalesce(d.text, '') AS text FROM vectors v LEFT JOIN documents d ON v.vec_id = d.doc_id"
 
 
-def _texted(r):
-    d = r("documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return r("vectors").join(d, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+def _texts(r):
+    d = r("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    return r("vectors").select("vec_id", F.col("pk").alias("id")).join(d, "vec_id", "left").select("id", "content")
 
 
 @query("vector_hybrid_filtered", f"WITH rows_ AS (SELECT pk AS id, category, vector, text AS content FROM ({_TEXTED}) WHERE {_ACTIVE} AND dataset = 'ds1' AND {_NUM} < 200), {_bm25('rows_')}, v AS (SELECT id, {_COS} AS score FROM rows_) SELECT h.id, round(h.score, 6) AS score, r.category FROM {_rrf('v', 'q', 10, 5)} h JOIN rows_ r ON r.id = h.id", "vectors")
 def vector_hybrid_filtered(r):
     spec = {"must": [{"field": "meta.price", "op": "lt", "value": 200}]}
-    return _out(vectors.search(_texted(r), WORDS, VECTOR, "ds1", spec=spec, output_fields=["category"]), "category")
+    index = r.text_index("vector-texts", _texts(r), "documents", "embeddings")
+    return _out(vectors.search(r("vectors"), WORDS, VECTOR, "ds1", spec=spec, output_fields=["category"], index=index), "category")
 
 
 @query("vector_projection", "SELECT pk, category, meta FROM vectors WHERE status = 'active' AND vec_id IN (1, 2, 3, 4)", "vectors")
@@ -175,10 +206,20 @@ def impressions(r):
     return retrieval.impressions(hits)
 
 
-@query("embed_dictionary", "SELECT sha256('m:' || t) AS cache_key, t AS text FROM (SELECT DISTINCT trim(content) AS t FROM chunks WHERE chunk_index < 3) WHERE t <> '' AND t NOT IN (SELECT trim(content) FROM chunks WHERE chunk_index = 0)", "chunks")
+def _trimmed(column):
+    """DuckDB's text for a value trimmed of all white space."""
+    space = "[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+    return f"regexp_replace({column}, '\\A{space}+|{space}+\\z', '', 'g')"
+
+
+def _normal(column):
+    return f"nfc_normalize({_trimmed(column)})"
+
+
+@query("embed_dictionary", f"SELECT sha256('m:' || t) AS cache_key, t AS text FROM (SELECT DISTINCT {_normal('content')} AS t FROM chunks) WHERE t <> '' AND t NOT IN (SELECT {_normal('content')} FROM chunks WHERE chunk_index = 0)", "chunks")
 def embed_dictionary(r):
-    c = r("chunks").where("chunk_index < 3")
-    known = c.where("chunk_index = 0").select(F.sha2(F.concat(F.lit("m:"), F.trim("content")), 256).alias("cache_key"))
+    c = r("chunks")
+    known = vectors.embed_dictionary(c.where("chunk_index = 0").select(F.col("content").alias("text")), r.spark.createDataFrame([], "cache_key string"), "m")
     return vectors.embed_dictionary(c.select(F.col("content").alias("text")), known, "m")
 
 
@@ -210,11 +251,10 @@ def topic_counts(r):
 
 
 def _candidates(r):
-    best = r("memories").select("id").orderBy(F.desc("id")).limit(300)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("id"))))
+    return r("memories").selectExpr("id", "CAST(-id AS BIGINT) AS rank")
 
 
-@query("memory_recheck", f"SELECT m.id, c.rank FROM (SELECT id, row_number() OVER (ORDER BY id DESC) AS rank FROM memories QUALIFY rank <= 300) c JOIN memories m ON m.id = c.id WHERE {_SCOPE} AND {_LIVE}", "memories")
+@query("memory_recheck", f"SELECT m.id, c.rank FROM (SELECT id, -id AS rank FROM memories) c JOIN memories m ON m.id = c.id WHERE {_SCOPE} AND {_LIVE}", "memories")
 def memory_recheck(r):
     return memory.recheck(_candidates(r), r("memories"), memory.in_context(ACTOR) & memory.live(_NOW)).select("id", "rank")
 
@@ -222,13 +262,31 @@ def memory_recheck(r):
 _W = "CASE scope_type WHEN 'workspace' THEN 3 WHEN 'dept' THEN 2 ELSE 1 END"
 
 
-@query("memory_dedup", f"SELECT id, first_rank AS rank FROM (SELECT id, row_number() OVER (PARTITION BY h ORDER BY {_W} DESC, rank, id) AS b, min(rank) OVER (PARTITION BY h) AS first_rank FROM (SELECT id, scope_type, left(content_hash, 1) AS h, row_number() OVER (ORDER BY id DESC) AS rank FROM memories QUALIFY rank <= 300)) WHERE b = 1 ORDER BY first_rank, id LIMIT 10", "memories")
+@query("memory_dedup", f"SELECT id, first_rank AS rank FROM (SELECT id, row_number() OVER (PARTITION BY h ORDER BY {_W} DESC, rank, id) AS b, min(rank) OVER (PARTITION BY h) AS first_rank FROM (SELECT id, scope_type, left(content_hash, 1) AS h, -id AS rank FROM memories)) WHERE b = 1 ORDER BY first_rank, id LIMIT 10", "memories")
 def memory_dedup(r):
     rows = _candidates(r).join(r("memories"), "id").withColumn("content_hash", F.left("content_hash", F.lit(1)))
     return memory.dedup(rows, 10).select("id", "rank")
 
 
-@query("memory_save_dedup", "SELECT scope_type, scope_id, content_hash, min(id) AS id FROM (SELECT id, scope_type, scope_id, sha256(trim(content)) AS content_hash FROM memories WHERE length(trim(content)) BETWEEN 1 AND 4096) WHERE (scope_type, scope_id, content_hash) NOT IN (SELECT (scope_type, scope_id, content_hash) FROM memories WHERE id % 2 = 0) GROUP BY ALL", "memories")
+_MEMORIES = f"SELECT m.*, e.embedding AS vector FROM memories m LEFT JOIN embeddings e ON m.id % 977 = e.vec_id"
+
+
+@query(
+    "memory_search",
+    f"WITH mv AS (SELECT * FROM ({_MEMORIES}) WHERE {_SCOPE}), {_bm25('mv')}, v AS (SELECT id, {_COS} AS score FROM mv WHERE vector IS NOT NULL), "
+    f"h AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM {_rrf('v', 'q', 30, 5)}), "
+    f"a AS (SELECT h.id, h.rank, m.content_hash, {_W} AS w FROM h JOIN memories m ON m.id = h.id WHERE {_SCOPE} AND {_LIVE}) "
+    "SELECT id, rank FROM (SELECT id, row_number() OVER (PARTITION BY content_hash ORDER BY w DESC, rank, id) AS b, min(rank) OVER (PARTITION BY content_hash) AS rank FROM a) WHERE b = 1 ORDER BY rank, id LIMIT 10",
+    "memories",
+)
+def memory_search(r):
+    """Scope, hybrid candidates, re-check, collapse of equal contents."""
+    m, e = r("memories"), r("embeddings")
+    rows = m.join(e, m["id"] % 977 == e["vec_id"], "left").select(m["*"], F.col("embedding").alias("vector"))
+    return memory.search(rows, ACTOR, WORDS, VECTOR, _NOW).select("id", "rank")
+
+
+@query("memory_save_dedup", "SELECT scope_type, scope_id, content_hash, min(id) AS id FROM (SELECT id, scope_type, scope_id, sha256(_TRIM_) AS content_hash FROM memories WHERE length(_TRIM_) BETWEEN 1 AND 4096) WHERE (scope_type, scope_id, content_hash) NOT IN (SELECT (scope_type, scope_id, content_hash) FROM memories WHERE id % 2 = 0) GROUP BY ALL".replace("_TRIM_", _trimmed("content")), "memories")
 def memory_save_dedup(r):
     m = r("memories")
     return memory.save(m.where("id % 2 = 0"), m.drop("content_hash")).select("scope_type", "scope_id", "content_hash", "id")
@@ -288,9 +346,9 @@ def render_hits(r):
     return answer.render_hits(blocks.join(_hits(r).select("answer_id", "seq", "content"), ["answer_id", "seq"]))
 
 
-@query("citation_align", "SELECT doc_id AS answer_id, list_filter([CAST(doc_id % 5 AS INT), 3, 1], lambda n: n BETWEEN 1 AND 4) AS c, true AS grounded FROM documents WHERE doc_id % 5 IN (0, 2, 4)")
+@query("citation_align", "SELECT doc_id AS answer_id, CASE doc_id % 5 WHEN 0 THEN [3, 1] WHEN 1 THEN [1, 3] WHEN 2 THEN [2, 3, 1] WHEN 3 THEN [3, 1] ELSE [4, 3, 1] END AS c, true AS grounded FROM documents")
 def citation_align(r):
-    rows = r("documents").where("doc_id % 5 IN (0, 2, 4)").selectExpr("doc_id AS answer_id", "'see [' || (doc_id % 5) || '], [3] [9] [1] [3]' AS answer", "4 AS n_blocks")
+    rows = r("documents").selectExpr("doc_id AS answer_id", "'see [' || (doc_id % 5) || '], [3] [9] [1] [3]' AS answer", "4 AS n_blocks")
     return answer.align_citations(rows).withColumnRenamed("citations", "c")
 
 
@@ -343,6 +401,32 @@ def dir_rollup(r):
     return pipe.dir_rollup(pipe.child_rows(r("dentries"), r("summaries")), 2000)
 
 
-@query("rollup_levels")
+# files of odd ids also stand beside their directory, so that directories hold both kinds
+_MIXED = "SELECT id, CASE WHEN is_dir OR TRY_CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN parent_path ELSE regexp_extract(parent_path, '^(.*)/[^/]*$', 1) END AS parent_path, CASE WHEN is_dir OR TRY_CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN path ELSE regexp_extract(parent_path, '^(.*)/[^/]*$', 1) || '/' || name END AS path, file_id, is_dir FROM dentries"
+
+
+def _rolled(kids: str) -> str:
+    """Roll-ups (parent_path, text) of rows (parent_path, path, l0_abstract)."""
+    return (
+        "SELECT parent_path, CASE WHEN length(t) > 2000 THEN left(t, 1000) || chr(10) || chr(10) || '[... content truncated ...]' || chr(10) || chr(10) || right(t, 1000) ELSE t END AS text FROM "
+        f"(SELECT parent_path, string_agg('[' || n || ']. ' || l0_abstract, chr(10) ORDER BY n) AS t FROM (SELECT *, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS n FROM ({kids})) GROUP BY parent_path)"
+    )
+
+
+_UP = "SELECT d.parent_path, d.path, left({0}.text, 120) AS l0_abstract FROM {0} JOIN dentries d ON d.is_dir AND d.path = {0}.parent_path"
+
+
+@query(
+    "rollup_levels",
+    f"WITH mixed AS ({_MIXED}), fk AS (SELECT m.parent_path, m.path, s.l0_abstract, length(m.parent_path) - length(replace(m.parent_path, '/', '')) AS depth FROM mixed m JOIN summaries s ON m.file_id = s.file_id WHERE NOT m.is_dir), "
+    f"r2 AS ({_rolled('SELECT parent_path, path, l0_abstract FROM fk WHERE depth = 2')}), "
+    f"r1 AS ({_rolled('SELECT parent_path, path, l0_abstract FROM fk WHERE depth = 1 UNION ALL ' + _UP.format('r2'))}), "
+    f"r0 AS ({_rolled(_UP.format('r1'))}) SELECT * FROM r2 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r0",
+    "dentries",
+    "summaries",
+)
 def rollup_levels(r):
-    return pipe.rollup_levels(r("dentries"), r("summaries"))
+    mixed = r("dentries").selectExpr(
+        "id", "is_dir", "file_id", "is_dir OR CAST(CASE WHEN NOT is_dir THEN substr(id, 2) END AS BIGINT) % 2 = 0 AS stays", "parent_path", "path", "name", "regexp_extract(parent_path, '^(.*)/[^/]*$', 1) AS up"
+    ).selectExpr("id", "is_dir", "file_id", "CASE WHEN stays THEN parent_path ELSE up END AS parent_path", "CASE WHEN stays THEN path ELSE up || '/' || name END AS path")
+    return pipe.rollup_levels(mixed, r("summaries"), 2000)

@@ -3,7 +3,7 @@
 from tessera.functions import sql_functions
 from tessera.operators import fs
 from tessera.plans.registry import query
-from tessera.plans.retrieval_queries import WORDS, _bm25
+from tessera.plans.retrieval_queries import _HYBRID, VECTOR, WORDS, _bm25, _rrf, _vectors, chunk_index
 from tessera.session import Engine
 
 
@@ -32,13 +32,37 @@ def tvf_grep(r):
 
 @query("tvf_search", f"WITH {_bm25('chunks')} SELECT id, round(score, 6) AS score FROM q ORDER BY round(score, 9) DESC, id LIMIT 10", "chunks")
 def tvf_search(r):
-    return _engine(r, ["search_text"], "chunks").sql(f"SELECT id, round(score, 6) AS score FROM search_text('{WORDS}', 10)")
+    return _indexed(r, chunk_index(r), ["search_text"]).sql(f"SELECT id, round(score, 6) AS score FROM search_text('{WORDS}', 10)")
 
 
-@query("sql_file_functions", "SELECT p.path, true AS there, strlen(content) AS size, left(content, 5) AS head, parent_path AS parent, name FROM paths p WHERE doc_id % 9 = 0 UNION ALL SELECT p.path || 'x', false, NULL, NULL, parent_path, name || 'x' FROM paths p WHERE doc_id % 9 = 0", "paths")
+def _indexed(r, index, functions):
+    engine = Engine(r.spark, {"postings": index.postings, "text_stats": index.stats})
+    if functions:
+        sql_functions.register(r.spark, *functions)
+    return engine
+
+
+def _search(name, mode, oracle, call):
+    @query(name, f"{_HYBRID.replace('d.doc_id AS id', 'CAST(d.doc_id AS VARCHAR) AS id')} SELECT id, round(score, 6) AS score, '{mode}' AS score_type FROM {oracle} ORDER BY round(score, 9) DESC, id LIMIT 10")
+    def run(r):
+        docs = r("documents").selectExpr("CAST(doc_id AS STRING) AS id", "text AS content")
+        engine = _indexed(r, r.text_index("document-names", docs, "documents"), [])
+        engine.register("vectors_of", _vectors(r).selectExpr("CAST(id AS STRING) AS id", "vector"))
+        # what the words mean is the model's business; here a fixed vector
+        r.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION embedding(x STRING) RETURNS ARRAY<DOUBLE> RETURN array({', '.join(f'{v}D' for v in VECTOR)})")
+        sql_functions.register(r.spark, "search")
+        return engine.sql(f"SELECT id, round(score, 6) AS score, score_type FROM search({call})")
+
+
+_search("sql_search_hybrid", "rrf", _rrf("v", "q", 10), f"'{WORDS}'")
+_search("sql_search_semantic", "cosine", "v", f"'{WORDS}', 'semantic', 10")
+_search("sql_search_fulltext", "bm25", "q", f"'{WORDS}', n => 10, mode => 'fulltext'")
+
+
+@query("sql_file_functions", "SELECT p.path, true AS there, strlen(content) AS size, left(content, 5) AS head, parent_path AS parent, name FROM paths p UNION ALL SELECT p.path || 'x', false, NULL, NULL, parent_path, name || 'x' FROM paths p", "paths")
 def sql_file_functions(r):
     engine = _engine(r, list(sql_functions.SCALARS), "paths", "dentries", "files_meta", "contents", "files")
     return engine.sql(
         "SELECT path, file_exists(path) AS there, file_size(path) AS size, left(file_read(path), 5) AS head, path_parent(path) AS parent, path_name(path) AS name "
-        "FROM (SELECT path FROM paths WHERE doc_id % 9 = 0 UNION ALL SELECT path || 'x' FROM paths WHERE doc_id % 9 = 0) a"
+        "FROM (SELECT path FROM paths UNION ALL SELECT path || 'x' FROM paths) a"
     )

@@ -1,10 +1,10 @@
 """Queries over queues, drift, counters, logs and streams."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from tessera import intermediate
 from tessera.operators import accounts, state
 from tessera.plans.registry import query
 from tessera.streaming import events as streams
@@ -129,9 +129,7 @@ def _stream(r):
 
 
 def _ran(r, stream, name, mode):
-    folder = r.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    tag = uuid.uuid4().hex
-    return streams.run_to_memory(stream, f"{name}_{tag}", mode, f"{folder}/stream-{tag}")
+    return streams.run_to_table(stream, mode, f"{intermediate.shared_dir(r.spark)}/tessera/stream-{name}-{uuid.uuid4().hex}")
 
 
 @query("stream_heat", "SELECT day, dentry_id, search_hits, read_count FROM heat", "heat")

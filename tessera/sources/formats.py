@@ -28,7 +28,7 @@ def text_lines(files: DataFrame) -> DataFrame:
 
 def jsonl_lines(files: DataFrame) -> DataFrame:
     """Trimmed lines that are valid JSON, with their physical numbers; blank and invalid ones are skipped."""
-    trimmed = text_lines(files).withColumn("line", F.trim("line"))
+    trimmed = text_lines(files).withColumn("line", text.trimmed(F.col("line")))
     return trimmed.where((F.col("line") != "") & F.try_parse_json("line").isNotNull())
 
 
@@ -60,15 +60,25 @@ def _fits(cell: str, kind: str) -> bool:
 
 
 def csv_rows(files: DataFrame, delimiter: str = ",", schema: str | None = None) -> DataFrame:
-    """_line_number (1.. over data rows), the columns, _path. Types are inferred where no schema is given."""
+    """_line_number (1.. over data rows), the columns, _path. Types are inferred where no schema is given.
+
+    A record goes on over lines while a quote is open, so a quoted field may hold line ends."""
     if schema is None:
         names, types = csv_header(files, delimiter)
         if not names:
             raise InvalidInput("no header")
         schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True))
-    rows = text_lines(files).where("_line_number > 1 and line <> ''")
-    number = F.row_number().over(Window.partitionBy("_path").orderBy("_line_number"))
-    parsed = rows.select(number.cast("long").alias("_line_number"), F.from_csv("line", schema, {"sep": delimiter, "mode": "PERMISSIVE"}).alias("r"), "_path")
+    by = Window.partitionBy("_path").orderBy("_line_number")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    opens = F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 0
+    lines = text_lines(files).withColumn("opens", opens)
+    lines = lines.withColumn("record", F.sum(F.col("opens").cast("long")).over(by))
+    joined = lines.groupBy("_path", "record").agg(F.array_sort(F.collect_list(F.struct("_line_number", "line"))).alias("parts"))
+    rows = joined.select("_path", "record", F.array_join("parts.line", "\n").alias("line")).where("record > 1 and line <> ''")
+    number = F.row_number().over(Window.partitionBy("_path").orderBy("record"))
+    options = {"sep": delimiter, "mode": "PERMISSIVE", "multiLine": "true", "escape": '"'}
+    parsed = rows.select(number.cast("long").alias("_line_number"), F.from_csv("line", schema, options).alias("r"), "_path")
     return parsed.select("_line_number", "r.*", "_path")
 
 

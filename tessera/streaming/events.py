@@ -83,8 +83,18 @@ def debounced(changes: DataFrame, wait_ms: int = state.DEBOUNCE_WAIT_S * 1000) -
     return changes.groupBy("directory").applyInPandasWithState(settle, "directory string, n long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """The rows of a stream over what is there now."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """The rows of a stream over what is there now, written below ``folder``, a shared one: a table a
+    batch, so that a batch that runs again replaces its own. In complete mode the last one counts."""
+    done: list[int] = []
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        done.append(n)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    wanted = sorted(set(done)) if mode == "append" else [max(done)]
+    return stream.sparkSession.read.schema(stream.schema).parquet(*[f"{folder}/rows/batch={n}" for n in wanted])

@@ -1,9 +1,12 @@
+import hashlib
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.errors import InvalidInput, NotFound, QuotaExceeded
-from tessera.operators import answer, fs, memory, mutations, pipeline, retrieval, state, vectors
+from tessera.operators import answer, fs, memory, mutations, pipeline, retrieval, state, text_index, vectors
 from tessera.sources import fixtures, formats
 
 
@@ -142,3 +145,93 @@ def test_storage_chunks_join_back(value, size):
     assert "".join(p[4] for p in parts) == value
     assert all(p[4].endswith("\n") for p in parts[:-1])
     assert [p[0] for p in parts] == [1 + sum(q[1] for q in parts[:k]) for k in range(len(parts))]
+
+
+def test_trims_and_composes_as_the_service_does(spark):
+    odd = ["\t note \n", "　note ", "note", "café", " café ", " \t ", "", None, "x" * 5000]
+    texts = spark.createDataFrame([(t,) for t in odd], "text string")
+    got = {r.text: r.cache_key for r in vectors.embed_dictionary(texts, spark.createDataFrame([], "cache_key string"), "m").collect()}
+    assert got == {t: hashlib.sha256(f"m:{t}".encode()).hexdigest() for t in ("note", "café")}
+    known = spark.createDataFrame([(got["note"],)], "cache_key string")
+    assert [r.text for r in vectors.embed_dictionary(texts, known, "m").collect()] == ["café"]
+    rows = spark.createDataFrame([(1, "workspace", "w", "\n a\t", None), (2, "workspace", "w", "a", None), (3, "workspace", "w", " ", None)], "id long, scope_type string, scope_id string, content string, topic string")
+    none = spark.createDataFrame([], "scope_type string, scope_id string, content_hash string")
+    assert [(r.id, r.content) for r in memory.save(none, rows).collect()] == [(1, "a")]
+    actor = memory.Actor("w", "p")
+    assert memory.update(rows, actor, 2, "\t b　\n").where("id = 2").first().content == "b"
+    lines = spark.createDataFrame([("/a.jsonl", '\t{"k": 1} \n \t\n{"k": 2}\nno')], "path string, content string")
+    assert [(r._line_number, r.line) for r in formats.jsonl_lines(lines).orderBy("_line_number").collect()] == [(1, '{"k": 1}'), (3, '{"k": 2}')]
+
+
+def test_quoted_fields_hold_line_ends(spark):
+    content = 'a,b\n1,"x\ny"\n\n2,"he said ""no"""\n3,z'
+    rows = formats.csv_rows(spark.createDataFrame([("/t.csv", content)], "path string, content string"), schema="a long, b string").orderBy("_line_number").collect()
+    assert [(r._line_number, r.a, r.b) for r in rows] == [(1, 1, "x\ny"), (2, 2, 'he said "no"'), (3, 3, "z")]
+
+
+def test_rollup_of_a_deep_and_mixed_tree(spark):
+    dirs = ["/" + "/".join(f"d{k}" for k in range(n)) for n in range(1, 13)]
+    up = lambda p: p.rsplit("/", 1)[0] or "/"
+    rows = [("d" + p, up(p), p, None, True) for p in dirs] + [("f1", dirs[-1], dirs[-1] + "/leaf", "leaf", False), ("f2", "/d0", "/d0/a", "a", False), ("f3", "/d0", "/d0/z", "z", False), ("dx", "/", "/empty", None, True)]
+    dentries = spark.createDataFrame(rows, "id string, parent_path string, path string, file_id string, is_dir boolean")
+    summaries = spark.createDataFrame([(f, f"about {f}") for f in ("leaf", "a", "z")], "file_id string, l0_abstract string")
+    got = {r.parent_path: r.text for r in pipeline.rollup_levels(dentries, summaries).collect()}
+    assert set(got) == {"/", *dirs}
+    text = "[1]. about leaf"
+    assert got[dirs[-1]] == text
+    for p in reversed(dirs[1:-1]):
+        text = "[1]. " + text[:120]
+        assert got[p] == text
+    assert got["/d0"] == f"[1]. about a\n[2]. {got['/d0/d1'][:120]}\n[3]. about z"
+    assert got["/"] == "[1]. " + got["/d0"][:120]
+    assert pipeline.rollup_levels(dentries, summaries.limit(0)).count() == 0
+
+
+def test_index_reads_only_the_terms_of_a_query(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"word{k % 40} common term{k}") for k in range(400)] + [(400, None), (401, "中文 common")], "id long, content string")
+    index = text_index.build(docs, f"file://{tmp_path}/index")
+    assert text_index.is_built(spark, f"file://{tmp_path}/index") and not text_index.is_built(spark, f"file://{tmp_path}/none")
+    found = index.scores(["word7"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [(bucket" in plan
+    assert re.search(r"PushedFilters: \[[^\]]*word7", plan) and "Arrow" not in plan
+    want = {r.id: round(r.score, 9) for r in retrieval.bm25(docs, "word7 common 文").collect()}
+    assert {r.id: round(r.score, 9) for r in retrieval.bm25(None, "word7 common 文", index=index).collect()} == want and len(want) == 401
+    some = spark.range(0, 100)
+    here = {r.id: round(r.score, 9) for r in retrieval.bm25(docs.where("id < 100"), "word7 common").collect()}
+    assert {r.id: round(r.score, 9) for r in index.scores(["word7", "common"], some).collect()} == here
+    assert retrieval.query_terms("中文 Café x1") == ["café", "x1", "中", "文"]
+
+
+def test_limits(spark):
+    docs = spark.createDataFrame([(k, "common words", [1.0, float(k)]) for k in range(150)], "id long, content string, vector array<float>")
+    for mode in retrieval.MODES:
+        assert retrieval.search(docs, "common", [1.0, 0.5], mode, limit=0).count() == 10
+        assert retrieval.search(docs, "common", [1.0, 0.5], mode, limit=9999).count() == 100
+    with pytest.raises(InvalidInput):
+        retrieval.search(docs, "common", [1.0, 0.5], limit=-1)
+
+
+def test_write_forms_that_return(spark):
+    dentries = spark.createDataFrame([("/a", True), ("/a/f", False)], "path string, is_dir boolean")
+    assert mutations.removed_count(dentries, "/a").first().n == 2
+    for wrong in (lambda: mutations.removed_count(dentries, "/no").collect(), lambda: mutations.made_directories(spark.createDataFrame([("/a/f",)], "path string"), dentries).collect()):
+        with pytest.raises(Exception, match="not found|a file has"):
+            wrong()
+
+
+def test_sql_search_refuses(spark, sf):
+    from tessera.plans.catalog import QUERIES
+
+    QUERIES["sql_search_hybrid"](spark, sf).collect()
+    for call in ("'x', 'fuzzy'", "'x', 'hybrid', 0"):
+        with pytest.raises(Exception, match="search: "):
+            spark.sql(f"SELECT * FROM search({call})").collect()
+
+
+def test_windows_over_a_limit_sort_only_that_many(spark, sf):
+    from tessera.plans.catalog import QUERIES
+
+    for name in ("tvf_search", "tvf_events_since"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan, name
