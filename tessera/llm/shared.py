@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import contextvars
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.intermediate import release, scratch, shared_dir, stored
+
+__all__ = ["release", "scratch", "shared_dir", "stored"]
+
 #: ``[\x20\x09-\x0D]``, the white space of every text contract here.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,71 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, one is made for
-    sessions that run in this process alone; a cluster has no such folder, so there it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-#: Paths stored since each open ``scratch`` began, the innermost last.
-_SCOPES: contextvars.ContextVar[tuple[list, ...]] = contextvars.ContextVar("scopes", default=())
-
-
-@contextlib.contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes what is stored inside it when it ends, but for the frames given to the function that it
-    yields; those belong to the scratch around it, if there is one."""
-    held: list[DataFrame] = []
-    kept: list[DataFrame] = []
-    token = _SCOPES.set((*_SCOPES.get(), held))
-    try:
-        yield lambda df: kept.append(df) or df
-    finally:
-        _SCOPES.reset(token)
-        paths = {df.stored_at for df in kept}
-        release(*[df for df in held if df.stored_at not in paths])
-        if _SCOPES.get():
-            _SCOPES.get()[-1].extend(df for df in held if df.stored_at in paths)
-
-
-#: Removes a query's shuffle files when it ends; what ``stored`` wrote is all that is read later.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str, **counts: Column) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors.
-
-    Aggregates given by name are taken of what was written; the result has them in ``observed``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    out.observed = out.agg(*[c.alias(k) for k, c in counts.items()]).first().asDict() if counts else {}
-    if _SCOPES.get():
-        _SCOPES.get()[-1].append(out)
-    return out
-
-
-def release(*found: DataFrame) -> None:
-    """Deletes the files of ``stored`` frames that nothing reads any more."""
-    for df in found:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes of an Arrow batch, unless the session sets its own: texts of any length, bounded memory.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
