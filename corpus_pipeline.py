@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, exact_dedup, language_id, near_dup, piece_codec
-from tessera.llm.shared import release, stored, table
+from tessera.intermediate import release, scratch, stored
+from tessera.llm.shared import table
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:  # what the stage stored on its way goes
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
         if last is not None:
             release(last)
         last = docs
