@@ -142,6 +142,13 @@ def write_merge(r):
     return mutations.write_merge(current, p.where("doc_id % 2 = 0").selectExpr("path", "CASE WHEN doc_id % 3 = 0 THEN content ELSE content || '!' END AS content"))
 
 
+@query("like_escaped", "SELECT doc_id, replace(replace(replace(x, '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS x FROM (SELECT doc_id, '50%_\\' || coalesce(text, '') AS x FROM documents)")
+def like_escaped(r):
+    from tessera.functions.text import like_escaped as escaped
+
+    return r("documents").select("doc_id", escaped(F.concat(F.lit("50%_\\"), F.coalesce("text", F.lit("")))).alias("x"))
+
+
 @query("append_bytes", "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END AS n FROM paths WHERE doc_id % 3 < 2", "paths")
 def append_bytes(r):
     p = r("paths")

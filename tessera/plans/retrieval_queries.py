@@ -309,6 +309,11 @@ def memory_update(r):
     return memory.update(r("memories"), memory.Actor("w1", "p0"), 900, " new text ").select("id", "content")
 
 
+@query("memory_touch", "SELECT id, CASE WHEN id IN (100, 201, 302) THEN TIMESTAMP '2024-01-03 00:00:00' END AS last_used_at FROM memories", "memories")
+def memory_touch(r):
+    return memory.touch(r("memories"), [100, 201, 302], _NOW).select("id", "last_used_at")
+
+
 @query("profile_fresh", "SELECT id, profile_at >= TIMESTAMP '2024-01-04' AS fresh FROM principals", "principals")
 def profile_fresh(r):
     return memory.fresh_profiles(r("principals"), "2024-01-05 00:00:00").select("id", "fresh")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput, InvalidPath, NotFound, QuotaExceeded
 from tessera.functions import paths, text
+from tessera.sources import word
 
 #: Bytes of one file, and of all files of one read.
 FILE_BYTES, READ_BYTES = 50 * 1024 * 1024, 100 * 1024 * 1024
@@ -134,13 +135,20 @@ def read_path(dentries: DataFrame, contents: DataFrame, path: str) -> DataFrame:
     return read_as(one, kind)
 
 
-def extracted_text(binaries: DataFrame, extractors: dict) -> DataFrame:
-    """path, content of documents (path, content binary) by pluggable extractors, mime type to
-    function of bytes; files of other types have a null content."""
+def extracted_text(binaries: DataFrame, extractors: dict | None = None) -> DataFrame:
+    """path, content of documents (path, content binary) by ``word.EXTRACTORS`` and pluggable ones,
+    mime type to function of bytes; files of other types, and broken ones, have a null content."""
+    extractors = {**word.EXTRACTORS, **(extractors or {})}
     kinds = text.mime_type(F.col("content"))
 
+    def one(mime: str, data: bytes) -> str | None:
+        try:
+            return extractors[mime](data) if mime in extractors else None
+        except InvalidInput:
+            return None
+
     @F.pandas_udf("string")
     def extract(mime: pd.Series, data: pd.Series) -> pd.Series:
-        return pd.Series([extractors[m](d) if m in extractors else None for m, d in zip(mime, data, strict=True)])
+        return pd.Series([one(m, d) for m, d in zip(mime, data, strict=True)])
 
     return binaries.select("path", extract(kinds, F.col("content")).alias("content"))

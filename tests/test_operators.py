@@ -1,5 +1,7 @@
 import hashlib
+import io
 import re
+import zipfile
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 
 from tessera.errors import InvalidInput, NotFound, QuotaExceeded
 from tessera.operators import answer, fs, memory, mutations, pipeline, retrieval, state, text_index, vectors
-from tessera.sources import fixtures, formats
+from tessera.sources import fixtures, formats, word
 
 
 def files(spark, **contents):
@@ -235,3 +237,29 @@ def test_windows_over_a_limit_sort_only_that_many(spark, sf):
     for name in ("tvf_search", "tvf_events_since"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrderedAndProject" in plan, name
+
+
+def test_word_documents(spark):
+    ns = 'xmlns:w="http://w" xmlns:mc="http://mc"'
+    xml = (
+        f"<w:document {ns}><w:body><w:p><w:r><w:t>One &amp; two</w:t><w:tab/><w:t>x</w:t><w:br/><w:instrText>PAGE</w:instrText><w:delText>old</w:delText></w:r></w:p>"
+        "<w:p><mc:AlternateContent><mc:Choice><w:t>box</w:t></mc:Choice><mc:Fallback><w:t>box</w:t></mc:Fallback></mc:AlternateContent></w:p></w:body></w:document>"
+    )
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", xml)
+    rows = spark.createDataFrame([("/a.docx", held.getvalue()), ("/b.docx", b"PK\x03\x04word/ broken"), ("/c.pdf", b"%PDF-1.4")], "path string, content binary")
+    got = {r.path: r.content for r in formats.extracted_text(rows, {"application/pdf": lambda d: "pdf"}).collect()}
+    assert got == {"/a.docx": "One & two\tx\n\nbox\n", "/b.docx": None, "/c.pdf": "pdf"}
+
+
+def test_word_field_codes():
+    cases = {
+        "a\x13 HYPERLINK \x13 PAGEREF \x14 5\x15 \x14link \x13X\x14y\x15\x15 b\r": "alink y b\n",
+        "no\x1efields\x1f\x01here\x07": "no-fieldshere\n",
+        "open \x13 never shown": "open ",
+        "open \x13 code \x14 result": "open  result",
+        "\x13gone\x15kept": "kept",
+    }
+    for raw, want in cases.items():
+        assert word.clean_text(raw) == want
