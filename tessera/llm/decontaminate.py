@@ -16,6 +16,8 @@ from tessera.llm.shared import ascii_lower, scratch, sized, stored, table, unuse
 #: A word before A-Z are lower-cased: ASCII letters, digits and all beyond ASCII.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WINDOW = 10
+#: Share of a window's words that a proximity match has.
+PROXIMITY = 0.8
 #: Lists intersected per window, from the rarest term on.
 LISTS = 2
 #: Rows of a term or window table up to which it is broadcast (a few dozen MB); beyond, joins shuffle.
@@ -94,13 +96,14 @@ def postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, wi
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """(matches: doc_id, tkey, wid, start, n, exact; windows of items: wid, item_id).
 
-    ``slop`` 0 returns exact phrases. A larger one adds proximity matches (``exact`` false): the
-    window's two rarest terms stand in one document, out of place by at most ``slop`` words.
+    ``slop`` 0 returns exact phrases. A larger one adds proximity matches (``exact`` false): at least
+    ``PROXIMITY`` of the window's words, its two rarest terms among them, stand in one document
+    within ``slop`` words of where the rarest puts them.
     """
     grams, of_items = benchmark_windows(items, window)
     grams = stored(grams, "windows")
     anchors = stored(rarest_terms(docs, grams, id_col, text_col), "anchors")
-    index = stored(postings(docs, anchors, id_col, text_col, window), "postings")
+    index = stored(postings(docs, anchors, id_col, text_col, window + slop), "postings")
     size = grams.select("wid", "gram", "n")
     wanted = sized(anchors.join(size.select("wid", "n"), "wid"), BROADCAST_ROWS)
     lists = index.join(wanted, "term").select("wid", *KEY, (F.col("pos") - F.col("offset")).alias("start"), "k", "n", "pos", "term")
@@ -120,10 +123,21 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         return exact, of_items
     # starts within slop share a block of slop + 1 or lie in adjoining ones
     block = F.floor(F.col("start") / (slop + 1))
-    far = rare.where("n > 1").select("wid", *KEY, F.col("start").alias("start"), "n", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    far = rare.where("n > 1").select("wid", *KEY, "start", "n", "pos", "term", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     close = other.select("wid", *KEY, F.col("start").alias("other_start"), block.alias("block"))
     within = F.abs(F.col("start") - F.col("other_start")) <= slop
-    loose = far.join(close, ["wid", *KEY, "block"]).where(within).select(*KEY, "wid", "start", "n").distinct()
+    loose = far.join(close, ["wid", *KEY, "block"]).where(within).select(*KEY, "wid", "start", "n", "pos", "term").distinct()
+    # every word of the window is looked for around its place, on the words kept around the rarest term
+    there = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda j: F.exists(
+            F.slice("near", F.greatest(offset + j - slop, F.lit(0)) + 1, F.greatest(offset + j + slop + 1 - F.greatest(offset + j - slop, F.lit(0)), F.lit(0))),
+            lambda word: ascii_lower(word) == F.get("gram", j),
+        ),
+    )
+    found = F.size(F.filter(there, lambda hit: hit))
+    loose = loose.join(around, [*KEY, "pos", "term"]).join(texts, ["wid", "n"]).where(found >= F.ceil(PROXIMITY * F.col("n")))
+    loose = loose.select(*KEY, "wid", "start", "n").distinct()
     return exact.unionByName(loose.join(exact, [*KEY, "wid", "start"], "left_anti").withColumn("exact", F.lit(False))), of_items
 
 

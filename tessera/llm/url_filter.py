@@ -31,6 +31,13 @@ BLOCK = (
     "ads.tracker.example.net/click/88/redirect", "doubleads.example.org/banner/468x60", "pixel.tracker.example.com/track/9", "spam-links.example.net/link/farm",
     "www.cheap-viagra.example.org/de/3", "pills-online.example.com/fr/cheap", "casino-bonus.example.com/es/free-spins", "bet-now.example.net/casino/live",
     "torrent-crack.example.org/download/keygen", "warez.example.com/crack/serial", "get-rich-quick.example.net/money/fast", "sexy-chat.example.com/cams/free",
+    "casino-slots.example.org/free-spins", "play-poker.example.net/casino/bonus", "online-slots.example.com/jackpot", "www.betting-tips.example.org/bet/live",
+    "buy-viagra.example.net/cheap/pills", "online-meds.example.com/order/cheap", "diet-pills.example.org/buy/fast", "cheap-meds.example.net/de/pills",
+    "adult-videos.example.org/xxx/9", "xxx-cams.example.net/live/free", "hot-cams.example.com/adult/join", "sexy-singles.example.org/chat/adult",
+    "replica-bags.example.net/sale/cheap", "cheap-watches.example.org/replica/buy", "fast-loans.example.com/apply/now", "payday-cash.example.net/loans/fast",
+    "free-prize.example.org/win/claim", "win-money.example.net/prize/now", "get-money-fast.example.com/free/cash", "claim-bonus.example.org/free/money",
+    "ads.example-tracker.com/banner/728x90", "click.tracker.example.org/redirect/ads", "banner-ads.example.net/click/3", "track.pixel.example.org/click/7",
+    "crack-keygen.example.net/download/serial", "free-warez.example.org/torrent/crack", "torrent-free.example.com/download/warez", "spam-farm.example.org/link/click",
 )
 ALLOW = (
     "www.example.com/news/2024/01/story", "blog.example.org/posts/spark-joins", "en.wiki.example.org/wiki/History", "docs.example.net/guide/install",
@@ -39,6 +46,13 @@ ALLOW = (
     "thention.example.net/fr/638", "m.erstion.example.com/fr/22", "blog.ingha.example.org/en/408", "www.hestth.example.net/es/439.html",
     "garden.example.com/plants/rose", "science.example.org/article/physics/9", "court.example.net/opinions/1999/4", "city.example.org/services/water",
     "school.example.com/lessons/math/3", "health.example.net/advice/sleep", "travel.example.org/fr/paris", "code.example.com/project/readme",
+    "news.example.org/2023/05/election-report", "www.example.net/news/science/story", "blog.example.com/posts/garden-notes", "en.wiki.example.org/wiki/Physics",
+    "docs.example.com/guide/reference", "university.example.net/research/history", "library.example.org/catalog/author/18", "museum.example.net/exhibits/sculpture",
+    "weather.example.com/forecast/paris", "recipes.example.org/bread/rye", "www.ndthe.example.com/fr/104", "m.anerein.example.org/es/31",
+    "blog.tionhe.example.net/de/907", "erthat.example.org/en/56", "www.onthand.example.net/fr/12.html", "m.ouresh.example.com/de/345",
+    "science.example.net/article/biology/4", "court.example.com/opinions/2004/11", "city.example.net/services/parks", "school.example.org/lessons/history/8",
+    "health.example.com/advice/exercise", "travel.example.net/de/berlin", "code.example.org/project/docs", "music.example.com/concerts/2022",
+    "books.example.org/reviews/novel", "maps.example.net/city/lyon", "forum.example.com/topic/repair", "radio.example.org/program/evening",
 )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -84,7 +85,12 @@ def test_exact_groups(odd):
     assert sorted(r.doc_id for r in exact_dedup.kept_documents(odd.where("doc_id = 4")).collect()) == [4]
 
 
-def test_substrings_by_brute_force(spark):
+@pytest.mark.parametrize("part", [None, 90])
+def test_substrings_by_brute_force(spark, monkeypatch, part):
+    """Also with texts named in several parts, some at once."""
+    if part:
+        monkeypatch.setattr(substring_dedup, "PART", part)
+        monkeypatch.setattr(substring_dedup, "CHUNK", 3 * part)
     rnd = random.Random(5)
     alphabet, base = "abé ", "".join(rnd.choice("abcdé ") for _ in range(120))
     texts = []
@@ -133,6 +139,34 @@ def test_proximity_and_phrases(spark):
     assert sorted((r.doc_id, r.start, r.exact) for r in found.collect()) == [(1, 1, True), (2, 0, False), (3, 1, True)]
 
 
+def test_proximity_by_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary, n, slop = [f"v{k}" for k in range(14)], 5, 1
+    items = [[rnd.choice(vocabulary) for _ in range(n)] for _ in range(30)]
+    docs = []
+    for _ in range(150):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 20))]
+        for w in rnd.choice(items):
+            words += [w] if rnd.random() < 0.9 else [w, rnd.choice(vocabulary)] if rnd.random() < 0.5 else []
+        docs.append(words)
+    freq = Counter(w for d in docs for w in d)
+    want = set()
+    for k, d in enumerate(docs):
+        for gram in {tuple(g) for g in items}:
+            first, second = sorted(range(n), key=lambda j: (freq[gram[j]], j))[:2]
+            for at in (p - first for p, w in enumerate(d) if w == gram[first]):
+                if any(abs(at - (p - second)) <= slop for p, w in enumerate(d) if w == gram[second]):
+                    found = sum(gram[j] in d[max(at + j - slop, 0) : max(at + j + slop + 1, 0)] for j in range(n))
+                    if found >= 4:
+                        want.add((k, at, gram, tuple(d[max(at, 0) : at + n]) == gram and at >= 0))
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], SCHEMA)
+    of = spark.createDataFrame([(k, " ".join(g)) for k, g in enumerate(items)], ITEMS)
+    found, _ = decontaminate.occurrences(table, of, window=n, slop=slop)
+    grams, _ = decontaminate.benchmark_windows(of, n)
+    got = {(r.doc_id, r.start, tuple(r.gram), r.exact) for r in found.join(grams.select("wid", "gram"), "wid").collect()}
+    assert got == want and any(x[3] for x in want) and sum(not x[3] for x in want) > 20
+
+
 @pytest.mark.parametrize("n", [3, 70, 400])
 def test_near_copies_of_any_number(spark, n):
     """Variants of one text, a chain, and clean texts; exact links by brute force."""
@@ -347,6 +381,19 @@ def test_pages_with_clashing_and_repeated_columns(spark):
         assert f(wide).count() == 3
 
 
+def test_urls_held_out(spark):
+    """Each quarter of the labelled table judged by a model of the rest."""
+    right = 0
+    for k in range(4):
+        block, allow = (tuple(u for i, u in enumerate(x) if i % 4 != k) for x in (url_filter.BLOCK, url_filter.ALLOW))
+        model = url_filter.train(spark, block, allow)
+        rows = [(y, f"https://{u}") for y, x in (("block", url_filter.BLOCK), ("allow", url_filter.ALLOW)) for i, u in enumerate(x) if i % 4 == k]
+        got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id string, url string"), rules=(), model=model).collect()
+        right += sum(r.page_id == r.verdict for r in got)
+    share = right / len(url_filter.BLOCK + url_filter.ALLOW)
+    assert share >= 0.8, share
+
+
 def test_a_very_long_url_and_page(spark):
     page = "<article>" + "<p>words of a long page &amp; more</p>" * 30_000 + "</article>"
     pages = spark.createDataFrame([(1, "http://h.com/" + "a/" * 20_000, page)], "page_id long, url string, html string")
