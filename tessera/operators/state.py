@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,39 @@ def fail(tasks: DataFrame, now: str, error: str) -> DataFrame:
     )
 
 
+def work_cycle(outbox: DataFrame, now: str, n: int, handlers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The queue after one round of a worker, with ``last_error``: the first ``n`` due tasks are claimed,
+    given to the handler of their type and completed or failed by what it returns.
+
+    A handler takes tasks (id, workspace_id, payload, ...) and returns (id, error), the error null
+    where the task is done. A task that no handler takes or returns has failed; failed ones wait
+    longer each time, up to their last retry.
+    """
+    claimed = claim(outbox, now, n)
+    held = outbox.join(claimed.where("status = 'processing'").select("id"), "id", "left_semi")
+    found = [work(held.where(F.col("event_type") == kind)).select("id", F.col("error").cast("string").alias("__error"), F.lit(True).alias("__back")) for kind, work in handlers.items()]
+    results = held.select("id", F.lit("no handler").alias("__error"), F.lit(True).alias("__back")).where(~F.col("event_type").isin(list(handlers)))
+    for part in found:
+        results = results.unionByName(part)
+    taken = claimed.select("id", F.col("status").alias("__status"), F.col("retry_count").alias("__tries"))
+    both = outbox.join(taken, "id", "left").join(results, "id", "left")
+    worked = F.coalesce(F.col("__status") == "processing", F.lit(False))
+    done = worked & F.col("__back").isNotNull() & F.col("__error").isNull()
+    failed = worked & ~done
+    tries = F.col("__tries") + 1
+    status = F.when(done, "completed").when(failed & (tries >= F.col("max_retries")), "dead").when(failed, "pending").otherwise(F.coalesce("__status", "status"))
+    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff_s(tries).cast("decimal(18,6)"))
+    again = failed & (tries < F.col("max_retries"))
+    return both.select(
+        *[c for c in outbox.columns if c not in ("status", "retry_count", "available_at", "lease_until", "last_error")],
+        status.alias("status"),
+        F.when(failed, tries).otherwise(F.coalesce("__tries", "retry_count")).cast("int").alias("retry_count"),
+        F.when(again, _ts(now) + wait).otherwise(F.col("available_at")).alias("available_at"),
+        F.when(F.col("__status").isNull(), F.col("lease_until")).alias("lease_until"),
+        F.when(failed, F.coalesce("__error", F.lit("no result"))).alias("last_error"),
+    )
+
+
 def complete(outbox: DataFrame, ids: DataFrame) -> DataFrame:
     """``outbox`` with tasks (id) completed, those only that are being processed."""
     done = ids.select("id").distinct().withColumn("__done", F.lit(True))

@@ -23,6 +23,25 @@ def outbox_fail(r):
     return state.fail(r("outbox").where("status IN ('processing', 'pending')").withColumn("max_retries", F.lit(4)), NOW, "boom")
 
 
+@query(
+    "worker_cycle",
+    f"WITH c AS (SELECT id, r, status = 'processing' AND r >= max_retries AS dead FROM (SELECT *, retry_count + CASE WHEN status = 'processing' THEN 1 ELSE 0 END AS r FROM outbox WHERE {_DUE} ORDER BY id LIMIT 300)), "
+    "w AS (SELECT o.*, c.r, c.dead, CASE WHEN c.id IS NULL OR c.dead THEN 'none' WHEN event_type = 'summary_sync' OR (event_type = 'chunk_sync' AND o.id % 2 = 0) THEN 'done' WHEN event_type = 'chunk_sync' THEN 'odd' ELSE 'no handler' END AS e, c.id IS NOT NULL AS taken FROM outbox o LEFT JOIN c ON o.id = c.id) "
+    "SELECT id, CASE WHEN NOT taken THEN status WHEN dead THEN 'dead' WHEN e = 'done' THEN 'completed' WHEN r + 1 >= max_retries THEN 'dead' ELSE 'pending' END AS status, "
+    "CAST(CASE WHEN NOT taken THEN retry_count WHEN dead OR e = 'done' THEN r ELSE r + 1 END AS INT) AS retry_count, "
+    f"CASE WHEN taken AND NOT dead AND e <> 'done' AND r + 1 < max_retries THEN TIMESTAMP '{NOW}' + to_seconds(CAST(least(30 * power(2, least(r + 1, 10)), 3600) AS BIGINT)) ELSE available_at END AS available_at, "
+    "CASE WHEN taken AND NOT dead AND e <> 'done' THEN e END AS last_error FROM w",
+    "outbox",
+)
+def worker_cycle(r):
+    """Claim, dispatch by type, complete or fail."""
+    handlers = {
+        "chunk_sync": lambda tasks: tasks.select("id", F.when(F.col("id") % 2 == 1, "odd").alias("error")),
+        "summary_sync": lambda tasks: tasks.select("id", F.lit(None).cast("string").alias("error")),
+    }
+    return state.work_cycle(r("outbox"), NOW, 300, handlers).select("id", "status", "retry_count", "available_at", "last_error")
+
+
 @query("outbox_complete", "SELECT id, CASE WHEN status = 'processing' AND id % 2 = 1 THEN 'completed' ELSE status END AS status FROM outbox", "outbox")
 def outbox_complete(r):
     return state.complete(r("outbox"), r("outbox").where("id % 2 = 1").select("id")).select("id", "status")

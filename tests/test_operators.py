@@ -1,5 +1,6 @@
 import hashlib
 import io
+import json
 import re
 import zipfile
 
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 
 from tessera.errors import InvalidInput, NotFound, QuotaExceeded
 from tessera.operators import answer, fs, memory, mutations, pipeline, retrieval, state, text_index, vectors
+from tessera.plans.catalog import QUERIES
 from tessera.sources import fixtures, formats, word
 
 
@@ -223,8 +225,6 @@ def test_write_forms_that_return(spark):
 
 
 def test_sql_search_refuses(spark, sf):
-    from tessera.plans.catalog import QUERIES
-
     QUERIES["sql_search_hybrid"](spark, sf).collect()
     for call in ("'x', 'fuzzy'", "'x', 'hybrid', 0"):
         with pytest.raises(Exception, match="search: "):
@@ -232,8 +232,6 @@ def test_sql_search_refuses(spark, sf):
 
 
 def test_windows_over_a_limit_sort_only_that_many(spark, sf):
-    from tessera.plans.catalog import QUERIES
-
     for name in ("tvf_search", "tvf_events_since"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrderedAndProject" in plan, name
@@ -263,3 +261,49 @@ def test_word_field_codes():
     }
     for raw, want in cases.items():
         assert word.clean_text(raw) == want
+
+
+def test_tasks_without_a_result_fail(spark):
+    rows = spark.createDataFrame([(1, "a", "w", "{}", "pending", 0, 2), (2, "a", "w", "{}", "pending", 1, 2), (3, "a", "w", "{}", "completed", 0, 2)], "id long, event_type string, workspace_id string, payload string, status string, retry_count int, max_retries int")
+    queue = rows.selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS available_at", "CAST(NULL AS TIMESTAMP_NTZ) AS lease_until")
+    got = {r.id: (r.status, r.retry_count, r.last_error) for r in state.work_cycle(queue, "2024-01-02 00:00:00", 10, {"a": lambda t: t.where("false").selectExpr("id", "'' AS error")}).collect()}
+    assert got == {1: ("pending", 1, "no result"), 2: ("dead", 2, "no result"), 3: ("completed", 0, None)}
+
+
+def test_chunks_of_the_fixture_by_plain_loops(spark, sf):
+    contents = {r.file_id: r.content for r in fixtures.relation(spark, sf, "contents").collect()}
+    got = {}
+    for r in QUERIES["storage_chunks"](spark, sf).collect():
+        got.setdefault(r.file_id, {})[r.chunk_index] = (r.start_line, r.line_count, r.byte_len, r.chunk_sha256, r.content)
+    for f, content in contents.items():
+        parts = [x for _, x in sorted(got.get(f, {}).items())]
+        assert "".join(x[4] for x in parts) == content
+        assert [x[0] for x in parts] == [1 + sum(y[4].count("\n") for y in parts[:k]) for k in range(len(parts))]
+        assert all((x[1], x[2], x[3]) == (x[4].count("\n"), len(x[4].encode()), hashlib.sha256(x[4].encode()).hexdigest()) for x in parts)
+        assert all(x[4].endswith("\n") for x in parts[:-1])
+        assert all(x[2] <= 1024 or x[1] <= 1 for x in parts)
+    for r in QUERIES["semantic_chunks"](spark, sf).where("chunk_index = 0").collect():
+        section = re.split(r"(?m)^(?=[ \t]*#{1,6}(?:[ \t]|$))", contents[r.file_id].replace("\r\n", "\n"))
+        lead = next(s for s in section if s)
+        spent, end = 0, 0
+        while end < len(lead) and spent + (1 if lead[end] < "\x80" else 4) <= 512:
+            spent, end = spent + (1 if lead[end] < "\x80" else 4), end + 1
+        assert r.content.rstrip("\n") == lead[:end].rstrip("\n"), r.file_id
+
+
+def test_embeddings_and_inserted_rows(spark, sf):
+    embed = vectors.hashing_embedder()
+    for r in QUERIES["embedding_json"](spark, sf).collect():
+        assert [round(x, 5) for x in json.loads(r.embedding)] == [round(x, 5) for x in embed(r.r_name)]
+    rows = QUERIES["collection_insert"](spark, sf).collect()
+    assert len({r.id for r in rows}) == len(rows) == 5
+    assert all([round(x, 5) for x in r.vector] == [round(x, 5) for x in embed(r.name)] for r in rows)
+
+
+def test_path_filters_reach_the_scan(spark, sf, tmp_path):
+    fixtures.relation(spark, sf, "dentries").write.parquet(f"{tmp_path}/dentries")
+    fixtures.relation(spark, sf, "files_meta").write.parquet(f"{tmp_path}/files_meta")
+    view = fs.files_view(spark.read.parquet(f"{tmp_path}/dentries"), spark.read.parquet(f"{tmp_path}/files_meta"))
+    plan = view.where("path LIKE '/src1/%'").select("path", "size_bytes")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*StringStartsWith\(path,/src1/\)", plan)
+    assert re.search(r"ReadSchema: struct<file_id:string,size_bytes:bigint>", plan)
