@@ -14,6 +14,7 @@ DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 PART_BYTES = 64 << 20
 #: A field without fields inside: its instruction goes, its result, if it has one, stays.
 _FIELD = re.compile("\x13[^\x13-\x15]*(?:\x14([^\x13-\x15]*))?\x15")
+#: What the format's control characters stand for.
 _MARKS = str.maketrans({"\r": "\n", "\x0b": "\n", "\x0c": "\n", "\x07": "\n", "\x1e": "-", "\x1f": None, "\x01": None, "\x02": None, "\x05": None, "\x08": None, "\x14": None, "\x15": None})
 
 
