@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, substring_dedup, token_count, url_filter
+from tessera.llm import decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, source_divergence, substring_dedup, token_count, url_filter
 
 
 def queries() -> dict:
@@ -18,9 +18,16 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_html_text": html_text.op9_html_text,
         "op10_minhash": near_dup.op10_minhash,
+        "op11_source_divergence": source_divergence.op11_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op2_substring_dedup": substring_dedup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_minhash": near_dup.SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL,
+        "op2_substring_dedup": substring_dedup.SQL,
+        "op3_decontaminate": decontaminate.SQL,
+        "op10_minhash": near_dup.SQL,
+        "op11_source_divergence": source_divergence.SQL,
+    }
