@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, source_divergence, substring_dedup, token_count, url_filter
+from tessera.llm import collocations, decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, source_divergence, substring_dedup, token_count, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_html_text": html_text.op9_html_text,
         "op10_minhash": near_dup.op10_minhash,
         "op11_source_divergence": source_divergence.op11_source_divergence,
+        "op12_collocations": collocations.op12_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.SQL,
         "op10_minhash": near_dup.SQL,
         "op11_source_divergence": source_divergence.SQL,
+        "op12_collocations": collocations.SQL,
     }
