@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import collocations, decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, source_divergence, substring_dedup, token_count, url_filter
+from tessera.llm import collocations, decontaminate, exact_dedup, html_text, language_id, near_dup, pii, piece_codec, source_divergence, substring_dedup, token_count, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_minhash": near_dup.op10_minhash,
         "op11_source_divergence": source_divergence.op11_source_divergence,
         "op12_collocations": collocations.op12_collocations,
+        "op13_toxicity": toxicity.op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
