@@ -48,7 +48,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str, at: str | None = None, **counts: Column) -> DataFrame:
+def stored(df: DataFrame, name: str, at: str | None = None, compression: str = "snappy", **counts: Column) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors.
 
     Aggregates given by name are taken of what was written; the result has them in ``observed``.
@@ -58,7 +58,7 @@ def stored(df: DataFrame, name: str, at: str | None = None, **counts: Column) ->
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
