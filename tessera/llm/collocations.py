@@ -5,7 +5,7 @@ phrases of the corpus get an id each, from a global count of pairs of ids; the i
 places of the documents, where adjacent ones make the pairs of the next level. An id's pair is also its
 two parents, through which the parts of a cut and the phrases inside a longer one are found.
 
-Documents are chunks of some 4 MB of text: a chunk holds the places of its words by names of its own and
+Documents are chunks of some 8 MB of text: a chunk holds the places of its words by names of its own and
 one row a different name, so that shuffles carry different names, not words.
 """
 
@@ -28,13 +28,22 @@ LEAST, TOP, LONGEST = 30, 2_000, 4
 INSIDE = 80
 KINDS = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 #: Bytes of text of a chunk, and words; a longer run of text is cut into several.
-CHUNK_BYTES, CHUNK_WORDS = 4 << 20, 1 << 20
+CHUNK_BYTES, CHUNK_WORDS = 8 << 20, 2 << 20
 
 _PLACES = "chunk long, name int, n long, own int, places binary, names binary"
 _WORDS = f"{_PLACES}, lang string, word string"
 _PAIRS = f"{_PLACES}, left long, right long"
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """int32 values by planes of bytes, which compress far better."""
+    return np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _rows(chunk: int, n: np.ndarray, seq: tuple[int, np.ndarray, np.ndarray] | None, extra: dict[str, pa.Array]) -> pa.RecordBatch:
     """One row a name, and one with the places if there is a ``seq`` of (own places, places, names)."""
     size, more = len(n), 1 if seq else 0
@@ -50,13 +59,25 @@ def _rows(chunk: int, n: np.ndarray, seq: tuple[int, np.ndarray, np.ndarray] | N
         "name": column(pa.array(np.arange(size, dtype=np.int32))),
         "n": column(pa.array(n.astype(np.int64))),
         "own": column(pa.nulls(size, pa.int32()), int(own)),
-        "places": column(blank, places.astype(np.int32).tobytes()),
-        "names": column(blank, names.astype(np.int32).tobytes()),
+        "places": column(blank, _packed(np.diff(places, prepend=0))),
+        "names": column(blank, _packed(names)),
     }
     columns |= {k: pa.concat_arrays([v, null.cast(v.type)]) for k, v in extra.items()}
     return pa.RecordBatch.from_pydict(columns)
 
 
+def gathered(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to ``CHUNK_BYTES`` or a little more."""
+    held: list[pa.RecordBatch] = []
+    for batch in found:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= CHUNK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def word_chunks(docs: DataFrame, lang_col: str, text_col: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Chunks of documents: for each a row with its places (places differ by one within a piece only) and
     a row for each of its words, ``name, lang, word, n``. A chunk's last places may belong to the next
@@ -64,8 +85,8 @@ def word_chunks(docs: DataFrame, lang_col: str, text_col: str, chunk_words: int
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for whole in found:
-            for batch in slices(whole, 1, CHUNK_BYTES):
+        for table_ in gathered(found):
+            for batch in slices(table_, 1, CHUNK_BYTES):
                 texts, row, piece = words(batch.column(1), KINDS)
                 if not len(texts):
                     continue
@@ -98,7 +119,7 @@ def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
         empty = _rows(0, np.zeros(0), None, {"left": pa.array([], pa.int64()), "right": pa.array([], pa.int64())})
         if not seq.num_rows or not known.num_rows:
             return pa.Table.from_batches([empty])
-        places, names = (np.frombuffer(seq.column(k)[0].as_py(), np.int32) for k in ("places", "names"))
+        places, names = np.cumsum(_unpacked(seq.column("places")[0].as_py())), _unpacked(seq.column("names")[0].as_py())
         own, chunk = seq.column("own")[0].as_py(), seq.column("chunk")[0].as_py()
         id_of = np.full(int(names.max(initial=0)) + 1, -1, np.int64)
         id_of[known.column("name").to_numpy()] = known.column("id").to_numpy()
@@ -141,7 +162,7 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     score and count go to the phrase first in UTF-8 order. A language without a candidate has no row;
     an empty table gives none. Other columns are ignored.
     """
-    chunks = stored(word_chunks(docs, lang_col, text_col, chunk_words), "phrase-words")
+    chunks = stored(word_chunks(docs, lang_col, text_col, chunk_words), "phrase-words", compression="zstd")
     named = chunks.where("name IS NOT NULL")
     totals = named.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = named.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
@@ -152,7 +173,7 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     ids = named.select("chunk", "name", "lang", F.col("word").alias("phrase")).join(level.select("lang", "phrase", "id"), ["lang", "phrase"]).select("chunk", "name", "id")
     levels: list[DataFrame] = []
     for length in range(2, LONGEST + 1):
-        before, chunks = chunks, stored(pairs(chunks, ids, length == LONGEST), f"phrase-pairs-{length}")
+        before, chunks = chunks, stored(pairs(chunks, ids, length == LONGEST), f"phrase-pairs-{length}", compression="zstd")
         release(before)
         named = chunks.where("name IS NOT NULL")
         counted = named.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
