@@ -84,10 +84,11 @@ def characters(params: dict, names: list[bytes], backward: bool = False):
         for low in range(int(starts[a]), int(ends[b - 1]), BYTES_AT_ONCE):  # more than once for one very long word only
             high = min(low + BYTES_AT_ONCE, int(ends[b - 1])) if b == a + 1 else int(ends[b - 1])
             at = np.arange(low, high)
+            owner = np.searchsorted(starts[a:b], at, side="right") - 1
+            at, owner = at[at < ends[a + owner]], owner[at < ends[a + owner]]
             score = params["char"][0][text[at]]
             for k in range(1, WIDTH):
                 score = score + params["char"][k][text[at + k]]
-            owner = np.searchsorted(starts[a:b], at, side="right") - 1
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
             top = np.maximum.reduceat(score, cuts) + params["char_bias"]
             rows = a + owner[cuts]
