@@ -2,8 +2,8 @@
 join and not a call for each row.
 
 They read the views ``files``, ``contents``, ``dentries``, ``files_meta``, ``fs_events``, the text
-index's ``postings`` and ``text_stats``, and ``vectors_of`` (id, vector) of the session they are
-registered in; ``search`` also calls ``embedding`` (text to vector) there.
+index's ``postings`` and ``text_stats``, ``chunks`` and ``vectors_of`` (id, vector) of the session they
+are registered in; ``search`` also calls ``embedding`` (text to vector) there.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ _LIMIT = (
     "WHEN n <= 0 THEN CAST(raise_error('search: the limit must be positive') AS INT) ELSE least(coalesce(n, 10), 100) END AS k)"
 )
 
+#: The limit of ``events_since``: literals fold to a number, so that only so many rows are sorted.
+_EVENTS = (
+    "CASE WHEN n < 0 THEN CAST(raise_error('events_since: the limit is negative') AS INT) WHEN since < 0 THEN CAST(raise_error('events_since: the first id is negative') AS INT) "
+    "ELSE least(coalesce(n, 1000), 100000) END"
+)
+
 SCALARS = {
     "path_parent": ("p STRING", "STRING", "CASE WHEN regexp_extract(p, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(p, '^(.*)/[^/]*$', 1) END"),
     "path_name": ("p STRING", "STRING", "substring_index(p, '/', -1)"),
@@ -43,7 +49,8 @@ TABLES = {
     "events_since": (
         "since BIGINT DEFAULT 0, prefix STRING DEFAULT NULL, n INT DEFAULT 1000",
         "id BIGINT, event_type STRING, path STRING, file_id STRING, created_at TIMESTAMP_NTZ",
-        f"SELECT id, event_type, path, file_id, created_at FROM (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM fs_events WHERE id > since AND {_UNDER}) WHERE rn <= n",
+        f"SELECT id, event_type, path, file_id, created_at FROM (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM fs_events WHERE id > coalesce(since, 0) AND {_UNDER}) WHERE rn <= {_EVENTS} "
+        f"UNION ALL SELECT CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS TIMESTAMP_NTZ) FROM (SELECT {_EVENTS} AS k) WHERE k < 0",  # none: the arguments are checked though nothing is found
     ),
     "storage_totals": (
         "",
@@ -62,7 +69,7 @@ TABLES = {
     ),
     "search": (
         "query STRING, mode STRING DEFAULT 'hybrid', n INT DEFAULT 10",
-        "id STRING, score DOUBLE, score_type STRING",
+        "id STRING, file_id STRING, chunk_index INT, content STRING, score DOUBLE, score_type STRING, path STRING",
         f"WITH {_BM25}, {_LIMIT}, "
         "e AS (SELECT embedding(query) AS x), "
         "v AS (SELECT id, aggregate(zip_with(vector, x, (a, b) -> a * b), 0D, (s, t) -> s + t) / sqrt(aggregate(vector, 0D, (s, t) -> s + t * t) * aggregate(x, 0D, (s, t) -> s + t * t)) AS score "
@@ -70,9 +77,12 @@ TABLES = {
         "dense AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM v WHERE score IS NOT NULL), "
         "sparse AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM r), "
         "one AS (SELECT id, score, 'cosine' AS score_type, 'semantic' AS kind FROM dense WHERE rank <= 100 UNION ALL SELECT id, score, 'bm25', 'fulltext' FROM sparse WHERE rank <= 100 UNION ALL "
-        "SELECT id, sum(1 / (60 + rank)), 'rrf', 'hybrid' FROM (SELECT id, rank FROM dense WHERE rank <= 100 UNION ALL SELECT id, rank FROM sparse WHERE rank <= 100) CROSS JOIN lim WHERE rank <= k GROUP BY id) "
-        "SELECT id, score, score_type FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM one WHERE kind = coalesce(mode, 'hybrid')) CROSS JOIN lim WHERE rank <= k "
-        "UNION ALL SELECT CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CAST(NULL AS STRING) FROM lim WHERE k < 0",  # none: the arguments are checked though nothing is found
+        "SELECT id, sum(1 / (60 + rank)), 'rrf', 'hybrid' FROM (SELECT id, rank FROM dense WHERE rank <= 100 UNION ALL SELECT id, rank FROM sparse WHERE rank <= 100) CROSS JOIN lim WHERE rank <= k GROUP BY id), "
+        "hits AS (SELECT id, score, score_type FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM one WHERE kind = coalesce(mode, 'hybrid')) CROSS JOIN lim WHERE rank <= k), "
+        "found AS (SELECT h.*, c.file_id, c.chunk_index, c.content FROM hits h JOIN chunks c ON c.id = h.id), "
+        "alias AS (SELECT d.file_id, min(d.path) AS path FROM dentries d LEFT SEMI JOIN found ON d.file_id = found.file_id GROUP BY d.file_id) "
+        "SELECT f.id, f.file_id, f.chunk_index, f.content, f.score, f.score_type, a.path FROM found f LEFT JOIN alias a ON a.file_id = f.file_id "
+        "UNION ALL SELECT CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS INT), CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM lim WHERE k < 0",  # none: the arguments are checked though nothing is found
     ),
 }
 

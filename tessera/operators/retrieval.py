@@ -139,12 +139,35 @@ def alias_resolve(hits: DataFrame, dentries: DataFrame) -> DataFrame:
     return out.withColumn("path", F.coalesce("__file_path", "__entry_path")).drop("__file_path", "__entry_path")
 
 
-def with_overview(hits: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Summary hits (id of a file or entry) with l1_overview by file first, then by entry."""
-    by_file = summaries.where("file_id is not null").select(F.col("file_id").alias("id"), F.col("l1_overview").alias("__f"))
-    by_entry = summaries.where("dentry_id is not null").select(F.col("dentry_id").alias("id"), F.col("l1_overview").alias("__d"))
+def summary_topk(vectors: DataFrame, vector: Sequence[float] | None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """Best summaries (id of a file or entry, vector) by cosine; there is no other ranker for them, so
+    that a search without a vector is an error."""
+    if vector is None:
+        raise InvalidInput("summary search needs a vector")
+    return vector_topk(vectors.select("id", "vector"), vector, clamp(limit)).select("id", "score", "score_type")
+
+
+def detailed(docs: DataFrame, summaries: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | None, level: str = "full", mode: str = "hybrid", limit: int = DEFAULT_LIMIT, index: TextIndex | None = None) -> DataFrame:
+    """Hits at a level of detail: ``full`` are texts by ``mode``; ``abstract`` are summaries with their
+    l0_abstract, whatever the mode; ``overview`` adds their l1_overview."""
+    if level == "full":
+        return search(docs, query, vector, mode, limit, index=index)
+    if level not in ("abstract", "overview"):
+        raise InvalidInput(f"detail level: {level!r}")
+    hits = with_text(summary_topk(vectors, vector, limit), summaries, "l0_abstract")
+    return with_overview(hits, summaries) if level == "overview" else hits
+
+
+def with_text(hits: DataFrame, summaries: DataFrame, column: str) -> DataFrame:
+    """Summary hits (id of a file or entry) with ``column`` by file first, then by entry."""
+    by_file = summaries.where("file_id is not null").select(F.col("file_id").alias("id"), F.col(column).alias("__f"))
+    by_entry = summaries.where("dentry_id is not null").select(F.col("dentry_id").alias("id"), F.col(column).alias("__d"))
     out = hits.join(by_file, "id", "left").join(by_entry, "id", "left")
-    return out.withColumn("l1_overview", F.coalesce("__f", "__d")).drop("__f", "__d")
+    return out.withColumn(column, F.coalesce("__f", "__d")).drop("__f", "__d")
+
+
+def with_overview(hits: DataFrame, summaries: DataFrame) -> DataFrame:
+    return with_text(hits, summaries, "l1_overview")
 
 
 def with_min_score(hits: DataFrame, least: float | None, mode: str) -> DataFrame:

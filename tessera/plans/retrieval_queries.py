@@ -116,18 +116,23 @@ def alias_resolve(r):
     return retrieval.alias_resolve(hits, r("dentries")).select("file_id", "path")
 
 
-_SUMMARY_IDS = "SELECT coalesce(file_id, dentry_id) AS id, l0_abstract AS content FROM summaries"
+_SUMMARY_TOP = f"SELECT id, {_COS} AS score FROM summary_vectors ORDER BY round({_COS}, 9) DESC, id LIMIT"
+_OF_SUMMARY = "(SELECT min({0}) FROM summaries x WHERE coalesce(x.file_id, x.dentry_id) = h.id) AS {0}"
 
 
-@query("summary_topk", f"WITH s AS ({_SUMMARY_IDS}), {_bm25('s')} SELECT id, round(score, 6) AS score FROM q ORDER BY round(score, 9) DESC, id LIMIT 10", "summaries")
+@query("summary_topk", f"SELECT id, round(score, 6) AS score FROM ({_SUMMARY_TOP} 10)", "summary_vectors")
 def summary_topk(r):
-    return _out(retrieval.bm25_topk(r("summaries").selectExpr("coalesce(file_id, dentry_id) AS id", "l0_abstract AS content"), WORDS, 10))
+    return _out(retrieval.summary_topk(r("summary_vectors"), VECTOR))
 
 
-@query("search_overview", f"WITH s AS ({_SUMMARY_IDS}), {_bm25('s', words='src1 src2')}, h AS (SELECT id, score FROM q ORDER BY round(score, 9) DESC, id LIMIT 10) SELECT h.id, round(score, 6) AS score, (SELECT min(l1_overview) FROM summaries x WHERE coalesce(x.file_id, x.dentry_id) = h.id) AS l1_overview FROM h", "summaries")
-def search_overview(r):
-    hits = retrieval.bm25_topk(r("summaries").selectExpr("coalesce(file_id, dentry_id) AS id", "l0_abstract AS content"), "src1 src2", 10)
-    return _out(retrieval.with_overview(hits, r("summaries")), "l1_overview")
+def _level(name, level, limit, *columns):
+    @query(name, f"SELECT id, round(score, 6) AS score, 'cosine' AS score_type, {', '.join(_OF_SUMMARY.format(c) for c in columns)} FROM ({_SUMMARY_TOP} {limit}) h", "summary_vectors", "summaries")
+    def run(r):
+        return _out(retrieval.detailed(r("chunks"), r("summaries"), r("summary_vectors"), WORDS, VECTOR, level, "fulltext", limit), "score_type", *columns)
+
+
+_level("search_abstract", "abstract", 15, "l0_abstract")
+_level("search_overview", "overview", 10, "l0_abstract", "l1_overview")
 
 
 @query("min_score", f"SELECT id, score FROM (SELECT id, round({_COS}, 6) AS score, {_COS} AS exact FROM vectors ORDER BY round({_COS}, 9) DESC, id LIMIT 30) WHERE exact >= 0.2", "vectors")

@@ -3,7 +3,7 @@
 from tessera.functions import sql_functions
 from tessera.operators import fs
 from tessera.plans.registry import query
-from tessera.plans.retrieval_queries import _HYBRID, VECTOR, WORDS, _bm25, _rrf, _vectors, chunk_index
+from tessera.plans.retrieval_queries import _COS, VECTOR, WORDS, _bm25, _rrf, chunk_index
 from tessera.session import Engine
 
 
@@ -42,16 +42,24 @@ def _indexed(r, index, functions):
     return engine
 
 
+_CHUNKS = "docs AS (SELECT c.id, c.content, c.file_id, c.chunk_index, e.vector FROM chunks c LEFT JOIN chunk_vectors e ON e.id = c.id)"
+
+
 def _search(name, mode, oracle, call):
-    @query(name, f"{_HYBRID.replace('d.doc_id AS id', 'CAST(d.doc_id AS VARCHAR) AS id')} SELECT id, round(score, 6) AS score, '{mode}' AS score_type FROM {oracle} ORDER BY round(score, 9) DESC, id LIMIT 10")
+    @query(
+        name,
+        f"WITH {_CHUNKS}, {_bm25('docs')}, v AS (SELECT id, {_COS} AS score FROM docs WHERE vector IS NOT NULL), h AS (SELECT id, score FROM {oracle} ORDER BY round(score, 9) DESC, id LIMIT 10) "
+        f"SELECT h.id, d.file_id, d.chunk_index, d.content, round(h.score, 6) AS score, '{mode}' AS score_type, (SELECT min(path) FROM dentries x WHERE x.file_id = d.file_id) AS path FROM h JOIN docs d ON d.id = h.id",
+        "chunks", "chunk_vectors", "dentries",
+    )
     def run(r):
-        docs = r("documents").selectExpr("CAST(doc_id AS STRING) AS id", "text AS content")
-        engine = _indexed(r, r.text_index("document-names", docs, "documents"), [])
-        engine.register("vectors_of", _vectors(r).selectExpr("CAST(id AS STRING) AS id", "vector"))
+        engine = _indexed(r, chunk_index(r), [])
+        for name, own in (("vectors_of", "chunk_vectors"), ("chunks", "chunks"), ("dentries", "dentries")):
+            engine.register(name, r(own))
         # what the words mean is the model's business; here a fixed vector
         r.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION embedding(x STRING) RETURNS ARRAY<DOUBLE> RETURN array({', '.join(f'{v}D' for v in VECTOR)})")
         sql_functions.register(r.spark, "search")
-        return engine.sql(f"SELECT id, round(score, 6) AS score, score_type FROM search({call})")
+        return engine.sql(f"SELECT id, file_id, chunk_index, content, round(score, 6) AS score, score_type, path FROM search({call})")
 
 
 _search("sql_search_hybrid", "rrf", _rrf("v", "q", 10), f"'{WORDS}'")

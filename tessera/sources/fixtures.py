@@ -77,6 +77,13 @@ RELATIONS: dict[str, Relation] = {
         "CASE WHEN count(l.doc_id) > 0 THEN 'ready' ELSE 'pending' END AS status FROM {paths} p LEFT JOIN {labels} l ON p.doc_id = l.doc_id GROUP BY p.file_id "
         "UNION ALL SELECT NULL, id, 'D: ' || path, 'directory ' || path, 'ready' FROM {dentries} WHERE is_dir AND parent_path <> '/'"
     ),
+    "summary_vectors": Relation(
+        "SELECT p.file_id AS id, e.embedding AS vector FROM (SELECT file_id, min(doc_id) AS vec_id FROM {paths} GROUP BY file_id) p JOIN {embeddings} e ON e.vec_id = p.vec_id "
+        "UNION ALL SELECT d.id, e.embedding FROM {dentries} d JOIN {embeddings} e ON e.vec_id = length(d.path) WHERE d.is_dir AND d.parent_path <> '/'"
+    ),
+    "chunk_vectors": Relation(
+        "SELECT c.id, e.embedding AS vector FROM {chunks} c JOIN (SELECT file_id, min(doc_id) AS vec_id FROM {paths} GROUP BY file_id) p ON p.file_id = c.file_id JOIN {embeddings} e ON e.vec_id = p.vec_id WHERE c.chunk_index = 0"
+    ),
     "vectors": Relation(
         "SELECT 'ds' || CAST(vec_id % 3 AS STRING) || ':v' || CAST(vec_id AS STRING) AS pk, 'v' || CAST(vec_id AS STRING) AS id, 'ds' || CAST(vec_id % 3 AS STRING) AS dataset, "
         "'c' || CAST(label AS STRING) AS category, array('t' || CAST(label % 2 AS STRING), 't' || CAST(2 + vec_id % 5 AS STRING)) AS tags, vec_id, embedding AS vector, "

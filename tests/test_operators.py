@@ -231,6 +231,28 @@ def test_sql_search_refuses(spark, sf):
             spark.sql(f"SELECT * FROM search({call})").collect()
 
 
+def test_sql_events_refuse(spark, sf):
+    QUERIES["tvf_events_since"](spark, sf).collect()
+    assert spark.sql("SELECT * FROM events_since(since => NULL, n => NULL)").count() == 999
+    assert spark.sql("SELECT * FROM events_since(n => 0)").count() == 0
+    for call in ("n => -1", "since => 900000000, n => -1", "since => -5"):
+        with pytest.raises(Exception, match="negative"):
+            spark.sql(f"SELECT * FROM events_since({call})").collect()
+    with pytest.raises(Exception, match="CAST|DATATYPE"):
+        spark.sql("SELECT * FROM events_since(since => array(1))").collect()
+
+
+def test_detail_levels(spark):
+    summaries = spark.createDataFrame([("f", None, "F0", "F1"), (None, "d", "D0", "D1")], "file_id string, dentry_id string, l0_abstract string, l1_overview string")
+    own = spark.createDataFrame([("f", [1.0, 0.0]), ("d", [1.0, 1.0]), ("gone", [0.0, 1.0])], "id string, vector array<float>")
+    get = lambda level: [tuple(r)[:1] + tuple(r)[3:] for r in retrieval.detailed(None, summaries, own, "x", [1.0, 0.1], level, "fulltext").orderBy("id").collect()]
+    assert get("abstract") == [("d", "D0"), ("f", "F0"), ("gone", None)]
+    assert get("overview") == [("d", "D0", "D1"), ("f", "F0", "F1"), ("gone", None, None)]
+    for wrong in (lambda: retrieval.summary_topk(own, None), lambda: retrieval.detailed(None, summaries, own, "x", [1.0, 0.0], "short")):
+        with pytest.raises(InvalidInput):
+            wrong()
+
+
 def test_windows_over_a_limit_sort_only_that_many(spark, sf):
     for name in ("tvf_search", "tvf_events_since"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
