@@ -1,12 +1,13 @@
 """Phrase collocation mining by hierarchical pair naming.
 
 A phrase of k words is a pair of two overlapping phrases of k - 1 words. Level by level, the frequent
-phrases of the corpus get an id each, from a global count of pairs of ids; the ids go back to the
-places of the documents, where adjacent ones make the pairs of the next level. An id's pair is also its
+phrases of the corpus get an id each, from a global count of pairs of ids; the ids are joined back to
+the places of the documents, where adjacent ones make the pairs of the next level. An id's pair is also its
 two parents, through which the parts of a cut and the phrases inside a longer one are found.
 
 Documents are chunks of some 8 MB of text: a chunk holds the places of its words by names of its own and
-one row a different name, so that shuffles carry different names, not words.
+one row a different name, so that shuffles carry different names, not words, and a phrase has at most
+as many rows as there are chunks, however frequent it is.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ INSIDE = 80
 KINDS = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 #: Bytes of text of a chunk, and words; a longer run of text is cut into several.
 CHUNK_BYTES, CHUNK_WORDS = 8 << 20, 2 << 20
+#: Bits of a name, and of a chunk's number within its task.
+NAME_BITS, NUMBER_BITS = 22, 20
 
 _PLACES = "chunk long, name int, n long, own int, places binary, names binary"
 _WORDS = f"{_PLACES}, lang string, word string"
@@ -84,7 +87,7 @@ def word_chunks(docs: DataFrame, lang_col: str, text_col: str, chunk_words: int
     one, for the phrases that begin before; ``own`` is the first such place."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() << NUMBER_BITS
         for table_ in gathered(found):
             for batch in slices(table_, 1, CHUNK_BYTES):
                 texts, row, piece = words(batch.column(1), KINDS)
@@ -137,6 +140,16 @@ def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
     return seqs.groupBy("chunk").cogroup(ids.groupBy("of")).applyInArrow(of_chunk, _PAIRS)
 
 
+def named(chunks: DataFrame, key: list[str], least: int) -> DataFrame:
+    """Names of frequent phrases: ``chunk, name, id`` and, on one row a phrase, ``a`` and the ``key``. The id
+    is that row's place. One shuffle by the key; what a task holds of a phrase is a row a chunk."""
+    place = F.shiftleft(F.col("chunk"), NAME_BITS).bitwiseOR(F.col("name").cast("long"))
+    phrase = W.partitionBy(*key)
+    rows = chunks.where("name IS NOT NULL").select("chunk", "name", *key, F.sum("n").over(phrase).alias("a"), F.min(place).over(phrase).alias("id")).where(F.col("a") >= least)
+    one = F.col("id") == place
+    return rows.select("chunk", "name", "id", *[F.when(one, F.col(c)).alias(c) for c in ("a", *key)])
+
+
 def _score(a: Column, parts: Column) -> Column:
     """``floor(2000000 * a / parts)`` in 128 bits."""
     return F.call_function("div", a.cast("decimal(20,0)") * F.lit(2_000_000), parts.cast("decimal(20,0)"))
@@ -150,7 +163,7 @@ def _phrases(counted: DataFrame, shorter: DataFrame, length: int) -> DataFrame:
     cuts = {1: ("l_first_a", "r_a"), 2: ("l_left_a", "r_right_a"), length - 1: ("l_a", "r_last_a")} if length == 4 else {1: ("l_first_a", "r_a"), length - 1: ("l_a", "r_last_a")}
     best = F.array_min(F.array(*[F.struct(_score(F.col("a"), F.col(x) + F.col(y)).alias("score"), F.lit(k).alias("k"), F.col(x).alias("l"), F.col(y).alias("r")) for k, (x, y) in cuts.items()]))
     return joined.select(
-        F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "l_phrase", "r_last_word").alias("phrase"), F.col("r_last_word").alias("last_word"), "a", "left", "right",
+        "id", "lang", F.concat_ws(" ", "l_phrase", "r_last_word").alias("phrase"), F.col("r_last_word").alias("last_word"), "a", "left", "right",
         F.col("l_first_a").alias("first_a"), F.col("r_last_a").alias("last_a"), F.col("l_a").alias("left_a"), F.col("r_a").alias("right_a"), best.alias("cut"),
     )
 
@@ -163,24 +176,20 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     an empty table gives none. Other columns are ignored.
     """
     chunks = stored(word_chunks(docs, lang_col, text_col, chunk_words), "phrase-words", compression="zstd")
-    named = chunks.where("name IS NOT NULL")
-    totals = named.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = named.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    totals = stored(chunks.where("name IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
+    known = stored(named(chunks, ["lang", "word"], least), "phrase-names-1", compression="zstd")
     a = F.col("a")
-    level = frequent.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), "a", a.alias("first_a"), a.alias("last_a"), a.alias("left_a"), a.alias("right_a"))
+    level = known.where("a IS NOT NULL").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), "a", a.alias("first_a"), a.alias("last_a"), a.alias("left_a"), a.alias("right_a"))
     level = stored(level, "phrases-1")
-    totals = stored(totals, "phrase-totals")
-    ids = named.select("chunk", "name", "lang", F.col("word").alias("phrase")).join(level.select("lang", "phrase", "id"), ["lang", "phrase"]).select("chunk", "name", "id")
     levels: list[DataFrame] = []
     for length in range(2, LONGEST + 1):
-        before, chunks = chunks, stored(pairs(chunks, ids, length == LONGEST), f"phrase-pairs-{length}", compression="zstd")
-        release(before)
-        named = chunks.where("name IS NOT NULL")
-        counted = named.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        level = stored(_phrases(counted, level, length), f"phrases-{length}")
+        before = chunks, known
+        chunks = stored(pairs(chunks, known.select("chunk", "name", "id"), length == LONGEST), f"phrase-pairs-{length}", compression="zstd")
+        release(*before)
+        known = stored(named(chunks, ["left", "right"], least), f"phrase-names-{length}", compression="zstd")
+        level = stored(_phrases(known.where("a IS NOT NULL").select("id", "a", "left", "right"), level, length), f"phrases-{length}")
         levels.append(level)
-        ids = named.select("chunk", "name", "left", "right").join(level.select("left", "right", "id"), ["left", "right"]).select("chunk", "name", "id")
-    release(chunks)
+    release(chunks, known)
     open_ = []
     for level, longer in zip(levels, [*levels[1:], None], strict=True):
         # what a longer phrase keeps of a part, a phrase between them keeps too, so parents are enough
