@@ -23,6 +23,10 @@ class AlreadyExists(EngineError):
     pass
 
 
+class Conflict(EngineError):
+    """Someone else changed what a write was based on."""
+
+
 class PermissionDenied(EngineError):
     pass
 

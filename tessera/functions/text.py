@@ -6,12 +6,19 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INLINE_BYTES = 256 * 1024
 #: Words, lower-cased: each Han character, else runs of letters and digits.
 TOKEN = r"\p{IsHan}|(?:[^\P{L}\p{IsHan}]|\p{N})+"
+_CHAR = r"(?:[^\P{L}\p{IsHan}]|\p{N})"
+#: The same with runs of Han characters as overlapping pairs, a lone one by itself; found by looking ahead, so
+#: that matches may overlap.
+BIGRAM = rf"(?=(\p{{IsHan}}{{2}}|(?<!\p{{IsHan}})\p{{IsHan}}(?!\p{{IsHan}})|(?<!{_CHAR}){_CHAR}+))"
+#: Patterns of tokenisers by name, the group that is the token, and a version for what was stored with them.
+TOKENISERS = {"words": (TOKEN, 0, 1), "bigrams": (BIGRAM, 1, 1)}
 #: The characters with the property White_Space.
 SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 CUT_MARK = "\n\n[... content truncated ...]\n\n"
@@ -99,8 +106,15 @@ def citation_indices(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda s: s.cast("int"))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column, tokeniser: str = "words") -> Column:
+    pattern, group, _ = TOKENISERS[tokeniser]
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
+
+
+def tokens_of(value: str, tokeniser: str = "words") -> list[str]:
+    """``tokens`` of a literal."""
+    pattern, group, _ = TOKENISERS[tokeniser]
+    return [m[group] for m in regex.finditer(pattern.replace("IsHan", "Han"), value.lower())]
 
 
 def rfc3339(ts: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,17 +47,17 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str = "
     return top(vectors.withColumn("score", cosine(F.col("vector"), query)), k, key=key).withColumn("score_type", F.lit("cosine"))
 
 
-def query_terms(query: str) -> list[str]:
-    return sorted({t.lower() for t in regex.findall(text.TOKEN.replace("IsHan", "Han"), query)})
+def query_terms(query: str, tokeniser: str = "words") -> list[str]:
+    return sorted(set(text.tokens_of(query, tokeniser)))
 
 
-def bm25(docs: DataFrame | None, query: str, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame | None, query: str, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None, tokeniser: str = "words") -> DataFrame:
     """key, score of documents with a query term, by the stored ``index`` (within ``scope``, if
     given) or, without one, by a pass over the texts that keeps the query's terms only."""
-    terms = query_terms(query)
     if index is not None:
-        return index.scores(terms, scope).withColumnRenamed("id", key)
-    words = docs.select(F.col(key).alias("id"), F.coalesce(text.tokens(F.col(content)), F.array().cast("array<string>")).alias("w"))
+        return index.scores(query_terms(query, index.tokeniser), scope).withColumnRenamed("id", key)
+    terms = query_terms(query, tokeniser)
+    words = docs.select(F.col(key).alias("id"), F.coalesce(text.tokens(F.col(content), tokeniser), F.array().cast("array<string>")).alias("w"))
     dl = F.size("w").alias("dl")
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     held = words.select("id", dl, F.explode(F.filter("w", lambda x: x.isin(terms) if terms else F.lit(False))).alias("term"))
@@ -66,8 +65,13 @@ def bm25(docs: DataFrame | None, query: str, key: str = "id", content: str = "co
     return TextIndex(each.withColumn("bucket", bucket(F.col("term"))), words.select("id", dl), stats).scores(terms).withColumnRenamed("id", key)
 
 
-def bm25_topk(docs: DataFrame | None, query: str, k: int, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None) -> DataFrame:
-    return top(bm25(docs, query, key, content, index, scope), k, key=key).withColumn("score_type", F.lit("bm25"))
+def bm25_topk(docs: DataFrame | None, query: str, k: int, key: str = "id", content: str = "content", index: TextIndex | None = None, scope: DataFrame | None = None, tokeniser: str = "words") -> DataFrame:
+    """The k best; over a whole stored index only blocks that can hold one of them are read."""
+    if index is not None and scope is None:
+        found = index.topk(query_terms(query, index.tokeniser), k).withColumnRenamed("id", key)
+    else:
+        found = bm25(docs, query, key, content, index, scope, tokeniser)
+    return top(found, k, key=key).withColumn("score_type", F.lit("bm25"))
 
 
 def ranked(best: DataFrame, key: str = "id") -> DataFrame:

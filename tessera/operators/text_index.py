@@ -1,8 +1,4 @@
-"""A stored inverted index for BM25: postings by term, document lengths, corpus statistics.
-
-Postings lie in directories by a hash of the term, sorted by it, so that a query reads the few
-files, and of these the row groups, that hold its terms; texts are read once, when it is built.
-"""
+"""BM25 over postings by term, document lengths and corpus statistics, wherever they come from."""
 
 from __future__ import annotations
 
@@ -10,14 +6,11 @@ import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-from tessera.intermediate import file_system
-
-#: Directories of postings, and files a directory that a frequent term's postings are dealt to.
-BUCKETS, SPREAD = 64, 4
+#: Directories of stored postings.
+BUCKETS = 64
 K1, B = 1.2, 0.75
 
 
@@ -38,6 +31,12 @@ class TextIndex:
     lengths: DataFrame
     stats: DataFrame
 
+    tokeniser: str = "words"
+
+    def topk(self, terms: Sequence[str], k: int) -> DataFrame:
+        """id, score of documents, the ``k`` best among them."""
+        return self.scores(terms)
+
     def scores(self, terms: Sequence[str], scope: DataFrame | None = None) -> DataFrame:
         """id, score of documents with one of ``terms``. With ``scope`` (id), those documents are the
         corpus: frequencies and lengths are theirs alone."""
@@ -58,30 +57,3 @@ def weight() -> Column:
     tf, df, n = F.col("tf"), F.col("df"), F.col("n")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-
-def build(docs: DataFrame, folder: str, key: str = "id", content: str = "content", keep: Sequence[str] = ()) -> TextIndex:
-    """Writes the index of ``docs`` to ``folder``, a shared one, and opens it. Null texts have no words."""
-    words = docs.select(F.col(key).alias("id"), *keep, F.coalesce(text.tokens(F.col(content)), F.array().cast("array<string>")).alias("w"))
-    words.select("id", F.size("w").alias("dl"), *keep).write.mode("overwrite").parquet(f"{folder}/lengths")
-    # each text is counted in its own task; a second shuffle deals the postings to the files
-    each = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    placed = each.select(bucket(F.col("term")).alias("bucket"), "term", "id", "tf", "dl")
-    dealt = placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "id")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    lengths = docs.sparkSession.read.parquet(f"{folder}/lengths")
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/stats")
-    return opened(docs.sparkSession, folder)
-
-
-def opened(spark: SparkSession, folder: str) -> TextIndex:
-    lengths = spark.read.parquet(f"{folder}/lengths")
-    kind = dict(lengths.dtypes)["id"]
-    postings = spark.read.schema(f"term string, id {kind}, tf int, dl int, bucket int").parquet(f"{folder}/postings")
-    return TextIndex(postings, lengths, spark.read.parquet(f"{folder}/stats"))
-
-
-def is_built(spark: SparkSession, folder: str) -> bool:
-    """Whether ``build`` has ended there: the statistics are written last."""
-    system, path = file_system(spark, f"{folder}/stats/_SUCCESS")
-    return system.exists(path)

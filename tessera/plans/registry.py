@@ -8,8 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.errors import Conflict
 from tessera.intermediate import file_system, shared_dir
-from tessera.operators.text_index import TextIndex, build, is_built, opened
+from tessera.operators import segments, vector_index
+from tessera.operators.segments import SegmentIndex
+from tessera.operators.vector_index import VectorIndex
 from tessera.session import Engine
 from tessera.sources import fixtures
 
@@ -17,6 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _digest(*x: str) -> str:
+    return hashlib.sha256("\n".join(x).encode()).hexdigest()[:24]
+
+
 class Source:
     """Relations by name: ``r("files_meta")``."""
 
@@ -26,18 +33,41 @@ class Source:
     def __call__(self, name: str) -> DataFrame:
         return fixtures.relation(self.spark, self.sf_dir, name)
 
-    def text_index(self, name: str, docs: DataFrame, *tables: str, keep: tuple[str, ...] = ()) -> TextIndex:
-        """The stored index of ``docs`` (id, content and what to ``keep``), which come of ``tables``:
-        built where there is none of these files as they now are."""
+    def _mark(self, *tables: str) -> str:
+        """Stands for the files of ``tables`` as they now are."""
         marks = []
         for t in tables:
             system, path = file_system(self.spark, f"{self.sf_dir}/{t}.parquet")
             found = system.getFileStatus(path)
             files = [found] if found.isFile() else list(system.listStatus(path))
             marks += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files]
-        tag = hashlib.sha256("\n".join([name, *sorted(marks)]).encode()).hexdigest()[:24]
-        folder = f"{shared_dir(self.spark)}/tessera/index-{name}-{tag}"
-        return opened(self.spark, folder) if is_built(self.spark, folder) else build(docs, folder, keep=keep)
+        return _digest(*sorted(marks))
+
+    def _folder(self, name: str, *settings: str) -> str:
+        return f"{shared_dir(self.spark)}/tessera/{name}-{_digest(self.sf_dir, *settings)}"
+
+    def vector_index(self, name: str, rows: DataFrame, *tables: str) -> VectorIndex:
+        """The stored index of ``rows`` (id, vector), built where there is none of these files as they now are."""
+        folder, mark = self._folder("vectors-" + name), self._mark(*tables)
+        found = vector_index.opened(self.spark, folder)
+        if found is not None and found.snapshot.properties["watermark"] == mark:
+            return found
+        try:
+            return vector_index.build(rows, folder, watermark=mark)
+        except Conflict:
+            return vector_index.opened(self.spark, folder)
+
+    def text_index(self, name: str, docs: DataFrame, *tables: str, keep: tuple[str, ...] = (), tokeniser: str = "words") -> SegmentIndex:
+        """The stored index of ``docs`` (id, content and what to ``keep``), which come of ``tables``: brought
+        to these files as they now are, where they changed. Of two sessions at once one waits for the other's."""
+        folder = self._folder("index-" + name, tokeniser, str(segments.text.TOKENISERS[tokeniser]), str(segments.BLOCK), *keep)
+        mark = self._mark(*tables)
+        for last in (False, False, True):
+            try:
+                return segments.sync(self.spark, folder, docs, mark, keep=keep, tokeniser=tokeniser)
+            except Conflict:
+                if last:
+                    raise
 
 
 def query(name: str, oracle: str | None = None, *names: str):

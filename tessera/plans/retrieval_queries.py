@@ -74,6 +74,55 @@ def bm25_unindexed(r):
     return _out(retrieval.bm25_topk(r("documents").selectExpr("CAST(doc_id AS STRING) AS id", "text AS content"), WORDS, 25))
 
 
+def vector_cells(r):
+    return r.vector_index("embeddings", r("embeddings").selectExpr("vec_id AS id", "embedding AS vector"), "embeddings")
+
+
+_EMBEDDED = "(SELECT vec_id AS id, embedding AS vector FROM embeddings)"
+
+
+@query("vector_index_topk", f"SELECT id, round({_COS}, 6) AS score FROM {_EMBEDDED} ORDER BY round({_COS}, 9) DESC, id LIMIT 50")
+def vector_index_topk(r):
+    """Exact by the cells' bounds."""
+    return _out(vector_cells(r).topk(VECTOR, 50, exact=True))
+
+
+@query("vector_index_batch")
+def vector_index_batch(r):
+    """Approximate neighbours of each vector whose id is divisible by 100, among all; recall is tested."""
+    queries = r("embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    return vector_cells(r).batch_topk(queries, 10, probes=24).withColumn("score", F.round("score", 6))
+
+
+def _han(text):
+    """Latin letters of frequent words as Han characters: rows to segment."""
+    return f"translate({text}, 'aehinorst', '的一是不了人我在有')"
+
+
+_HAN_RE = "[\\x{4E00}-\\x{9FFF}]"
+_HAN_TOKENS = (
+    f"list_concat(list_concat(list_filter(list_transform(range(1, length(c)), lambda i: substring(c, i, 2)), lambda x: regexp_full_match(x, '{_HAN_RE}{{2}}')), "
+    f"list_transform(list_filter(list_transform(range(1, length(c) + 1), lambda i: substring(' ' || c || ' ', i, 3)), lambda x: regexp_full_match(x, '[^\\x{{4E00}}-\\x{{9FFF}}]{_HAN_RE}[^\\x{{4E00}}-\\x{{9FFF}}]', 's')), lambda x: substring(x, 2, 1))), "
+    f"regexp_extract_all(regexp_replace(c, '{_HAN_RE}', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'))"
+)
+_HAN_QUERY = "在不一 d 了"
+
+
+@query(
+    "bm25_han",
+    f"WITH h AS (SELECT id, lower({_han('content')}) AS c FROM chunks), w AS (SELECT id, {_HAN_TOKENS} AS w FROM h), "
+    "t AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = '在不')) AS tf0, len(list_filter(w, lambda x: x = '不一')) AS tf1, len(list_filter(w, lambda x: x = 'd')) AS tf2, len(list_filter(w, lambda x: x = '了')) AS tf3 FROM w), "
+    f"c AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (WHERE tf{k} > 0) AS df{k}' for k in range(4))} FROM t), "
+    f"q AS (SELECT id, {' + '.join(f'ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))' for k in range(4))} AS score FROM t, c WHERE tf0 + tf1 + tf2 + tf3 > 0) "
+    "SELECT id, round(score, 6) AS score FROM q ORDER BY round(score, 9) DESC, id LIMIT 25",
+    "chunks",
+)
+def bm25_han(r):
+    """Full text over Han runs cut to overlapping pairs."""
+    docs = r("chunks").select("id", F.expr(_han("content")).alias("content"))
+    return _out(retrieval.bm25_topk(None, _HAN_QUERY, 25, index=r.text_index("han", docs, "documents", tokeniser="bigrams")))
+
+
 _HYBRID = f"WITH docs AS ({_DOCS}), {_bm25('docs')}, v AS (SELECT id, {_COS} AS score FROM docs WHERE vector IS NOT NULL)"
 
 

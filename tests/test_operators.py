@@ -5,11 +5,12 @@ import re
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.errors import InvalidInput, NotFound, QuotaExceeded
-from tessera.operators import answer, fs, memory, mutations, pipeline, retrieval, state, text_index, vectors
+from tessera.errors import Conflict, InvalidInput, NotFound, QuotaExceeded
+from tessera.operators import answer, fs, memory, mutations, pipeline, retrieval, segments, snapshots, state, vectors
 from tessera.plans.catalog import QUERIES
 from tessera.sources import fixtures, formats, word
 
@@ -193,8 +194,8 @@ def test_rollup_of_a_deep_and_mixed_tree(spark):
 
 def test_index_reads_only_the_terms_of_a_query(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"word{k % 40} common term{k}") for k in range(400)] + [(400, None), (401, "中文 common")], "id long, content string")
-    index = text_index.build(docs, f"file://{tmp_path}/index")
-    assert text_index.is_built(spark, f"file://{tmp_path}/index") and not text_index.is_built(spark, f"file://{tmp_path}/none")
+    assert segments.opened(spark, f"file://{tmp_path}/none") is None
+    index = segments.sync(spark, f"file://{tmp_path}/index", docs)
     found = index.scores(["word7"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [(bucket" in plan
@@ -329,3 +330,119 @@ def test_path_filters_reach_the_scan(spark, sf, tmp_path):
     plan = view.where("path LIKE '/src1/%'").select("path", "size_bytes")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*StringStartsWith\(path,/src1/\)", plan)
     assert re.search(r"ReadSchema: struct<file_id:string,size_bytes:bigint>", plan)
+
+
+def _bm25(spark, rows, query, tokeniser="words"):
+    docs = spark.createDataFrame(rows, "id long, content string")
+    return {r.id: round(r.score, 9) for r in retrieval.bm25(docs, query, tokeniser=tokeniser).collect()}
+
+
+def _best(scores, k):
+    return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_segments_follow_changes(spark, tmp_path):
+    """After each change the index ranks as one that is built anew, and only what changed is indexed."""
+    folder = f"file://{tmp_path}/index"
+    frame = lambda x: spark.createDataFrame(sorted(x.items()), "id long, content string")
+    now = {k: f"common word{k % 9} " * (1 + k % 5) + f"only{k}" for k in range(60)} | {60: None, 61: ""}
+    segments.sync(spark, folder, frame(now), "w1")
+    assert segments.sync(spark, folder, frame({}), "w1").n == 62  # the watermark says that nothing happened
+
+    def check(index):
+        for query in ("common word3", "only7 word1 absent", "fresh common"):
+            want = _bm25(spark, sorted(now.items()), query)
+            got = {r.id: round(r.score, 9) for r in retrieval.bm25(None, query, index=index).collect()}
+            assert got == want
+            top = [(r.id, round(r.score, 9)) for r in retrieval.bm25_topk(None, query, 5, index=index).collect()]
+            assert top == _best(want, 5)
+        assert index.n == len(now)
+
+    for step in ({3: "fresh words", 70: "common fresh"}, {k: None for k in range(10, 14)}, {3: "word3", 70: "gone", 71: "x"}):
+        now |= step
+        if step.get(10, 0) is None:
+            now = {k: v for k, v in now.items() if k not in step}
+        index = segments.sync(spark, folder, frame(now))
+        check(index)
+        assert index.segments[-1]["n"] <= 3 or not step.get(3)
+    assert len(index.segments) == 3 and sum(p["n"] for p in index.marks) == 7
+    before = index
+    index = segments.merged(index)
+    check(index)
+    check(before)  # a reader keeps its revision
+    assert len(index.segments) == 1 and not index.marks
+    for k in range(10):  # many small changes are merged by themselves
+        now[100 + k] = f"common late{k}"
+        index = segments.update(spark, folder, frame({100 + k: now[100 + k]}))
+    assert len(index.segments) <= segments.MERGE_SEGMENTS
+    check(index)
+    index = segments.update(spark, folder, None, spark.createDataFrame([(100,), (999,)], "id long"))
+    del now[100]
+    check(index)
+    assert snapshots.vacuum(spark, folder) > 0
+    check(segments.opened(spark, folder))
+    with pytest.raises(InvalidInput):
+        segments.update(spark, folder, frame(now), tokeniser="bigrams")
+
+
+def test_two_writers_of_one_revision(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/t"
+    first = snapshots.commit(spark, folder, 0, [{"path": "a"}], {"x": 1})
+    assert snapshots.current(spark, folder) == first and snapshots.at(spark, folder, 1) == first
+    snapshots.commit(spark, folder, 1, [], {})
+    with pytest.raises(Conflict):
+        snapshots.commit(spark, folder, 1, [{"path": "b"}], {})
+    assert snapshots.current(spark, folder).revision == 2
+    # a commit that broke off is not read, and can be removed
+    (tmp_path / "t" / "_manifests" / "000000000003.json").write_text('{"parts": [')
+    assert snapshots.current(spark, folder).revision == 2
+    with pytest.raises(Conflict):
+        snapshots.commit(spark, folder, 2, [], {})
+    assert snapshots.repair(spark, folder) == 1
+    calls = []
+
+    def change(base):
+        if not calls:  # another writer comes in between
+            snapshots.commit(spark, folder, base.revision, [{"path": "theirs"}], {})
+        calls.append(base.revision)
+        return [*base.parts, {"path": "ours"}], {}
+
+    assert [p["path"] for p in snapshots.committed(spark, folder, change).parts] == ["theirs", "ours"] and calls == [2, 3]
+    # two sessions that build one index: the second is refused and nothing of it is read
+    docs = spark.createDataFrame([(1, "a b"), (2, "b")], "id long, content string")
+    true_commit = snapshots.commit
+    other = f"file://{tmp_path}/index"
+    monkeypatch.setattr(segments.snapshots, "commit", lambda *a: (true_commit(spark, other, 0, [], {"tokeniser": "words", "id": "bigint", "keep": []}), true_commit(*a))[1])
+    with pytest.raises(Conflict):
+        segments.update(spark, other, docs)
+    assert segments.opened(spark, other).n == 0
+
+
+def test_top_k_reads_few_blocks(spark, tmp_path, monkeypatch):
+    """A common word with a rare one: blocks without the rare one cannot reach the floor."""
+    monkeypatch.setattr(segments, "BLOCK", 16)
+    monkeypatch.setattr(segments, "SEED_BLOCKS", 3)
+    rows = [(k, "the common text " + ("rare " * (1 + k % 3) if 700 <= k < 720 else "filler ") * 2 + f"w{k % 50}") for k in range(1600)]
+    docs = spark.createDataFrame(rows, "id long, content string").repartition(4, "id").sortWithinPartitions("id")
+    index = segments.sync(spark, f"file://{tmp_path}/index", docs.orderBy("id").coalesce(1))
+    for named in (segments.NAMED_BLOCKS, 0):
+        monkeypatch.setattr(segments, "NAMED_BLOCKS", named)
+        for query, k in (("the rare", 5), ("the", 7), ("the w7 common", 12), ("the", 5000), ("none", 3)):
+            want = _best(_bm25(spark, rows, query), k)
+            assert [(r.id, round(r.score, 9)) for r in retrieval.bm25_topk(None, query, k, index=index).collect()] == want, query
+    found, df = index.candidates(["the", "rare"], 5)
+    every = index._of(index.blocks, ["the", "rare"])
+    assert found.count() * 10 < every.count() and df == {"the": 1600, "rare": 20}
+    bounds = index.bounds(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"ReadSchema: struct<[^>]*(ids|tfs|dls)", bounds)
+
+
+def test_tokenisers(spark):
+    from tessera.functions import text
+
+    cases = ["中文搜索 Café x1", "我", "a我b", "我们ab中", "", "x-y 𠮷野家"]
+    want = [["中文", "文搜", "搜索", "café", "x1"], ["我"], ["a", "我", "b"], ["我们", "ab", "中"], [], ["x", "y", "𠮷野", "野家"]]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, t string").select("k", text.tokens(F.col("t"), "bigrams").alias("w")).orderBy("k").collect()
+    assert [r.w for r in rows] == want == [text.tokens_of(c, "bigrams") for c in cases]
+    docs = [(1, "中文搜索引擎"), (2, "中国文学"), (3, "搜索")]
+    assert set(_bm25(spark, docs, "文搜")) == {1, 2, 3} and set(_bm25(spark, docs, "文搜", "bigrams")) == {1}
