@@ -16,21 +16,29 @@ def write_merge(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
     One row per incoming path with its ``action``: ``unchanged`` (same bytes, same revision),
     ``rewrite`` (sole owner, in place), ``fork`` (shared: a new file id), ``create``; and the
-    event it emits, none where nothing changed.
+    event it emits, none where nothing changed. Where incoming has an ``expected_revision`` that is not
+    null, 0 for a path that must be new, and the path has another, the action is ``conflict``: the row
+    tells what is there and nothing changes.
     """
-    new = incoming.select(F.col("path"), text.sha256(F.col("content")).alias("new_checksum"), F.octet_length("content").cast("long").alias("size_bytes"))
+    expects = "expected_revision" in incoming.columns
+    new = incoming.select(F.col("path"), text.sha256(F.col("content")).alias("new_checksum"), F.octet_length("content").cast("long").alias("size_bytes"), *(["expected_revision"] if expects else []))
     both = new.join(current, "path", "left")
+    clash = (F.coalesce("revision", F.lit(0)) != F.col("expected_revision")) if expects else F.lit(False)
     action = (
-        F.when(F.col("file_id").isNull(), "create")
+        F.when(clash, "conflict")
+        .when(F.col("file_id").isNull(), "create")
         .when(F.col("checksum") == F.col("new_checksum"), "unchanged")
         .when(F.col("ref_count") > 1, "fork")
         .otherwise("rewrite")
     )
     moved = both.withColumn("action", action)
-    revision = F.when(F.col("action") == "create", F.lit(1)).when(F.col("action") == "unchanged", F.col("revision")).otherwise(F.col("revision") + 1)
+    as_it_was = F.col("action").isin("unchanged", "conflict")
+    revision = F.when(F.col("action") == "create", F.lit(1)).when(as_it_was, F.col("revision")).otherwise(F.col("revision") + 1)
     file_id = F.when(F.col("action").isin("create", "fork"), F.concat(F.lit("n"), F.left("new_checksum", F.lit(16)))).otherwise(F.col("file_id"))
-    event = F.when(F.col("action") == "create", "create").when(F.col("action") != "unchanged", "update")
-    return moved.select("path", file_id.alias("file_id"), F.col("new_checksum").alias("checksum"), revision.cast("int").alias("revision"), "size_bytes", "action", event.alias("event"))
+    event = F.when(F.col("action") == "create", "create").when(~as_it_was, "update")
+    checksum = F.when(F.col("action") == "conflict", F.col("checksum")).otherwise(F.col("new_checksum"))
+    size = F.when(F.col("action") != "conflict", F.col("size_bytes"))
+    return moved.select("path", file_id.alias("file_id"), checksum.alias("checksum"), revision.cast("int").alias("revision"), size.alias("size_bytes"), "action", event.alias("event"))
 
 
 def append_merge(files: DataFrame, appended: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tessera import intermediate
 from tessera.operators import accounts, state
 from tessera.plans.registry import query
 from tessera.streaming import events as streams
+from tessera.streaming import sinks, timers
 
 NOW = "2024-01-10 12:00:00"
 _DUE = f"((status = 'pending' AND available_at <= TIMESTAMP '{NOW}') OR (status = 'processing' AND lease_until <= TIMESTAMP '{NOW}'))"
@@ -147,47 +148,84 @@ def _stream(r):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _ran(r, stream, name, mode):
-    return streams.run_to_table(stream, mode, f"{intermediate.shared_dir(r.spark)}/tessera/stream-{name}-{uuid.uuid4().hex}")
+def _folder(r, name):
+    return f"{intermediate.shared_dir(r.spark)}/tessera/stream-{name}-{uuid.uuid4().hex}"
+
+
+def _appended(r, stream, name):
+    return sinks.run_appended(stream, _folder(r, name))
+
+
+def _merged(r, stream, name, *keys):
+    return sinks.run_merged(stream, _folder(r, name), keys)
+
+
+#: The last watermark of a stream over all events that lets rows be ten minutes late.
+_MARK = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
 
 @query("stream_heat", "SELECT day, dentry_id, search_hits, read_count FROM heat", "heat")
 def stream_heat(r):
     access = _stream(r).selectExpr("ts", "'f' || user_id AS dentry_id", "CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS search_hits", "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS read_count")
-    return _ran(r, streams.heat_stream(access), "heat", "complete")
+    return _merged(r, streams.heat_stream(access), "heat", "day", "dentry_id")
 
 
 @query("stream_tail", "SELECT event_id AS id, '/u' || user_id || '/' || event_type AS path FROM events WHERE user_id = 8")
 def stream_tail(r):
     rows = _stream(r).selectExpr("event_id AS id", "'/u' || user_id || '/' || event_type AS path")
-    return _ran(r, streams.tail(rows, "/u8"), "tail", "append")
+    return _appended(r, streams.tail(rows, "/u8"), "tail")
 
 
 @query("stream_tumbling", "SELECT start, start + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS start, event_type FROM events) GROUP BY ALL")
 def stream_tumbling(r):
-    out = _ran(r, streams.windowed_counts(_stream(r), "tumbling", "1 hour"), "tumbling", "complete")
+    out = _merged(r, streams.windowed_counts(_stream(r), "tumbling", "1 hour"), "tumbling", "start", "end", "event_type")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
 @query("stream_sliding", "SELECT start, start + INTERVAL 2 HOUR AS \"end\", event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) - to_hours(k) AS start, event_type FROM events, range(0, 2) t(k)) GROUP BY ALL")
 def stream_sliding(r):
-    out = _ran(r, streams.windowed_counts(_stream(r), "sliding", "2 hours", "1 hour"), "sliding", "complete")
+    out = _merged(r, streams.windowed_counts(_stream(r), "sliding", "2 hours", "1 hour"), "sliding", "start", "end", "event_type")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
-@query("stream_session", "WITH g AS (SELECT ts, event_type, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS s FROM (SELECT ts, event_type, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events)) SELECT min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", event_type, count(*) AS n FROM g GROUP BY event_type, s")
+@query("stream_session", "WITH g AS (SELECT ts, event_type, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS s FROM (SELECT ts, event_type, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events)) SELECT min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", event_type, count(*) AS n FROM g GROUP BY event_type, s HAVING max(ts) + INTERVAL 10 MINUTE <= " + _MARK)
 def stream_session(r):
-    out = _ran(r, streams.windowed_counts(_stream(r), "session", "10 minutes"), "session", "complete")
+    """Sessions that the watermark has closed."""
+    out = _appended(r, streams.windowed_counts(_stream(r), "session", "10 minutes"), "session")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id % 50 AS id FROM events")
 def stream_dedup(r):
     rows = _stream(r).selectExpr("user_id % 50 AS id", "ts")
-    return _ran(r, streams.deduplicated(rows, "90 days"), "dedup", "append").select("id")
+    return _appended(r, streams.deduplicated(rows, "90 days"), "dedup").select("id")
 
 
 @query("stream_static_join", "SELECT e.event_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey")
 def stream_static_join(r):
     joined = _stream(r).join(r("customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "c_name")
-    return _ran(r, joined, "joined", "append")
+    return _appended(r, joined, "joined")
+
+
+@query(
+    "stream_leases",
+    "WITH o AS (SELECT 'u' || user_id AS task_id, (epoch_us(ts) // 1000) AS ms, event_type = 'purchase' AS done, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_type = 'purchase') AS after FROM events), "
+    f"e AS (SELECT task_id, ms + 21600000 AS expired_ms FROM o WHERE NOT done AND (after >= ms + 21600000 OR (after IS NULL AND ms + 21600000 <= (epoch_us({_MARK}) // 1000)))), "
+    "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY expired_ms) AS INT) AS retries FROM e) SELECT task_id, expired_ms, retries, CASE WHEN retries >= 3 THEN 'dead' ELSE 'pending' END AS status FROM r",
+)
+def stream_leases(r):
+    """Leases of six hours with timers: a sign of a task renews it, a purchase ends it."""
+    signs = _stream(r).selectExpr("'u' || user_id AS task_id", "ts", "event_type = 'purchase' AS done")
+    return _appended(r, timers.leases(signs, 6 * 3600), "leases")
+
+
+@query(
+    "stream_debounce",
+    "WITH g AS (SELECT '/u' || user_id AS directory, (epoch_us(ts) // 1000) AS ms, lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), "
+    "s AS (SELECT *, sum(CASE WHEN b IS NULL OR ms >= b + 43200000 THEN 1 ELSE 0 END) OVER (PARTITION BY directory ORDER BY ms) AS run FROM g), "
+    "d AS (SELECT directory, run, count(*) AS n, max(ms) + 43200000 AS due_ms FROM s GROUP BY ALL) "
+    f"SELECT directory, n, due_ms FROM d WHERE due_ms <= (epoch_us({_MARK}) // 1000)",
+)
+def stream_debounce(r):
+    changes = _stream(r).selectExpr("'/u' || user_id AS directory", "ts")
+    return _appended(r, timers.debounced(changes, 12 * 3600), "debounce")
