@@ -5,7 +5,7 @@ phrases of the corpus get an id each, from a global count of pairs of ids; the i
 the places of the documents, where adjacent ones make the pairs of the next level. An id's pair is also its
 two parents, through which the parts of a cut and the phrases inside a longer one are found.
 
-Documents are chunks of some 8 MB of text: a chunk holds the places of its words by names of its own and
+Documents are chunks of some 16 MB of text: a chunk holds the places of its words by names of its own and
 one row a different name, so that shuffles carry different names, not words, and a phrase has at most
 as many rows as there are chunks, however frequent it is.
 """
@@ -22,18 +22,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import mapped, release, slices, stored, table
-from tessera.llm.words import classes, coded, words
+from tessera.llm.words import classes, words
 
 LEAST, TOP, LONGEST = 30, 2_000, 4
 #: 100 * f(longer) >= INSIDE * f(phrase): the phrase is no more than a part of the longer one.
 INSIDE = 80
 KINDS = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 #: Bytes of text of a chunk, and words; a longer run of text is cut into several.
-CHUNK_BYTES, CHUNK_WORDS = 8 << 20, 2 << 20
-#: Bits of a name, and of a chunk's number within its task.
-NAME_BITS, NUMBER_BITS = 22, 20
+CHUNK_BYTES, CHUNK_WORDS = 16 << 20, 1 << 22
+#: Bits of a name, and of a chunk's number within its task: names and chunks have places of 63 bits.
+NAME_BITS, NUMBER_BITS = 23, 18
 
-_PLACES = "chunk long, name int, n long, own int, places binary, names binary"
+_PLACES = "chunk long, at long, n long, own int, places binary, names binary"
 _WORDS = f"{_PLACES}, lang string, word string"
 _PAIRS = f"{_PLACES}, left long, right long"
 
@@ -58,8 +58,8 @@ def _rows(chunk: int, n: np.ndarray, seq: tuple[int, np.ndarray, np.ndarray] | N
     blank = pa.nulls(size, pa.binary())
     own, places, names = seq or (0, np.zeros(0, np.int32), np.zeros(0, np.int32))
     columns = {
-        "chunk": pa.array(np.full(size + more, chunk)),
-        "name": column(pa.array(np.arange(size, dtype=np.int32))),
+        "chunk": pa.array([None] * size + [chunk] * more, pa.int64()),
+        "at": column(pa.array((chunk << NAME_BITS) + np.arange(size))),
         "n": column(pa.array(n.astype(np.int64))),
         "own": column(pa.nulls(size, pa.int32()), int(own)),
         "places": column(blank, _packed(np.diff(places, prepend=0))),
@@ -69,54 +69,79 @@ def _rows(chunk: int, n: np.ndarray, seq: tuple[int, np.ndarray, np.ndarray] | N
     return pa.RecordBatch.from_pydict(columns)
 
 
-def gathered(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined to ``CHUNK_BYTES`` or a little more."""
-    held: list[pa.RecordBatch] = []
-    for batch in found:
-        held.append(batch)
-        if sum(x.nbytes for x in held) >= CHUNK_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+class Gathered:
+    """Words of texts as they come, until they are a chunk: a code a word and the different words."""
+
+    def __init__(self):
+        self.words: list[pa.DictionaryArray] = []
+        self.langs: list[pa.DictionaryArray] = []
+        self.cuts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        texts, row, piece = words(batch.column(1), KINDS)
+        if len(texts):
+            self.words.append(texts.dictionary_encode())
+            self.langs.append(batch.column(0).dictionary_encode().take(pa.array(row)))
+            cut = np.ones(len(row), bool)  # texts of different batches are different documents
+            cut[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
+            self.cuts.append(cut)
+        self.size += batch.nbytes
+
+    def chunks(self, first: int, chunk_words: int) -> Iterator[pa.RecordBatch]:
+        """The chunks of all words, numbered from ``first``."""
+        if not self.words:
+            return
+        joined = [pa.chunked_array(x).unify_dictionaries() for x in (self.langs, self.words)]
+        lang_names, word_names = (x.chunk(0).dictionary for x in joined)
+        langs, word = (np.concatenate([c.indices.to_numpy() for c in x.chunks]) for x in joined)
+        places = np.cumsum(np.concatenate(self.cuts), dtype=np.int64) + np.arange(len(word))
+        self.__init__()
+        key = langs.astype(np.int64) * len(word_names) + word
+        for a in range(0, len(key), chunk_words):
+            b = min(a + chunk_words, len(key))
+            end = min(b + LONGEST - 1, len(key))
+            different, names = _renamed(key[a:end], len(lang_names) * len(word_names))
+            n = np.bincount(names[: b - a], minlength=len(different))
+            lang = lang_names.take(pa.array(different // len(word_names))).cast(pa.string())
+            text = word_names.take(pa.array(different % len(word_names))).cast(pa.string())
+            own = places[b] if end > b else places[end - 1] + 1
+            yield _rows(first, n, (own - places[a], places[a:end] - places[a], names), {"lang": lang, "word": text})
+            first += 1
+
+
+def _renamed(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different keys, all below ``most``, in order; the place of each key among them)."""
+    if most > 4 * len(key) + 1024:
+        return np.unique(key, return_inverse=True)
+    seen = np.zeros(most, bool)
+    seen[key] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[key]
 
 
 def word_chunks(docs: DataFrame, lang_col: str, text_col: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Chunks of documents: for each a row with its places (places differ by one within a piece only) and
-    a row for each of its words, ``name, lang, word, n``. A chunk's last places may belong to the next
-    one, for the phrases that begin before; ``own`` is the first such place."""
+    a row for each of its words, ``at, lang, word, n``; ``at`` is the chunk and the word's name in it. A
+    chunk's last places may belong to the next one, for the phrases that begin before; ``own`` is the
+    first such place."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << NUMBER_BITS
-        for table_ in gathered(found):
-            for batch in slices(table_, 1, CHUNK_BYTES):
-                texts, row, piece = words(batch.column(1), KINDS)
-                if not len(texts):
-                    continue
-                langs, lang_names = coded(batch.column(0))
-                word, word_names = coded(texts)
-                key = langs[row] * len(word_names) + word
-                cut = np.zeros(len(row), np.int64)
-                cut[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
-                place = np.arange(len(row)) + np.cumsum(cut)
-                for a in range(0, len(key), chunk_words):
-                    b = min(a + chunk_words, len(key))
-                    end = min(b + LONGEST - 1, len(key))
-                    different, names = np.unique(key[a:end], return_inverse=True)
-                    n = np.bincount(names[: b - a], minlength=len(different))
-                    lang = lang_names.take(pa.array(different // len(word_names)))
-                    text = word_names.take(pa.array(different % len(word_names))).cast(pa.string())
-                    places = place[a:end] - place[a]
-                    own = places[b - a] if end > b else places[-1] + 1
-                    yield _rows(chunk, n, (own, places, names), {"lang": lang, "word": text})
-                    chunk += 1
+        number, held = TaskContext.get().partitionId() << NUMBER_BITS, Gathered()
+        for whole in found:
+            for batch in slices(whole, 1):
+                held.add(batch)
+                if held.size >= CHUNK_BYTES:
+                    for rows in held.chunks(number, chunk_words):
+                        number += 1
+                        yield rows
+        yield from held.chunks(number, chunk_words)
 
     own = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return mapped(own, batches, _WORDS)
 
 
 def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
-    """The chunks of the next level: adjacent places whose names have ids (``chunk, name, id``) make pairs."""
+    """The chunks of the next level: adjacent places whose names have ids (``at, id``) make pairs."""
 
     def of_chunk(seq: pa.Table, known: pa.Table) -> pa.Table:
         empty = _rows(0, np.zeros(0), None, {"left": pa.array([], pa.int64()), "right": pa.array([], pa.int64())})
@@ -124,30 +149,31 @@ def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
             return pa.Table.from_batches([empty])
         places, names = np.cumsum(_unpacked(seq.column("places")[0].as_py())), _unpacked(seq.column("names")[0].as_py())
         own, chunk = seq.column("own")[0].as_py(), seq.column("chunk")[0].as_py()
-        id_of = np.full(int(names.max(initial=0)) + 1, -1, np.int64)
-        id_of[known.column("name").to_numpy()] = known.column("id").to_numpy()
-        there = id_of[names] >= 0
-        places, names = places[there], names[there].astype(np.int64)
+        local, id_of = known.column("at").to_numpy() & ((1 << NAME_BITS) - 1), known.column("id").to_numpy()
+        rank = np.full(max(int(names.max(initial=0)), int(local.max())) + 1, -1, np.int32)
+        rank[local] = np.arange(len(local), dtype=np.int32)
+        names = rank[names]
+        there = names >= 0
+        places, names = places[there], names[there]
         next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
-        key, pair = np.unique(names[next_to] * len(id_of) + names[next_to + 1], return_inverse=True)
+        key, pair = np.unique(names[next_to].astype(np.int64) * len(id_of) + names[next_to + 1], return_inverse=True)
         places = places[next_to]
         n = np.bincount(pair[places < own], minlength=len(key))
         parents = {"left": pa.array(id_of[key // len(id_of)]), "right": pa.array(id_of[key % len(id_of)])}
         return pa.Table.from_batches([_rows(chunk, n, None if last else (own, places, pair), parents)])
 
-    seqs = chunks.where("name IS NULL").select("chunk", "own", "places", "names")
-    ids = ids.select(F.col("chunk").alias("of"), "name", "id")
+    seqs = chunks.where("at IS NULL").select("chunk", "own", "places", "names")
+    ids = ids.select(F.shiftright("at", NAME_BITS).alias("of"), "at", "id")
     return seqs.groupBy("chunk").cogroup(ids.groupBy("of")).applyInArrow(of_chunk, _PAIRS)
 
 
 def named(chunks: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Names of frequent phrases: ``chunk, name, id`` and, on one row a phrase, ``a`` and the ``key``. The id
-    is that row's place. One shuffle by the key; what a task holds of a phrase is a row a chunk."""
-    place = F.shiftleft(F.col("chunk"), NAME_BITS).bitwiseOR(F.col("name").cast("long"))
+    """Names of frequent phrases: ``at, id`` and, on one row a phrase, ``a`` and the ``key``. The id is that
+    row's ``at``. One shuffle by the key; what a task holds of a phrase is a row a chunk."""
     phrase = W.partitionBy(*key)
-    rows = chunks.where("name IS NOT NULL").select("chunk", "name", *key, F.sum("n").over(phrase).alias("a"), F.min(place).over(phrase).alias("id")).where(F.col("a") >= least)
-    one = F.col("id") == place
-    return rows.select("chunk", "name", "id", *[F.when(one, F.col(c)).alias(c) for c in ("a", *key)])
+    rows = chunks.where("at IS NOT NULL").select("at", *key, F.sum("n").over(phrase).alias("a"), F.min("at").over(phrase).alias("id")).where(F.col("a") >= least)
+    one = F.col("id") == F.col("at")
+    return rows.select("at", "id", *[F.when(one, F.col(c)).alias(c) for c in ("a", *key)])
 
 
 def _score(a: Column, parts: Column) -> Column:
@@ -176,7 +202,7 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     an empty table gives none. Other columns are ignored.
     """
     chunks = stored(word_chunks(docs, lang_col, text_col, chunk_words), "phrase-words", compression="zstd")
-    totals = stored(chunks.where("name IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
+    totals = stored(chunks.where("at IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     known = stored(named(chunks, ["lang", "word"], least), "phrase-names-1", compression="zstd")
     a = F.col("a")
     level = known.where("a IS NOT NULL").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), "a", a.alias("first_a"), a.alias("last_a"), a.alias("left_a"), a.alias("right_a"))
@@ -184,7 +210,7 @@ def mine_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     levels: list[DataFrame] = []
     for length in range(2, LONGEST + 1):
         before = chunks, known
-        chunks = stored(pairs(chunks, known.select("chunk", "name", "id"), length == LONGEST), f"phrase-pairs-{length}", compression="zstd")
+        chunks = stored(pairs(chunks, known.select("at", "id"), length == LONGEST), f"phrase-pairs-{length}", compression="zstd")
         release(*before)
         known = stored(named(chunks, ["left", "right"], least), f"phrase-names-{length}", compression="zstd")
         level = stored(_phrases(known.where("a IS NOT NULL").select("id", "a", "left", "right"), level, length), f"phrases-{length}")
