@@ -9,7 +9,6 @@ language with the shortest exact code for the whole text wins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,6 @@ MAX_LABELS = 2_000
 FOLDS, HELD_OUT = 4, 2
 #: Bytes scored at once.
 CHUNK = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold(doc_id: Column) -> Column:
@@ -131,14 +129,15 @@ def fit(samples: dict[str, list[bytes]], max_contexts: int = MAX_CONTEXTS) -> Mo
         totals[order] = contexts
     node = np.zeros(a**ORDER, np.int32)
     first, base = 1, {0: 0}
-    every = np.arange(a**ORDER)
     for order in range(1, ORDER + 1):
         base[order] = first
-        at = np.searchsorted(totals[order], every % a**order)
-        at[at == len(totals[order])] = 0
-        if len(totals[order]):
-            hit = totals[order][at] == every % a**order
-            node[hit] = first + at[hit]
+        for low in range(0, len(node), 1 << 20):  # some of the a**ORDER contexts at a time
+            suffix = np.arange(low, min(low + (1 << 20), len(node))) % a**order
+            at = np.searchsorted(totals[order], suffix)
+            at[at == len(totals[order])] = 0
+            if len(totals[order]):
+                hit = totals[order][at] == suffix
+                node[low : low + len(suffix)][hit] = first + at[hit]
         first += len(totals[order])
     bits = np.zeros((len(langs), first * a), np.float32)
     for row, lang in enumerate(langs):
@@ -204,7 +203,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     if not model.langs or not texts:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     raw = [x.encode("utf-8") for x in texts]
-    letters = np.array([_LETTER.search(x) is not None for x in texts])
+    letters = np.array([any(map(str.isalpha, x)) for x in texts])
     bits = model.code_lengths(raw)
     low = bits.min(1)
     share = 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(1)
@@ -214,7 +213,8 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def shipped(spark: SparkSession, model: Model):
     """A broadcast of the model's fields, plain values that a worker without this package can read;
-    the cost tables, by far the largest, hold at most ``MODEL_BYTES`` whatever the number of languages."""
+    the cost tables, by far the largest, hold at most ``MODEL_BYTES`` whatever the number of languages,
+    and the table of contexts four bytes for each three bytes that can follow one another, 68 MB at most."""
     return spark.sparkContext.broadcast((model.langs, model.classes, model.symbol, model.node, model.bits))
 
 
