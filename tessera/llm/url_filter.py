@@ -64,11 +64,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def ngrams(host: Column, path: Column) -> Column:
-    """All character n-grams of ``^host$`` and ``^path$``, marked by where they come from."""
+    """All character n-grams of ``^host$`` and ``^path$``, marked by where they come from. Texts are cut into
+    characters once and neighbours joined, so that the work grows with the length."""
+
     def of(mark: str, text: Column, n: int) -> Column:
-        at = F.sequence(F.lit(1), F.length(text) - n + 1)
-        grams = F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
-        return F.when(F.length(text) >= n, grams).otherwise(F.array().cast("array<string>"))
+        chars = F.split(text, "")
+        many = F.greatest(F.length(text) - n + 1, F.lit(0))
+        rows = F.arrays_zip(*[F.slice(chars, k + 1, many).alias(f"c{k}") for k in range(n)])
+        return F.transform(rows, lambda r: F.concat(F.lit(mark), *[r[f"c{k}"] for k in range(n)]))
 
     marked = (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$"))))
     return F.concat(*[of(mark, text, n) for mark, text in marked for n in SIZES])
