@@ -50,9 +50,10 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tkey, w (all words), pos, word (as written)."""
+    """doc_id, tkey, pos, word (as written). The outer form keeps Spark from cutting each text twice, once to
+    ask whether it has words."""
     own = docs.select(*_key(docs, id_col, text_col), words(F.col(text_col)).alias("w"))
-    return own.select(*KEY, "w", F.posexplode("w").alias("pos", "word"))
+    return own.select(*KEY, F.posexplode_outer("w").alias("pos", "word")).where("word IS NOT NULL")
 
 
 def keyed(terms: DataFrame) -> DataFrame:
@@ -85,12 +86,19 @@ def rarest_terms(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str,
     )
 
 
-def postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """The index: term, doc_id, tkey, pos, and for the rarest term of a window the words around it."""
-    terms = sized(keyed(anchors.groupBy("term").agg(F.min("k").alias("k"))), BROADCAST_ROWS)
-    first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    near = F.when(F.col("k") == 0, F.slice("w", first + 1, F.col("pos") - first + window))
-    return matched(tokens(docs, id_col, text_col), terms).select("term", *KEY, "pos", near.alias("near"), (F.col("pos") - first).alias("at"))
+def postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The index: term, doc_id, tkey, pos."""
+    terms = sized(keyed(anchors.select("term").distinct()), BROADCAST_ROWS)
+    return matched(tokens(docs, id_col, text_col), terms).select("term", *KEY, "pos")
+
+
+def _checked(docs: DataFrame, candidates: DataFrame, grams: DataFrame, condition: Column, id_col: str, text_col: str) -> DataFrame:
+    """Candidates (KEY, wid, start, n) for which ``condition`` holds on the words ``w`` of the document and the
+    window's ``gram``. Only documents with candidates are cut into words, each once."""
+    some = sized(candidates.select(*KEY).distinct(), BROADCAST_ROWS)
+    texts = docs.select(*_key(docs, id_col, text_col), F.col(text_col).alias("text")).join(some, KEY, "left_semi").dropDuplicates(KEY)
+    wanted = sized(candidates.join(sized(grams.select("wid", "gram"), BROADCAST_ROWS), "wid"), BROADCAST_ROWS)
+    return texts.select(*KEY, words(F.col("text")).alias("w")).join(wanted, KEY).where(condition).select(*KEY, "wid", "start", "n")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -103,42 +111,34 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     grams, of_items = benchmark_windows(items, window)
     grams = stored(grams, "windows")
     anchors = stored(rarest_terms(docs, grams, id_col, text_col), "anchors")
-    index = stored(postings(docs, anchors, id_col, text_col, window + slop), "postings")
-    size = grams.select("wid", "gram", "n")
-    wanted = sized(anchors.join(size.select("wid", "n"), "wid"), BROADCAST_ROWS)
-    lists = index.join(wanted, "term").select("wid", *KEY, (F.col("pos") - F.col("offset")).alias("start"), "k", "n", "pos", "term")
-    rare, other = lists.where("k = 0"), lists.where("k = 1").select("wid", *KEY, "start")
+    index = stored(postings(docs, anchors, id_col, text_col), "postings")
+    wanted = sized(anchors.join(grams.select("wid", "n"), "wid"), BROADCAST_ROWS)
+    lists = index.join(wanted, "term").select("wid", *KEY, (F.col("pos") - F.col("offset")).alias("start"), "k", "n")
+    rare, other = lists.where("k = 0").drop("k"), lists.where("k = 1").select("wid", *KEY, "start")
     met = rare.where("n > 1").join(other, ["wid", *KEY, "start"], "left_semi").unionByName(rare.where("n = 1"))
-    around = index.where("near is not null").select(*KEY, "pos", "term", "near", "at")
-    texts = sized(size, BROADCAST_ROWS)
-    offset = F.col("at") - (F.col("pos") - F.col("start"))
-    exact = (
-        met.join(around, [*KEY, "pos", "term"])
-        .join(texts, ["wid", "n"])
-        .where((offset >= 0) & (F.transform(F.slice("near", offset + 1, F.col("n")), ascii_lower) == F.col("gram")))
-        .select(*KEY, "wid", "start", "n", F.lit(True).alias("exact"))
-        .distinct()
-    )
+    met = stored(met.where("start >= 0").distinct(), "candidates")
+    start, n = F.col("start"), F.col("n")
+    same = F.transform(F.slice("w", start + 1, n), ascii_lower) == F.col("gram")
+    exact = stored(_checked(docs, met, grams, same, id_col, text_col).withColumn("exact", F.lit(True)), "exact-matches")
     if not slop:
         return exact, of_items
     # starts within slop share a block of slop + 1 or lie in adjoining ones
-    block = F.floor(F.col("start") / (slop + 1))
-    far = rare.where("n > 1").select("wid", *KEY, "start", "n", "pos", "term", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    close = other.select("wid", *KEY, F.col("start").alias("other_start"), block.alias("block"))
-    within = F.abs(F.col("start") - F.col("other_start")) <= slop
-    loose = far.join(close, ["wid", *KEY, "block"]).where(within).select(*KEY, "wid", "start", "n", "pos", "term").distinct()
-    # every word of the window is looked for around its place, on the words kept around the rarest term
+    block = F.floor(start / (slop + 1))
+    far = rare.where("n > 1").select("wid", *KEY, "start", "n", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    close = other.select("wid", *KEY, start.alias("other_start"), block.alias("block"))
+    within = F.abs(start - F.col("other_start")) <= slop
+    loose = stored(far.join(close, ["wid", *KEY, "block"]).where(within).select(*KEY, "wid", "start", "n").distinct(), "loose-candidates")
+    # every word of the window is looked for around its place
     there = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
+        F.sequence(F.lit(0), n - 1),
         lambda j: F.exists(
-            F.slice("near", F.greatest(offset + j - slop, F.lit(0)) + 1, F.greatest(offset + j + slop + 1 - F.greatest(offset + j - slop, F.lit(0)), F.lit(0))),
+            F.slice("w", F.greatest(start + j - slop, F.lit(0)) + 1, F.greatest(start + j + slop + 1 - F.greatest(start + j - slop, F.lit(0)), F.lit(0))),
             lambda word: ascii_lower(word) == F.get("gram", j),
         ),
     )
-    found = F.size(F.filter(there, lambda hit: hit))
-    loose = loose.join(around, [*KEY, "pos", "term"]).join(texts, ["wid", "n"]).where(found >= F.ceil(PROXIMITY * F.col("n")))
-    loose = loose.select(*KEY, "wid", "start", "n").distinct()
-    return exact.unionByName(loose.join(exact, [*KEY, "wid", "start"], "left_anti").withColumn("exact", F.lit(False))), of_items
+    enough = F.size(F.filter(there, lambda hit: hit)) >= F.ceil(PROXIMITY * n)
+    near = _checked(docs, loose, grams, enough, id_col, text_col)
+    return exact.unionByName(near.join(exact, [*KEY, "wid", "start"], "left_anti").withColumn("exact", F.lit(False))), of_items
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
