@@ -26,12 +26,20 @@ BLOCK = frozenset(
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset("head script style noscript template iframe textarea title annotation annotation-xml desc metadata nav aside footer button select option menu dialog object audio video canvas".split())
-#: Whole tokens of class, id or role that mark what is not article, unless it holds the article.
+#: Words of class, id or role (``site-footer`` has two) that mark what is not article, unless it holds the article
+#: or, inside one, is as dense as the article.
 BOILERPLATE = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing "
     "sidebar skip social sponsor sponsored subscribe widget toolbar complementary contentinfo search".split()
 )
+#: Those of reader comments, which are as dense as an article and never of it.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: With these a name tells of comments, but not that they are inside.
+ABOUT = frozenset("open closed no has enabled disabled with without".split())
+#: Words that are a part's subject as well: in an article such a part goes only if it is mostly links or, where
+#: the word is the whole name, if it is far less dense than the article.
+DOUBTFUL = frozenset("banner menu navigation notice notices popup promoted related search skip social toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: What a start tag closes, beyond a paragraph that any block closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,32 +47,45 @@ FENCE = frozenset("table ul ol dl div article section main body td th".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 class Node:
-    __slots__ = ("blocks", "children", "chars", "density", "dropped", "link_chars", "link_tags", "marked", "parent", "summed", "tag", "tags")
+    __slots__ = ("blocks", "children", "chars", "density", "doubtful", "dropped", "link_chars", "link_tags", "marked", "parent", "summed", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False):
-        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped or marked, marked and not dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False, doubtful: int = 0):
+        self.tag, self.parent, self.dropped, self.marked, self.doubtful = tag, parent, dropped or marked, marked and not dropped, 0 if dropped or marked else doubtful
         self.children: list[Node | str] = []
 
 
-def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
+def boilerplate(tag: str, attrs: str) -> bool:
+    """Whether an element is dropped whatever it holds."""
+    if tag in DROPPED:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     return bool(_HIDDEN.search(attrs))
 
 
-def marked(tag: str, attrs: str) -> bool:
-    """Whether an element is dropped unless it holds the article."""
-    if tag == "form":
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    return any(w in BOILERPLATE for m in _NAMED.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split())
+def marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """(marked, doubtful): whether an element is dropped unless it holds the article; or whether, standing in
+    an article, it is judged by its density, 1 for a part of a name and 2 for a whole one."""
+    if tag == "form" or (tag == "header" and not in_article):
+        return True, 0
+    if not attrs or tag in ("html", "body", "main"):
+        return False, 0
+    doubtful = 0
+    for name in (w for m in _NAMED.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").split()):
+        found = {w.lower() for w in _SPLIT.split(name)}
+        if found & COMMENTS:
+            if not found & ABOUT:
+                return True, 0
+        elif tag != "article" and (mark := found & BOILERPLATE):
+            if not in_article or mark - DOUBTFUL:
+                return True, 0
+            doubtful = max(doubtful, 2 if len(found) == 1 else 1)
+    return False, doubtful
 
 
 def parse(page: str) -> Node:
@@ -107,7 +128,7 @@ def parse(page: str) -> Node:
                 here = node.parent
         if tag == "body":
             here = top
-        node = Node(tag, here, boilerplate(tag, m[3], articles > 0), marked(tag, m[3]))
+        node = Node(tag, here, boilerplate(tag, m[3]), *marks(tag, m[3], articles > 0))
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -150,9 +171,18 @@ def restore(top: Node) -> Node:
     if not any(n.marked for n in every):
         return top
     chars = _text_chars(every)
+    for node in every:
+        # a header below the body, with a headline and what it heads beside it, is a part's own and not the page's
+        if node.tag == "header" and node.marked and node.parent is not top and node.parent.tag != "body" and chars[id(node.parent)] > 2 * chars[id(node)] > 0:
+            todo, headed = [node], False
+            while todo and not headed:
+                todo += [c for c in todo.pop().children if isinstance(c, Node) and not c.dropped]
+                headed = any(c.tag in HEADINGS for c in todo)
+            if headed:
+                node.dropped = node.marked = False
     holds: set[int] = set()
     for node in reversed(every):
-        if node.tag in ("article", "main") or any(id(c) in holds for c in node.children if isinstance(c, Node)):
+        if (node.tag in ("article", "main") and not node.marked) or any(id(c) in holds for c in node.children if isinstance(c, Node)):
             holds.add(id(node))
     wanted = [n for n in every if n.marked and chars[id(n)] and (id(n) in holds or 2 * chars[id(n)] > chars[id(top)])]
     for node in wanted:
@@ -216,6 +246,10 @@ def select(top: Node) -> list[Node | str]:
     while path[-1].parent:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
+    for node in nodes:
+        sparse = node.doubtful == 2 and 2 * node.density < threshold
+        if node.doubtful and node not in path and (sparse or 2 * node.link_chars > node.chars):
+            node.dropped = True
     out: list[Node | str] = [best]
     for child, parent in zip(path, path[1:], strict=False):
         # runs of inline content are one block

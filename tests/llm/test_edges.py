@@ -481,6 +481,78 @@ def test_html_by_density_alone(spark, sf):
     assert html_text.main_text(f"<article>{body}<section class='related-work'><h2>Related work</h2><p>Others wrote.</p></section></article>") == want + "\n\nRelated work\n\nOthers wrote."
 
 
+PARA = "<p>" + "Some long words of the article that go on and on, with clauses, and more. " * 6 + "</p>"
+READER = "<p>" + "Reader prose that is long as well, as readers write a lot of words here. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id='content'>{PARA * 3}</div><ol class='comment-list'>" + f"<li class='comment' id='comment-1'>{READER}</li>" * 10 + "</ol>",
+        f"<article>{PARA * 3}</article><div class='comments-area'>{READER * 10}</div>",
+        f"<article>{PARA * 3}<div class='comments-area'>{READER * 10}</div></article>",
+        f"<article>{PARA * 3}<ol class='commentList'>" + f"<li>{READER}</li>" * 10 + "</ol></article>",
+        f"<article>{PARA * 3}</article><section id='comments'>" + f"<article class='comment'>{READER}</article>" * 10 + "</section>",
+        f"<main>{PARA * 3}" + f"<article class='comment-body'>{READER}</article>" * 2 + "</main>",
+        f"<div class='comments-open post'>{PARA * 3}</div>",
+        f"<body><div class='cookie-notice'>{READER * 2}</div><div id='content'>{PARA * 3}</div><div class='sidebar-right'>{READER * 2}</div><div class='site-footer'>{READER}</div></body>",
+        f"<article>{PARA * 3}<div class='related-posts'><a href='a'>One</a> <a href='b'>Two</a></div><div class='ad-slot'>{READER}</div></article>",
+        f"<body><header><h1>SITE</h1><p>Slogan of the site</p></header><div class='post'>{PARA * 3}</div></body>",
+    ],
+)
+def test_html_comments_and_compound_names(page):
+    assert html_text.main_text(page) == html_text.main_text(PARA * 3)
+
+
+def test_html_headlines_and_doubtful_names():
+    body = html_text.main_text(PARA * 3)
+    assert html_text.main_text(f"<div class='post'><header><h1>HEADLINE</h1></header><div class='entry'>{PARA * 3}</div></div>") == "HEADLINE\n\n" + body
+    assert html_text.main_text(f"<body><header><h1>SITE</h1></header><div class='post'><header><h1>HEADLINE</h1></header>{PARA * 3}</div></body>") == "HEADLINE\n\n" + body
+    one = html_text.main_text(PARA)
+    assert html_text.main_text(f"<article>{PARA}<section class='search'><h2>On search</h2>{PARA}</section>{PARA}</article>") == f"{one}\n\nOn search\n\n{one}\n\n{one}"
+    assert html_text.main_text(f"<article>{PARA}<section class='related'>{PARA}</section>{PARA}</article>") == body
+    assert html_text.main_text(f"<article>{PARA * 3}<div class='social'>Follow us</div></article>") == body
+
+
+def test_letters_are_letters(spark):
+    """Digits, fractions and other numbers are no letters, whatever regular expressions take for words."""
+    rows = [(1, "½ ² ① Ⅷ 12"), (2, "a"), (3, "é"), (4, "中"), (5, "_"), (6, "ª")]
+    docs = spark.createDataFrame(rows + [(100 + k, "words of a language") for k in range(20)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert [got[k] for k in range(1, 7)] == ["und", "en", "en", "en", "und", "en"]
+
+
+def test_ngrams_of_long_urls(spark):
+    """The same n-grams as by slicing, and time that grows with the length."""
+    import time
+
+    rows = [("ab.c", "/x/é𠮷y"), ("", ""), ("a", "/")]
+    df = spark.createDataFrame(rows, "host string, path string")
+    want = [[m + t[i : i + n] for m, t in (("h", f"^{h}$"), ("p", f"^{p}$")) for n in url_filter.SIZES for i in range(len(t) - n + 1)] for h, p in rows]
+    assert [r.g for r in df.select(url_filter.ngrams(F.col("host"), F.col("path")).alias("g")).collect()] == want
+    took = []
+    for n in (50_000, 50_000, 400_000):
+        long = spark.createDataFrame([(f"h{n}", "/" + "ab/" * (n // 3))], "host string, path string")
+        start = time.perf_counter()
+        assert long.select(F.size(url_filter.ngrams(F.col("host"), F.col("path"))).alias("n")).first().n > 2 * n
+        took.append(time.perf_counter() - start)
+    assert took[2] < 24 * took[1] + 4  # eight times the length; by substring it was sixty-four times
+
+
+def test_postings_carry_no_words(spark, sf, monkeypatch):
+    """Where nothing is broadcast, shuffles of tokens carry the word's key and place only."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    grams, _ = decontaminate.benchmark_windows(items)
+    anchors = shared.stored(decontaminate.rarest_terms(docs, grams, "doc_id", "text"), "anchors")
+    index = decontaminate.postings(docs, anchors, "doc_id", "text")
+    text = index._jdf.queryExecution().executedPlan().toString()
+    assert text.count("RegExpExtractAll") + text.count("regexp_extract_all") == 1 and "array" not in text.split("Exchange", 1)[1].split("Generate")[0]
+    few = decontaminate.contamination(docs, items)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 200_000)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in decontaminate.contamination(docs, items).collect()}
+
+
 def test_html_cases():
     cases = {
         "<body><nav>menu here</nav><article><h1>T</h1><p>a <b>b</b><br>c<p>d &amp; e</article><footer>f</footer>": "T\n\na b c\n\nd & e",
