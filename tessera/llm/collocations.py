@@ -39,12 +39,17 @@ _PAIRS = f"{_PLACES}, left long, right long"
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """int32 values by planes of bytes, which compress far better."""
-    return np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Values from 0 to 2^32 - 1 by planes of bytes, as many as the largest needs."""
+    width = max((int(values.max(initial=0)).bit_length() + 7) // 8, 1)
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T
+    return bytes([width]) + planes.tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    width = raw[0]
+    out = np.zeros(((len(raw) - 1) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u4").ravel()
 
 
 def _rows(chunk: int, n: np.ndarray, seq: tuple[int, np.ndarray, np.ndarray] | None, extra: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -97,7 +102,7 @@ class Gathered:
         langs, word = (np.concatenate([c.indices.to_numpy() for c in x.chunks]) for x in joined)
         places = np.cumsum(np.concatenate(self.cuts), dtype=np.int64) + np.arange(len(word))
         self.__init__()
-        key = langs.astype(np.int64) * len(word_names) + word
+        key = langs.astype(np.int64 if len(lang_names) * len(word_names) >> 31 else np.int32) * len(word_names) + word
         for a in range(0, len(key), chunk_words):
             b = min(a + chunk_words, len(key))
             end = min(b + LONGEST - 1, len(key))
@@ -134,6 +139,7 @@ def word_chunks(docs: DataFrame, lang_col: str, text_col: str, chunk_words: int
                     for rows in held.chunks(number, chunk_words):
                         number += 1
                         yield rows
+                    pa.default_memory_pool().release_unused()
         yield from held.chunks(number, chunk_words)
 
     own = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -147,7 +153,7 @@ def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
         empty = _rows(0, np.zeros(0), None, {"left": pa.array([], pa.int64()), "right": pa.array([], pa.int64())})
         if not seq.num_rows or not known.num_rows:
             return pa.Table.from_batches([empty])
-        places, names = np.cumsum(_unpacked(seq.column("places")[0].as_py())), _unpacked(seq.column("names")[0].as_py())
+        places, names = np.cumsum(_unpacked(seq.column("places")[0].as_py()), dtype=np.int64), _unpacked(seq.column("names")[0].as_py())
         own, chunk = seq.column("own")[0].as_py(), seq.column("chunk")[0].as_py()
         local, id_of = known.column("at").to_numpy() & ((1 << NAME_BITS) - 1), known.column("id").to_numpy()
         rank = np.full(max(int(names.max(initial=0)), int(local.max())) + 1, -1, np.int32)
@@ -160,6 +166,7 @@ def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
         places = places[next_to]
         n = np.bincount(pair[places < own], minlength=len(key))
         parents = {"left": pa.array(id_of[key // len(id_of)]), "right": pa.array(id_of[key % len(id_of)])}
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches([_rows(chunk, n, None if last else (own, places, pair), parents)])
 
     seqs = chunks.where("at IS NULL").select("chunk", "own", "places", "names")
