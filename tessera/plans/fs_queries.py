@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths, records, text
 from tessera.operators import collections, fs, mutations
 from tessera.plans.registry import query
+from tessera.session import Engine
 from tessera.sources import formats
 
 _R = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
@@ -92,6 +93,22 @@ def path_read(r):
     return formats.read_path(r("dentries"), r("contents"), _path(r, 0))
 
 
+def _engine(r):
+    """An engine with the table function over paths."""
+    return Engine(r.spark, {"files_meta": r("files_meta"), "dentries": r("dentries")}, functions={"fs": lambda path: formats.read_path(r("dentries"), r("contents"), path)})
+
+
+@query("sql_fs_glob", f"SELECT p.path AS _path, count(*) AS n, max(l.n) AS last FROM ({_lines('paths')}) l JOIN paths p ON p.path = l.path WHERE p.path LIKE '/src1/%' GROUP BY p.path", "paths")
+def sql_fs_glob(r):
+    return _engine(r).sql("SELECT f._path, count(*) AS n, max(f._line_number) AS last FROM fs('/src1/**') f GROUP BY f._path")
+
+
+@query("sql_fs_listing", "SELECT d.type, d.n, (SELECT count(*) FROM dentries WHERE path LIKE '/src2/%') AS every FROM (SELECT CASE WHEN is_dir THEN 'directory' ELSE 'file' END AS type, count(*) AS n FROM dentries WHERE path LIKE '/src2/%' GROUP BY is_dir) d", "dentries")
+def sql_fs_listing(r):
+    """Columns of a listing, in a named query and in a subquery."""
+    return _engine(r).sql("WITH l AS (SELECT * FROM fs('/src2/')) SELECT type, count(*) AS n, (SELECT count(*) FROM fs('/src2/') AS x) AS every FROM l GROUP BY type")
+
+
 @query("storage_stats", "SELECT count(*) FILTER (WHERE NOT is_dir) AS total_files, count(*) FILTER (WHERE is_dir) AS total_directories, CAST(sum(m.size_bytes) AS BIGINT) AS total_bytes FROM dentries d LEFT JOIN files_meta m ON d.file_id = m.file_id", "dentries", "files_meta")
 def storage_stats(r):
     return fs.storage_stats(r("dentries"), r("files_meta"))

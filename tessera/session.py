@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +31,15 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 class Engine:
-    """Queries over named relations. DDL, DML and other commands are refused before they run."""
+    """Queries over named relations. DDL, DML and other commands are refused before they run.
 
-    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame] | None = None, read_only: bool = True):
+    A table function whose columns depend on its arguments (``functions``: name to a function of literals that
+    gives a DataFrame) can stand wherever a relation can: ``SELECT * FROM fs('/a/*.csv')``.
+    """
+
+    def __init__(self, spark: SparkSession, relations: Mapping[str, DataFrame] | None = None, read_only: bool = True, functions: Mapping[str, Callable[..., DataFrame]] | None = None):
         self.spark, self.read_only = spark, read_only
+        self.functions = {k.lower(): f for k, f in (functions or {}).items()}
         self.relations: dict[str, DataFrame] = {}
         for name, df in (relations or {}).items():
             self.register(name, df)
@@ -49,19 +54,40 @@ class Engine:
         if self.read_only:
             raise PermissionDenied("the session is read-only")
 
-    def check(self, text: str) -> None:
-        """Raises unless ``text`` is one query."""
+    def check(self, text: str):
+        """The parsed plan; raises unless ``text`` is one query."""
         try:
             plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
         except Exception as e:
             raise InvalidInput(str(e).split("\n", 1)[0]) from e
         if is_command(plan):
             raise PermissionDenied("only queries are allowed")
+        return plan
+
+    def _with_functions(self, text: str, plan) -> str:
+        """``text`` with the calls of ``functions``, as the parser found them, replaced by views."""
+        calls = {}  # by place, for a named query is found more than once
+        for node in nodes(plan):
+            if node.getClass().getSimpleName() == "UnresolvedTableValuedFunction" and (name := node.name().mkString(".").lower()) in self.functions:
+                args = [_literal(node.functionArgs().apply(k), name) for k in range(node.functionArgs().size())]
+                origin = node.origin()
+                calls[origin.startIndex().get()] = (origin.stopIndex().get(), name, args)
+        for start, (stop, name, args) in sorted(calls.items(), reverse=True):
+            try:
+                found = self.functions[name](*args)
+            except TypeError as e:
+                raise InvalidInput(f"{name}: {e}") from e
+            view = f"__{name}_{uuid.uuid4().hex}"
+            found.createOrReplaceTempView(view)
+            # what the parser took for the call ends at its bracket or at its alias
+            call = text[start : stop + 1]
+            text = text[:start] + view + call[_closing(call) + 1 :] + text[stop + 1 :]
+        return text
 
     def sql(self, text: str) -> DataFrame:
-        self.check(text)
+        plan = self.check(text)
         try:
-            return self.spark.sql(text)
+            return self.spark.sql(self._with_functions(text, plan) if self.functions else text)
         except Exception as e:
             raise classified(e) from e
 
@@ -81,6 +107,48 @@ class Engine:
             sc.setLocalProperty("spark.jobGroup.id", None)
 
 
+def nodes(plan):
+    """A parsed plan's nodes, those of subqueries and of named queries too."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        found = [node.children(), node.innerChildren()]
+        try:
+            found.append(node.expressions())
+        except Exception:  # an expression has none
+            pass
+        for some in found:
+            todo += [x for x in (some.apply(k) for k in range(some.size())) if "catalyst" in x.getClass().getName()]
+        try:
+            todo.append(node.plan())
+        except Exception:  # only subqueries have a plan
+            pass
+
+
+def _literal(expression, name: str):
+    """The value of a literal argument; null and anything else are errors."""
+    if expression.getClass().getSimpleName() != "Literal" or expression.value() is None:
+        raise InvalidInput(f"{name}: arguments are literals")
+    value = expression.value()
+    return value if isinstance(value, (int, float, bool)) else value.toString()
+
+
+def _closing(call: str) -> int:
+    """Where the bracket that opens first is closed; brackets in quotes do not count."""
+    depth, quote = 0, ""
+    for k, c in enumerate(call):
+        if quote:
+            quote = "" if c == quote and call[k - 1] != "\\" else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return k
+    raise InvalidInput("a call without its end")
+
+
 def is_command(plan) -> bool:
     """Whether a parsed plan, or a part of it, does anything but read."""
     name = plan.getClass().getName()

@@ -7,6 +7,7 @@ that one pass reads any number of files.
 from __future__ import annotations
 
 import csv
+import io
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,16 +35,20 @@ def jsonl_lines(files: DataFrame) -> DataFrame:
 
 
 def csv_header(files: DataFrame, delimiter: str) -> tuple[list[str], list[str]]:
-    """(names, types) from the header of the first file and up to ``SAMPLE_RECORDS`` records."""
+    """(names, types) from the header of the first file and up to ``SAMPLE_RECORDS`` lines of records. A
+    quoted name may hold line ends; a record that the sample cuts off is left out."""
     first = files.orderBy("path").select(text.lines(F.col("content")).alias("lines")).limit(1)
     row = first.select(F.slice("lines", 1, SAMPLE_RECORDS + 1)).first()
     if row is None or not row[0]:
         return [], []
-    names = next(csv.reader([row[0][0]], delimiter=delimiter))
+    sample = list(row[0])
+    while len(sample) > 1 and "\n".join(sample).count('"') % 2:
+        sample.pop()
+    names, *records = csv.reader(io.StringIO("\n".join(sample), newline=""), delimiter=delimiter)
     types = ["long"] * len(names)
     order = ["long", "double", "boolean", "string"]
     for k in range(len(names)):
-        cells = [c[k] for c in csv.reader(row[0][1:], delimiter=delimiter) if len(c) > k and c[k] != ""]
+        cells = [c[k] for c in records if len(c) > k and c[k] != ""]
         types[k] = next(t for t in order if all(_fits(x, t) for x in cells)) if cells else "string"
     return names, types
 

@@ -35,3 +35,29 @@ def test_rows_are_json(engine):
 def test_writes_need_a_writable_session(spark):
     with pytest.raises(PermissionDenied):
         Engine(spark).require_writable()
+
+
+def test_table_function_over_paths(spark):
+    """Columns depend on the path: a table with a header, lines, JSON lines, a listing."""
+    import pytest
+
+    from tessera.errors import InvalidInput, NotFound
+    from tessera.session import Engine
+    from tessera.sources import formats
+
+    files = {"/d/a.csv": 'x,"long\nname"\n1,"a (b"\n2,c\n', "/d/b.txt": "one\ntwo\n", "/d/c.jsonl": '{"k": 1}\n', "/d/o'neil.txt": "q"}
+    dentries = spark.createDataFrame([(p, p[3:], f"f{k}", False, "/d") for k, p in enumerate(files)] + [("/d", "d", None, True, "/")], "path string, name string, file_id string, is_dir boolean, parent_path string")
+    contents = spark.createDataFrame([(f"f{k}", v) for k, v in enumerate(files.values())], "file_id string, content string")
+    engine = Engine(spark, functions={"fs": lambda path: formats.read_path(dentries, contents, path)})
+    rows = lambda q: [tuple(r) for r in engine.sql(q).collect()]
+    assert engine.sql("SELECT * FROM fs('/d/a.csv')").columns == ["_line_number", "x", "long\nname", "_path"]
+    assert rows("SELECT x, `long\nname` AS y FROM FS('/d/a.csv') WHERE x > 0 ORDER BY x") == [(1, "a (b"), (2, "c")]
+    assert rows("SELECT upper(line) AS l FROM fs('/d/b.txt') AS t WHERE t.line <> 'fs(''x'')' ORDER BY _line_number") == [("ONE",), ("TWO",)]
+    assert rows("SELECT line FROM fs('/d/o\\'neil.txt')") == [("q",)]
+    assert rows("WITH a AS (SELECT * FROM fs('/d/b.txt')) SELECT count(*), (SELECT max(x) FROM fs('/d/a.csv')) FROM a JOIN fs('/d/b.txt') b ON a.line = b.line") == [(2, 2)]
+    assert rows("SELECT 1 WHERE EXISTS (SELECT * FROM fs('/d/c.jsonl')) AND 2 IN (SELECT x FROM fs('/d/a.csv'))") == [(1,)]
+    for wrong in ("SELECT * FROM fs(concat('/d', '/b.txt'))", "SELECT * FROM fs()", "SELECT * FROM fs(NULL)"):
+        with pytest.raises(InvalidInput):
+            engine.sql(wrong)
+    with pytest.raises(NotFound):
+        engine.sql("SELECT * FROM fs('/none')")
