@@ -1,9 +1,12 @@
 """Queries over files, paths and writes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, records, text
-from tessera.operators import collections, fs, mutations
+from tessera import intermediate
+from tessera.operators import chunked, collections, fs, mutations
 from tessera.plans.registry import query
 from tessera.session import Engine
 from tessera.sources import formats
@@ -159,6 +162,17 @@ def write_merge(r):
     return mutations.write_merge(current, p.where("doc_id % 2 = 0").selectExpr("path", "CASE WHEN doc_id % 3 = 0 THEN content ELSE content || '!' END AS content"))
 
 
+@query("write_expected", f"""SELECT n.path, CASE WHEN coalesce(c.revision, 0) <> n.e THEN 'conflict' WHEN c.file_id IS NULL THEN 'create' WHEN c.checksum = n.s THEN 'unchanged' WHEN c.ref_count > 1 THEN 'fork' ELSE 'rewrite' END AS action,
+CAST(CASE WHEN coalesce(c.revision, 0) <> n.e OR c.checksum = n.s THEN c.revision ELSE coalesce(c.revision, 0) + 1 END AS INT) AS revision
+FROM (SELECT path, sha256(CASE WHEN doc_id % 3 = 0 THEN content ELSE content || '!' END) AS s, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 2 END AS e FROM paths WHERE doc_id % 2 = 0) n LEFT JOIN ({_CURRENT}) c ON n.path = c.path""", "paths", "files_meta")
+def write_expected(r):
+    """Writes that name the revision they have seen, 0 for none; where it is another they are refused."""
+    p = r("paths")
+    current = p.join(r("files_meta").select("file_id", "ref_count"), "file_id").where("doc_id % 4 <> 0").select("path", "file_id", F.col("file_id").alias("checksum"), F.lit(3).alias("revision"), "ref_count")
+    incoming = p.where("doc_id % 2 = 0").selectExpr("path", "CASE WHEN doc_id % 3 = 0 THEN content ELSE content || '!' END AS content", "CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 2 END AS expected_revision")
+    return mutations.write_merge(current, incoming).select("path", "action", "revision")
+
+
 @query("like_escaped", "SELECT doc_id, replace(replace(replace(x, '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS x FROM (SELECT doc_id, '50%_\\' || coalesce(text, '') AS x FROM documents)")
 def like_escaped(r):
     from tessera.functions.text import like_escaped as escaped
@@ -196,6 +210,16 @@ def write_coalesced(r):
     return mutations.coalesced_writes(changes, 6 * 3600 * 1000)
 
 
+@query("append_tail", "SELECT file_id, sha256(c) AS checksum, CAST(strlen(c) AS BIGINT) AS size_bytes, CAST(length(c) - length(replace(c, chr(10), '')) AS INT) AS newlines FROM (SELECT file_id, content || CASE WHEN line_count % 2 = 1 THEN chr(10) || 'more' || chr(10) ELSE '' END AS c FROM contents JOIN files_meta USING (file_id)) WHERE c <> ''", "contents", "files_meta")
+def append_tail(r):
+    """All files as chunks, then an append to half of them that writes their last chunks only."""
+    folder = f"{intermediate.shared_dir(r.spark)}/tessera/chunks-{uuid.uuid4().hex}"
+    chunked.append(folder, r("contents").select("file_id", "content"), 1024)
+    odd = r("files_meta").where("line_count % 2 = 1").select("file_id", F.lit("\nmore\n").alias("content"))
+    chunked.append(folder, odd, 1024)
+    return chunked.contents(chunked.chunks(r.spark, folder)).select("file_id", text.sha256(F.col("content")).alias("checksum"), "size_bytes", "newlines")
+
+
 @query("append_merge", "SELECT path, sha256(c) AS checksum, CAST(strlen(c) AS BIGINT) AS size_bytes, CAST(length(c) - length(replace(c, chr(10), '')) + CASE WHEN c = '' OR right(c, 1) = chr(10) THEN 0 ELSE 1 END AS INT) AS line_count, changed FROM (SELECT path, content || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'more' ELSE '' END AS c, doc_id % 3 = 0 AS changed FROM paths)", "paths")
 def append_merge(r):
     p = r("paths")
