@@ -1,8 +1,11 @@
 """Queries over ranking, vectors, memories and answers."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.operators import answer, collections, memory, retrieval, vectors
+from tessera.intermediate import shared_dir
+from tessera.operators import answer, collections, embeddings, memory, retrieval, vectors
 from tessera.operators import pipeline as pipe
 from tessera.plans.registry import query
 
@@ -277,6 +280,16 @@ def embed_dictionary(r):
     return vectors.embed_dictionary(c.select(F.col("content").alias("text")), known, "m")
 
 
+@query("embed_cached", f"SELECT id, file_id IN (SELECT file_id FROM chunks WHERE {_normal('content')} <> '') AND {_normal('content')} IN (SELECT {_normal('content')} FROM chunks WHERE chunk_index = 0) AND {_normal('content')} <> '' AS hit, {_normal('content')} <> '' AS has_vector FROM chunks", "chunks")
+def embed_cached(r):
+    """First chunks, then all of them an hour later: the dictionary knows what was embedded before."""
+    folder = f"{shared_dir(r.spark)}/tessera/embeddings-{uuid.uuid4().hex}"
+    own = r("chunks").select("id", F.col("content").alias("text"), "chunk_index")
+    embeddings.cached(own.where("chunk_index = 0"), folder, "2024-01-01 00:00:00", "m", entries=10_000_000)
+    found = embeddings.cached(own, folder, "2024-01-01 00:59:00", "m", entries=10_000_000)
+    return found.select("id", "hit", F.col("vector").isNotNull().alias("has_vector"))
+
+
 @query("embedding_json")
 def embedding_json(r):
     return r("region").select("r_name", F.to_json(vectors.embedding_column()(F.col("r_name"))).alias("embedding"))
