@@ -5,7 +5,7 @@ phrases of the corpus get an id each, from a global count of pairs of ids; the i
 the places of the documents, where adjacent ones make the pairs of the next level. An id's pair is also its
 two parents, through which the parts of a cut and the phrases inside a longer one are found.
 
-Documents are chunks of some 16 MB of text: a chunk holds the places of its words by names of its own and
+Documents are chunks of some 32 MB of text: a chunk holds the places of its words by names of its own and
 one row a different name, so that shuffles carry different names, not words, and a phrase has at most
 as many rows as there are chunks, however frequent it is.
 """
@@ -29,7 +29,7 @@ LEAST, TOP, LONGEST = 30, 2_000, 4
 INSIDE = 80
 KINDS = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 #: Bytes of text of a chunk, and words; a longer run of text is cut into several.
-CHUNK_BYTES, CHUNK_WORDS = 16 << 20, 1 << 22
+CHUNK_BYTES, CHUNK_WORDS = 32 << 20, 8_000_000
 #: Bits of a name, and of a chunk's number within its task: names and chunks have places of 63 bits.
 NAME_BITS, NUMBER_BITS = 23, 18
 
