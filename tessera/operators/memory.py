@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InvalidInput
 from tessera.functions import text
 from tessera.operators import retrieval
+from tessera.operators.text_index import TextIndex
 
 OVERFETCH, INDEX_OVERFETCH = 3, 5
 CONTENT_CHARS, TOPIC_CHARS, SOURCE_BYTES = 4096, 128, 4096
@@ -90,17 +91,17 @@ def scope(actor: Actor, name: str | None) -> Column:
     return (F.col("scope_type") == kind) & (F.col("scope_id") == own)
 
 
-def search(memories: DataFrame, actor: Actor, query: str, vector: Sequence[float] | None, now: str, scope_name: str | None = None, limit: int = 10, mode: str = "hybrid") -> DataFrame:
+def search(memories: DataFrame, actor: Actor, query: str, vector: Sequence[float] | None, now: str, scope_name: str | None = None, limit: int = 10, mode: str = "hybrid", index: TextIndex | None = None) -> DataFrame:
     """The best live memories of a scope: id, rank, score and what ``dedup`` keeps.
 
-    The index (id, content, vector) gives candidates of the scope, ``OVERFETCH`` times ``limit``,
+    The index (id, content, vector; with a stored ``index`` of the contents no text is read) gives candidates of the scope, ``OVERFETCH`` times ``limit``,
     each ranker ``INDEX_OVERFETCH`` times those; the authoritative rows, in scope and live, are
     looked up anew; equal contents collapse to the widest scope at the first one's rank.
     """
     allowed = scope(actor, scope_name)
-    index = memories.where(allowed).select("id", "content", "vector")
+    rows = memories.where(allowed).select("id", "content", "vector")
     wanted = limit * OVERFETCH
-    hits = retrieval.ranked_hits(index, query, vector, mode, wanted, INDEX_OVERFETCH)
+    hits = retrieval.ranked_hits(rows, query, vector, mode, wanted, INDEX_OVERFETCH, index, None if index is None else rows.select("id"))
     return dedup(recheck(hits, memories.drop("vector"), allowed & live(now)), limit)
 
 

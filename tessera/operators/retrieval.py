@@ -117,9 +117,9 @@ def fused(docs: DataFrame, query: str, vector: Sequence[float] | None, mode: str
     return fuse([dense, sparse], limit, key)
 
 
-def ranked_hits(docs: DataFrame, query: str, vector: Sequence[float] | None, mode: str, limit: int, overfetch: int) -> DataFrame:
+def ranked_hits(docs: DataFrame, query: str, vector: Sequence[float] | None, mode: str, limit: int, overfetch: int, index: TextIndex | None = None, scope: DataFrame | None = None) -> DataFrame:
     """id, score, rank of the best ``limit``."""
-    hits = fused(docs, query, vector, mode, limit, overfetch)
+    hits = fused(docs, query, vector, mode, limit, overfetch, index=index, scope=scope)
     return hits.join(ranked(hits), "id").select("id", "score", "rank")
 
 

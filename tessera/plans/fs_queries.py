@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, records, text
 from tessera import intermediate
-from tessera.operators import chunked, collections, fs, mutations
+from tessera.operators import chunked, collections, fs, mutations, path_table
 from tessera.plans.registry import query
 from tessera.session import Engine
 from tessera.sources import formats
@@ -20,6 +20,14 @@ def files_scan(r):
     return fs.files_view(r("dentries"), r("files_meta")).where("path LIKE '/src1/%'")
 
 
+@query("files_clustered", f"SELECT d.path, d.is_dir, m.size_bytes, m.checksum FROM dentries d LEFT JOIN files_meta m ON d.file_id = m.file_id WHERE d.path LIKE '/src1/%'", "dentries", "files_meta")
+def files_clustered(r):
+    """A subtree of files that are stored by path."""
+    folder = f"{intermediate.shared_dir(r.spark)}/tessera/paths-{uuid.uuid4().hex}"
+    path_table.build(fs.files_view(r("dentries"), r("files_meta")), folder, 200)
+    return path_table.scan(r.spark, folder, "/src1").select("path", "is_dir", "size_bytes", "checksum")
+
+
 @query("search_join_files", "SELECT c.id, d.path, m.size_bytes FROM chunks c JOIN files_meta m ON c.file_id = m.file_id JOIN dentries d ON d.file_id = c.file_id WHERE contains(c.content, 'worthless')", "chunks", "dentries", "files_meta")
 def search_join_files(r):
     hits = r("chunks").where(F.contains(F.col("content"), F.lit("worthless"))).select("id", "file_id")

@@ -350,7 +350,8 @@ def memory_search(r):
     """Scope, hybrid candidates, re-check, collapse of equal contents."""
     m, e = r("memories"), r("embeddings")
     rows = m.join(e, m["id"] % 977 == e["vec_id"], "left").select(m["*"], F.col("embedding").alias("vector"))
-    return memory.search(rows, ACTOR, WORDS, VECTOR, _NOW).select("id", "rank")
+    index = r.text_index("memories", m.select("id", "content"), "conversations")
+    return memory.search(rows, ACTOR, WORDS, VECTOR, _NOW, index=index).select("id", "rank")
 
 
 @query("memory_save_dedup", "SELECT scope_type, scope_id, content_hash, min(id) AS id FROM (SELECT id, scope_type, scope_id, sha256(_TRIM_) AS content_hash FROM memories WHERE length(_TRIM_) BETWEEN 1 AND 4096) WHERE (scope_type, scope_id, content_hash) NOT IN (SELECT (scope_type, scope_id, content_hash) FROM memories WHERE id % 2 = 0) GROUP BY ALL".replace("_TRIM_", _trimmed("content")), "memories")
