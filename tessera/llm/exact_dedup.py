@@ -47,8 +47,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns, whose names are free; rows repeated whole stay
-    once, and of null ids with one text one row, where no other id has it."""
+    """The documents that stay, with all their columns, whose names are free. Of rows that repeat both id
+    and text one stays, whichever, though other columns differ; of null ids with one text one row stays,
+    where no other id has it."""
     id_, digest, own = (unused(docs, x) for x in ("__id", "__digest", "__own"))
     keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(digest))
     keep = stored(keep, "kept")

@@ -342,7 +342,7 @@ def _batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``. Null, empty and textless pages have an
-    empty text. Repeated rows each return; other columns are ignored."""
+    empty text. Null ids and repeated rows return like any other; other columns are ignored."""
     own = pages.selectExpr(f"cast(`{id_col}` as long) AS page_id", f"`{url_col}` AS url", f"`{html_col}` AS html")
     return mapped(own, _batches, "page_id long, url string, text string, n_chars long")
 

@@ -118,7 +118,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``; with ``texts`` also
     ``ids`` (array of ints) and ``decoded``.
 
-    Whole texts, without begin or end ids. Null counts as empty, which has no ids. Repeated rows
+    Whole texts, without begin or end ids. Null counts as empty, which has no ids. Null ids and repeated rows
     each return; other columns are ignored.
     """
     by_word = splits(model_file)

@@ -125,7 +125,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``spans`` are ``kind:start:end`` in code points, end exclusive. Base kinds are the four
     counted; the method adds ``login_url`` (a URL with user info), ``handle`` (@name) and
     ``account`` (a value with a digit after an identifier cue). Null and empty texts have none.
-    Repeated rows each return; other columns are ignored.
+    Null ids and repeated rows each return; other columns are ignored.
     """
     out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return mapped(docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text"), _batches, out)
