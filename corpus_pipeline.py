@@ -2,6 +2,11 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and
 reread as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Null texts are in no language and go at the first stage, as do texts without a letter; null languages and
+sources play no part. Of rows that repeat id and text one stays at the second; rows that repeat an id with
+other texts are judged by their own texts. Rows without an id are kept where their texts are. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
