@@ -28,7 +28,7 @@ WINDOW, STRIDE = 96, 80
 #: Word vectors, the most documents' first; their width; character filters and their width in bytes; states a direction.
 VOCABULARY, WORD_DIM, FILTERS, WIDTH, STATES, ATTENTION = 20_000, 12, 24, 5, 12, 12
 #: At most so many passes over the sample, and about so many texts seen in all of them.
-PASSES, TEXTS_SEEN, BATCH, RATE, DROPPED, SEED = 8, 12_000, 32, 0.006, 0.3, 7
+PASSES, TEXTS_SEEN, BATCH, RATE, DROPPED, SEED = 40, 12_000, 32, 0.006, 0.3, 7
 #: Letters, digits and all beyond ASCII make words.
 KINDS = classes(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 #: Bytes of words, and windows, that are computed at once.
