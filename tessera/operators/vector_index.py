@@ -55,10 +55,12 @@ class VectorIndex:
     @property
     def rows(self) -> DataFrame:
         """cell, id, vector, cosine to the centre, bucket."""
-        return self.spark.read.parquet(f"{self.snapshot.parts[0]['path']}/cells")
+        return self.spark.read.schema(self.snapshot.properties["schema"]).parquet(f"{self.snapshot.parts[0]['path']}/cells")
 
     def near(self, query: Sequence[float], probes: int = PROBES) -> list[int]:
         """The cells with the nearest centres."""
+        if not self.sizes.sum():
+            return []
         q = np.asarray(query, float)
         return np.argsort(-(self.centres @ q), kind="stable")[:probes].tolist()
 
@@ -78,7 +80,7 @@ class VectorIndex:
         if len(query) != self.centres.shape[1] and self.sizes.sum():
             raise InvalidInput("the query has another number of dimensions")
         cells = self.near(query, probes)
-        if exact:
+        if exact and cells:
             floor = self._scored(cells, query, k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
             best = self.bound(query)
             enough = floor["n"] >= min(k, int(self.sizes.sum()))
@@ -92,6 +94,8 @@ class VectorIndex:
         """query_id, id, score, rank for queries (query_id, vector): each meets the vectors of its cells in a
         join on the cell, and each task keeps k candidates of a query at most. A query without a direction
         finds nothing."""
+        if not self.sizes.sum():
+            return queries.select("query_id").limit(0).crossJoin(self.rows.select("id").limit(0)).selectExpr("query_id", "id", "0D AS score", "0 AS rank")
         centres = self.centres
         count = min(probes, len(centres))
 
@@ -147,20 +151,21 @@ def build(vectors: DataFrame, folder: str, cells: int | None = None, watermark:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(near[np.arange(len(cell)), cell])], names=["id", "vector", "cell", "near"])
 
     kinds = dict(own.dtypes)
-    filed = own.mapInArrow(file_under, f"id {kinds['id']}, vector {kinds['vector']}, cell int, near double").withColumn("bucket", F.col("cell") % BUCKETS)
+    schema = f"id {kinds['id']}, vector {kinds['vector']}, cell int, near double, bucket int"
+    filed = own.mapInArrow(file_under, schema.removesuffix(", bucket int")).withColumn("bucket", F.col("cell") % BUCKETS)
     path = snapshots.new_part(folder)
     dealt = filed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "cell", "id")
     dealt.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{path}/cells")
     if n:
-        stats = spark.read.parquet(f"{path}/cells").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("least")).collect()  # a row a cell
+        stats = spark.read.schema(schema).parquet(f"{path}/cells").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("least")).collect()  # a row a cell
     else:
         stats = []
     least, sizes = np.ones(len(centres)), np.zeros(len(centres), int)
     for r in stats:
         least[r["cell"]], sizes[r["cell"]] = r["least"], r["n"]
-    schema = "cell int, centre array<double>, least double, n long"
-    spark.createDataFrame([(k, centres[k].tolist(), float(least[k]), int(sizes[k])) for k in range(len(centres))], schema).coalesce(1).write.parquet(f"{path}/centres")
-    made = snapshots.commit(spark, folder, base.revision, [{"path": path, "n": n}], {"watermark": watermark, "cells": len(centres)})
+    table = [(k, centres[k].tolist(), float(least[k]), int(sizes[k])) for k in range(len(centres))]
+    spark.createDataFrame(table, "cell int, centre array<double>, least double, n long").coalesce(1).write.parquet(f"{path}/centres")
+    made = snapshots.commit(spark, folder, base.revision, [{"path": path, "n": n}], {"watermark": watermark, "schema": schema})
     return VectorIndex(spark, folder, made, centres, least, sizes)
 
 

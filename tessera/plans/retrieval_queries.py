@@ -90,11 +90,15 @@ def vector_index_topk(r):
     return _out(vector_cells(r).topk(VECTOR, 50, exact=True))
 
 
+#: Cells a query reads of the index of the embeddings, whose vectors hardly cluster.
+PROBES = 32
+
+
 @query("vector_index_batch")
 def vector_index_batch(r):
     """Approximate neighbours of each vector whose id is divisible by 100, among all; recall is tested."""
     queries = r("embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
-    return vector_cells(r).batch_topk(queries, 10, probes=24).withColumn("score", F.round("score", 6))
+    return vector_cells(r).batch_topk(queries, 10, probes=PROBES).withColumn("score", F.round("score", 6))
 
 
 def _han(text):

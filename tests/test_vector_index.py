@@ -96,6 +96,7 @@ def test_edges(spark, tmp_path):
     assert vector_index.opened(spark, folder) is None
     empty = vector_index.build(spark.createDataFrame([(1, None), (2, [0.0, 0.0])], SCHEMA), folder)
     assert empty.topk([1.0, 2.0], 3).count() == 0 == empty.topk([1.0, 2.0], 3, exact=True).count()
+    assert empty.batch_topk(spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, vector array<float>"), 3).count() == 0
     one = vector_index.build(spark.createDataFrame([(1, [2.0, 0.0])], SCHEMA), folder, watermark="m")
     assert [(r.id, r.score) for r in one.topk([1.0, 0.0], 3, exact=True).collect()] == [(1, 1.0)]
     again = vector_index.opened(spark, folder)
