@@ -97,12 +97,21 @@ class Gathered:
         """The chunks of all words, numbered from ``first``."""
         if not self.words:
             return
-        joined = [pa.chunked_array(x).unify_dictionaries() for x in (self.langs, self.words)]
-        lang_names, word_names = (x.chunk(0).dictionary for x in joined)
-        langs, word = (np.concatenate([c.indices.to_numpy() for c in x.chunks]) for x in joined)
-        places = np.cumsum(np.concatenate(self.cuts), dtype=np.int64) + np.arange(len(word))
+        codes, names = [], []
+        for held in (self.langs, self.words):  # one after the other, and only what is needed stays
+            joined = pa.chunked_array(held).unify_dictionaries()
+            held.clear()
+            names.append(joined.chunk(0).dictionary)
+            codes.append(np.concatenate([c.indices.to_numpy() for c in joined.chunks]))
+        del joined
+        lang_names, word_names = names
+        key = codes[0].astype(np.int64 if len(lang_names) * len(word_names) >> 31 else np.int32, copy=False)
+        key *= len(word_names)
+        key += codes[1]
+        del codes
+        places = np.cumsum(np.concatenate(self.cuts), dtype=np.int32)
+        places += np.arange(len(key), dtype=np.int32)
         self.__init__()
-        key = langs.astype(np.int64 if len(lang_names) * len(word_names) >> 31 else np.int32) * len(word_names) + word
         for a in range(0, len(key), chunk_words):
             b = min(a + chunk_words, len(key))
             end = min(b + LONGEST - 1, len(key))
@@ -153,7 +162,7 @@ def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
         empty = _rows(0, np.zeros(0), None, {"left": pa.array([], pa.int64()), "right": pa.array([], pa.int64())})
         if not seq.num_rows or not known.num_rows:
             return pa.Table.from_batches([empty])
-        places, names = np.cumsum(_unpacked(seq.column("places")[0].as_py()), dtype=np.int64), _unpacked(seq.column("names")[0].as_py())
+        places, names = np.cumsum(_unpacked(seq.column("places")[0].as_py()), dtype=np.int32), _unpacked(seq.column("names")[0].as_py())
         own, chunk = seq.column("own")[0].as_py(), seq.column("chunk")[0].as_py()
         local, id_of = known.column("at").to_numpy() & ((1 << NAME_BITS) - 1), known.column("id").to_numpy()
         rank = np.full(max(int(names.max(initial=0)), int(local.max())) + 1, -1, np.int32)
@@ -162,8 +171,11 @@ def pairs(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
         there = names >= 0
         places, names = places[there], names[there]
         next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
-        key, pair = np.unique(names[next_to].astype(np.int64) * len(id_of) + names[next_to + 1], return_inverse=True)
-        places = places[next_to]
+        places, key = places[next_to], names[next_to].astype(np.int64)
+        key *= len(id_of)
+        key += names[next_to + 1]
+        del names, next_to, there
+        key, pair = np.unique(key, return_inverse=True)
         n = np.bincount(pair[places < own], minlength=len(key))
         parents = {"left": pa.array(id_of[key // len(id_of)]), "right": pa.array(id_of[key % len(id_of)])}
         pa.default_memory_pool().release_unused()
