@@ -2,7 +2,7 @@
 join and not a call for each row.
 
 They read the views ``files``, ``contents``, ``dentries``, ``files_meta``, ``fs_events``, the text
-index's ``postings`` and ``text_stats``, ``chunks`` and ``vectors_of`` (id, vector) of the session they
+index's ``postings`` (rows of blocks), ``text_ids`` and ``text_stats``, ``chunks`` and ``vectors_of`` (id, vector) of the session they
 are registered in; ``search`` also calls ``embedding`` (text to vector) there.
 """
 
@@ -16,12 +16,13 @@ from tessera.operators import text_index
 
 _UNDER = "(coalesce(prefix, '/') = '/' OR path = rtrim('/', prefix) OR startswith(path, concat(rtrim('/', prefix), '/')))"
 
-#: Scores (id, score) in r by the stored index, views ``postings``, ``lengths`` and ``text_stats``.
+#: Scores (id, score) in r by the stored index, views ``postings``, ``text_ids`` and ``text_stats``. Only rows of the query's terms are opened.
 _BM25 = (
     f"q AS (SELECT DISTINCT term, pmod(crc32(encode(term, 'UTF-8')), {text_index.BUCKETS}) AS bucket FROM (SELECT explode(regexp_extract_all(lower(query), '{text.TOKEN.replace(chr(92), chr(92) * 2)}', 0)) AS term)), "
-    "t AS (SELECT p.id, p.term, p.tf, p.dl FROM postings p JOIN q ON p.bucket = q.bucket AND p.term = q.term), "
+    "o AS (SELECT term, seq, block, inline(arrays_zip(ats, tfs, dls)) AS (at, tf, dl) FROM (SELECT /*+ BROADCAST(q) */ p.* FROM postings p JOIN q ON p.bucket = q.bucket AND p.term = q.term)), "
+    "t AS (SELECT o.*, i.id FROM o JOIN text_ids i ON o.seq = i.seq AND o.block = i.block AND o.at = i.at), "
     "f AS (SELECT term, count(*) AS df FROM t GROUP BY term), "
-    "r AS (SELECT t.id, sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))) AS score FROM t JOIN f ON t.term = f.term CROSS JOIN text_stats s GROUP BY t.id)"
+    "r AS (SELECT t.id, sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))) AS score FROM t JOIN f ON t.term = f.term CROSS JOIN text_stats s GROUP BY t.seq, t.block, t.at, t.id)"
 )
 #: The limit in lim (k); unknown modes and limits that are not positive are errors.
 _LIMIT = (

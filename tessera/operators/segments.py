@@ -4,7 +4,10 @@ merges, and a watermark of what it has seen.
 A segment holds documents in blocks of ``BLOCK``. A row of postings is a term in a block: its documents,
 and the largest frequency and the least length among them, from which the best possible score follows
 at any state of the corpus. A query for k documents scores the most promising blocks, takes the k-th score
-as a floor, and reads of all other blocks only those that could beat it.
+as a floor, and reads of all other blocks only those that could beat it. Postings name a document by its
+place in the block; ids, which may be long, stand once a document, and are joined to scores. A task packs
+the blocks it reads, so that only packed rows are shuffled; a block that a task's split cuts has two
+rows for a term, which changes no score and loosens its bound.
 
 A changed or deleted document is marked dead in the segment that holds it; its terms are counted once
 then, so that document frequencies stay exact without reading postings. Writes are commits to a
@@ -14,10 +17,12 @@ versioned table (``snapshots``): a reader keeps its revision, of two writers at
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +30,7 @@ from tessera.errors import InvalidInput
 from tessera.functions import text
 from tessera.intermediate import release, scratch, stored
 from tessera.operators import snapshots
-from tessera.operators.text_index import B, BUCKETS, K1, TextIndex, bucket, bucket_of
+from tessera.operators.text_index import B, K1, bucket, bucket_of, weight
 
 #: Documents of a block, files a directory of postings; segments from which on they are merged, and the share
 #: of dead documents.
@@ -33,6 +38,10 @@ BLOCK, SPREAD = 256, 4
 MERGE_SEGMENTS, MERGE_DEAD = 8, 0.3
 #: Blocks that give the floor; surviving blocks that are named in the plan, above that they are joined.
 SEED_BLOCKS, NAMED_BLOCKS = 8, 2_000
+#: Of what is stored; an index of another format is another folder.
+FORMAT = 2
+#: A document's place in its index.
+PLACE = ["seq", "block", "at"]
 #: Dead documents that are broadcast; more are joined by shuffles.
 BROADCAST_DEAD = 200_000
 
@@ -78,22 +87,22 @@ class SegmentIndex:
     def _schema(self, sub: str) -> str:
         kind, keep = self.snapshot.properties["id"], "".join(f", {c} {t}" for c, t in self.snapshot.properties["keep"])
         return {
-            "documents": f"id {kind}, hash string, block long, dl int, w array<string>{keep}",
-            "postings": f"term string, block long, n int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>, bucket int",
-            "dead": f"id {kind}, of int",
+            "documents": f"id {kind}, hash string, block long, at smallint, dl int, w array<string>{keep}",
+            "postings": f"{PACKED}, bucket int",
+            "dead": "block long, at smallint, of int",
             "dead_terms": "term string, n long, bucket int",
         }[sub]
 
     @cached_property
     def dead(self) -> DataFrame | None:
-        """id, seq of documents that are no more in their segment; broadcast by their known number."""
+        """seq, block, at of documents that are no more in their segment; broadcast by their known number."""
         if not self.marks:
             return None
-        rows = self._union(self.marks, "dead", "").select("id", F.col("of").alias("seq"))
+        rows = self._union(self.marks, "dead", "").select(F.col("of").alias("seq"), "block", "at")
         return F.broadcast(rows) if sum(p["n"] for p in self.marks) <= BROADCAST_DEAD else rows
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        return rows if self.dead is None else rows.join(self.dead, ["id", "seq"], "left_anti")
+        return rows if self.dead is None else rows.join(self.dead, PLACE, "left_anti")
 
     @property
     def documents(self) -> DataFrame:
@@ -102,7 +111,12 @@ class SegmentIndex:
 
     @property
     def lengths(self) -> DataFrame:
-        return self.documents.drop("hash", "block", "w", "seq")
+        return self.documents.drop("hash", "w", *PLACE)
+
+    @property
+    def names(self) -> DataFrame:
+        """seq, block, at, id of live documents."""
+        return self.documents.select(*PLACE, "id")
 
     @property
     def stats(self) -> DataFrame:
@@ -113,21 +127,25 @@ class SegmentIndex:
         """A row a term in a block: postings as they are stored."""
         return self._union(self.segments, "postings", self._schema("postings") + ", seq int")
 
-    @property
-    def postings(self) -> DataFrame:
-        """bucket, term, id, tf, dl of live documents."""
-        return self._opened(self.blocks)
-
     def _opened(self, rows: DataFrame) -> DataFrame:
-        each = rows.select("bucket", "term", "seq", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-        return self._live(each.select("bucket", "term", "seq", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))).drop("seq")
+        """term, seq, block, at, tf, dl of live documents."""
+        each = rows.select("term", "seq", "block", F.explode(F.arrays_zip("ats", "tfs", "dls")).alias("p"))
+        return self._live(each.select("term", *PLACE[:2], F.col("p.ats").alias("at"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
 
     def _of(self, rows: DataFrame, terms: Sequence[str]) -> DataFrame:
         return rows.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(list(terms)))
 
     def scores(self, terms: Sequence[str], scope: DataFrame | None = None) -> DataFrame:
         """id, score of all documents with one of ``terms``; see ``TextIndex.scores``."""
-        return TextIndex(self.postings, self.lengths, self.stats).scores(terms, scope)
+        found, names, stats = self._opened(self._of(self.blocks, sorted(set(terms)))), self.names, self.stats
+        if scope is not None:
+            own = self.documents.select(*PLACE, "id", "dl").join(scope.select("id"), "id", "left_semi")
+            names, stats = own.select(*PLACE, "id"), own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+            found = found.join(names.select(*PLACE), PLACE, "left_semi")
+        # a row a term, and one of statistics
+        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        known = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+        return known.groupBy(*PLACE).agg(F.sum(weight()).alias("score")).join(names, PLACE).select("id", "score")
 
     def frequencies(self, terms: Sequence[str]) -> dict[str, int]:
         """Live documents of each term that has one: a row a term comes to the driver."""
@@ -150,32 +168,37 @@ class SegmentIndex:
         return F.element_at(F.create_map(*pairs), F.col("term"))
 
     def _scored(self, rows: DataFrame, df: dict[str, int]) -> DataFrame:
+        """seq, block, at, score."""
         tf = F.col("tf")
         part = self._idf(df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / self.avgdl))
-        return self._opened(rows).groupBy("id").agg(F.sum(part).alias("score"))
+        return self._opened(rows).groupBy(*PLACE).agg(F.sum(part).alias("score"))
 
     def candidates(self, terms: Sequence[str], k: int) -> tuple[DataFrame, dict[str, int]]:
         """(rows of postings that can hold one of the k best, frequencies)."""
+        rows, df, _ = self._candidates(terms, k)
+        return rows, df
+
+    def _candidates(self, terms: Sequence[str], k: int) -> tuple[DataFrame, dict[str, int], Callable[[DataFrame], DataFrame]]:
+        """``candidates`` and what keeps the rows (seq, block) of their blocks."""
         df = self.frequencies(sorted(set(terms)))
         rows = self._of(self.blocks, sorted(df))
         if not df:
-            return rows, df
+            return rows, df, lambda x: x
         bounds = self.bounds(df)
         seed = bounds.orderBy(F.desc("best"), "seq", "block").limit(max(SEED_BLOCKS, -(-2 * k // BLOCK))).collect()
         named = lambda found: reduce(lambda a, b: a | b, [(F.col("seq") == s) & F.col("block").isin(sorted(r["block"] for r in found if r["seq"] == s)) for s in sorted({r["seq"] for r in found})], F.lit(False))
         floor = self._scored(rows.where(named(seed)), df).orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
         if floor["n"] < k:
-            return rows, df
+            return rows, df, lambda x: x
         alive = bounds.where(F.col("best") >= floor["least"] - 1e-8).select("seq", "block")
         few = alive.limit(NAMED_BLOCKS + 1).collect()
-        return (rows.where(named(few)) if len(few) <= NAMED_BLOCKS else rows.join(alive, ["seq", "block"], "left_semi")), df
+        kept = lambda x: x.where(named(few)) if len(few) <= NAMED_BLOCKS else x.join(alive, ["seq", "block"], "left_semi")
+        return kept(rows), df, kept
 
     def topk(self, terms: Sequence[str], k: int) -> DataFrame:
         """id, score of documents, among them the ``k`` best of the whole index."""
-        rows, df = self.candidates(terms, k)
-        if not df:
-            return TextIndex(self.postings, self.lengths, self.stats).scores([])
-        return self._scored(rows, df)
+        rows, df, kept = self._candidates(terms, k)
+        return self._scored(rows, df).join(kept(self.names), PLACE).select("id", "score") if df else self.scores([])
 
 
 def opened(spark: SparkSession, folder: str) -> SegmentIndex | None:
@@ -184,19 +207,59 @@ def opened(spark: SparkSession, folder: str) -> SegmentIndex | None:
     return SegmentIndex(spark, folder, found) if found.revision else None
 
 
+#: A row of postings as a task packs it.
+PACKED = "term string, block long, n int, max_tf int, min_dl int, ats array<smallint>, tfs array<int>, dls array<int>"
+
+
+def _packed(found: pa.Table) -> pa.RecordBatch:
+    """Whole blocks of documents (block, at, dl, w), in order, as rows of ``PACKED``."""
+    w = found.column("w").combine_chunks()
+    words = w.flatten().dictionary_encode()
+    block, at, dl = (found.column(c).to_numpy() for c in ("block", "at", "dl"))
+    of = np.repeat(np.arange(len(w)), w.value_lengths().to_numpy())
+    names, nth = np.unique(block, return_inverse=True)
+    kinds, wide = max(len(words.dictionary), 1), int(at.max(initial=0)) + 1
+    key, tf = np.unique((nth[of] * kinds + words.indices.to_numpy()) * wide + at[of], return_counts=True)
+    row = key // wide
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    length = np.zeros((len(names), wide), np.int32)
+    length[nth, at] = dl
+    dls, tf, ends = length[row // kinds, key % wide], tf.astype(np.int32), np.r_[start, len(row)].astype(np.int32)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+    most, least = (np.maximum.reduceat(tf, start), np.minimum.reduceat(dls, start)) if len(row) else (tf, dls)
+    term = words.dictionary.take(pa.array(row[start] % kinds))
+    columns = [term, names[row[start] // kinds], np.diff(ends).astype(np.int32), most, least, lists((key % wide).astype(np.int16)), lists(tf), lists(dls)]
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["term", "block", "n", "max_tf", "min_dl", "ats", "tfs", "dls"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block at a time; the last of a batch waits for the next batch."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        block = rows.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()]
+        for a, z in zip(cuts, cuts[1:]):
+            yield _packed(rows.slice(a, z - a))
+        held = rows.slice(cuts[-1])
+    if held is not None:
+        yield _packed(held)
+
+
 def _segment(words: DataFrame, folder: str, seq: int) -> dict | None:
     """Writes documents (id, hash, dl, w and kept columns) as a segment; none where there are none."""
     path = snapshots.new_part(folder)
     # a block is BLOCK documents that follow one another in one partition
-    words.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)).write.option("compression", "zstd").parquet(f"{path}/documents")
+    numbered = words.withColumn("place", F.monotonically_increasing_id())
+    placed = numbered.withColumn("block", F.shiftright("place", BLOCK.bit_length() - 1)).withColumn("at", F.col("place").bitwiseAND(BLOCK - 1).cast("smallint"))
+    placed.drop("place").write.option("compression", "zstd").parquet(f"{path}/documents")
     rows = words.sparkSession.read.parquet(f"{path}/documents")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    each = rows.select("id", "block", "dl", F.explode("w").alias("term")).groupBy("term", "block", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    entry = F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("e")  # at most BLOCK
-    packed = each.groupBy("term", "block").agg(entry, F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    placed = packed.select(bucket(F.col("term")).alias("bucket"), "term", "block", F.size("e").alias("n"), "max_tf", "min_dl", F.col("e.id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls"))
-    dealt = placed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    packed = rows.select("block", "at", "dl", "w").mapInArrow(_pack, PACKED).withColumn("bucket", bucket(F.col("term")))
+    dealt = packed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")
+    dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     return {"kind": "segment", "path": path, "seq": seq, "n": n, "words": total} if n else None
 
 
@@ -210,11 +273,11 @@ def _marked(index: SegmentIndex, ids: DataFrame) -> dict | None:
     """Writes marks of the live documents with one of ``ids`` (id) and the counts of their terms."""
     path = snapshots.new_part(index.folder)
     with scratch():
-        gone = stored(index.documents.select("id", "seq", "dl", "w").join(ids, "id", "left_semi"), "dead-documents")
+        gone = stored(index.documents.select("id", *PLACE, "dl", "w").join(ids, "id", "left_semi"), "dead-documents")
         n, words = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if not n:
             return None
-        gone.select("id", F.col("seq").alias("of")).write.parquet(f"{path}/dead")
+        gone.select("block", "at", F.col("seq").alias("of")).write.parquet(f"{path}/dead")
         counts = gone.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         counts.withColumn("bucket", bucket(F.col("term"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/dead_terms")
     return {"kind": "dead", "path": path, "seq": 0, "n": n, "words": words}
@@ -252,7 +315,7 @@ def update(spark: SparkSession, folder: str, upserts: DataFrame | None = None, d
 def merged(index: SegmentIndex) -> SegmentIndex:
     """All live documents as one segment, from stored words: no text is read."""
     seq = index.snapshot.properties["next"]
-    made = _segment(index.documents.drop("seq", "block"), index.folder, seq)
+    made = _segment(index.documents.drop(*PLACE), index.folder, seq)
     found = snapshots.commit(index.spark, index.folder, index.snapshot.revision, [made] if made else [], index.snapshot.properties | {"next": seq + 1})
     return SegmentIndex(index.spark, index.folder, found)
 

@@ -60,7 +60,7 @@ class Source:
     def text_index(self, name: str, docs: DataFrame, *tables: str, keep: tuple[str, ...] = (), tokeniser: str = "words") -> SegmentIndex:
         """The stored index of ``docs`` (id, content and what to ``keep``), which come of ``tables``: brought
         to these files as they now are, where they changed. Of two sessions at once one waits for the other's."""
-        folder = self._folder("index-" + name, tokeniser, str(segments.text.TOKENISERS[tokeniser]), str(segments.BLOCK), *keep)
+        folder = self._folder("index-" + name, tokeniser, str(segments.text.TOKENISERS[tokeniser]), str(segments.BLOCK), str(segments.FORMAT), *keep)
         mark = self._mark(*tables)
         for last in (False, False, True):
             try:

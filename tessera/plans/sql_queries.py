@@ -36,7 +36,7 @@ def tvf_search(r):
 
 
 def _indexed(r, index, functions):
-    engine = Engine(r.spark, {"postings": index.postings, "text_stats": index.stats})
+    engine = Engine(r.spark, {"postings": index.blocks, "text_ids": index.names, "text_stats": index.stats})
     if functions:
         sql_functions.register(r.spark, *functions)
     return engine

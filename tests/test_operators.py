@@ -437,6 +437,25 @@ def test_top_k_reads_few_blocks(spark, tmp_path, monkeypatch):
     assert not re.search(r"ReadSchema: struct<[^>]*(ids|tfs|dls)", bounds)
 
 
+def test_postings_name_places_and_not_ids(spark, tmp_path):
+    """Long ids stand once a document; a block over several Arrow batches is packed whole."""
+    rows = [(k, f"common word{k % 7} " * (1 + k % 3) + f"only{k}") for k in range(600)] + [(600, None)]
+    docs = spark.createDataFrame(rows, "id long, content string").select(F.lpad(F.col("id").cast("string"), 64, "0").alias("id"), "content").coalesce(2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        index = segments.sync(spark, f"file://{tmp_path}/index", docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [c for c, t in index.blocks.dtypes if "string" in t] == ["term"]
+    # a term has one row in each block that holds it
+    assert index.blocks.groupBy("term", "block").count().where("count > 1").count() == 0
+    for query in ("common word3", "only7 word1"):
+        want = {f"{k:064d}": v for k, v in _bm25(spark, rows, query).items()}
+        assert {r.id: round(r.score, 9) for r in retrieval.bm25(None, query, index=index).collect()} == want
+        assert [(r.id, round(r.score, 9)) for r in retrieval.bm25_topk(None, query, 5, index=index).collect()] == _best(want, 5)
+
+
 def test_tokenisers(spark):
     from tessera.functions import text
 
