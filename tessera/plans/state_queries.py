@@ -188,10 +188,10 @@ def stream_sliding(r):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
-@query("stream_session", "WITH g AS (SELECT ts, event_type, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS s FROM (SELECT ts, event_type, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events)) SELECT min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", event_type, count(*) AS n FROM g GROUP BY event_type, s HAVING max(ts) + INTERVAL 10 MINUTE <= " + _MARK)
+@query("stream_session", "WITH g AS (SELECT ts, event_type, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS s FROM (SELECT ts, event_type, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events)) SELECT min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", event_type, count(*) AS n FROM g GROUP BY event_type, s")
 def stream_session(r):
-    """Sessions that the watermark has closed."""
-    out = _appended(r, streams.windowed_counts(_stream(r), "session", "10 minutes"), "session")
+    """All sessions, those that the watermark has not closed too."""
+    out = sinks.run_completed(streams.windowed_counts(_stream(r), "session", "10 minutes"), _folder(r, "session"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 

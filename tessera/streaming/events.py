@@ -49,12 +49,15 @@ def heat_stream(access: DataFrame, offset_h: int = state.DAY_OFFSET_H, late: str
 
 
 def windowed_counts(events: DataFrame, kind: str, size: str, step: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """An extra: events by type in tumbling, sliding or session windows under a watermark."""
+    """An extra: events by type in tumbling, sliding or session windows under a watermark. A session ends
+    ``size`` after its last event; an event at that very time begins another."""
     if kind not in ("tumbling", "sliding", "session"):
         raise InvalidInput(f"window: {kind!r}")
-    window = F.session_window("ts", size) if kind == "session" else F.window("ts", size, step if kind == "sliding" else None)
+    # sessions that touch are merged, so each is short by the least step until it is counted
+    window = F.session_window("ts", f"{size} -1 microseconds") if kind == "session" else F.window("ts", size, step if kind == "sliding" else None)
     by = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type")
-    return by.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
+    end = F.expr("w.end + INTERVAL '0.000001' SECOND") if kind == "session" else F.col("w.end")
+    return by.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), end.alias("end"), "event_type", "n")
 
 
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -65,6 +65,21 @@ def run_merged(stream: DataFrame, folder: str, keys: Sequence[str]) -> DataFrame
     return rows(stream.sparkSession, f"{folder}/table", ", ".join(f"{c} {t}" for c, t in stream.dtypes))
 
 
+def run_completed(stream: DataFrame, folder: str) -> DataFrame:
+    """All groups of a stream of aggregates over what is there now and what earlier runs below ``folder`` have
+    read, those that are still open too: each batch writes the whole result, the last one is read."""
+    spark, table = stream.sparkSession, f"{folder}/table"
+
+    def put(batch: DataFrame, n: int) -> None:
+        path = snapshots.new_part(table)
+        batch.write.parquet(path)
+        snapshots.commit(spark, table, snapshots.current(spark, table).revision, [{"path": path}], {"batch": n})
+
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parts = snapshots.current(spark, table).parts
+    return spark.read.schema(stream.schema).parquet(parts[0]["path"]) if parts else spark.createDataFrame([], stream.schema)
+
+
 def run_appended(stream: DataFrame, folder: str) -> DataFrame:
     """The rows of a stream in append mode over what is there now and what earlier runs below ``folder``
     have read: a table a batch, which a batch that runs again replaces."""
