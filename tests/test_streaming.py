@@ -1,8 +1,11 @@
+import duckdb
 import pytest
+from conftest import table_rows
 from pyspark.sql import functions as F
 
 from tessera.errors import Conflict, InvalidInput, NotFound
 from tessera.operators import file_table, snapshots
+from tessera.plans.catalog import ORACLES, QUERIES
 from tessera.streaming import events, sinks, timers
 
 
@@ -122,6 +125,38 @@ def test_debounce_and_leases_across_batches(spark, tmp_path):
     assert {(r.task_id, r.expired_ms // 1000 - base, r.retries, r.status) for r in got} == want
 
 
+def minutes(spark, sf_dir):
+    """300 users' events on whole tens of minutes, so that ends of runs, marks and times of events meet."""
+    event_type = "CASE WHEN pmod(hash(id, 3), 5) = 0 THEN 'purchase' ELSE 'view' END"
+    ts = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 10 * pmod(hash(id), 1000))"
+    rows = spark.range(6000).selectExpr("id AS event_id", f"{ts} AS ts", "CAST(pmod(hash(id, 7), 300) AS BIGINT) AS user_id", f"{event_type} AS event_type")
+    # one run is due between the last mark and the last event, and ended by a change
+    late = spark.createDataFrame([(6000, 9275, 1000), (6001, 9997, 1000), (6002, 10_000, 1001)], "event_id long, m int, user_id long")
+    rows = rows.union(late.selectExpr("event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, m)", "user_id", "'view'"))
+    rows.coalesce(1).write.parquet(f"{sf_dir}/written")
+    next(sf_dir.glob("written/*.parquet")).rename(sf_dir / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["stream_debounce", "stream_session", "stream_leases"])
+def test_ends_that_meet(spark, tmp_path, name):
+    """A run that a later change ends is due only by the watermark; what begins as another ends is another."""
+    con = minutes(spark, tmp_path)
+    got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    assert table_rows(got.columns, [tuple(r) for r in got.collect()]) == table_rows(want.columns, want.fetchall())
+
+
+def test_open_sessions_count_across_restarts(spark, tmp_path):
+    schema, folder = "ts string, event_type string", f"file://{tmp_path}/out"
+    run = lambda: {(str(r.start)[11:16], str(r.end)[11:16], r.n) for r in sinks.run_completed(events.windowed_counts(stream_of(spark, tmp_path, schema), "session", "10 minutes"), folder).collect()}
+    put(spark, tmp_path, 0, [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:09:00", "a")], schema)
+    assert run() == {("00:00", "00:19", 2)}
+    put(spark, tmp_path, 1, [("2024-01-01 00:12:00", "a"), ("2024-01-01 00:22:00", "a")], schema)
+    assert run() == {("00:00", "00:22", 3), ("00:22", "00:32", 1)} == run()
+
+
 def test_writes_that_expect_a_revision(spark, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}/files"
     rows = lambda *x: spark.createDataFrame([(*r, None) if len(r) == 2 else r for r in x], "path string, content string, expected_revision int")
