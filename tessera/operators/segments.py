@@ -6,7 +6,7 @@ and the largest frequency and the least length among them, from which the best p
 at any state of the corpus. A query for k documents scores the most promising blocks, takes the k-th score
 as a floor, and reads of all other blocks only those that could beat it. Postings name a document by its
 place in the block; ids, which may be long, stand once a document, and are joined to scores. A task packs
-the blocks it reads, so that only packed rows are shuffled; a block that a task's split cuts has two
+the blocks it reads and files them, and postings are not shuffled; a block that a task's split cuts has two
 rows for a term, which changes no score and loosens its bound.
 
 A changed or deleted document is marked dead in the segment that holds it; its terms are counted once
@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput
 from tessera.functions import text
-from tessera.intermediate import release, scratch, stored
+from tessera.intermediate import no_shuffle_kept, release, scratch, stored
 from tessera.operators import snapshots
 from tessera.operators.text_index import B, K1, bucket, bucket_of, weight
 
-#: Documents of a block, files a directory of postings; segments from which on they are merged, and the share
-#: of dead documents.
-BLOCK, SPREAD = 256, 4
+#: Documents of a block; segments from which on they are merged, and the share of dead documents.
+BLOCK = 256
 MERGE_SEGMENTS, MERGE_DEAD = 8, 0.3
 #: Blocks that give the floor; surviving blocks that are named in the plan, above that they are joined.
 SEED_BLOCKS, NAMED_BLOCKS = 8, 2_000
@@ -254,12 +253,13 @@ def _segment(words: DataFrame, folder: str, seq: int) -> dict | None:
     # a block is BLOCK documents that follow one another in one partition
     numbered = words.withColumn("place", F.monotonically_increasing_id())
     placed = numbered.withColumn("block", F.shiftright("place", BLOCK.bit_length() - 1)).withColumn("at", F.col("place").bitwiseAND(BLOCK - 1).cast("smallint"))
-    placed.drop("place").write.option("compression", "zstd").parquet(f"{path}/documents")
+    with no_shuffle_kept(words.sparkSession):
+        placed.drop("place").write.option("compression", "zstd").parquet(f"{path}/documents")
     rows = words.sparkSession.read.parquet(f"{path}/documents")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     packed = rows.select("block", "at", "dl", "w").mapInArrow(_pack, PACKED).withColumn("bucket", bucket(F.col("term")))
-    dealt = packed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    # each task files its own blocks: a file a bucket and task, and no shuffle
+    packed.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     return {"kind": "segment", "path": path, "seq": seq, "n": n, "words": total} if n else None
 
 

@@ -465,3 +465,17 @@ def test_tokenisers(spark):
     assert [r.w for r in rows] == want == [text.tokens_of(c, "bigrams") for c in cases]
     docs = [(1, "中文搜索引擎"), (2, "中国文学"), (3, "搜索")]
     assert set(_bm25(spark, docs, "文搜")) == {1, 2, 3} and set(_bm25(spark, docs, "文搜", "bigrams")) == {1}
+
+
+def test_building_an_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    docs = spark.range(3000).selectExpr("id", "concat('w', id % 700, ' both ', id) AS content")
+    monkeypatch.setattr(type(docs), "repartition", lambda *a, **k: pytest.fail("postings are dealt"))
+    assert segments.update(spark, f"file://{tmp_path}/i", docs).frequencies(["both"]) == {"both": 3000}
+
+
+def test_a_semantic_search_builds_no_text_index(spark, sf, monkeypatch):
+    from tessera.plans import registry
+    from tessera.plans.catalog import QUERIES
+
+    monkeypatch.setattr(registry.Source, "text_index", lambda *a, **k: pytest.fail("an index of texts"))
+    assert QUERIES["search_semantic"](spark, sf).count() == 10
