@@ -141,7 +141,8 @@ def search_hybrid(r):
 def _mode(name, mode, oracle):
     @query(name, f"{_HYBRID} SELECT id, round(score, 6) AS score, '{'cosine' if mode == 'semantic' else 'bm25'}' AS score_type FROM {oracle} ORDER BY round(score, 9) DESC, id LIMIT 10")
     def run(r):
-        return _out(retrieval.search(_vectors(r), WORDS, VECTOR, mode, limit=0, index=doc_index(r)), "score_type")
+        index = None if mode == "semantic" else doc_index(r)  # vectors alone are ranked
+        return _out(retrieval.search(_vectors(r), WORDS, VECTOR, mode, limit=0, index=index), "score_type")
 
 
 # a limit of 0 is the default of ten; one over a hundred is a hundred
