@@ -136,7 +136,8 @@ def build(vectors: DataFrame, folder: str, cells: int | None = None, watermark:
     centres = np.zeros((1, 0))
     if wanted > 1:
         drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, round(1_200_000 * min(1.0, SAMPLE / n)))
-        sample = own.where(drawn).limit(SAMPLE).select(array_to_vector("u").alias("f"))
+        # a limit leaves one partition, which would be one task in every round
+        sample = own.where(drawn).limit(SAMPLE).select(array_to_vector("u").alias("f")).repartition(spark.sparkContext.defaultParallelism)
         found = np.array(KMeans(k=wanted, maxIter=ROUNDS, seed=seed, distanceMeasure="cosine", featuresCol="f").fit(sample).clusterCenters())
         centres = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
     elif n:
@@ -146,7 +147,7 @@ def build(vectors: DataFrame, folder: str, cells: int | None = None, watermark:
         for b in batches:
             if not b.num_rows:
                 continue
-            near = np.array(b.column(2).to_pylist(), float) @ centres.T
+            near = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) @ centres.T
             cell = near.argmax(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(near[np.arange(len(cell)), cell])], names=["id", "vector", "cell", "near"])
 
