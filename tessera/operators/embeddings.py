@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput
@@ -72,6 +72,23 @@ def dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(*[p["path"] for p in parts]) if parts else spark.createDataFrame([], SCHEMA)
 
 
+def _latest(rows: DataFrame, entries: int) -> DataFrame:
+    """The ``entries`` last used, then last made, then of the least keys: a limit would send them all through
+    one task. Times and the beginnings of keys, which are digests, are counted and their sums give the cut."""
+    age = [F.desc("used_at"), F.desc("made_at"), F.col("start")]
+    started = rows.withColumn("start", F.substring("cache_key", 1, 3))
+    by = ["used_at", "made_at", "start"]
+    sums = started.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("past", F.sum("n").over(Window.orderBy(*age)))
+    first = sums.where(F.col("past") > entries).orderBy(*age).first()  # a row for 4,096 beginnings of each pair of times
+    if first is None:
+        return rows
+    at = [F.lit(str(first[c])).cast(t) for c, t in started.select(*by).dtypes]
+    u, m, k = (F.col(c) for c in by)
+    before = (u > at[0]) | ((u == at[0]) & ((m > at[1]) | ((m == at[1]) & (k < at[2]))))
+    same = started.where((u == at[0]) & (m == at[1]) & (k == at[2])).orderBy("cache_key").limit(entries - (first["past"] - first["n"]))
+    return started.where(before).unionByName(same).drop("start")
+
+
 def cached(texts: DataFrame, folder: str, now: str, model: str, provider: Provider = hashing_provider, entries: int = ENTRIES, ttl_h: float = TTL_H, idle_h: float = IDLE_H, batch: int = BATCH) -> DataFrame:
     """``texts`` (a column text, others stay) with ``vector`` and ``hit``; the dictionary at ``folder`` is
     brought up to ``now``. Each different text is embedded once. Texts are trimmed and composed first; empty
@@ -95,7 +112,7 @@ def cached(texts: DataFrame, folder: str, now: str, model: str, provider: Provid
 
         def change(found: snapshots.Snapshot):
             path = snapshots.new_part(folder)
-            hits.unionByName(fresh).orderBy(F.desc("used_at"), F.desc("made_at"), "cache_key").limit(entries).write.parquet(path)
+            _latest(hits.unionByName(fresh), entries).write.parquet(path)
             return [{"path": path}], {"now": now}
 
         snapshots.committed(spark, folder, change)

@@ -1,6 +1,7 @@
 """Batches, retries and the stored dictionary of embeddings."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import embeddings
 
@@ -45,3 +46,11 @@ def test_dictionary_expires_and_is_bounded(spark, tmp_path):
     assert run(25, "a", "b") == {"a": False, "b": False}  # a is over a day old, b idle
     run(26, *[f"t{k}" for k in range(30)], entries=8)
     assert embeddings.dictionary(spark, folder).count() == 8
+
+
+def test_the_bound_is_not_one_task(spark):
+    rows = spark.range(0, 2000, 1, 8).selectExpr("sha2(CAST(id AS STRING), 256) AS cache_key", "array(CAST(id AS FLOAT)) AS vector", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, id % 2) AS made_at", "TIMESTAMP_NTZ '2024-01-02 00:00:00' + make_dt_interval(0, id % 3) AS used_at")
+    whole = [r.cache_key for r in rows.orderBy(F.desc("used_at"), F.desc("made_at"), "cache_key").collect()]
+    for n in (1, 333, 334, 1500, 1999, 2000, 5000):
+        assert {r.cache_key for r in embeddings._latest(rows, n).collect()} == set(whole[:n]) and embeddings._latest(rows, n).count() == min(n, 2000)
+    assert embeddings._latest(rows, 1900).select(F.spark_partition_id().alias("p"), "cache_key").groupBy("p").count().count() > 1
