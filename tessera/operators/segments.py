@@ -1,13 +1,14 @@
 """A stored text index of segments: blocks of postings with the best score they can give, delete marks,
 merges, and a watermark of what it has seen.
 
-A segment holds documents in blocks of ``BLOCK``. A row of postings is a term in a block: its documents,
+A segment holds documents in blocks of ``BLOCK``. Of a term in a block there are its documents,
 and the largest frequency and the least length among them, from which the best possible score follows
-at any state of the corpus. A query for k documents scores the most promising blocks, takes the k-th score
+at any state of the corpus; a stored row is a term in a stretch of blocks, their lists end to end, so that a
+task sorts far fewer rows than there are terms in blocks. A query for k documents scores the most promising blocks, takes the k-th score
 as a floor, and reads of all other blocks only those that could beat it. Postings name a document by its
 place in the block; ids, which may be long, stand once a document, and are joined to scores. A task packs
-the blocks it reads and files them, and postings are not shuffled; a block that a task's split cuts has two
-rows for a term, which changes no score and loosens its bound.
+the blocks it reads and files them, and postings are neither shuffled nor, in tasks of ``SPLIT``, spilled; a block
+that a task's split cuts has two rows for a term, which changes no score and loosens its bound.
 
 A changed or deleted document is marked dead in the segment that holds it; its terms are counted once
 then, so that document frequencies stay exact without reading postings. Writes are commits to a
@@ -23,12 +24,13 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput
 from tessera.functions import text
-from tessera.intermediate import no_shuffle_kept, release, scratch, stored
+from tessera.intermediate import no_shuffle_kept, release, scratch, setting, stored
 from tessera.operators import snapshots
 from tessera.operators.text_index import B, K1, bucket, bucket_of, weight
 
@@ -38,7 +40,11 @@ MERGE_SEGMENTS, MERGE_DEAD = 8, 0.3
 #: Blocks that give the floor; surviving blocks that are named in the plan, above that they are joined.
 SEED_BLOCKS, NAMED_BLOCKS = 8, 2_000
 #: Of what is stored; an index of another format is another folder.
-FORMAT = 2
+FORMAT = 3
+#: Bytes of stored documents that a task packs, and of a group of their rows, which is not cut; what it sorts is some ten times that.
+SPLIT = 32 << 20
+#: Words from which on a stretch of blocks is packed.
+STRETCH = 1_000_000
 #: A document's place in its index.
 PLACE = ["seq", "block", "at"]
 #: Dead documents that are broadcast; more are joined by shuffles.
@@ -123,8 +129,11 @@ class SegmentIndex:
 
     @property
     def blocks(self) -> DataFrame:
-        """A row a term in a block: postings as they are stored."""
-        return self._union(self.segments, "postings", self._schema("postings") + ", seq int")
+        """term, seq, block, bucket, n, max_tf, min_dl, ats, tfs, dls: a row a term in a block, cut from the stored lists."""
+        each = self._union(self.segments, "postings", self._schema("postings") + ", seq int").select("*", F.posexplode("blocks").alias("nth", "block"))
+        own, n = lambda c: F.get(c, F.col("nth")), F.get("ns", F.col("nth"))
+        first = F.aggregate(F.slice("ns", 1, F.col("nth")), F.lit(1), lambda s, x: s + x)
+        return each.select("term", "seq", "block", "bucket", n.alias("n"), own("most").alias("max_tf"), own("least").alias("min_dl"), *[F.slice(c, first, n).alias(c) for c in ("ats", "tfs", "dls")])
 
     def _opened(self, rows: DataFrame) -> DataFrame:
         """term, seq, block, at, tf, dl of live documents."""
@@ -206,8 +215,14 @@ def opened(spark: SparkSession, folder: str) -> SegmentIndex | None:
     return SegmentIndex(spark, folder, found) if found.revision else None
 
 
-#: A row of postings as a task packs it.
-PACKED = "term string, block long, n int, max_tf int, min_dl int, ats array<smallint>, tfs array<int>, dls array<int>"
+#: A row of postings as a task packs it: a term in a stretch of blocks, of each its number of documents, largest
+#: frequency and least length, and the documents of all one after another.
+PACKED = "term string, blocks array<long>, ns array<int>, most array<int>, least array<int>, ats array<smallint>, tfs array<int>, dls array<int>"
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
 
 
 def _packed(found: pa.Table) -> pa.RecordBatch:
@@ -217,34 +232,41 @@ def _packed(found: pa.Table) -> pa.RecordBatch:
     block, at, dl = (found.column(c).to_numpy() for c in ("block", "at", "dl"))
     of = np.repeat(np.arange(len(w)), w.value_lengths().to_numpy())
     names, nth = np.unique(block, return_inverse=True)
-    kinds, wide = max(len(words.dictionary), 1), int(at.max(initial=0)) + 1
-    key, tf = np.unique((nth[of] * kinds + words.indices.to_numpy()) * wide + at[of], return_counts=True)
+    wide = int(at.max(initial=0)) + 1
+    key, tf = np.unique((words.indices.to_numpy().astype(np.int64) * len(names) + nth[of]) * wide + at[of], return_counts=True)
     row = key // wide
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    start = _begins(row)  # of a term's documents in a block
+    term, own = row[start] // len(names), row[start] % len(names)
+    first = _begins(term)  # of a term's blocks
     length = np.zeros((len(names), wide), np.int32)
     length[nth, at] = dl
-    dls, tf, ends = length[row // kinds, key % wide], tf.astype(np.int32), np.r_[start, len(row)].astype(np.int32)
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+    dls, tf = length[row % len(names), key % wide], tf.astype(np.int32)
     most, least = (np.maximum.reduceat(tf, start), np.minimum.reduceat(dls, start)) if len(row) else (tf, dls)
-    term = words.dictionary.take(pa.array(row[start] % kinds))
-    columns = [term, names[row[start] // kinds], np.diff(ends).astype(np.int32), most, least, lists((key % wide).astype(np.int16)), lists(tf), lists(dls)]
-    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["term", "block", "n", "max_tf", "min_dl", "ats", "tfs", "dls"])
+    lists = lambda begin, end, x: pa.ListArray.from_arrays(pa.array(np.r_[begin, end].astype(np.int32)), pa.array(x))
+    of_blocks = [names[own], np.diff(np.r_[start, len(row)]).astype(np.int32), most, least]
+    of_documents = [(key % wide).astype(np.int16), tf, dls]
+    columns = [words.dictionary.take(pa.array(term[first])), *[lists(first, len(start), x) for x in of_blocks], *[lists(start[first], len(row), x) for x in of_documents]]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "blocks", "ns", "most", "least", "ats", "tfs", "dls"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block at a time; the last of a batch waits for the next batch."""
-    held = None
+    """Stretches of whole blocks, each of ``STRETCH`` words and at most a block's more; the last of what was read waits for more."""
+    held, n = [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        block = rows.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()]
+        held, n = [*held, b], n + len(b.column("w").flatten())
+        if n < STRETCH:
+            continue
+        rows = pa.Table.from_batches(held)
+        starts = _begins(rows.column("block").to_numpy())
+        before = np.r_[0, np.cumsum(pc.list_value_length(rows.column("w")).to_numpy())][starts]
+        cuts = starts[_begins(before // STRETCH)]
         for a, z in zip(cuts, cuts[1:]):
             yield _packed(rows.slice(a, z - a))
-        held = rows.slice(cuts[-1])
-    if held is not None:
-        yield _packed(held)
+        held, n = rows.slice(cuts[-1]).to_batches(), n - before[starts == cuts[-1]][0]
+    if held:
+        yield _packed(pa.Table.from_batches(held))
 
 
 def _segment(words: DataFrame, folder: str, seq: int) -> dict | None:
@@ -254,12 +276,13 @@ def _segment(words: DataFrame, folder: str, seq: int) -> dict | None:
     numbered = words.withColumn("place", F.monotonically_increasing_id())
     placed = numbered.withColumn("block", F.shiftright("place", BLOCK.bit_length() - 1)).withColumn("at", F.col("place").bitwiseAND(BLOCK - 1).cast("smallint"))
     with no_shuffle_kept(words.sparkSession):
-        placed.drop("place").write.option("compression", "zstd").parquet(f"{path}/documents")
+        placed.drop("place").write.option("compression", "zstd").option("parquet.block.size", SPLIT).parquet(f"{path}/documents")
     rows = words.sparkSession.read.parquet(f"{path}/documents")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     packed = rows.select("block", "at", "dl", "w").mapInArrow(_pack, PACKED).withColumn("bucket", bucket(F.col("term")))
     # each task files its own blocks: a file a bucket and task, and no shuffle
-    packed.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    with setting(words.sparkSession, "spark.sql.files.maxPartitionBytes", str(SPLIT)):
+        packed.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     return {"kind": "segment", "path": path, "seq": seq, "n": n, "words": total} if n else None
 
 

@@ -479,3 +479,24 @@ def test_a_semantic_search_builds_no_text_index(spark, sf, monkeypatch):
 
     monkeypatch.setattr(registry.Source, "text_index", lambda *a, **k: pytest.fail("an index of texts"))
     assert QUERIES["search_semantic"](spark, sf).count() == 10
+
+
+def test_a_stored_row_is_a_term_in_a_stretch_of_blocks(spark, tmp_path, monkeypatch):
+    """One row a term and block was sorted by each task and spilled three times the input."""
+    docs = spark.range(0, 3000, 1, 2).selectExpr("id", "concat('w', id % 700, ' both both ', id, ' Ünï') AS content")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for words, most in ((segments.STRETCH, 2), (2000, 10)):
+            monkeypatch.setattr(segments, "STRETCH", words)
+            index = segments.update(spark, f"file://{tmp_path}/{words}", docs)
+            stored = spark.read.parquet(f"{index.segments[0]['path']}/postings").where("term = 'both'").count()
+            assert 2 <= stored <= most and index.blocks.where("term = 'both'").count() == 12
+            of = F.explode(F.arrays_zip("ats", "tfs", "dls")).alias("p")
+            got = index.blocks.select("term", "seq", "block", of).select("term", "seq", "block", F.col("p.ats").alias("at"), "p.tfs", "p.dls").join(index.names, ["seq", "block", "at"])
+            want = docs.selectExpr("id", "explode(split(lower(content), ' ')) AS term").groupBy("term", "id").count()
+            rows = lambda df: sorted(map(tuple, df.collect()))
+            assert rows(got.select("term", "id", "tfs")) == rows(want) and {r.dls for r in got.select("dls").distinct().collect()} == {5}
+            assert index.blocks.where("n <> size(ats) OR max_tf <> array_max(tfs) OR min_dl <> array_min(dls)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
