@@ -83,13 +83,25 @@ def query(name: str, oracle: str | None = None, *names: str):
     return put
 
 
-def sql(name: str, text: str, oracle: str | None = None) -> None:
-    """Registers a query of the SQL facade; ``oracle`` where DuckDB spells it another way."""
+#: Bytes of a driver table's files for each task that it is dealt to.
+DEALT = 8 << 20
+
+
+def _dealt(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
+    """A driver table with all rows of a value of ``column`` in one task."""
+    system, path = file_system(spark, f"{sf_dir}/{name}.parquet")
+    return fixtures.table(spark, sf_dir, name).repartition(system.getContentSummary(path).getLength() // DEALT + 1, column)
+
+
+def sql(name: str, text: str, oracle: str | None = None, dealt: dict[str, str] | None = None) -> None:
+    """Registers a query of the SQL facade; ``oracle`` where DuckDB spells it another way. Tables in ``dealt`` are
+    shuffled by that column first, so that groups by it and more are made without another shuffle."""
     words = set(re.findall(r"[a-z_]+", text))
     own = [n for n in (*fixtures.TABLES, *fixtures.RELATIONS) if n in words]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Engine(spark, {n: fixtures.relation(spark, sf_dir, n) for n in own}).sql(text)
+        frames = {n: fixtures.relation(spark, sf_dir, n) for n in own} | {n: _dealt(spark, sf_dir, n, c) for n, c in (dealt or {}).items()}
+        return Engine(spark, frames).sql(text)
 
     assert name not in QUERIES, name
     QUERIES[name] = run

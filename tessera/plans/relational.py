@@ -58,7 +58,7 @@ sql("fn_string", "SELECT p_partkey, lower(p_brand) AS lo, trim('  x ') || substr
 sql("fn_date", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(extract(QUARTER FROM o_orderdate) AS INT) AS q, date_add(CAST(o_orderdate AS DATE), 30) AS later, datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01') AS days, date_format(o_orderdate, 'yyyy/MM/dd') AS text FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(extract(QUARTER FROM o_orderdate) AS INT) AS q, CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) AS later, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS INT) AS days, strftime(o_orderdate, '%Y/%m/%d') AS text FROM orders")
 sql("fn_math", "SELECT p_partkey, round(sqrt(p_size), 6) AS root, abs(p_size - 25) AS dist, power(p_size, 2) AS sq, p_size % 7 AS m, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, CAST(ceil(p_retailprice / 7) AS BIGINT) AS c, round(ln(p_retailprice), 6) AS l, CAST(sign(p_size - 25) AS INT) AS s FROM part")
 sql("fn_array", "SELECT doc_id, size(split(source, 'r')) AS parts, array_contains(array('de', 'en'), lang) AS known, aggregate(filter(transform(sequence(1, 5), x -> x * CAST(doc_id % 7 AS INT)), x -> x % 2 = 0), 0, (a, x) -> a + x) AS evens FROM documents", "SELECT doc_id, CAST(len(string_split(source, 'r')) AS INT) AS parts, list_contains(['de', 'en'], lang) AS known, CAST(coalesce(list_sum(list_filter(list_transform(range(1, 6), lambda x: x * (doc_id % 7)), lambda x: x % 2 = 0)), 0) AS INT) AS evens FROM documents")
-sql("fn_explode", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(text, ' ')) AS w FROM documents) GROUP BY doc_id, w", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY doc_id, w")
+sql("fn_explode", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(text, ' ')) AS w FROM documents) GROUP BY doc_id, w", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY doc_id, w", dealt={"documents": "doc_id"})
 sql("fn_map", "SELECT n_nationkey, element_at(map('k', n_regionkey, 'n', n_nationkey), 'k') AS k, size(map_keys(map('a', 1, 'b', n_regionkey))) AS n FROM nation", "SELECT n_nationkey, n_regionkey AS k, 2 AS n FROM nation")
 sql("fn_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, from_json(props, 'k INT').k + 1 AS k1, variant_get(parse_json(props), '$.k', 'bigint') AS kv FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(json_extract(props, '$.k') AS INT) + 1 AS k1, CAST(json_extract(props, '$.k') AS BIGINT) AS kv FROM events")
 sql("fn_cond", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'HOUSEHOLD'), 'none') AS seg, greatest(c_nationkey, 10) AS g, least(c_nationkey, 10) AS l, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 9000 THEN 'rich' END AS kind, CAST(c_acctbal AS BIGINT) AS whole FROM customer WHERE c_acctbal - floor(c_acctbal) < 0.4 AND c_acctbal > 0", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'HOUSEHOLD'), 'none') AS seg, greatest(c_nationkey, 10) AS g, least(c_nationkey, 10) AS l, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 9000 THEN 'rich' END AS kind, CAST(floor(c_acctbal) AS BIGINT) AS whole FROM customer WHERE c_acctbal - floor(c_acctbal) < 0.4 AND c_acctbal > 0")

@@ -500,3 +500,9 @@ def test_a_stored_row_is_a_term_in_a_stretch_of_blocks(spark, tmp_path, monkeypa
             assert index.blocks.where("n <> size(ats) OR max_tf <> array_max(tfs) OR min_dl <> array_min(dls)").count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_words_of_documents_are_counted_where_the_texts_are(spark, sf):
+    """Texts are shuffled once, by id; a row a document and word was."""
+    plan = QUERIES["fn_explode"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
