@@ -92,7 +92,8 @@ def embedding_column(embedder: Callable[[str], list[float]] | None = None, dim:
 def embed_dictionary(texts: DataFrame, known: DataFrame, model: str) -> DataFrame:
     """cache_key, text of distinct texts, trimmed and composed, that the dictionary (cache_key) lacks;
     texts over ``CACHED_BYTES`` as given are not kept in it."""
-    short = texts.where(F.octet_length("text") <= CACHED_BYTES).select(text_of.composed(text_of.trimmed(F.col("text"))).alias("text"))
-    trimmed = short.where("text <> ''").distinct()
+    short = texts.where(F.octet_length("text") <= CACHED_BYTES).select(text_of.trimmed(F.col("text")).alias("text"))
+    # what is empty when composed was so before; a filter after it would compose each text twice
+    trimmed = short.where("text <> ''").select(text_of.composed(F.col("text")).alias("text")).distinct()
     keyed = trimmed.select(F.sha2(F.concat(F.lit(model + ":"), F.col("text")), 256).alias("cache_key"), "text")
     return keyed.join(known.select("cache_key"), "cache_key", "left_anti")

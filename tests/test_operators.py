@@ -506,3 +506,9 @@ def test_words_of_documents_are_counted_where_the_texts_are(spark, sf):
     """Texts are shuffled once, by id; a row a document and word was."""
     plan = QUERIES["fn_explode"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
+
+
+def test_the_dictionary_composes_a_text_once(spark):
+    texts = spark.createDataFrame([("a",), (" ",), (None,)], "text string")
+    keyed = vectors.embed_dictionary(texts, spark.createDataFrame([], "cache_key string"), "m")
+    assert keyed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and [r.text for r in keyed.collect()] == ["a"]
