@@ -25,7 +25,7 @@ from functools import cached_property, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidInput
@@ -40,9 +40,9 @@ MERGE_SEGMENTS, MERGE_DEAD = 8, 0.3
 #: Blocks that give the floor; surviving blocks that are named in the plan, above that they are joined.
 SEED_BLOCKS, NAMED_BLOCKS = 8, 2_000
 #: Of what is stored; an index of another format is another folder.
-FORMAT = 3
+FORMAT = 4
 #: Bytes of stored documents that a task packs, and of a group of their rows, which is not cut; what it sorts is some ten times that.
-SPLIT = 32 << 20
+SPLIT = 26 << 20
 #: Words from which on a stretch of blocks is packed.
 STRETCH = 1_000_000
 #: A document's place in its index.
@@ -92,7 +92,7 @@ class SegmentIndex:
     def _schema(self, sub: str) -> str:
         kind, keep = self.snapshot.properties["id"], "".join(f", {c} {t}" for c, t in self.snapshot.properties["keep"])
         return {
-            "documents": f"id {kind}, hash string, block long, at smallint, dl int, w array<string>{keep}",
+            "documents": f"id {kind}, hash string, block long, at smallint, dl int, w string{keep}",
             "postings": f"{PACKED}, bucket int",
             "dead": "block long, at smallint, of int",
             "dead_terms": "term string, n long, bucket int",
@@ -112,11 +112,16 @@ class SegmentIndex:
     @property
     def documents(self) -> DataFrame:
         """Live documents: id, hash, dl, words, segment and what was kept."""
-        return self._live(self._union(self.segments, "documents", self._schema("documents") + ", seq int"))
+        return self._live(self._union(self.segments, "documents", self._schema("documents") + ", seq int")).withColumn("w", _list("w"))
+
+    @property
+    def places(self) -> DataFrame:
+        """``lengths`` with seq, block, at: documents chosen of it are a scope whose ids need not be looked up."""
+        return self.documents.drop("hash", "w")
 
     @property
     def lengths(self) -> DataFrame:
-        return self.documents.drop("hash", "w", *PLACE)
+        return self.places.drop(*PLACE)
 
     @property
     def names(self) -> DataFrame:
@@ -144,15 +149,18 @@ class SegmentIndex:
         return rows.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(list(terms)))
 
     def scores(self, terms: Sequence[str], scope: DataFrame | None = None) -> DataFrame:
-        """id, score of all documents with one of ``terms``; see ``TextIndex.scores``."""
+        """id, score of all documents with one of ``terms``; see ``TextIndex.scores``. A scope of rows of
+        this index's ``places`` is taken as it is; of any other its id counts."""
         found, names, stats = self._opened(self._of(self.blocks, sorted(set(terms)))), self.names, self.stats
         if scope is not None:
-            own = self.documents.select(*PLACE, "id", "dl").join(scope.select("id"), "id", "left_semi")
+            own = scope if {*PLACE, "dl"} <= set(scope.columns) else self.places.join(scope.select("id"), "id", "left_semi")
             names, stats = own.select(*PLACE, "id"), own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-            found = found.join(names.select(*PLACE), PLACE, "left_semi")
+            found = found.join(names, PLACE)  # ids come along: one shuffle by place
         # a row a term, and one of statistics
         df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         known = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+        if scope is not None:
+            return known.groupBy(*PLACE, "id").agg(F.sum(weight()).alias("score")).select("id", "score")
         return known.groupBy(*PLACE).agg(F.sum(weight()).alias("score")).join(names, PLACE).select("id", "score")
 
     def frequencies(self, terms: Sequence[str]) -> dict[str, int]:
@@ -215,6 +223,12 @@ def opened(spark: SparkSession, folder: str) -> SegmentIndex | None:
     return SegmentIndex(spark, folder, found) if found.revision else None
 
 
+def _list(w: str) -> Column:
+    """Stored words as an array. They are stored in one string, spaces between, which a word has none of: that is a fifth
+    smaller than a list of strings."""
+    return F.when(F.col(w) == "", F.array().cast("array<string>")).otherwise(F.split(w, " "))
+
+
 #: A row of postings as a task packs it: a term in a stretch of blocks, of each its number of documents, largest
 #: frequency and least length, and the documents of all one after another.
 PACKED = "term string, blocks array<long>, ns array<int>, most array<int>, least array<int>, ats array<smallint>, tfs array<int>, dls array<int>"
@@ -276,10 +290,10 @@ def _segment(words: DataFrame, folder: str, seq: int) -> dict | None:
     numbered = words.withColumn("place", F.monotonically_increasing_id())
     placed = numbered.withColumn("block", F.shiftright("place", BLOCK.bit_length() - 1)).withColumn("at", F.col("place").bitwiseAND(BLOCK - 1).cast("smallint"))
     with no_shuffle_kept(words.sparkSession):
-        placed.drop("place").write.option("compression", "zstd").option("parquet.block.size", SPLIT).parquet(f"{path}/documents")
+        placed.drop("place").withColumn("w", F.array_join("w", " ")).write.option("compression", "zstd").option("parquet.block.size", SPLIT).parquet(f"{path}/documents")
     rows = words.sparkSession.read.parquet(f"{path}/documents")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    packed = rows.select("block", "at", "dl", "w").mapInArrow(_pack, PACKED).withColumn("bucket", bucket(F.col("term")))
+    packed = rows.select("block", "at", "dl", _list("w").alias("w")).mapInArrow(_pack, PACKED).withColumn("bucket", bucket(F.col("term")))
     # each task files its own blocks: a file a bucket and task, and no shuffle
     with setting(words.sparkSession, "spark.sql.files.maxPartitionBytes", str(SPLIT)):
         packed.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")

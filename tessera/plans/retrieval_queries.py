@@ -164,7 +164,7 @@ def hybrid_rrf(r):
 @query("search_scoped", f"WITH s AS (SELECT * FROM chunks WHERE file_id IN (SELECT file_id FROM dentries WHERE path LIKE '/src1/%')), {_bm25('s')} SELECT id, round(score, 6) AS score FROM q ORDER BY round(score, 9) DESC, id LIMIT 10", "chunks", "dentries")
 def search_scoped(r):
     index = chunk_index(r)
-    return _out(retrieval.bm25_topk(None, WORDS, 10, index=index, scope=retrieval.in_scope(index.lengths, r("dentries"), "src1/")))
+    return _out(retrieval.bm25_topk(None, WORDS, 10, index=index, scope=retrieval.in_scope(index.places, r("dentries"), "src1/")))
 
 
 @query("alias_resolve", "SELECT file_id, (SELECT min(path) FROM dentries d WHERE d.file_id = m.file_id) AS path FROM files_meta m WHERE ref_count > 1 UNION ALL SELECT id, path FROM dentries WHERE is_dir", "files_meta", "dentries")

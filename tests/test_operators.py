@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.errors import Conflict, InvalidInput, NotFound, QuotaExceeded
+from tessera.intermediate import setting
 from tessera.operators import answer, fs, memory, mutations, pipeline, retrieval, segments, snapshots, state, vectors
 from tessera.plans.catalog import QUERIES
 from tessera.sources import fixtures, formats, word
@@ -208,6 +209,28 @@ def test_index_reads_only_the_terms_of_a_query(spark, tmp_path):
     assert retrieval.query_terms("中文 Café x1") == ["café", "x1", "中", "文"]
 
 
+def test_scope_of_an_index_needs_no_join_by_id(spark, sf):
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = QUERIES["search_scoped"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_id" in plan and "hashpartitioning(id" not in plan
+
+
+def test_stored_words_are_one_string(spark, tmp_path):
+    contents = ["one two one", "", None, "  ", "x 中文 y1"] * 60
+    docs = spark.createDataFrame(list(enumerate(contents)), "id long, content string")
+    index = segments.sync(spark, f"file://{tmp_path}/index", docs)
+    for now in (index, segments.merged(index)):
+        assert dict(spark.read.parquet(f"{now.segments[0]['path']}/documents").dtypes)["w"] == "string"
+        assert {tuple(r.w) for r in now.documents.where("id < 5").collect()} == {("one", "two", "one"), (), ("x", "中", "文", "y1")}
+        assert now.documents.where("dl <> size(w)").count() == 0
+        assert now.frequencies(["one", "two", "", "文"]) == {"one": 60, "two": 60, "文": 60}
+        by_place, by_id = (now.scores(["one", "y1"], f.where("id < 150")) for f in (now.places, now.lengths))
+        want = {r.id: round(r.score, 9) for r in retrieval.bm25(docs.where("id < 150"), "one y1").collect()}
+        assert len(want) == 60
+        for got in (by_place, by_id):
+            assert {r.id: round(r.score, 9) for r in got.collect()} == want
+
+
 def test_limits(spark):
     docs = spark.createDataFrame([(k, "common words", [1.0, float(k)]) for k in range(150)], "id long, content string, vector array<float>")
     for mode in retrieval.MODES:
