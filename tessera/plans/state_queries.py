@@ -86,8 +86,9 @@ def cursor_expiry(r):
 
 
 def _drift(r):
+    """Against the first chunks of files; an empty file has none to lack."""
     indexed = r("chunks").where("chunk_index = 0 AND substring(file_id, 1, 1) <> 'a'").select("file_id")
-    return state.drift(indexed.union(r("dentries").where("is_dir").selectExpr("id")), r("files_meta").select("file_id"))
+    return state.drift(indexed.union(r("dentries").where("is_dir").selectExpr("id")), r("files_meta").where("size_bytes > 0").select("file_id"))
 
 
 @query("drift_missing", "SELECT file_id FROM files_meta WHERE file_id LIKE 'a%'", "files_meta")
